@@ -36,7 +36,7 @@ def classes(docs: DataFrame) -> DataFrame:
     rows = written(members.join(small(unsettled), "token", "left_semi"), "unsettled-postings")
     if not rows.isEmpty():
         bits = sets.select("sid", F.col("n").alias("size"), "bits").dropDuplicates(["sid"])
-        rows = rows.join(bits, "sid").withColumn("n", F.col("size").cast("int")).withColumns({"open": F.lit(True), "first_doc": F.lit(0).cast("long"), "first_number": F.lit(0).cast("long")})
+        rows = rows.join(bits, "sid").withColumn("n", F.col("size").cast("int")).withColumns({"open": F.lit(True), **{c: F.lit(0).cast("long") for c in ("first_doc", "first_version", "first_number")}})
         more = tile_pairs(rows, directed=False).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         more = verified(more.join(done, ["a", "b"], "left_anti"), sets)

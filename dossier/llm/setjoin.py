@@ -320,7 +320,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def tile_pairs(rows: DataFrame, directed: bool) -> DataFrame:
     """Pairs ``a, b`` of sets with a common shingle in ``rows`` that length, positional filter and bitmaps leave.
 
-    ``rows``: ``token, sid, n, at, group, open, first_doc, first_number, bits``. Undirected: pairs of different ``group``. Directed: ``a`` is
+    ``rows``: ``token, sid, n, at, group, open, first_doc, first_version, first_number, bits``. Undirected: pairs of different ``group``. Directed: ``a`` is
     ``open`` and ``b`` occurs before it.
     """
     rows = rows.withColumn("band", F.floor(F.ln(F.col("n")) / F.ln(F.lit(4 / 3)) + 1e-9).cast("int"))
@@ -346,7 +346,7 @@ def tile_pairs(rows: DataFrame, directed: bool) -> DataFrame:
         maps = [np.frombuffer(x, np.uint8) for x in pdf["bits"]]
         size = min(map(len, maps))
         maps = np.stack([np.bitwise_or.reduce(x.reshape(-1, size), axis=0) for x in maps])  # a larger map folds onto a smaller
-        place = list(zip(pdf["first_doc"].fillna(-(1 << 62)).astype("int64").tolist(), pdf["first_number"].tolist(), sid.tolist(), strict=True))
+        place = list(zip(pdf["first_doc"].notna(), pdf["first_doc"].fillna(0).astype("int64"), pdf["first_version"], pdf["first_number"], sid.tolist(), strict=True))
         when = np.empty(len(pdf), np.int64)
         when[sorted(range(len(place)), key=place.__getitem__)] = np.arange(len(place))
         a_out, b_out = [], []
@@ -368,7 +368,7 @@ def tile_pairs(rows: DataFrame, directed: bool) -> DataFrame:
                 b_out.append(sid[i])
         return pd.DataFrame({"a": np.concatenate(a_out) if a_out else [], "b": np.concatenate(b_out) if b_out else []}, dtype="int64")
 
-    columns = ["token", "tile", "sid", "n", "at", "group", "open", "first_doc", "first_number", "bits"]
+    columns = ["token", "tile", "sid", "n", "at", "group", "open", "first_doc", "first_version", "first_number", "bits"]
     return tiles.select(*columns).groupBy("token", "tile").applyInPandas(run, "a long, b long")
 
 
