@@ -1,15 +1,575 @@
-"""All registered queries of the evidence-table operators and their SQL."""
+"""All registered queries of the evidence-table operators and their SQL.
+
+Each query applies an operator to whole tables. Names start with the operator's row in the inventory. Lists are compared as joined
+text, shares as whole numbers or fixed decimals.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from dossier.functions import text as X
+from dossier.operators import coverage, decks, evidence, flatten, merge, report, review, specs
+from dossier.plans.fixtures import Fixtures, oracle
+from dossier.session import configured
+from dossier.sources import items as scan
+from dossier.streaming import events as stream
+
+Query = Callable[[Fixtures], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = oracle(sql)
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: (lambda spark, sf_dir, f=f: f(Fixtures(configured(spark), sf_dir))) for name, f in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def joined(c, sep: str = ","):
+    return F.array_join(c, sep)
+
+
+def _cover(fx: Fixtures) -> DataFrame:
+    return coverage.item_coverage(fx("fx_field"), coverage.load_framework(fx("fx_framework")))
+
+
+# -- scans and sources ---------------------------------------------------------------------------------------
+
+_ITEM_TEXTS = """SELECT concat('part_', CAST(p_partkey AS STRING), CASE WHEN p_partkey % 9 = 0 THEN '.verification.json' ELSE '.json' END) AS file_name, p_partkey AS item_id,
+ CASE WHEN p_partkey % 50 = 1 THEN '{{broken' WHEN p_partkey % 50 = 2 THEN '[1]' ELSE concat('{{"name":"', p_name, '","v":', CAST(p_size AS STRING), '}}') END AS raw FROM {part}"""
+
+
+def _item_texts(fx: Fixtures) -> DataFrame:
+    return fx.sql(_ITEM_TEXTS.replace("{{", "\x01").replace("}}", "\x02")).withColumn("raw", F.translate("raw", "\x01\x02", "{}"))
+
+
+@register("s1_item_scan", "SELECT concat('part_', CAST(p_partkey AS STRING)) AS slug, p_size AS v FROM part WHERE p_partkey % 9 <> 0 AND p_partkey % 50 NOT IN (1, 2)")
+def s1(fx):
+    good, _ = scan.parse_items(_item_texts(fx))
+    return good.select("slug", F.variant_get("doc", "$.v", "int").alias("v"))
+
+
+@register("s3_quarantine", "SELECT concat('part_', CAST(p_partkey AS STRING), '.json') AS file_name, CASE WHEN p_partkey % 50 = 1 THEN 'malformed' ELSE 'not an object' END AS reason FROM part WHERE p_partkey % 9 <> 0 AND p_partkey % 50 IN (1, 2)")
+def s3(fx):
+    return scan.parse_items(_item_texts(fx))[1]
+
+
+@register("s5_framework", "SELECT category, min(category_pos) AS category_pos, string_agg(field, ',' ORDER BY field) AS fields FROM fx_framework GROUP BY category")
+def s5(fx):
+    f = coverage.load_framework(fx("fx_framework"))
+    return f.groupBy("category").agg(F.min("category_pos").alias("category_pos"), joined(F.array_sort(F.collect_list("field"))).alias("fields"))
+
+
+@register("s9_page_manifest", "SELECT concat('page_', CAST(page_id AS STRING), '.html') AS path, CAST(octet_length(encode(html)) AS BIGINT) AS bytes, CASE WHEN contains(lower(html), '<!doctype html>') THEN '' ELSE 'doctype' END AS warnings FROM pages")
+def s9(fx):
+    rows = fx("pages").select(F.concat(F.lit("page_"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.lit("").alias("title"), "html")
+    return scan.manifest(rows).select("path", "bytes", joined("warnings").alias("warnings"))
+
+
+@register("s12_latest_page", "SELECT max_by(url, page_id) AS file_name FROM pages")
+def s12(fx):
+    return scan.latest(fx("pages").select(F.col("url").alias("file_name"), F.col("page_id").alias("modified")))
+
+
+# -- flattening ----------------------------------------------------------------------------------------------
+
+_RAW = """SELECT p_partkey AS item_id, to_json(named_struct('name', p_name, 'basic_info', named_struct('brand', p_brand, 'kind', p_type), 'performance', named_struct('size', p_size), 'price', p_retailprice,
+ 'uncertain', CASE WHEN p_partkey % 11 = 0 THEN array('kind') ELSE array() END), map('ignoreNullFields', 'false')) AS raw FROM {part}"""
+
+
+@register("f1_field_table", """SELECT p_partkey AS item_id, 'Basic Info' AS category, 'brand' AS field, p_brand AS raw, 'STRING' AS json_type, false AS is_uncertain FROM part
+ UNION ALL SELECT p_partkey, 'Basic Info', 'kind', p_type, 'STRING', p_partkey % 11 = 0 FROM part UNION ALL SELECT p_partkey, 'Performance Metrics', 'size', CAST(p_size AS STRING), 'BIGINT', false FROM part""")
+def f1(fx):
+    rows = flatten.explode_fields(fx.sql(_RAW)).filter("field <> 'price'")
+    return rows.select("item_id", "category", "field", "raw", "json_type", "is_uncertain")
+
+
+@register("f2_validator_fields", """SELECT p_partkey AS item_id, unnest(['brand', 'kind', 'name', 'price', 'size']) AS field FROM part""")
+def f2(fx):
+    return flatten.field_names(fx.sql(_RAW))
+
+
+@register("f4_uncertain_fields", "SELECT item_id, field FROM fx_field WHERE value IS NULL OR trim(value) = '' OR contains(value, '[uncertain]')")
+def f4(fx):
+    return fx("fx_field").filter(X.is_uncertain(F.col("value"))).select("item_id", "field")
+
+
+@register("w6_last_value_wins", """SELECT item_id, path, max_by(value, seq) AS value, min(seq) AS pos FROM fx_round WHERE value IS NOT NULL AND NOT contains(value, '[uncertain]') GROUP BY ALL""")
+def w6(fx):
+    rows = fx("fx_round").select("item_id", F.col("seq").alias("pos"), F.lit("c").alias("category"), F.col("path").alias("field"), "value", X.is_uncertain(F.col("value")).alias("is_uncertain"))
+    return flatten.reportable(rows).select("item_id", F.col("field").alias("path"), "value", "pos")
+
+
+@register("a17_field_discovery", "SELECT field, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CASE WHEN value IS NULL THEN 'null' WHEN regexp_full_match(value, '-?[0-9]+') THEN 'integer' ELSE 'string' END, ',' ORDER BY CASE WHEN value IS NULL THEN 'null' WHEN regexp_full_match(value, '-?[0-9]+') THEN 'integer' ELSE 'string' END) AS kinds FROM fx_field GROUP BY field")
+def a17(fx):
+    return coverage.cross_item_fields(fx("fx_field")).withColumn("kinds", joined("kinds"))
+
+
+# -- coverage ------------------------------------------------------------------------------------------------
+
+_STATUS = """SELECT i.item_id, f.field, CASE WHEN h.field IS NULL THEN 'missing' ELSE 'covered' END AS status, f.required, f.category FROM (SELECT DISTINCT item_id FROM fx_field) i CROSS JOIN fx_framework f
+ LEFT JOIN (SELECT DISTINCT item_id, field FROM fx_field) h ON h.item_id = i.item_id AND h.field = f.field
+ UNION ALL SELECT DISTINCT item_id, field, 'extra', false, 'Unknown' FROM fx_field WHERE field NOT IN (SELECT field FROM fx_framework)"""
+_NAMES = "coalesce(string_agg(field, ',' ORDER BY field) FILTER ({}), '')"
+_COVER = f"""SELECT item_id, count(*) FILTER (status <> 'extra') AS total_defined, count(*) FILTER (status = 'covered') AS covered, count(*) FILTER (status = 'missing') AS missing, count(*) FILTER (status = 'extra') AS extra,
+ {_NAMES.format("status = 'missing' AND required")} AS missing_required, {_NAMES.format("status = 'missing' AND NOT required")} AS missing_optional, {_NAMES.format("status = 'extra'")} AS extra_fields,
+ count(*) FILTER (status = 'covered') * 100.0::DOUBLE / count(*) FILTER (status <> 'extra') AS coverage_rate, count(*) FILTER (status = 'missing' AND required) = 0 AS valid FROM ({_STATUS}) GROUP BY item_id"""
+
+
+@register("j3_field_status", _STATUS)
+def j3(fx):
+    return coverage.field_status(fx("fx_field"), coverage.load_framework(fx("fx_framework"))).select("item_id", "field", "status", "required", "category")
+
+
+@register("a1_item_coverage", _COVER)
+def a1(fx):
+    return _cover(fx).withColumns({c: joined(c) for c in ("missing_required", "missing_optional", "extra_fields")})
+
+
+@register("a2_missing_by_category", f"SELECT item_id, string_agg(category || ':' || fields, ';' ORDER BY category) AS missing FROM (SELECT item_id, category, string_agg(field, ',' ORDER BY field) AS fields FROM ({_STATUS}) WHERE status = 'missing' GROUP BY ALL) GROUP BY item_id")
+def a2(fx):
+    m = coverage.missing_by_category(fx("fx_field"), coverage.load_framework(fx("fx_framework")))
+    return m.select("item_id", joined(F.array_sort(F.transform(F.map_entries("missing_by_category"), lambda e: F.concat(e["key"], F.lit(":"), joined(e["value"])))), ";").alias("missing"))
+
+
+@register("a3_run_summary", f"SELECT count(*) FILTER (valid) AS passed, count(*) AS total, CAST(round(avg(coverage_rate) * 1000) AS BIGINT) AS mean_coverage, bool_and(valid) AS gate FROM ({_COVER})")
+def a3(fx):
+    return coverage.run_summary(_cover(fx)).withColumn("mean_coverage", F.round(F.col("mean_coverage") * 1000).cast("long"))
+
+
+@register("l4_first_extras", f"SELECT item_id, extra_fields AS shown, CAST(0 AS INT) AS more FROM ({_COVER})")
+def l4(fx):
+    return coverage.first_extras(_cover(fx)).withColumn("shown", joined("shown"))
+
+
+@register("f9_completed_items", f"SELECT item_id FROM ({_COVER}) WHERE valid")
+def f9(fx):
+    return _cover(fx).filter("valid").select("item_id")
+
+
+@register("x12_percent", f"SELECT item_id, printf('%.1f', coverage_rate) AS rate, concat(covered, '/', total_defined) AS share FROM ({_COVER})")
+def x12(fx):
+    return _cover(fx).select("item_id", X.one_decimal(F.col("coverage_rate")).alias("rate"), F.concat("covered", F.lit("/"), "total_defined").alias("share"))
+
+
+# -- merging -------------------------------------------------------------------------------------------------
+
+
+@register("j4_resume", "SELECT DISTINCT c_custkey AS item_id FROM customer WHERE c_custkey NOT IN (SELECT item_id FROM fx_round)")
+def j4(fx):
+    return merge.remaining(fx("customer").select(F.col("c_custkey").alias("item_id")), fx("fx_round"), "item_id")
+
+
+@register("j5_append_items", "SELECT k, name FROM fx_before UNION ALL SELECT k, name FROM fx_after WHERE k NOT IN (SELECT k FROM fx_before)")
+def j5(fx):
+    return merge.append_new(fx("fx_before").select("k", "name"), fx("fx_after").select("k", "name"), "k")
+
+
+@register("j6_overlay", "SELECT k, n_lines FROM fx_after UNION ALL SELECT k, n_lines FROM fx_before WHERE k NOT IN (SELECT k FROM fx_after)")
+def j6(fx):
+    return merge.overlay(fx("fx_before").select("k", "n_lines"), fx("fx_after").select("k", "n_lines"), "k")
+
+
+_LEAVES = """(SELECT item_id, path, max_by(value, seq) AS value FROM fx_round WHERE round_no = {} GROUP BY ALL)"""
+
+
+@register("j7_deep_merge", f"SELECT coalesce(r.item_id, l.item_id) AS item_id, coalesce(r.path, l.path) AS path, CASE WHEN r.path IS NOT NULL THEN r.value ELSE l.value END AS value FROM {_LEAVES.format(1)} l FULL JOIN {_LEAVES.format(2)} r ON l.item_id = r.item_id AND l.path = r.path")
+def j7(fx):
+    leaves = lambda n: fx("fx_round").filter(f"round_no = {n}").groupBy("item_id", "path").agg(F.max_by("value", "seq").alias("value"))
+    return merge.merge_leaves(leaves(1), leaves(2))
+
+
+_ROUNDS = """WITH last AS (SELECT item_id, round_no, path, max_by(value, seq) AS value FROM fx_round GROUP BY ALL),
+ per AS (SELECT item_id, NOT bool_or(round_no = 1) AS failed, bool_or(round_no = 1) AND bool_or(round_no = 1 AND contains(value, '[uncertain]')) AND bool_or(round_no = 2) AS refined FROM last GROUP BY item_id)
+ SELECT item_id, failed, CASE WHEN refined THEN 2 ELSE 1 END AS rounds_used, path, max_by(value, round_no) AS value FROM last JOIN per USING (item_id) WHERE NOT failed AND (round_no <> 2 OR refined) GROUP BY ALL
+ UNION ALL SELECT item_id, true, 0, NULL, NULL FROM per WHERE failed"""
+
+
+@register("j10_resolve_rounds", _ROUNDS)
+def j10(fx):
+    return merge.resolve_rounds(fx("fx_round"))
+
+
+@register("a10_rounds_used", f"SELECT rounds_used, count(DISTINCT item_id) AS n FROM ({oracle(_ROUNDS)}) GROUP BY rounds_used")
+def a10(fx):
+    return merge.resolve_rounds(fx("fx_round")).groupBy("rounds_used").agg(F.count_distinct("item_id").alias("n"))
+
+
+@register("a9_batch_rollup", f"SELECT item_id % 10 AS batch, count(*) AS total, count(*) FILTER (failed) AS failed, count(*) FILTER (NOT failed) AS ok FROM (SELECT DISTINCT item_id, failed FROM ({oracle(_ROUNDS)})) GROUP BY 1")
+def a9(fx):
+    rows = merge.resolve_rounds(fx("fx_round")).select("item_id", "failed").distinct().withColumn("batch", F.col("item_id") % 10)
+    return merge.batch_rollup(rows, "batch")
+
+
+@register("f7_gap_rows", f"SELECT item_id, field || ' (missing)' AS gap FROM ({_STATUS}) WHERE status = 'missing' UNION ALL SELECT item_id, field || ' (uncertain)' FROM fx_field WHERE value IS NULL OR contains(value, '[uncertain]')")
+def f7(fx):
+    fields = fx("fx_field")
+    missing = coverage.field_status(fields, coverage.load_framework(fx("fx_framework"))).filter("status = 'missing'")
+    return merge.gaps(missing, fields.filter(X.is_uncertain(F.col("value"))))
+
+
+@register("o4_source_union", "SELECT item_id, string_agg(url, ',' ORDER BY ord, url) AS sources FROM (SELECT item_id, url, min(ord) AS ord FROM fx_source GROUP BY ALL) GROUP BY item_id")
+def o4(fx):
+    return merge.union_sources(fx("fx_source"), "item_id", "url", "ord").select("item_id", joined("sources").alias("sources"))
+
+
+@register("w8_batches", "SELECT o_orderkey, CAST(floor((row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) / 6) AS BIGINT) AS batch, CAST(floor(((row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) % 6) / 2) AS BIGINT) AS agent FROM orders")
+def w8(fx):
+    return merge.batches(fx("orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey", 3, 2).select("o_orderkey", "batch", "agent")
+
+
+@register("x16_defaults", "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'n/a' ELSE c_mktsegment END AS category, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name END AS description FROM customer")
+def x16(fx):
+    return merge.with_defaults(fx("customer").select("c_custkey", F.when(F.col("c_custkey") % 4 != 0, F.col("c_mktsegment")).alias("category"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")).alias("description")))
+
+
+# -- sources, citations, confidence --------------------------------------------------------------------------
+
+_NUMBERED = "(SELECT item_id, url, row_number() OVER (PARTITION BY item_id ORDER BY ord, url) AS n FROM fx_source)"
+
+
+@register("j1_with_verification", "SELECT p_partkey AS item_id, confidence, n_conflicts FROM part LEFT JOIN fx_sidecar ON p_partkey = item_id")
+def j1(fx):
+    return evidence.with_verification(fx("part").select(F.col("p_partkey").alias("item_id")), fx("fx_sidecar"))
+
+
+@register("j8_cited_indices", f"SELECT c.item_id, c.field, c.ref_ord, c.ref, CAST(coalesce(s.n, coalesce(t.n, 0) + 1) AS BIGINT) AS idx FROM fx_citation c LEFT JOIN (SELECT item_id, url, min(n) AS n FROM {_NUMBERED} GROUP BY ALL) s ON s.item_id = c.item_id AND s.url = c.ref LEFT JOIN (SELECT item_id, count(*) AS n FROM fx_source GROUP BY ALL) t ON t.item_id = c.item_id")
+def j8(fx):
+    return evidence.cited_indices(fx("fx_citation"), fx("fx_source")).select("item_id", "field", "ref_ord", "ref", F.col("idx").cast("long").alias("idx"))
+
+
+@register("w2_source_numbers", f"SELECT item_id, url, n FROM {_NUMBERED}")
+def w2(fx):
+    return evidence.numbered_sources(fx("fx_source")).select("item_id", "url", F.col("n").cast("long").alias("n"))
+
+
+@register("x15_source_lines", f"SELECT item_id, '[' || n || '] ' || url || CASE WHEN item_id % 2 = 0 THEN ' — note' ELSE '' END AS line FROM {_NUMBERED}")
+def x15(fx):
+    n = evidence.numbered_sources(fx("fx_source"))
+    return n.select("item_id", X.source_line(F.col("n"), F.col("url"), F.lit(None).cast("string"), F.when(F.col("item_id") % 2 == 0, "note")).alias("line"))
+
+
+@register("f8_needs_review", "SELECT item_id FROM fx_sidecar WHERE confidence = 'low' OR n_conflicts > 0")
+def f8(fx):
+    return evidence.needs_review(fx("fx_sidecar")).select("item_id")
+
+
+@register("a7_conflict_lines", "SELECT item_id, printf('item %d: %d conflict(s), confidence %s', item_id, n_conflicts, confidence) AS line FROM fx_sidecar WHERE n_conflicts > 0")
+def a7(fx):
+    return report.conflict_lines(fx("fx_sidecar"))
+
+
+@register("a14_value_conflicts", "SELECT item_id, path AS field, count(DISTINCT value) AS n_values FROM fx_round GROUP BY ALL HAVING count(DISTINCT value) > 1")
+def a14(fx):
+    return evidence.conflicting(fx("fx_round").select("item_id", F.col("path").alias("field"), "value"))
+
+
+@register("a15_confidence", "SELECT i.item_id, CASE WHEN coalesce(n_conflicts, 0) > 0 THEN 'low' WHEN coalesce(s.n, 0) >= 2 AND coalesce(u.n, 0) = 0 THEN 'high' ELSE 'medium' END AS confidence FROM (SELECT p_partkey AS item_id FROM part) i LEFT JOIN fx_sidecar v USING (item_id) LEFT JOIN (SELECT item_id, count(*) AS n FROM fx_source GROUP BY ALL) s USING (item_id) LEFT JOIN (SELECT item_id, count(*) AS n FROM fx_field WHERE value IS NULL OR contains(value, '[uncertain]') GROUP BY ALL) u USING (item_id)")
+def a15(fx):
+    rows = fx("part").select(F.col("p_partkey").alias("item_id")).join(fx("fx_sidecar").select("item_id", F.col("n_conflicts").alias("conflicts")), "item_id", "left")
+    rows = rows.join(fx("fx_source").groupBy("item_id").agg(F.count(F.lit(1)).alias("sources")), "item_id", "left")
+    rows = rows.join(fx("fx_field").filter(X.is_uncertain(F.col("value"))).groupBy("item_id").agg(F.count(F.lit(1)).alias("uncertain")), "item_id", "left").fillna(0)
+    return evidence.rate_confidence(rows).select("item_id", "confidence")
+
+
+@register("a8_uncertainty", "SELECT item_id, string_agg(field, ',' ORDER BY pos) AS uncertain FROM fx_field WHERE contains(coalesce(value, '[uncertain]'), '[uncertain]') GROUP BY item_id")
+def a8(fx):
+    f = fx("fx_field")
+    return evidence.uncertainty(f.select("item_id", "pos", "field", "value"), f.filter("value IS NULL").select("item_id", "pos", "field")).select("item_id", joined("uncertain").alias("uncertain"))
+
+
+# -- reports -------------------------------------------------------------------------------------------------
+
+_CERTAIN = "value IS NOT NULL AND trim(value) <> '' AND NOT contains(value, '[uncertain]')"
+_WIDE = f"""SELECT i.item_id, coalesce(max(CASE WHEN field = 'brand' AND {_CERTAIN} THEN value END), '—') AS brand, coalesce(max(CASE WHEN field = 'kind' AND {_CERTAIN} THEN value END), '—') AS kind FROM (SELECT DISTINCT item_id FROM fx_field) i LEFT JOIN fx_field f USING (item_id) GROUP BY i.item_id"""
+
+
+@register("a5_summary_fields", f"SELECT field, n_items FROM (SELECT field, count(DISTINCT item_id) AS n_items FROM fx_field WHERE {_CERTAIN} GROUP BY field HAVING count(DISTINCT item_id) >= 2) ORDER BY CASE field WHEN 'price' THEN 0 ELSE 1 END, field LIMIT 5")
+def a5(fx):
+    return report.summary_fields(fx("fx_field"))
+
+
+@register("r2_comparison", _WIDE)
+def r2(fx):
+    return report.comparison(fx("fx_field"), ["brand", "kind"])
+
+
+@register("a11_column_widths", f"SELECT name, CAST(greatest(length(name), max(length(v))) AS BIGINT) AS width FROM (SELECT 'brand' AS name, brand AS v FROM ({_WIDE}) UNION ALL SELECT 'kind', kind FROM ({_WIDE})) GROUP BY name")
+def a11(fx):
+    return report.widths(report.comparison(fx("fx_field"), ["brand", "kind"]), ["brand", "kind"])
+
+
+@register("r2_comparison_lines", f"SELECT item_id, '| ' || rpad(brand, CAST(max(length(brand)) OVER () AS INT), ' ') || ' | ' || rpad(kind, CAST(max(length(kind)) OVER () AS INT), ' ') || ' |' AS line FROM ({_WIDE})")
+def r2_lines(fx):
+    return report.comparison_lines(report.comparison(fx("fx_field"), ["brand", "kind"]), ["brand", "kind"])
+
+
+@register("r1_contents", f"SELECT item_id, item_id AS no, item_id || '. [' || slug || '](#' || slug || ')' || coalesce(' - ' || string_agg(field || ': ' || value, ' | ' ORDER BY pos) FILTER (field IN ('brand', 'kind') AND value IS NOT NULL), '') AS line FROM fx_field GROUP BY item_id, slug")
+def r1(fx):
+    f = fx("fx_field")
+    items = f.select("item_id", F.col("item_id").alias("no"), F.col("slug").alias("name"), F.lit(False).alias("failed")).distinct()
+    return report.contents(items, f.filter("field IN ('brand', 'kind') AND value IS NOT NULL").select("item_id", F.col("pos").alias("rank"), "field", "value"))
+
+
+@register("r3_detail_lines", f"SELECT item_id, '- **' || field || '**: ' || value AS line FROM fx_field WHERE {_CERTAIN} UNION ALL SELECT DISTINCT item_id, '### ' || category FROM fx_field WHERE {_CERTAIN}")
+def r3(fx):
+    return report.detail_lines(fx("fx_field")).select("item_id", "line")
+
+
+@register("r4_synthesis", f"SELECT category, field, md5(string_agg(slug || ': ' || left(value, 80), '; ' ORDER BY item_id)) AS line_md5 FROM fx_field JOIN (SELECT 1) ON true WHERE {_CERTAIN} AND field = 'brand' GROUP BY ALL")
+def r4(fx):
+    rows = report.synthesis(fx("fx_field").filter("field = 'brand'"), "field", "value")
+    return rows.select(F.lit("basic_info").alias("category"), "field", F.md5("line").alias("line_md5"))
+
+
+@register("a6_category_coverage", f"SELECT category, count(DISTINCT item_id) AS n_items, (SELECT count(DISTINCT item_id) FROM fx_field) AS n_total, min(item_id) AS first_item, min_by(pos, item_id * 10 + pos) AS first_pos FROM fx_field WHERE {_CERTAIN} GROUP BY category")
+def a6(fx):
+    return report.category_coverage(fx("fx_field"))
+
+
+@register("w1_item_numbers", "SELECT slug, category, field, CAST(row_number() OVER (PARTITION BY item_id ORDER BY pos) AS INT) AS no FROM fx_field")
+def w1(fx):
+    return coverage.numbered(fx("fx_field"), "item_id", "pos").select("slug", "category", "field", "no")
+
+
+@register("x1_anchor", "SELECT c_custkey, replace(regexp_replace(lower(trim(c_name || ' & ' || c_mktsegment)), '[^a-z0-9 _-]', '', 'g'), ' ', '-') AS anchor, regexp_replace(replace(c_name || '/' || c_mktsegment, ' ', '_'), '[^A-Za-z0-9_-]', '', 'g') AS file FROM customer")
+def x1(fx):
+    c = fx("customer")
+    return c.select("c_custkey", X.anchor(F.concat("c_name", F.lit(" & "), "c_mktsegment")).alias("anchor"), X.file_slug(F.concat("c_name", F.lit("/"), "c_mktsegment")).alias("file"))
+
+
+@register("x4_compact_cell", "SELECT page_id, left(array_to_string(list_filter(list_transform(string_split(html, chr(10)), lambda x: regexp_replace(regexp_replace(x, '^[ \\t\\r]+', ''), '[ \\t\\r]+$', '')), lambda x: x <> ''), ' '), 80) AS cell FROM pages")
+def x4(fx):
+    return fx("pages").select("page_id", X.compact(F.col("html")).alias("cell"))
+
+
+@register("x7_truncate", "SELECT doc_id, CASE WHEN length(text) > 140 THEN regexp_replace(left(text, 139), '\\s+$', '') || '…' ELSE text END AS short FROM documents")
+def x7(fx):
+    return fx("documents").select("doc_id", X.truncate(F.col("text"), 140).alias("short"))
+
+
+@register("x8_paths", "SELECT page_id, url || '.pptx' AS plain, regexp_replace(url || '.html', '[.][^./]+$', '.pptx') AS swapped FROM pages WHERE NOT regexp_matches(url, '[.][^./]+$')")
+def x8(fx):
+    p = fx("pages").filter(~F.col("url").rlike("[.][^./]+$"))
+    return p.select("page_id", X.swap_extension(F.col("url"), ".pptx").alias("plain"), X.swap_extension(F.concat("url", F.lit(".html")), ".pptx").alias("swapped"))
+
+
+@register("x9_escape_html", "SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')) AS escaped_md5 FROM pages")
+def x9(fx):
+    return fx("pages").select("page_id", F.md5(X.escape_html(F.col("html"))).alias("escaped_md5"))
+
+
+@register("x11_item_names", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'Part ' || p_partkey ELSE p_name END AS name FROM part")
+def x11(fx):
+    return fx("part").select("p_partkey", X.item_name(F.when(F.col("p_partkey") % 3 != 0, F.col("p_name")), F.lit(" "), F.concat(F.lit("part_"), F.col("p_partkey").cast("string"))).alias("name"))
+
+
+@register("x13_file_size", "SELECT event_id, CASE WHEN b >= 1024 THEN printf('%.1f', b / 1024) || ' KB' ELSE b || ' B' END AS size FROM (SELECT event_id, CAST(floor(value * 10) AS BIGINT) * 16 AS b FROM events)")
+def x13(fx):
+    return fx("events").select("event_id", X.file_size((F.floor(F.col("value") * 10) * 16)).alias("size"))
+
+
+# -- review --------------------------------------------------------------------------------------------------
+
+
+@register("j11_check_claims", "SELECT doc_id, c.subject, c.attribute, claimed, actual, CASE WHEN c.attribute <> 'n_chars' THEN 'unverifiable' WHEN actual IS NULL THEN 'unsupported' WHEN claimed = actual THEN 'verified' ELSE 'corrected' END AS verdict FROM fx_claim c LEFT JOIN fx_evidence e ON c.subject = e.subject AND c.attribute = e.attribute")
+def j11(fx):
+    return review.check_claims(fx("fx_claim"), fx("fx_evidence"), ("n_chars",))
+
+
+@register("j12_check_plan", "SELECT k, b.n_lines AS planned, a.n_lines AS real, CASE WHEN a.k IS NULL THEN 'unsupported' WHEN b.k IS NULL THEN 'missing' WHEN a.n_lines = b.n_lines THEN 'correct' ELSE 'stale' END AS verdict FROM fx_before b FULL JOIN fx_after a USING (k)")
+def j12(fx):
+    return review.check_plan(fx("fx_before"), fx("fx_after"), "k", "n_lines")
+
+
+_CHANGES = "SELECT k, CASE WHEN b.name IS NULL THEN 'added' WHEN a.name IS NULL THEN 'deleted' WHEN a.n_lines = b.n_lines AND a.name = b.name THEN 'unchanged' ELSE 'modified' END AS status, coalesce(a.n_lines, 0) - coalesce(b.n_lines, 0) AS delta FROM fx_before b FULL JOIN fx_after a USING (k)"
+
+
+@register("j13_changes", f"SELECT k, status FROM ({_CHANGES})")
+def j13(fx):
+    return review.changes(fx("fx_before"), fx("fx_after"), "k")
+
+
+@register("a13_change_figures", f"SELECT status, count(*) AS files, CAST(sum(greatest(delta, 0)) AS BIGINT) AS lines_added, CAST(sum(greatest(-delta, 0)) AS BIGINT) AS lines_removed FROM ({_CHANGES}) GROUP BY ROLLUP (status)")
+def a13(fx):
+    return review.change_figures(fx("fx_before"), fx("fx_after"), "k", "n_lines")
+
+
+@register("j14_requirement_status", "SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS n_matched, count(*) AS n_parts, CASE WHEN count(*) FILTER (o_orderstatus = 'F') = 0 THEN 'gap' WHEN count(*) FILTER (o_orderstatus = 'F') < count(*) THEN 'partial' ELSE 'match' END AS status FROM orders GROUP BY o_custkey")
+def j14(fx):
+    return review.requirement_status(fx("orders").withColumn("m", F.col("o_orderstatus") == "F"), "o_custkey", "m")
+
+
+@register("a12_status_rollup", "SELECT area, count(*) AS reviewed, count(*) FILTER (status = 'match') AS matched, count(*) FILTER (status = 'gap') AS gaps, count(*) FILTER (status = 'partial') AS partials, CAST(floor(count(*) FILTER (status = 'match') * 100 / count(*) + 0.5) AS BIGINT) AS coverage FROM fx_status GROUP BY ROLLUP (area)")
+def a12(fx):
+    return review.status_rollup(fx("fx_status"), "area")
+
+
+@register("j15_uncovered", "SELECT DISTINCT i.deck_id, i.item_no FROM fx_inventory i ANTI JOIN fx_slide_map m ON i.deck_id = m.deck_id AND i.item_no = m.item_no")
+def j15(fx):
+    return review.uncovered(fx("fx_inventory"), fx("fx_slide_map"), ["deck_id", "item_no"])
+
+
+@register("j16_over_limit", "SELECT kind, deck_id, count(*) AS n, 2 AS most FROM fx_inventory GROUP BY ALL HAVING count(*) > 2")
+def j16(fx):
+    inv = fx("fx_inventory")
+    return review.over_limit(inv, inv.select("kind").distinct().withColumn("most", F.lit(2)), ["deck_id"], "kind").select("kind", "deck_id", "n", "most")
+
+
+@register("a18_severity_matrix", "SELECT dimension, count(*) FILTER (severity = 'low') AS low, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'critical') AS critical FROM fx_risk GROUP BY dimension")
+def a18(fx):
+    return review.severity_matrix(fx("fx_risk"))
+
+
+@register("f10_since", "SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '1996-01-01'")
+def f10(fx):
+    return review.since(fx("orders").withColumn("d", F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd")), "d", "1996-01-01").select("o_orderkey")
+
+
+@register("f15_route", "SELECT l_orderkey, CASE WHEN count(*) >= 15 THEN 'overview+detail' WHEN count(*) >= 4 OR count(DISTINCT l_returnflag) >= 3 THEN 'page' WHEN count(DISTINCT l_linestatus) >= 4 THEN 'page+nav' ELSE 'inline' END AS route FROM lineitem GROUP BY l_orderkey")
+def f15(fx):
+    per = fx("lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_returnflag").alias("c"), F.count_distinct("l_linestatus").alias("s"))
+    return per.select("l_orderkey", review.route(F.col("n"), F.col("c"), F.col("n"), F.col("s")).alias("route"))
+
+
+@register("h7_extract_claims", "SELECT page_id, 'url' AS kind, unnest(regexp_extract_all(html, 'https?://[^\\s<>\"'']+')) AS claim FROM pages UNION ALL SELECT page_id, 'number', unnest(regexp_extract_all(html, '\\b[0-9]+(?:\\.[0-9]+)?%')) FROM pages UNION ALL SELECT page_id, 'path', unnest(regexp_extract_all(html, '\\b[A-Za-z0-9_-]+\\.(?:py|js|html|json|md)\\b')) FROM pages")
+def h7(fx):
+    return review.extract_claims(fx("pages"), "page_id", "html")
+
+
+# -- specs ---------------------------------------------------------------------------------------------------
+
+_SPECS = """SELECT c_custkey AS spec_id, to_json(named_struct('title', CASE WHEN c_custkey % 7 = 0 THEN ' ' ELSE c_name END, 'sections', array(named_struct('title', c_mktsegment, 'tone', CASE WHEN c_custkey % 5 = 0 THEN 'loud' ELSE 'info' END,
+ 'cards', array(named_struct('title', c_name, 'body', 'a < b & c')), 'table', named_struct('columns', array('x', 'y'), 'rows', CASE WHEN c_custkey % 3 = 0 THEN array(array('1')) ELSE array(array('1', '2')) END),
+ 'flow', named_struct('nodes', array(named_struct('id', 'a', 'label', 'A')), 'edges', array(named_struct('from', 'a', 'to', CASE WHEN c_custkey % 4 = 0 THEN 'b' ELSE 'a' END))))))) AS raw FROM {customer}"""
+
+
+@register("a19_spec_errors", """SELECT spec_id, coalesce(string_agg(e, '; ' ORDER BY e) FILTER (e IS NOT NULL), '') AS errors FROM (SELECT c_custkey AS spec_id, unnest([CASE WHEN c_custkey % 7 = 0 THEN 'spec.title must be a non-empty string' END, CASE WHEN c_custkey % 5 = 0 THEN 'spec.sections[0].tone must be neutral, accent, positive, warning, danger, or info' END,
+ CASE WHEN c_custkey % 3 = 0 THEN 'spec.sections[0].table.rows[0] must match the column count' END, CASE WHEN c_custkey % 4 = 0 THEN 'spec.sections[0].flow.edges[0].to must reference a flow node' END]) AS e FROM customer) GROUP BY spec_id""")
+def a19(fx):
+    return specs.validate(fx.sql(_SPECS)).select("spec_id", joined("errors", "; ").alias("errors"))
+
+
+@register("r6_rendered_pages", """SELECT c_custkey AS spec_id, c_name AS title, md5('<section class="section" data-tone="info"><div class="section-head"><div><h2>' || c_mktsegment || '</h2></div><span class="section-kicker">01</span></div><div class="grid"><article class="card" data-tone="accent"><h3>' || c_name || '</h3><p>a &lt; b &amp; c</p></article></div><div class="table-wrap"><table><thead><tr><th scope="col">x</th><th scope="col">y</th></tr></thead><tbody><tr><td>1</td><td>2</td></tr></tbody></table></div><div class="flow"><div class="grid"><article class="flow-node" data-tone="accent"><h3>A</h3></article></div><div class="flow-edges"><span class="flow-edge">a → a</span></div></div></section>') AS sections_md5 FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey % 5 <> 0 AND c_custkey % 3 <> 0 AND c_custkey % 4 <> 0""")
+def r6(fx):
+    s = fx.sql(_SPECS)
+    valid = specs.validate(s).filter(F.size("errors") == 0).select("spec_id")
+    pages = specs.render(s.join(valid, "spec_id", "left_semi"))
+    return pages.select("spec_id", "title", F.md5(F.regexp_extract("html", r'(?s)<div class="sections">(.*)</div>\n</main>', 1)).alias("sections_md5"))
+
+
+@register("j9_dangling_edges", "SELECT from_id, to_id, 'from' AS side FROM fx_flow_edge WHERE from_id NOT IN (SELECT id FROM fx_flow_node) UNION ALL SELECT from_id, to_id, 'to' FROM fx_flow_edge WHERE to_id NOT IN (SELECT id FROM fx_flow_node)")
+def j9(fx):
+    return specs.dangling(fx("fx_flow_edge"), fx("fx_flow_node"))
+
+
+@register("a16_chart", "SELECT area, string_agg(status, ',' ORDER BY status) AS labels, string_agg(CAST(n AS STRING), ',' ORDER BY status) AS data FROM (SELECT area, status, count(*) AS n FROM fx_status GROUP BY ALL) GROUP BY area")
+def a16(fx):
+    counts = fx("fx_status").groupBy("area", "status").agg(F.count(F.lit(1)).cast("string").alias("n"))
+    return specs.chart(counts, "area", "status", "n").select("area", joined("labels").alias("labels"), joined("data").alias("data"))
+
+
+@register("x10_tone", "SELECT o_orderkey, CASE WHEN o_orderpriority IN ('neutral', 'accent', 'positive', 'warning', 'danger', 'info') THEN o_orderpriority WHEN o_orderkey % 2 = 0 THEN 'info' ELSE 'accent' END AS tone FROM orders")
+def x10(fx):
+    return fx("orders").select("o_orderkey", X.tone(F.when(F.col("o_orderkey") % 2 == 0, "info").otherwise(F.col("o_orderpriority"))).alias("tone"))
+
+
+@register("w3_section_numbers", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber < 10 THEN '0' || l_linenumber ELSE CAST(l_linenumber AS STRING) END AS no FROM lineitem")
+def w3(fx):
+    return fx("lineitem").select("l_orderkey", "l_linenumber", X.zero_pad(F.col("l_linenumber"), 2).alias("no"))
+
+
+# -- decks and pages -----------------------------------------------------------------------------------------
+
+
+@register("w4_progress", "SELECT deck_id, slide_no, n || ' / ' || total || ' · ' || CAST(floor(n * 100 / total + 0.5) AS BIGINT) || '%' AS label FROM (SELECT deck_id, slide_no, row_number() OVER (PARTITION BY deck_id ORDER BY slide_no) AS n, count(*) OVER (PARTITION BY deck_id) AS total FROM fx_slide)")
+def w4(fx):
+    return decks.progress(fx("fx_slide")).select("deck_id", "slide_no", "label")
+
+
+@register("w5_unique_text", "SELECT user_id, lower(event_type) AS v, min(event_id) AS first_id FROM events GROUP BY ALL")
+def w5(fx):
+    e = fx("events").select("user_id", "event_id", F.when(F.col("event_id") % 2 == 0, F.upper("event_type")).otherwise(F.col("event_type")).alias("v"))
+    return decks.unique_text(e, ["user_id"], "v", "event_id").select("user_id", F.lower("v").alias("v"), F.col("event_id").alias("first_id"))
+
+
+@register("w10_runs_of_three", "SELECT deck_id, slide_no FROM (SELECT *, lag(composition, 1) OVER w AS b, lag(composition, 2) OVER w AS c FROM fx_slide WINDOW w AS (PARTITION BY deck_id ORDER BY slide_no)) WHERE composition = 'centered' AND b = 'centered' AND c = 'centered'")
+def w10(fx):
+    return decks.runs_of_three(fx("fx_slide"))
+
+
+@register("w11_pagination", "SELECT deck_id, slide_no, CAST(ceil(row_number() OVER (PARTITION BY deck_id ORDER BY slide_no) / 8) AS BIGINT) AS page FROM fx_slide")
+def w11(fx):
+    return decks.paginated(fx("fx_slide"), "deck_id", "slide_no").select("deck_id", "slide_no", "page")
+
+
+@register("a20_deck_summary", "SELECT deck_id, count(*) AS slide_count, min_by(title, slide_no) AS first_title FROM fx_slide GROUP BY deck_id")
+def a20(fx):
+    return decks.deck_summary(fx("fx_slide"))
+
+
+_CLEAN = "regexp_replace(" * 7 + "html, '(?is)<!--.*?-->', '', 'g')" + "".join(f", '(?is)<{t}\\b.*?</{t}\\s*>', '', 'g')" for t in ("script", "style", "nav", "button", "svg", "canvas"))
+_PLAIN = "trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g'))"
+_H4 = f"SELECT page_id, kind, CAST(pos - 1 AS BIGINT) AS pos, {_PLAIN} AS text FROM (SELECT page_id, kind, unnest(list) AS x, generate_subscripts(list, 1) AS pos FROM (" + " UNION ALL ".join(
+    f"SELECT page_id, '{k}' AS kind, regexp_extract_all({_CLEAN}, '{p.replace(chr(39), chr(39) * 2)}', 1) AS list FROM pages" for k, p in decks.PATTERNS.items()
+) + "))"
+
+
+@register("h4_page_blocks", _H4)
+def h4(fx):
+    return decks.page_blocks(fx("pages"))
+
+
+@register("h8_inventory", f"SELECT page_id, kind, count(*) AS n FROM ({_H4}) GROUP BY ALL")
+def h8(fx):
+    return decks.page_blocks(fx("pages")).groupBy("page_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("h1_parsed_blocks")
+def h1(fx):
+    return decks.blocks(fx("pages"))
+
+
+@register("h5_slide_bodies")
+def h5(fx):
+    return decks.body_parts(decks.blocks(fx("pages")))
+
+
+@register("h6_slide_titles")
+def h6(fx):
+    return decks.slide_titles(decks.blocks(fx("pages")))
+
+
+@register("v10_page_rules", """SELECT page_id, unnest(list_filter([CASE WHEN NOT (contains(l, '<html') AND contains(l, '</html>') AND contains(l, '<!doctype html>')) THEN 'complete document' END, CASE WHEN NOT regexp_matches(l, '<link[^>]*rel=["''][^"'']*icon') THEN 'favicon' END,
+ CASE WHEN regexp_matches(l, '<pre[^>]*class=["'']mermaid') THEN 'bare mermaid' END, CASE WHEN regexp_matches(l, '[^a-z0-9_-]\\.node[ ]*\\{') THEN 'page-level .node' END], lambda x: x IS NOT NULL)) AS rule FROM (SELECT page_id, lower(html) AS l FROM pages)""")
+def v10(fx):
+    return decks.broken_rules(fx("pages"))
+
+
+# -- events --------------------------------------------------------------------------------------------------
+
+
+@register("f14_tool_results", "SELECT seq, call_id, bytes, CASE WHEN bytes >= 1024 THEN 'KB' ELSE 'B' END AS unit FROM fx_tool_event WHERE type = 'tool/result' AND call_id IS NOT NULL")
+def f14(fx):
+    return stream.matching(fx("fx_tool_event")).select("seq", "call_id", "bytes", F.regexp_extract("size", "([A-Z]+)$", 1).alias("unit"))
+
+
+@register("w9_first_event", "SELECT call_id, min(seq) AS seq FROM fx_tool_event WHERE type = 'tool/result' AND call_id IS NOT NULL GROUP BY call_id")
+def w9(fx):
+    return stream.first_per_key(fx("fx_tool_event")).select("call_id", "seq")
