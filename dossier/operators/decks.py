@@ -14,6 +14,9 @@ MOST_CHARS = {"heading": 140, "item": 160, "paragraph": 220, "card": 220, "diagr
 MOST_BODY, MOST_TABLES, MOST_CODE, MOST_ROWS, MOST_CELLS = 10, 2, 2, 9, 5
 _SKIP = {"script", "style", "nav", "button", "svg", "canvas", "template", "noscript"}
 _VOID = {"br", "img", "hr", "input", "meta", "link", "area", "base", "col", "source", "track", "wbr"}
+#: Open elements that a start or end tag closes where their own end tag is left out.
+_ENDS_BEFORE = {**{t: {"p"} for t in ("p", "ul", "ol", "table", "pre", "div", "section", "blockquote", "h1", "h2", "h3", "h4")}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th"}}
+_ENDS_WITH = {"ul": {"li"}, "ol": {"li"}, "table": {"td", "th"}, "tr": {"td", "th"}}
 _BLOCKS = {"h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "li": "item", "p": "paragraph", "pre": "code", "td": "cell", "th": "cell"}
 
 
@@ -69,8 +72,7 @@ class _Reader(HTMLParser):
             self._close_all()
             self.slide += 1
         what = "diagram" if "diagram-source" in names else "card" if "card" in names else _BLOCKS.get(tag)
-        if tag in ("p", "li", "h1", "h2", "h3", "h4", "tr"):
-            self._close({"p"} if tag == "p" else {tag})
+        self._close(_ENDS_BEFORE.get(tag, set()))
         if tag in ("table", "tr"):
             self.out.append((self.slide, tag, kind, ""))
         if what:
@@ -82,7 +84,7 @@ class _Reader(HTMLParser):
         if self.skip:
             self.skip -= 1
             return
-        self._close({tag})
+        self._close(_ENDS_WITH.get(tag, {tag}))
 
     def handle_data(self, data):
         if not self.skip:
