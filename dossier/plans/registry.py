@@ -6,12 +6,14 @@ text, shares as whole numbers or fixed decimals.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.functions import text as X
+from dossier.functions.values import as_markdown
 from dossier.operators import coverage, decks, evidence, flatten, merge, report, review, specs
 from dossier.plans.fixtures import Fixtures, oracle
 from dossier.session import configured
@@ -94,10 +96,13 @@ _RAW = """SELECT p_partkey AS item_id, to_json(named_struct('name', p_name, 'bas
 
 
 @register("f1_field_table", """SELECT p_partkey AS item_id, 'Basic Info' AS category, 'brand' AS field, p_brand AS raw, 'STRING' AS json_type, false AS is_uncertain FROM part
- UNION ALL SELECT p_partkey, 'Basic Info', 'kind', p_type, 'STRING', p_partkey % 11 = 0 FROM part UNION ALL SELECT p_partkey, 'Performance Metrics', 'size', CAST(p_size AS STRING), 'BIGINT', false FROM part""")
+ UNION ALL SELECT p_partkey, 'Basic Info', 'kind', p_type, 'STRING', p_partkey % 11 = 0 FROM part UNION ALL SELECT p_partkey, 'Performance Metrics', 'size', CAST(p_size AS STRING), 'BIGINT', false FROM part
+ UNION ALL SELECT p_partkey, 'Other Info', 'price', CAST(CAST(round(p_retailprice * 100) AS BIGINT) AS STRING), 'NUMBER', false FROM part""")
 def f1(fx):
-    rows = flatten.explode_fields(fx.sql(_RAW)).filter("field <> 'price'")
-    return rows.select("item_id", "category", "field", "raw", "json_type", "is_uncertain")
+    price = F.col("field") == "price"  # its text and decimal type depend on the figure
+    raw = F.when(price, F.round(F.col("raw").try_cast("double") * 100).cast("long").cast("string")).otherwise(F.col("raw"))
+    kind = F.when(price & F.col("json_type").rlike("^(DECIMAL|DOUBLE|BIGINT)"), "NUMBER").otherwise(F.col("json_type"))
+    return flatten.explode_fields(fx.sql(_RAW)).select("item_id", "category", "field", raw.alias("raw"), kind.alias("json_type"), "is_uncertain")
 
 
 @register("f2_validator_fields", """SELECT p_partkey AS item_id, unnest(['brand', 'kind', 'name', 'price', 'size']) AS field FROM part""")
@@ -364,10 +369,9 @@ def x7(fx):
     return fx("documents").select("doc_id", X.truncate(F.col("text"), 140).alias("short"))
 
 
-@register("x8_paths", "SELECT page_id, url || '.pptx' AS plain, regexp_replace(url || '.html', '[.][^./]+$', '.pptx') AS swapped FROM pages WHERE NOT regexp_matches(url, '[.][^./]+$')")
+@register("x8_paths", "SELECT page_id, CASE WHEN regexp_matches(url, '[.][^./]+$') THEN regexp_replace(url, '[.][^./]+$', '.pptx') ELSE url || '.pptx' END AS plain, regexp_replace(url || '.html', '[.][^./]+$', '.pptx') AS swapped FROM pages")
 def x8(fx):
-    p = fx("pages").filter(~F.col("url").rlike("[.][^./]+$"))
-    return p.select("page_id", X.swap_extension(F.col("url"), ".pptx").alias("plain"), X.swap_extension(F.concat("url", F.lit(".html")), ".pptx").alias("swapped"))
+    return fx("pages").select("page_id", X.swap_extension(F.col("url"), ".pptx").alias("plain"), X.swap_extension(F.concat("url", F.lit(".html")), ".pptx").alias("swapped"))
 
 
 @register("x9_escape_html", "SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')) AS escaped_md5 FROM pages")
@@ -573,3 +577,97 @@ def f14(fx):
 @register("w9_first_event", "SELECT call_id, min(seq) AS seq FROM fx_tool_event WHERE type = 'tool/result' AND call_id IS NOT NULL GROUP BY call_id")
 def w9(fx):
     return stream.first_per_key(fx("fx_tool_event")).select("call_id", "seq")
+
+
+@register("t1_first_arrivals", "SELECT call_id, min(seq) AS seq FROM fx_tool_event WHERE type = 'tool/result' AND call_id IS NOT NULL GROUP BY call_id")
+def t1(fx):
+    """The stream form over the event files, drained once; the delay exceeds the table's span, so it equals the batch form."""
+    schema = fx("events").schema
+    source = fx.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(fx.dir)
+    kind = F.when(F.col("event_type") == "purchase", stream.TOOL_RESULT).otherwise(F.col("event_type"))
+    rows = source.select(F.col("event_id").alias("seq"), "ts", kind.alias("type"), F.col("user_id").alias("call_id"), F.floor(F.col("value") * 1024).alias("bytes"))
+    where = f"{fx.spark.conf.get('spark.checkpoint.dir', 'file:///tmp/dossier-streams')}/{uuid.uuid4().hex}"
+    query = stream.first_arrivals(rows, "3650 days").select("call_id", "seq").writeStream.format("parquet").option("path", f"{where}/rows").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return fx.spark.read.schema("call_id long, seq long").parquet(f"{where}/rows")
+
+
+@register("x3_markdown_values")
+def x3(fx):
+    doc = F.parse_json(F.concat(F.lit('{"k":"'), "p_name", F.lit('","n":'), F.col("p_size").cast("string"), F.lit(',"l":[true,null,"'), "p_brand", F.lit('"],"o":[{"a":1},{"b":""}]}')))
+    return fx("part").select("p_partkey", as_markdown(doc).alias("markdown"))
+
+
+@register("f5_failed_items", f"SELECT DISTINCT item_id FROM ({oracle(_ROUNDS)}) WHERE failed")
+def f5(fx):
+    return merge.resolve_rounds(fx("fx_round")).filter("failed").select("item_id").distinct()
+
+
+@register("f11_output_names", "SELECT page_id FROM pages WHERE regexp_full_match(CASE WHEN page_id % 2 = 0 THEN url ELSE 'page' || page_id || '.html' END, '[^/]+\\.html')")
+def f11(fx):
+    name = F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.concat(F.lit("page"), F.col("page_id").cast("string"), F.lit(".html")))
+    return fx("pages").filter(name.rlike(r"^[^/]+\.html$")).select("page_id")
+
+
+@register("l5_body_caps", "SELECT user_id, string_agg(CAST(event_id AS STRING), ',' ORDER BY event_id) AS first_ten FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) WHERE n <= 10 GROUP BY user_id")
+def l5(fx):
+    ids = F.array_sort(F.collect_list("event_id"))
+    return fx("events").groupBy("user_id").agg(F.array_join(F.slice(ids, 1, decks.MOST_BODY), ",").alias("first_ten"))
+
+
+_L6 = "ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag"
+
+
+@register("l6_clipped_tables", f"""SELECT l_orderkey, string_agg(CAST(l_linenumber AS STRING) || CASE WHEN l_linenumber % 2 = 0 THEN ',' || l_returnflag WHEN evens > 0 THEN ',' ELSE '' END, ';' ORDER BY n) AS rows
+ FROM (SELECT *, count(*) FILTER (l_linenumber % 2 = 0) OVER (PARTITION BY l_orderkey) AS evens FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey {_L6}) AS n FROM lineitem) WHERE n <= 9) GROUP BY l_orderkey""")
+def l6(fx):
+    row = F.when(F.col("l_linenumber") % 2 == 0, F.array(F.col("l_linenumber").cast("string"), "l_returnflag")).otherwise(F.array(F.col("l_linenumber").cast("string")))
+    order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", row.alias("row"))
+    per = fx("lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(order)), lambda s: s["row"]).alias("t"))
+    return per.select("l_orderkey", joined(F.transform(decks.clipped(F.col("t")), lambda r: joined(r)), ";").alias("rows"))
+
+
+@register("l7_block_choice", "SELECT page_id, CASE WHEN contains(html, '<table') THEN 'table' WHEN contains(html, '<pre') THEN 'code' ELSE 'panel' END AS block FROM pages")
+def l7(fx):
+    html = F.col("html")
+    return fx("pages").select("page_id", F.when(html.contains("<table"), "table").when(html.contains("<pre"), "code").otherwise("panel").alias("block"))
+
+
+@register("x5_normalised_text", "SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[ \\t\\f\\r]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), '^\\s+', ''), '\\s+$', '')) AS text_md5, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS line_md5 FROM documents")
+def x5(fx):
+    return fx("documents").select("doc_id", F.md5(X.normalise(F.col("text"))).alias("text_md5"), F.md5(X.one_line(F.col("text"))).alias("line_md5"))
+
+
+@register("x14_padded_cells", "SELECT n_nationkey, rpad(n_name, CAST(greatest(length(n_name), 12) AS INT), ' ') AS cell FROM nation")
+def x14(fx):
+    return fx("nation").select("n_nationkey", X.pad(F.col("n_name"), F.lit(12)).alias("cell"))
+
+
+@register("s2_sidecars", "SELECT 'part_' || p_partkey AS slug, CASE WHEN p_partkey % 2 = 0 THEN 'low' END AS confidence, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE '' END AS notes FROM part")
+def s2(fx):
+    raw = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit('{"confidence":"low","notes":"'), "p_brand", F.lit('"}'))).otherwise(F.lit("unreadable"))
+    texts = fx("part").select(F.concat(F.lit("part_"), F.col("p_partkey").cast("string"), F.lit(scan.SIDECAR)).alias("file_name"), raw.alias("raw"))
+    return scan.parse_sidecars(texts).select("slug", "confidence", joined("notes").alias("notes"))
+
+
+@register("w7_first_headings", f"SELECT page_id, coalesce(nullif({_PLAIN.replace('(x,', '(t,', 1)}, ''), 'Slide 0') AS title FROM (SELECT page_id, regexp_extract({_CLEAN}, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS t FROM pages)")
+def w7(fx):
+    return decks.slide_titles(decks.blocks(fx("pages"))).select("page_id", "title")
+
+
+@register("w12_category_order", "SELECT item_id, category, CAST(row_number() OVER (PARTITION BY item_id ORDER BY first_pos) AS INT) AS no FROM (SELECT item_id, category, min(pos) AS first_pos FROM fx_field GROUP BY ALL)")
+def w12(fx):
+    first = fx("fx_field").groupBy("item_id", "category").agg(F.min("pos").alias("first_pos"))
+    return coverage.numbered(first, "item_id", "first_pos").select("item_id", "category", "no")
+
+
+@register("o1_common_fields", "SELECT item_id, string_agg(field, ',' ORDER BY field) AS common FROM (SELECT DISTINCT item_id, field FROM fx_field WHERE field IN (SELECT field FROM fx_framework)) GROUP BY item_id")
+def o1(fx):
+    s = coverage.field_status(fx("fx_field"), coverage.load_framework(fx("fx_framework"))).filter("status = 'covered'")
+    return s.groupBy("item_id").agg(joined(F.array_sort(F.collect_list("field"))).alias("common"))
+
+
+@register("r7_review_rows", f"SELECT k AS spec_id, 'files' AS block, 'part ' || k AS path, status FROM ({_CHANGES}) WHERE status IN ('added', 'deleted', 'modified')")
+def r7(fx):
+    rows = review.changes(fx("fx_before"), fx("fx_after"), "k").filter("status <> 'unchanged'")
+    return rows.select(F.col("k").alias("spec_id"), F.lit("files").alias("block"), F.concat(F.lit("part "), F.col("k").cast("string")).alias("path"), "status")
