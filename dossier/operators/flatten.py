@@ -42,31 +42,35 @@ def _entries(raw: Column) -> Column:
     return F.zip_with(F.map_entries(values), F.map_values(texts), lambda e, t: F.struct(e["key"].alias("key"), e["value"].alias("value"), t.alias("raw")))
 
 
+def _walk(raw: Column, pos: Column, aliases: Column, left: int) -> Column:
+    """Fields of an object as an array of ``pos, category, field, value, raw``; ``left`` more levels are walked through."""
+
+    def one(e: Column, i: Column) -> Column:
+        at, name = F.concat(pos, F.array(i)), F.try_element_at(aliases, e["key"])
+        is_object = F.coalesce(F.schema_of_variant(e["value"]).startswith("OBJECT"), F.lit(False))
+        row = lambda at, category, x: F.struct(at.alias("pos"), category.alias("category"), x["key"].alias("field"), x["value"].alias("value"), x["raw"].alias("raw"))
+        leaf = F.array(row(at, F.coalesce(name, F.lit(OTHER)), e))
+        inside = F.filter(F.transform(_entries(e["raw"]), lambda c, j: row(F.concat(at, F.array(j)), F.coalesce(name, F.lit(OTHER)), c)), lambda r: ~r["field"].isin(*RESERVED))
+        deeper = _walk(e["raw"], at, aliases, left - 1) if left else leaf
+        return F.when(e["key"].isin(*RESERVED), F.slice(leaf, 1, 0)).when(is_object & name.isNotNull(), inside).when(is_object, deeper).otherwise(leaf)
+
+    return F.flatten(F.transform(_entries(raw), one))
+
+
 def explode_fields(items: DataFrame, aliases: DataFrame | None = None, depth: int = 4) -> DataFrame:
     """The report's field table of ``items`` (``item_id, raw``): ``item_id, pos, category, field, value, raw, json_type, is_uncertain``.
 
     An alias key with an object gives its entries to that category; other objects are walked through; an alias key with another
     value belongs to its category, the rest to :data:`OTHER`. Reserved keys are dropped at every level. The walk is
-    a bounded unroll of ``depth`` levels; what lies deeper is one field with the object as its value.
+    a bounded unroll of ``depth`` levels; what lies deeper is one field with the object as its value. Each record is
+    read once, in its own row; the aliases (a dimension) come as one map.
     """
     pairs = items.sparkSession.createDataFrame(alias_rows(), "alias string, canonical string") if aliases is None else aliases
-    pairs = pairs.withColumnsRenamed({"alias": "__alias", "canonical": "__canonical"})
+    one = pairs.agg(F.map_from_entries(F.collect_list(F.struct("alias", "canonical"))).alias("__aliases"))
     listed = F.coalesce(F.from_json(F.get_json_object("raw", "$.uncertain"), "array<string>"), F.array().cast("array<string>"))
-    level = items.select("item_id", listed.alias("listed"), F.array().cast("array<int>").alias("pos"), F.col("raw"))
-    parts = []
-    for d in range(depth):
-        rows = level.select("item_id", "listed", "pos", F.posexplode(_entries(F.col("raw"))).alias("at", "e")).filter(~F.col("e.key").isin(*RESERVED))
-        rows = rows.select("item_id", "listed", F.concat("pos", F.array("at")).alias("pos"), "e.*").join(F.broadcast(pairs), F.col("key") == F.col("__alias"), "left").drop("__alias")
-        rows = rows.withColumn("is_object", F.coalesce(F.schema_of_variant("value").startswith("OBJECT"), F.lit(False)))
-        inside = rows.filter("is_object AND __canonical IS NOT NULL")
-        inside = inside.select("item_id", "listed", "pos", F.col("__canonical").alias("category"), F.posexplode(_entries(F.col("raw"))).alias("at", "e")).filter(~F.col("e.key").isin(*RESERVED))
-        parts.append(inside.select("item_id", "listed", F.concat("pos", F.array("at")).alias("pos"), "category", F.col("e.key").alias("field"), "e.value", "e.raw"))
-        plain = rows.filter("NOT is_object" if d < depth - 1 else "NOT (is_object AND __canonical IS NOT NULL)")
-        parts.append(plain.select("item_id", "listed", "pos", F.coalesce("__canonical", F.lit(OTHER)).alias("category"), F.col("key").alias("field"), "value", "raw"))
-        level = rows.filter("is_object AND __canonical IS NULL").select("item_id", "listed", "pos", "raw")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    rows = items.select("item_id", "raw", listed.alias("listed")).join(F.broadcast(one), F.lit(True), "left")
+    fields = _walk(F.col("raw"), F.array().cast("array<int>"), F.col("__aliases"), depth - 1)
+    out = rows.select("item_id", "listed", F.explode(fields).alias("f")).select("item_id", "listed", "f.*")
     kind = F.schema_of_variant("value")
     text = F.when(F.is_variant_null("value"), None).otherwise(F.col("raw"))
     doubt = F.coalesce(F.is_variant_null("value"), F.lit(True)) | F.array_contains("listed", F.col("field")) | ((kind == "STRING") & ((strip(text) == "") | text.contains(MARK)))
@@ -88,11 +92,15 @@ def field_names(items: DataFrame, depth: int = 4) -> DataFrame:
     looked into. A list at the root stands for its objects.
     """
     keys = [a for a, _ in alias_rows() if not any(ord(c) > 127 for c in a) and a != "Competition & Ecosystem"] + ["Competition Ecosystem"]
-    level = items.select("item_id", F.explode(F.coalesce(F.from_json("raw", "array<string>"), F.array("raw"))).alias("raw"))
-    out = None
-    for _ in range(depth):
-        rows = level.select("item_id", F.explode(_entries(F.col("raw"))).alias("e")).select("item_id", "e.*").filter(~F.col("key").isin(*SKIPPED))
-        found = rows.filter(~F.col("key").isin(*keys)).select("item_id", F.col("key").alias("field"))
-        out = found if out is None else out.unionByName(found)
-        level = rows.filter(F.col("key").isin(*keys) & F.schema_of_variant("value").startswith("OBJECT")).select("item_id", "raw")
-    return out.distinct()
+
+    def names(raw: Column, left: int) -> Column:
+        def one(e: Column) -> Column:
+            name = F.array(e["key"])
+            is_object = F.coalesce(F.schema_of_variant(e["value"]).startswith("OBJECT"), F.lit(False))
+            deeper = names(e["raw"], left - 1) if left else F.slice(name, 1, 0)
+            return F.when(e["key"].isin(*SKIPPED), F.slice(name, 1, 0)).when(~e["key"].isin(*keys), name).when(is_object, deeper).otherwise(F.slice(name, 1, 0))
+
+        return F.flatten(F.transform(_entries(raw), one))
+
+    roots = items.select("item_id", F.explode(F.coalesce(F.from_json("raw", "array<string>"), F.array("raw"))).alias("raw"))
+    return roots.select("item_id", F.explode(names(F.col("raw"), depth - 1)).alias("field")).distinct()
