@@ -14,8 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.setjoin import block_count, fetched_sets, frequent, inventory, line_units, shared_postings, tile_pairs, verified
-from dossier.llm.shared import small, written
+from dossier.llm.setjoin import block_count, bounded, frequent, inventory, line_units, popular_pairs, set_bits, shared_postings, tile_pairs, verified
+from dossier.llm.shared import scratch, small, written
 
 
 def _place(prefix: str = "") -> Column:
@@ -26,13 +26,18 @@ def _place(prefix: str = "") -> Column:
 
 def later_matches(docs: DataFrame) -> DataFrame:
     """``doc_id, version, number`` of all lines that match a line before them. ``docs``: ``doc_id, version, text``."""
+    with scratch(docs.sparkSession):
+        return written(_later_matches(docs), "line-matches", keep=True)
+
+
+def _later_matches(docs: DataFrame) -> DataFrame:
     units = inventory(docs, line_units, every=False)
-    lines = units.filter("token IS NULL").select("doc_id", "version", "number", "sid", "n")
+    nodes = units.filter("token IS NULL").select("doc_id", "version", "number", "sid", "n", "bits")
+    lines = nodes.drop("bits")
     firsts = written(lines.groupBy("sid").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("lines")), "line-firsts")
     posted = shared_postings(docs, line_units, frequent(units), block_count(docs, lines))
-    held = firsts.join(small(posted.select("sid").distinct()), "sid", "left_semi")
-    sets = fetched_sets(docs, line_units, held.select("sid", "first.doc_id", "first.version"))
-    held = written(held.select("sid", "first"), "line-holders")
+    bits = set_bits(nodes, posted)
+    held = written(firsts.join(small(posted.select("sid").distinct()), "sid", "left_semi"), "line-holders")
 
     def gone(links: DataFrame) -> DataFrame:
         """Of each link, the set that occurs first later."""
@@ -40,20 +45,24 @@ def later_matches(docs: DataFrame) -> DataFrame:
         both = links.join(small(x), "a").join(small(y), "b")
         return both.select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("sid")).distinct()
 
-    tested = written(posted.filter("plausible").select(F.col("sid").alias("a"), F.col("leader").alias("b")).distinct(), "leader-pairs")
-    removed = written(gone(verified(tested, sets)), "line-removed")
+    def unsettled(removed: DataFrame) -> DataFrame:
+        """Postings of shingles with a set that nothing removed, beside a set before it."""
+        members = posted.select("token", "sid", "n", "at").distinct().join(small(held), "sid").join(small(removed.withColumn("__gone", F.lit(True))), "sid", "left")
+        members = members.withColumn("open", F.col("__gone").isNull()).drop("__gone")
+        mixed = members.groupBy("token").agg(F.min("first").alias("low"), F.max(F.when(F.col("open"), F.col("first"))).alias("high")).filter("low < high").select("token")
+        return written(members.join(small(mixed), "token", "left_semi"), "unsettled-postings")
 
-    # Sets that no leader removed, beside any set before them that shares a shingle.
-    place = held.select("sid", "first", *[F.col(f"first.{c}").alias(f"first_{d}") for c, d in (("doc_id", "doc"), ("version", "version"), ("number", "number"))])
-    members = posted.select("token", "sid", "n", "at").distinct().join(small(place), "sid").join(small(removed.withColumn("__gone", F.lit(True))), "sid", "left")
-    members = members.withColumn("open", F.col("__gone").isNull()).drop("__gone")
-    unsettled = members.groupBy("token").agg(F.min("first").alias("low"), F.max(F.when(F.col("open"), F.col("first"))).alias("high")).filter("low < high").select("token")
-    rows = written(members.join(small(unsettled), "token", "left_semi"), "unsettled-postings")
+    tested = posted.filter("plausible").select(F.col("sid").alias("a"), F.col("leader").alias("b"))
+    removed = written(gone(verified(bounded(tested, bits), docs, line_units, nodes)), "line-removed")
+    rows = unsettled(removed)
+    if not rows.isEmpty():
+        more = verified(bounded(popular_pairs(rows.withColumn("copies", F.col("lines"))), bits), docs, line_units, nodes)
+        removed = written(removed.unionByName(gone(more)).distinct(), "line-removed")
+        rows = unsettled(removed)
     if not rows.isEmpty():
-        bits = sets.select("sid", F.col("n").alias("size"), "bits").dropDuplicates(["sid"])
-        rows = rows.join(bits, "sid").withColumn("n", F.col("size").cast("int")).withColumn("group", F.col("sid"))
-        more = tile_pairs(rows, directed=True).distinct().join(tested, ["a", "b"], "left_anti")
-        removed = written(removed.unionByName(gone(verified(more, sets))).distinct(), "line-removed")
+        rows = rows.drop("n").join(bits, "sid").withColumns({"group": F.col("sid"), **{f"first_{d}": F.col(f"first.{c}") for c, d in (("doc_id", "doc"), ("version", "version"), ("number", "number"))}})
+        pairs = written(tile_pairs(rows, directed=True).distinct(), "tile-pairs")
+        removed = written(removed.unionByName(gone(verified(pairs, docs, line_units, nodes))).distinct(), "line-removed")
 
     # A line goes if its set does, or occurred before.
     known = firsts.join(small(removed.withColumn("__gone", F.lit(True))), "sid", "left").filter(F.col("__gone") | (F.col("lines") > 1))
@@ -64,7 +73,7 @@ def later_matches(docs: DataFrame) -> DataFrame:
 def without_later_matches(docs: DataFrame) -> DataFrame:
     """``docs`` with the lines of ``text`` that match a line before them taken out, and ``__removed``, their numbers."""
     keyed = docs.withColumn("__version", F.xxhash64("text"))
-    found = written(later_matches(keyed.select("doc_id", F.col("__version").alias("version"), "text")), "line-matches")
+    found = later_matches(keyed.select("doc_id", F.col("__version").alias("version"), "text"))
     per = found.groupBy("doc_id", "version").agg(F.array_sort(F.collect_list(F.col("number").cast("int"))).alias("__removed")).withColumnsRenamed({"doc_id": "__d", "version": "__v"})
     per = F.broadcast(per) if found.count() <= 2_000_000 else per
     joined = keyed.join(per, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__version") == F.col("__v")), "left")

@@ -13,37 +13,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.setjoin import block_count, components, document_units, fetched_sets, frequent, inventory, shared_postings, tile_pairs, verified
-from dossier.llm.shared import small, written
+from dossier.llm.setjoin import block_count, bounded, components, document_units, frequent, inventory, popular_pairs, set_bits, shared_postings, tile_pairs, verified
+from dossier.llm.shared import scratch, small, written
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """One row per document: ``doc_id, version`` (a hash of the text), ``n_shingles, component_id``."""
-    docs = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
+    with scratch(docs.sparkSession):
+        return written(_classes(docs.select("doc_id", F.xxhash64("text").alias("version"), "text")), "near-duplicate-classes", keep=True)
+
+
+def _classes(docs: DataFrame) -> DataFrame:
     units = inventory(docs, document_units, every=True)
-    nodes = units.filter("token IS NULL").select("doc_id", "version", "sid", "n")
+    nodes = units.filter("token IS NULL").select("doc_id", "version", "sid", "n", "bits")
     posted = shared_postings(docs, document_units, frequent(units), block_count(docs, nodes))
-    holders = nodes.filter("n > 0").join(small(posted.select("sid").distinct()), "sid", "left_semi")
-    holders = holders.groupBy("sid").agg(F.min(F.struct("doc_id", "version")).alias("at")).select("sid", "at.doc_id", "at.version")
-    sets = fetched_sets(docs, document_units, holders)
-    tested = written(posted.filter("plausible").select(F.col("sid").alias("a"), F.col("leader").alias("b")).distinct(), "leader-pairs")
-    links = verified(tested, sets)
+    bits = set_bits(nodes, posted)
+    tested = posted.filter("plausible").select(F.col("sid").alias("a"), F.col("leader").alias("b"))
+    links = verified(bounded(tested, bits), docs, document_units, nodes)
     group = components(links)
+    copies = nodes.groupBy("sid").agg(F.count(F.lit(1)).alias("copies"))
+
+    def unsettled(group: DataFrame) -> DataFrame:
+        """Postings of shingles whose sets aren't in one component yet."""
+        members = posted.select("token", "sid", "n", "at").distinct().join(group, "sid", "left").withColumn("group", F.coalesce("component", "sid")).drop("component")
+        mixed = members.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low < high").select("token")
+        return written(members.join(small(mixed), "token", "left_semi"), "unsettled-postings")
 
-    # Shingles whose sets aren't in one component yet: all pairs across components that filters and bitmaps leave.
-    members = posted.select("token", "sid", "n", "at").distinct().join(group, "sid", "left").withColumn("group", F.coalesce("component", "sid")).drop("component")
-    unsettled = members.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low < high").select("token")
-    rows = written(members.join(small(unsettled), "token", "left_semi"), "unsettled-postings")
+    rows = unsettled(group)
+    if not rows.isEmpty():
+        more = verified(bounded(popular_pairs(rows.join(copies, "sid").withColumn("open", F.lit(True))), bits), docs, document_units, nodes)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            group = components(links)
+            rows = unsettled(group)
     if not rows.isEmpty():
-        bits = sets.select("sid", F.col("n").alias("size"), "bits").dropDuplicates(["sid"])
-        rows = rows.join(bits, "sid").withColumn("n", F.col("size").cast("int")).withColumns({"open": F.lit(True), **{c: F.lit(0).cast("long") for c in ("first_doc", "first_version", "first_number")}})
-        more = tile_pairs(rows, directed=False).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = verified(more.join(done, ["a", "b"], "left_anti"), sets)
+        # All pairs across components that filters and bitmaps leave.
+        rows = rows.drop("n").join(bits, "sid").withColumns({"open": F.lit(True), **{c: F.lit(0).cast("long") for c in ("first_doc", "first_version", "first_number")}})
+        pairs = tile_pairs(rows, directed=False).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = verified(written(pairs, "tile-pairs"), docs, document_units, nodes)
         if not more.isEmpty():
             group = components(links.unionByName(more))
 
-    keyed = nodes.join(group, "sid", "left").withColumn("class", F.coalesce("component", "sid"))
+    keyed = nodes.drop("bits").join(group, "sid", "left").withColumn("class", F.coalesce("component", "sid"))
     least = keyed.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     return keyed.join(small(least), "class", "left").select("doc_id", "version", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -52,6 +63,6 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents that have their component's least doc_id, and one row of each such document; same columns as ``docs``."""
     own = docs.withColumn("__version", F.xxhash64("text"))
     found = classes(docs.select("doc_id", "text")).filter("component_id IS DISTINCT FROM doc_id").select("doc_id", "version").distinct()
-    gone = written(found.withColumnsRenamed({"doc_id": "__d", "version": "__v"}), "near-duplicates")
+    gone = found.withColumnsRenamed({"doc_id": "__d", "version": "__v"})
     same = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__version") == F.col("__v"))
     return own.join(small(gone), same, "left_anti").drop("__version")

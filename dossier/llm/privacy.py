@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.shared import small, written
+from dossier.llm.shared import scratch, small, written
 from dossier.llm.textarrays import LOWER, flat, slices, span_hashes, words
 
 KINDS = ("email", "ip", "card", "phone")
@@ -242,10 +242,11 @@ def masked(text: str, base: list[tuple[str, int, int]], names: set[str]) -> str:
 
 def sanitised(docs: DataFrame) -> DataFrame:
     """``docs`` with ``text`` sanitised; same columns."""
-    rows = keyed(docs)
-    found = survey(rows)
-    pairs = disclosing(found)
-    ask = written(_with_terms(rows, found, pairs), "privacy-ask").withColumnsRenamed({"doc_id": "__d", "version": "__v", "terms": "__terms"})
+    with scratch(docs.sparkSession):
+        rows = keyed(docs)
+        found = survey(rows)
+        ask = written(_with_terms(rows, found, disclosing(found)), "privacy-ask", keep=True)
+    ask = ask.withColumnsRenamed({"doc_id": "__d", "version": "__v", "terms": "__terms"})
     joined = docs.withColumn("__version", F.xxhash64("text")).join(small(ask), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__version") == F.col("__v")), "left").select(*docs.columns, "__terms")
     at = docs.columns.index("text")
 

@@ -19,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,9 +29,11 @@ from dossier.llm.textarrays import LOWER, U, flat, mix, shingles, slices, span_h
 #: Words of a shingle.
 K = 5
 #: Entries of the table of frequent shingles, and sets in a block of a tile.
-FREQUENT, BLOCK = 100_000, 1024
-#: Sets that a task keeps in mind to post each only once.
-REMEMBERED = 2_000_000
+FREQUENT, BLOCK = 400_000, 1024
+#: Sets that a task keeps in mind to post each only once; shingles among which it looks for repeated ones.
+REMEMBERED, COUNTED = 500_000, 1_000_000
+#: Bytes of text that are worked on at once.
+SLICE = 1 << 20
 POSTING = np.dtype([("token", "<u8"), ("sid", "<u8"), ("order", "<u4"), ("n", "<u2"), ("at", "<u2")])
 LEADER = np.dtype([("token", "<u8"), ("sid", "<u8"), ("n", "<u2"), ("at", "<u2"), ("leader", "<u8"), ("leader_n", "<u2"), ("leader_at", "<u2")])
 MOST = 65535
@@ -96,58 +97,70 @@ def _signed(x: np.ndarray) -> pa.Array:
 def each_slice(batches: Iterable[pa.RecordBatch], units: Callable, text: str = "text") -> Iterator[tuple[pa.RecordBatch, int, Units]]:
     for batch in batches:
         data, offsets = flat(batch.column(batch.schema.get_field_index(text)))
-        for i, j in slices(offsets):
+        for i, j in slices(offsets, SLICE):
             rows, number, tokens, upto = units(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             tokens, upto = distinct_sets(tokens, upto)
             yield batch, i, (rows, number, tokens, upto)
 
 
 def inventory(docs: DataFrame, units: Callable, every: bool) -> DataFrame:
-    """Written table of the units (``doc_id, version, number, sid, n``; ``every``: also those without a shingle) and of repeated shingles (``token, seen``).
+    """Written table of the units (``doc_id, version, number, sid, n, bits``; ``every``: also those without a shingle) and of repeated shingles (``token, seen``).
 
     ``docs``: ``doc_id, version, text``.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "version", "number", "sid", "n", "token", "seen"]
+        names = ["doc_id", "version", "number", "sid", "n", "bits", "token", "seen"]
+        held: list[np.ndarray] = []
+
+        def repeated() -> pa.RecordBatch:
+            t = np.sort(np.concatenate(held))
+            held.clear()
+            start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
+            seen = np.diff(np.append(start, len(t)))
+            often = seen > 1
+            blank = pa.nulls(int(often.sum()), pa.int64())
+            return pa.RecordBatch.from_arrays([blank, blank, blank, blank, blank, pa.nulls(len(blank), pa.binary()), _signed(t[start[often]]), pa.array(seen[often], pa.int64())], names=names)
+
         for batch, i, (rows, number, tokens, upto) in each_slice(batches, units):
             n, sid = np.diff(upto), set_ids(tokens, upto)
             keep = np.arange(len(n)) if every else np.flatnonzero(n)
             take = pa.array(rows[keep] + i)
             blank = pa.nulls(len(keep), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(number[keep], pa.int64()), _signed(sid[keep]), pa.array(n[keep], pa.int64()), blank, blank], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(number[keep], pa.int64()), _signed(sid[keep]), pa.array(n[keep], pa.int64()), pa.array(bitmaps(tokens, upto)[keep].tolist(), pa.binary()), blank, blank], names=names)
             # Of equal sets in a slice one counts, so that copies don't make their shingles frequent.
             once = np.zeros(len(n), bool)
             once[np.unique(sid, return_index=True)[1]] = True
-            t = np.sort(tokens[np.repeat(once, n)])
-            start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
-            seen = np.diff(np.append(start, len(t)))
-            often = seen > 1
-            blank = pa.nulls(int(often.sum()), pa.int64())
-            yield pa.RecordBatch.from_arrays([blank, blank, blank, blank, blank, _signed(t[start[often]]), pa.array(seen[often], pa.int64())], names=names)
+            held.append(tokens[np.repeat(once, n)])
+            if sum(map(len, held)) > COUNTED:
+                yield repeated()
+        if held:
+            yield repeated()
 
-    return written(docs.mapInArrow(run, "doc_id long, version long, number long, sid long, n long, token long, seen long"), "set-units")
+    return written(docs.mapInArrow(run, "doc_id long, version long, number long, sid long, n long, bits binary, token long, seen long"), "set-units")
 
 
-def frequent(units: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles (ascending) and their ranks, rarest first: a table of at most ``FREQUENT`` entries."""
+def frequent(units: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The most frequent shingles (ascending), their ranks, rarest first, and marks of their low bits: a table of at most ``FREQUENT`` entries."""
     top = units.filter("token IS NOT NULL").groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "token").limit(FREQUENT).toPandas()
     token = top["token"].to_numpy(np.int64).view(U)
     order = np.argsort(token)
-    return token[order], (len(token) - 1 - order).astype(np.int64)
+    marks = np.zeros(1 << 22, bool)
+    marks[(token & U(len(marks) - 1)).astype(np.int64)] = True
+    return token[order], (len(token) - 1 - order).astype(np.int64), marks
 
 
-def prefixes(tokens: np.ndarray, cuts: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def prefixes(tokens: np.ndarray, cuts: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Indices of the prefixes' shingles, their units, and their places in the order."""
     n = np.diff(cuts)
     unit = np.repeat(np.arange(len(n)), n)
     want = n // 4 + 1
-    known, rank = table
-    if len(known):
-        at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-        common = known[at] == tokens
-    else:
-        at, common = np.zeros(len(tokens), np.int64), np.zeros(len(tokens), bool)
+    known, rank, marks = table
+    at, common = np.zeros(len(tokens), np.int64), np.zeros(len(tokens), bool)
+    maybe = np.flatnonzero(marks[(tokens & U(len(marks) - 1)).astype(np.int64)])
+    if len(maybe):
+        at[maybe] = np.minimum(np.searchsorted(known, tokens[maybe]), len(known) - 1)
+        common[maybe] = known[at[maybe]] == tokens[maybe]
     upto = np.concatenate([[0], np.cumsum(~common)])
     place = upto[:-1] - upto[cuts[:-1]][unit]
     rare = np.diff(upto[cuts]) if len(n) else n
@@ -194,7 +207,7 @@ def _plausible(n, at, m, bt):
     return open_ | (long_ & (np.minimum(n - at, m - bt) >= need))
 
 
-def shared_postings(docs: DataFrame, units: Callable, table: tuple[np.ndarray, np.ndarray], blocks: int) -> DataFrame:
+def shared_postings(docs: DataFrame, units: Callable, table: tuple[np.ndarray, np.ndarray, np.ndarray], blocks: int) -> DataFrame:
     """Written table of all postings of shingles that two sets or more have: ``token, sid, n, at, leader, plausible``."""
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     scale = float(MOST * MOST) / max(1, (high or 0) - (low or 0))
@@ -236,7 +249,7 @@ def shared_postings(docs: DataFrame, units: Callable, table: tuple[np.ndarray, n
             p["n"], p["at"] = np.minimum(n[unit], MOST), np.minimum(place, MOST)
             held.append(p)
             size += len(p)
-            if size > 1_000_000:
+            if size > 250_000:
                 yield flush()
                 size = 0
         if size:
@@ -267,42 +280,70 @@ def shared_postings(docs: DataFrame, units: Callable, table: tuple[np.ndarray, n
     return written(posted.mapInArrow(meet, "token long, sid long, n int, at int, leader long, plausible boolean"), "set-postings")
 
 
-def fetched_sets(docs: DataFrame, units: Callable, where: DataFrame) -> DataFrame:
-    """Written table ``sid, n, elements, bits`` of the sets in ``where`` (``sid, doc_id, version``: a row that holds each).
+def bitmaps(tokens: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Each unit's bitmap: a power of two of bits, at least four for each shingle."""
+    n = np.diff(cuts)
+    size = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(n, 1) * 4)).astype(np.int64))
+    unit = np.repeat(np.arange(len(n)), n)
+    out = np.empty(len(n), object)
+    for s in np.unique(size).tolist():
+        own = np.flatnonzero(size == s)
+        row = np.full(len(n), -1)
+        row[own] = np.arange(len(own))
+        mine = row[unit] >= 0
+        bits = np.zeros(len(own) * s, bool)
+        bits[row[unit[mine]] * s + ((tokens[mine] >> U(7)) & U(s - 1)).astype(np.int64)] = True
+        packed = np.packbits(bits).reshape(len(own), -1)
+        for k, x in zip(own.tolist(), packed, strict=True):
+            out[k] = x.tobytes()
+    return out
+
+
+def set_bits(nodes: DataFrame, posted: DataFrame) -> DataFrame:
+    """Written table ``sid, n, bits`` of the sets with shared postings. ``nodes``: units of the inventory."""
+    found = nodes.filter("n > 0").join(small(posted.select("sid").distinct()), "sid", "left_semi")
+    return written(found.groupBy("sid").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "set-bits")
+
+
+def bounded(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """Written table of the distinct ``pairs`` (``a, b``) whose bitmaps leave room for the wanted overlap."""
+    side = lambda c: bits.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
 
-    ``elements``: the sorted shingles; ``bits``: a bitmap of a power of two of bits, at least the set's size.
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = batch.num_rows
+            n = np.concatenate([batch.column(2).to_numpy(), batch.column(3).to_numpy()])
+            fits = _bit_bound([*batch.column(4).to_pylist(), *batch.column(5).to_pylist()], n, np.arange(k), np.arange(k) + k)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(fits)) for c in batch.columns[:2]], names=["a", "b"])
+
+    joined = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+    return written(joined.mapInArrow(run, "a long, b long"), "bounded-pairs")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, units: Callable, nodes: DataFrame) -> DataFrame:
+    """Written table of the ``pairs`` (``a, b``, written) whose sets have a Jaccard likeness of at least 3/4.
+
+    The sorted shingles are taken anew from one row that holds each set (``nodes``: units of the inventory).
     """
-    wanted = where.groupBy("doc_id", "version").agg(F.collect_list("sid").alias("sids")).withColumnsRenamed({"doc_id": "__d", "version": "__v"})
-    rows = docs.join(small(wanted), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("version") == F.col("__v"))).select("doc_id", "version", "text", "sids")
+    asked = written(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct(), "sets-asked")
+    holders = nodes.select("sid", "doc_id", "version").join(small(asked), "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("doc_id", "version")).alias("at"))
+    wanted = holders.groupBy(F.col("at.doc_id").alias("__d"), F.col("at.version").alias("__v")).agg(F.collect_list("sid").alias("sids"))
+    rows = docs.join(small(written(wanted, "sets-wanted")), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("version") == F.col("__v"))).select("doc_id", "version", "text", "sids")
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fetch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, i, (rows, _, tokens, upto) in each_slice(batches, units):
             sid = set_ids(tokens, upto).view(np.int64)
-            out: dict[int, np.ndarray] = {}
+            out: dict[int, bytes] = {}
             lists = batch.column(3)
-            for row in range(int(rows[-1]) + 1 if len(rows) else 0):
+            for row in np.unique(rows).tolist():
                 ask = set(lists[i + row].as_py())
                 for k in range(*np.searchsorted(rows, [row, row + 1]).tolist()):
                     if (x := int(sid[k])) in ask:
-                        out[x] = tokens[upto[k] : upto[k + 1]]
+                        out[x] = tokens[upto[k] : upto[k + 1]].tobytes()
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array([len(x) for x in out.values()], pa.int64()), pa.array([x.tobytes() for x in out.values()], pa.binary()), pa.array([bitmap(x) for x in out.values()], pa.binary())], names=["sid", "n", "elements", "bits"])
-
-    found = written(rows.mapInArrow(run, "sid long, n long, elements binary, bits binary"), "set-elements")
-    return found
-
+                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=["sid", "elements"])
 
-def bitmap(elements: np.ndarray) -> bytes:
-    size = max(64, 1 << int(len(elements) - 1).bit_length()) if len(elements) else 64
-    bits = np.zeros(size, bool)
-    bits[(elements >> U(7)).astype(np.int64) & (size - 1)] = True
-    return np.packbits(bits).tobytes()
-
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Written table of the ``pairs`` (``a, b``) whose sets have a Jaccard likeness of at least 3/4."""
-    left = sets.select(F.col("sid").alias("a"), F.col("elements").alias("x")).dropDuplicates(["a"])
-    right = sets.select(F.col("sid").alias("b"), F.col("elements").alias("y")).dropDuplicates(["b"])
+    sets = written(rows.mapInArrow(fetch, "sid long, elements binary"), "set-elements").dropDuplicates(["sid"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -313,63 +354,121 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 good.append(4 * both >= 3 * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    joined = pairs.join(sets.select(F.col("sid").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("elements").alias("y")), "b").select("a", "b", "x", "y")
     return written(joined.mapInArrow(run, "a long, b long"), "set-links")
 
 
+def popular_pairs(members: DataFrame) -> DataFrame:
+    """Of each shingle, pairs of every ``open`` set with the set that most units have: again linear in the postings. ``members``: ``token, sid, n, at, open, copies``."""
+    top = members.groupBy("token").agg(F.max_by(F.struct("sid", "n", "at"), F.struct("copies", "sid")).alias("top"))
+    n, m = F.col("n"), F.col("top.n")
+    fits = (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (7 * F.least(n - F.col("at"), m - F.col("top.at")) >= 3 * (n + m)) | (F.greatest(n, m) == MOST)
+    rows = members.filter("open").join(top, "token").filter((F.col("sid") != F.col("top.sid")) & fits)
+    return rows.select(F.col("sid").alias("a"), F.col("top.sid").alias("b")).distinct()
+
+
+def _bit_bound(maps: list[bytes], n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the bitmaps leave room for the wanted overlap of the sets ``i`` and ``j``: a bit that one has alone is an element that isn't shared."""
+    length = np.fromiter(map(len, maps), np.int64, len(maps))
+    at, stacks = np.zeros(len(maps), np.int64), {}
+    for size in np.unique(length).tolist():
+        own = np.flatnonzero(length == size)
+        at[own] = np.arange(len(own))
+        stacks[size] = np.frombuffer(b"".join(maps[k] for k in own.tolist()), np.uint8).reshape(-1, size)
+    ok = np.zeros(len(i), bool)
+    kind = length[i] * (1 << 40) + length[j]
+    for k in np.unique(kind).tolist():
+        x, y = k >> 40, k & ((1 << 40) - 1)
+        low = min(x, y)
+        rows = np.flatnonzero(kind == k)
+        for c in range(0, len(rows), max(1, (8 << 20) // max(x, y))):
+            r = rows[c : c + max(1, (8 << 20) // max(x, y))]
+            # A larger map folds onto a smaller one.
+            one = np.bitwise_or.reduce(stacks[x][at[i[r]]].reshape(len(r), -1, low), axis=1)
+            two = np.bitwise_or.reduce(stacks[y][at[j[r]]].reshape(len(r), -1, low), axis=1)
+            one_alone = np.bitwise_count(one & ~two).sum(axis=1, dtype=np.int64)
+            two_alone = np.bitwise_count(two & ~one).sum(axis=1, dtype=np.int64)
+            ok[r] = 7 * np.minimum(n[i[r]] - one_alone, n[j[r]] - two_alone) >= 3 * (n[i[r]] + n[j[r]])
+    return ok
+
+
 def tile_pairs(rows: DataFrame, directed: bool) -> DataFrame:
     """Pairs ``a, b`` of sets with a common shingle in ``rows`` that length, positional filter and bitmaps leave.
 
-    ``rows``: ``token, sid, n, at, group, open, first_doc, first_version, first_number, bits``. Undirected: pairs of different ``group``. Directed: ``a`` is
-    ``open`` and ``b`` occurs before it.
+    ``rows``: ``token, sid, n, at, group, open, first_doc, first_version, first_number, bits``. Undirected: pairs of different ``group``.
+    Directed: ``a`` is ``open`` and ``b`` occurs before it. A shingle of at most ``BLOCK`` sets is one tile.
     """
     rows = rows.withColumn("band", F.floor(F.ln(F.col("n")) / F.ln(F.lit(4 / 3)) + 1e-9).cast("int"))
-    blocks = rows.groupBy("token", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    counts = written(rows.groupBy("token", "band").agg(F.count(F.lit(1)).alias("sets")), "tile-counts")
+    large = counts.groupBy("token").agg(F.sum("sets").alias("sets")).filter(F.col("sets") > BLOCK).select("token", F.lit(True).alias("large"))
+    blocks = counts.join(small(large), "token").select("token", "band", F.ceil(F.col("sets") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(small(large), "token", "left")
     for d, name in ((0, "own"), (1, "up"), (-1, "down")):
-        rows = rows.join(blocks.select("token", (F.col("band") - d).alias("band"), F.col("blocks").alias(name)), ["token", "band"], "left")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("own")).cast("int"))
+        rows = rows.join(small(blocks.select("token", (F.col("band") - d).alias("band"), F.col("blocks").alias(name))), ["token", "band"], "left")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("sid"), F.coalesce("own", F.lit(1))).cast("int"))
     key = lambda low, high, i, j: F.struct(low.alias("low"), high.alias("high"), i.alias("i"), j.alias("j"))
     each = lambda n, f: F.when(n.isNotNull(), F.transform(F.sequence(F.lit(0), n - 1), f)).otherwise(F.array())
-    band, block = F.col("band"), F.col("block")
+    band, block, zero = F.col("band"), F.col("block"), F.lit(0)
     keys = F.concat(
         each(F.col("own"), lambda j: key(band, band, F.least(block, j), F.greatest(block, j))),
         each(F.col("up"), lambda j: key(band, band + 1, block, j)),
         each(F.col("down"), lambda i: key(band - 1, band, i, block)),
     )
-    tiles = rows.withColumn("tile", F.explode(keys))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, at = pdf["n"].to_numpy(), pdf["at"].to_numpy()
-        sid, group, open_ = pdf["sid"].to_numpy(), pdf["group"].to_numpy(), pdf["open"].to_numpy(bool)
-        if len(pdf) < 2 or (directed and not open_.any()):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        maps = [np.frombuffer(x, np.uint8) for x in pdf["bits"]]
-        size = min(map(len, maps))
-        maps = np.stack([np.bitwise_or.reduce(x.reshape(-1, size), axis=0) for x in maps])  # a larger map folds onto a smaller
-        place = list(zip(pdf["first_doc"].notna(), pdf["first_doc"].fillna(0).astype("int64"), pdf["first_version"], pdf["first_number"], sid.tolist(), strict=True))
-        when = np.empty(len(pdf), np.int64)
-        when[sorted(range(len(place)), key=place.__getitem__)] = np.arange(len(place))
-        a_out, b_out = [], []
-        for k in range(len(pdf)):
+    tiles = rows.withColumn("tile", F.explode(F.when(F.col("large"), keys).otherwise(F.array(key(zero, zero, zero, zero)))))
+    columns = ["sid", "n", "at", "group", "open", "first_doc", "first_version", "first_number", "bits"]
+
+    def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        col = lambda c: t.column(c).fill_null(0).to_numpy().astype(np.int64)
+        tile, sid, n, at, group = col("tile"), col("sid"), col("n"), col("at"), col("group")
+        open_ = t.column("open").to_numpy().astype(bool)
+        known = t.column("first_doc").is_valid().to_numpy()
+        when = np.empty(len(sid), np.int64)
+        when[np.lexsort((sid, col("first_number"), col("first_version"), col("first_doc"), known))] = np.arange(len(sid))
+        new = np.concatenate([[True], tile[1:] != tile[:-1]])
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(tile)))
+        left = np.repeat(size, size) - (np.arange(len(tile)) - np.repeat(start, size))  # members from each on, itself included
+        maps = t.column("bits").to_pylist()
+        pair = lambda x, y: pa.RecordBatch.from_arrays([pa.array(sid[x]), pa.array(sid[y])], names=["a", "b"])
+        i = np.flatnonzero(left > 1)
+        d = 1
+        while len(i):
+            j = i + d
             if directed:
-                if not open_[k]:
-                    continue
-                ok = when < when[k]
+                later = np.where(when[i] > when[j], i, j)
+                ok = open_[later]
             else:
-                ok = (np.arange(len(pdf)) > k) & (group != group[k])
-            ok &= (sid != sid[k]) & _plausible(n, at, np.broadcast_to(n[k], n.shape), np.broadcast_to(at[k], n.shape))
-            i = np.flatnonzero(ok)
-            if len(i):
-                other = np.bitwise_count(maps[i] & ~maps[k]).sum(axis=1, dtype=np.int64)
-                own = np.bitwise_count(maps[k] & ~maps[i]).sum(axis=1, dtype=np.int64)
-                most = np.minimum(n[i] - other, n[k] - own)
-                i = i[7 * most >= 3 * (n[i] + n[k])]
-                a_out.append(np.full(len(i), sid[k]))
-                b_out.append(sid[i])
-        return pd.DataFrame({"a": np.concatenate(a_out) if a_out else [], "b": np.concatenate(b_out) if b_out else []}, dtype="int64")
-
-    columns = ["token", "tile", "sid", "n", "at", "group", "open", "first_doc", "first_version", "first_number", "bits"]
-    return tiles.select(*columns).groupBy("token", "tile").applyInPandas(run, "a long, b long")
+                later = i
+                ok = group[i] != group[j]
+            ok &= (sid[i] != sid[j]) & _plausible(n[i], at[i], n[j], at[j])
+            x, y = later[ok], (i + j - later)[ok]
+            if len(x):
+                fits = _bit_bound(maps, n, x, y)
+                if fits.any():
+                    yield pair(x[fits], y[fits])
+            d += 1
+            i = i[left[i] > d]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            # Rows come sorted by tile; the last tile of a batch may go on in the next.
+            tile = batch.column(0).to_numpy()
+            differ = np.flatnonzero(tile != tile[-1]) if len(tile) else tile
+            last = int(differ[-1]) + 1 if len(differ) else 0
+            if len(tile) and held and held[-1].column(0)[-1].as_py() != tile[0]:
+                yield from compare(pa.Table.from_batches(held))
+                held = []
+            if last:
+                yield from compare(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held = []
+            if last < len(tile):
+                held.append(batch.slice(last))
+        if held:
+            yield from compare(pa.Table.from_batches(held))
+
+    dealt = tiles.select(F.xxhash64("token", "tile").alias("tile"), *columns).repartition(partitions(rows.sparkSession), "tile").sortWithinPartitions("tile")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
