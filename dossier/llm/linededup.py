@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.setjoin import block_count, bounded, frequent, inventory, line_units, popular_pairs, set_bits, shared_postings, tile_pairs, verified
+from dossier.llm.setjoin import block_count, bounded, frequent, inventory, leader_pairs, line_units, popular_pairs, set_bits, shared_postings, tile_pairs, verified, wide_postings
 from dossier.llm.shared import scratch, small, written
 
 
@@ -37,7 +37,7 @@ def _later_matches(docs: DataFrame) -> DataFrame:
     firsts = written(lines.groupBy("sid").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("lines")), "line-firsts")
     posted = shared_postings(docs, line_units, frequent(units), block_count(docs, lines))
     bits = set_bits(nodes, posted)
-    held = written(firsts.join(small(posted.select("sid").distinct()), "sid", "left_semi"), "line-holders")
+    held = written(firsts.join(small(bits.select("sid")), "sid", "left_semi"), "line-holders")
 
     def gone(links: DataFrame) -> DataFrame:
         """Of each link, the set that occurs first later."""
@@ -47,21 +47,20 @@ def _later_matches(docs: DataFrame) -> DataFrame:
 
     def unsettled(removed: DataFrame) -> DataFrame:
         """Postings of shingles with a set that nothing removed, beside a set before it."""
-        members = posted.select("token", "sid", "n", "at").distinct().join(small(held), "sid").join(small(removed.withColumn("__gone", F.lit(True))), "sid", "left")
+        members = wide_postings(posted).join(small(held), "sid").join(small(removed.withColumn("__gone", F.lit(True))), "sid", "left")
         members = members.withColumn("open", F.col("__gone").isNull()).drop("__gone")
         mixed = members.groupBy("token").agg(F.min("first").alias("low"), F.max(F.when(F.col("open"), F.col("first"))).alias("high")).filter("low < high").select("token")
         return written(members.join(small(mixed), "token", "left_semi"), "unsettled-postings")
 
-    tested = posted.filter("plausible").select(F.col("sid").alias("a"), F.col("leader").alias("b"))
-    removed = written(gone(verified(bounded(tested, bits), docs, line_units, nodes)), "line-removed")
+    removed = written(gone(verified(bounded(leader_pairs(posted), bits), docs, line_units, nodes)), "line-removed")
     rows = unsettled(removed)
     if not rows.isEmpty():
         more = verified(bounded(popular_pairs(rows.withColumn("copies", F.col("lines"))), bits), docs, line_units, nodes)
         removed = written(removed.unionByName(gone(more)).distinct(), "line-removed")
         rows = unsettled(removed)
     if not rows.isEmpty():
-        rows = rows.drop("n").join(bits, "sid").withColumns({"group": F.col("sid"), **{f"first_{d}": F.col(f"first.{c}") for c, d in (("doc_id", "doc"), ("version", "version"), ("number", "number"))}})
-        pairs = written(tile_pairs(rows, directed=True).distinct(), "tile-pairs")
+        rows = rows.withColumns({"group": F.col("sid"), **{f"first_{d}": F.col(f"first.{c}") for c, d in (("doc_id", "doc"), ("version", "version"), ("number", "number"))}})
+        pairs = written(tile_pairs(rows, bits, directed=True).distinct(), "tile-pairs")
         removed = written(removed.unionByName(gone(verified(pairs, docs, line_units, nodes))).distinct(), "line-removed")
 
     # A line goes if its set does, or occurred before.

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.setjoin import block_count, bounded, components, document_units, frequent, inventory, popular_pairs, set_bits, shared_postings, tile_pairs, verified
+from dossier.llm.setjoin import block_count, bounded, components, document_units, frequent, inventory, leader_pairs, popular_pairs, set_bits, shared_postings, tile_pairs, verified, wide_postings
 from dossier.llm.shared import scratch, small, written
 
 
@@ -28,28 +28,26 @@ def _classes(docs: DataFrame) -> DataFrame:
     nodes = units.filter("token IS NULL").select("doc_id", "version", "sid", "n", "bits")
     posted = shared_postings(docs, document_units, frequent(units), block_count(docs, nodes))
     bits = set_bits(nodes, posted)
-    tested = posted.filter("plausible").select(F.col("sid").alias("a"), F.col("leader").alias("b"))
-    links = verified(bounded(tested, bits), docs, document_units, nodes)
+    links = verified(bounded(leader_pairs(posted), bits), docs, document_units, nodes)
     group = components(links)
-    copies = nodes.groupBy("sid").agg(F.count(F.lit(1)).alias("copies"))
 
     def unsettled(group: DataFrame) -> DataFrame:
         """Postings of shingles whose sets aren't in one component yet."""
-        members = posted.select("token", "sid", "n", "at").distinct().join(group, "sid", "left").withColumn("group", F.coalesce("component", "sid")).drop("component")
+        members = wide_postings(posted).join(small(group), "sid", "left").withColumn("group", F.coalesce("component", "sid")).drop("component")
         mixed = members.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low < high").select("token")
         return written(members.join(small(mixed), "token", "left_semi"), "unsettled-postings")
 
     rows = unsettled(group)
     if not rows.isEmpty():
-        more = verified(bounded(popular_pairs(rows.join(copies, "sid").withColumn("open", F.lit(True))), bits), docs, document_units, nodes)
+        more = verified(bounded(popular_pairs(rows.join(small(bits.select("sid", "copies")), "sid").withColumn("open", F.lit(True))), bits), docs, document_units, nodes)
         if not more.isEmpty():
             links = links.unionByName(more)
             group = components(links)
             rows = unsettled(group)
     if not rows.isEmpty():
         # All pairs across components that filters and bitmaps leave.
-        rows = rows.drop("n").join(bits, "sid").withColumns({"open": F.lit(True), **{c: F.lit(0).cast("long") for c in ("first_doc", "first_version", "first_number")}})
-        pairs = tile_pairs(rows, directed=False).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        rows = rows.withColumns({"open": F.lit(True), **{c: F.lit(0).cast("long") for c in ("first_doc", "first_version", "first_number")}})
+        pairs = tile_pairs(rows, bits, directed=False).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         more = verified(written(pairs, "tile-pairs"), docs, document_units, nodes)
         if not more.isEmpty():
             group = components(links.unionByName(more))

@@ -198,6 +198,20 @@ def _with_leaders(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return single[np.argsort(single["token"])], out
 
 
+def _firsts(x: np.ndarray, *columns: str) -> np.ndarray:
+    """Marks rows that differ from the row before in one of ``columns``."""
+    new = np.ones(len(x), bool)
+    new[1:] = np.logical_or.reduce([x[c][1:] != x[c][:-1] for c in columns])
+    return new
+
+
+def _as_postings(led: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(led), POSTING)
+    for c in ("token", "sid", "n", "at"):
+        out[c] = led[c]
+    return out
+
+
 def _plausible(n, at, m, bt):
     """Length and positional filters; saturated values pass."""
     n, at, m, bt = (x.astype(np.int64) for x in (n, at, m, bt))
@@ -208,7 +222,10 @@ def _plausible(n, at, m, bt):
 
 
 def shared_postings(docs: DataFrame, units: Callable, table: tuple[np.ndarray, np.ndarray, np.ndarray], blocks: int) -> DataFrame:
-    """Written table of all postings of shingles that two sets or more have: ``token, sid, n, at, leader, plausible``."""
+    """Written table of two kinds of rows: pairs to test (``sid, leader``; no ``token``), and postings (``token, sid, n, at``) of shingles that three sets or more have.
+
+    Rows of both kinds may repeat.
+    """
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     scale = float(MOST * MOST) / max(1, (high or 0) - (low or 0))
     sent = docs.sparkSession.sparkContext.broadcast(table)
@@ -256,28 +273,49 @@ def shared_postings(docs: DataFrame, units: Callable, table: tuple[np.ndarray, n
             yield flush()
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
+        parts, twos, wide = [], [], []
+        names = ["token", "sid", "n", "at", "leader"]
+
+        def tested(led: np.ndarray) -> pa.RecordBatch:
+            x = led[_plausible(led["n"], led["at"], led["leader_n"], led["leader_at"]) & (led["sid"] != led["leader"])]
+            x = x[np.lexsort((x["leader"], x["sid"]))]
+            x = x[_firsts(x, "sid", "leader")]
+            return pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.int64()), _signed(x["sid"]), *[pa.nulls(len(x), pa.int32())] * 2, _signed(x["leader"])], names=names)
 
-        def rows(led: np.ndarray) -> pa.RecordBatch:
-            fits = _plausible(led["n"], led["at"], led["leader_n"], led["leader_at"]) & (led["sid"] != led["leader"])
-            return pa.RecordBatch.from_arrays([_signed(led["token"]), _signed(led["sid"]), pa.array(led["n"].astype(np.int32)), pa.array(led["at"].astype(np.int32)), _signed(led["leader"]), pa.array(fits)], names=["token", "sid", "n", "at", "leader", "plausible"])
+        def lists(x: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([_signed(x["token"]), _signed(x["sid"]), pa.array(x["n"].astype(np.int32)), pa.array(x["at"].astype(np.int32)), pa.nulls(len(x), pa.int64())], names=names)
 
         for batch in batches:
             for postings, led in zip(batch.column(1), batch.column(2), strict=True):
                 parts.append(np.frombuffer(postings.as_py(), POSTING))
                 if len(x := np.frombuffer(led.as_py(), LEADER)):
-                    yield rows(x)
+                    yield tested(x)
+                    start = np.flatnonzero(_firsts(x, "token"))
+                    count = np.diff(np.append(start, len(x)))
+                    more = np.repeat(count > 2, count)
+                    if more.any():
+                        yield lists(x[more])
+                        wide.append(x["token"][start[count > 2]])
+                    twos.append(_as_postings(x[~more]))
         if parts:
             p = np.concatenate(parts)
-            p = p[np.lexsort((p["sid"], p["token"]))] if len(p) else p
-            new = np.ones(len(p), bool)
-            new[1:] = (p["token"][1:] != p["token"][:-1]) | (p["sid"][1:] != p["sid"][:-1])
-            led = _with_leaders(p[new])[1]
+            p = p[np.lexsort((p["sid"], p["token"]))]
+            led = _with_leaders(p[_firsts(p, "token", "sid")])[1]
             if len(led):
-                yield rows(led)
+                yield tested(led)
+            # A shingle of two sets is settled by testing that pair.
+            rest = np.concatenate([*twos, _as_postings(led)])
+            rest = rest[np.lexsort((rest["sid"], rest["token"]))]
+            rest = rest[_firsts(rest, "token", "sid")]
+            count = np.diff(np.append(np.flatnonzero(_firsts(rest, "token")), len(rest)))
+            more = np.repeat(count > 2, count)
+            if wide:
+                more |= np.isin(rest["token"], np.concatenate(wide))
+            if more.any():
+                yield lists(rest[more])
 
     posted = docs.mapInArrow(post, "block int, postings binary, led binary").repartitionById(blocks, F.col("block"))
-    return written(posted.mapInArrow(meet, "token long, sid long, n int, at int, leader long, plausible boolean"), "set-postings")
+    return written(posted.mapInArrow(meet, "token long, sid long, n int, at int, leader long"), "set-postings")
 
 
 def bitmaps(tokens: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -300,9 +338,19 @@ def bitmaps(tokens: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 
 
 def set_bits(nodes: DataFrame, posted: DataFrame) -> DataFrame:
-    """Written table ``sid, n, bits`` of the sets with shared postings. ``nodes``: units of the inventory."""
-    found = nodes.filter("n > 0").join(small(posted.select("sid").distinct()), "sid", "left_semi")
-    return written(found.groupBy("sid").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "set-bits")
+    """Written table ``sid, n, bits, copies`` (units that have the set) of the sets in ``posted``. ``nodes``: units of the inventory."""
+    named = written(posted.select("sid").unionByName(posted.filter("leader IS NOT NULL").select(F.col("leader").alias("sid"))).distinct(), "set-names")
+    found = nodes.filter("n > 0").join(small(named), "sid", "left_semi")
+    return written(found.groupBy("sid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.count(F.lit(1)).alias("copies")), "set-bits")
+
+
+def leader_pairs(posted: DataFrame) -> DataFrame:
+    return posted.filter("leader IS NOT NULL").select(F.col("sid").alias("a"), F.col("leader").alias("b"))
+
+
+def wide_postings(posted: DataFrame) -> DataFrame:
+    """Postings of shingles whose sets aren't all paired with their leader alone."""
+    return posted.filter("token IS NOT NULL").select("token", "sid", "n", "at")
 
 
 def bounded(pairs: DataFrame, bits: DataFrame) -> DataFrame:
@@ -392,12 +440,14 @@ def _bit_bound(maps: list[bytes], n: np.ndarray, i: np.ndarray, j: np.ndarray) -
     return ok
 
 
-def tile_pairs(rows: DataFrame, directed: bool) -> DataFrame:
+def tile_pairs(rows: DataFrame, bits: DataFrame, directed: bool) -> DataFrame:
     """Pairs ``a, b`` of sets with a common shingle in ``rows`` that length, positional filter and bitmaps leave.
 
-    ``rows``: ``token, sid, n, at, group, open, first_doc, first_version, first_number, bits``. Undirected: pairs of different ``group``.
-    Directed: ``a`` is ``open`` and ``b`` occurs before it. A shingle of at most ``BLOCK`` sets is one tile.
+    ``rows``: ``token, sid, n, at, group, open, first_doc, first_version, first_number``. Undirected: pairs of different ``group``.
+    Directed: ``a`` is ``open`` and ``b`` occurs before it. A shingle of at most ``BLOCK`` sets is one tile. Tiles are first
+    gone through without bitmaps, which are then fetched only for sets that have a partner in their tile.
     """
+    rows = rows.drop("n").join(small(bits.select("sid", "n")), "sid")
     rows = rows.withColumn("band", F.floor(F.ln(F.col("n")) / F.ln(F.lit(4 / 3)) + 1e-9).cast("int"))
     counts = written(rows.groupBy("token", "band").agg(F.count(F.lit(1)).alias("sets")), "tile-counts")
     large = counts.groupBy("token").agg(F.sum("sets").alias("sets")).filter(F.col("sets") > BLOCK).select("token", F.lit(True).alias("large"))
@@ -415,7 +465,7 @@ def tile_pairs(rows: DataFrame, directed: bool) -> DataFrame:
         each(F.col("down"), lambda i: key(band - 1, band, i, block)),
     )
     tiles = rows.withColumn("tile", F.explode(F.when(F.col("large"), keys).otherwise(F.array(key(zero, zero, zero, zero)))))
-    columns = ["sid", "n", "at", "group", "open", "first_doc", "first_version", "first_number", "bits"]
+    columns = ["sid", "n", "at", "group", "open", "first_doc", "first_version", "first_number"]
 
     def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
         col = lambda c: t.column(c).fill_null(0).to_numpy().astype(np.int64)
@@ -428,7 +478,8 @@ def tile_pairs(rows: DataFrame, directed: bool) -> DataFrame:
         start = np.flatnonzero(new)
         size = np.diff(np.append(start, len(tile)))
         left = np.repeat(size, size) - (np.arange(len(tile)) - np.repeat(start, size))  # members from each on, itself included
-        maps = t.column("bits").to_pylist()
+        maps = t.column("bits").to_pylist() if "bits" in t.column_names else None
+        partnered = np.zeros(len(sid), bool)
         pair = lambda x, y: pa.RecordBatch.from_arrays([pa.array(sid[x]), pa.array(sid[y])], names=["a", "b"])
         i = np.flatnonzero(left > 1)
         d = 1
@@ -442,12 +493,16 @@ def tile_pairs(rows: DataFrame, directed: bool) -> DataFrame:
                 ok = group[i] != group[j]
             ok &= (sid[i] != sid[j]) & _plausible(n[i], at[i], n[j], at[j])
             x, y = later[ok], (i + j - later)[ok]
-            if len(x):
+            if maps is None:
+                partnered[x] = partnered[y] = True
+            elif len(x):
                 fits = _bit_bound(maps, n, x, y)
                 if fits.any():
                     yield pair(x[fits], y[fits])
             d += 1
             i = i[left[i] > d]
+        if maps is None and partnered.any():
+            yield from t.filter(pa.array(partnered)).combine_chunks().to_batches()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -467,8 +522,10 @@ def tile_pairs(rows: DataFrame, directed: bool) -> DataFrame:
         if held:
             yield from compare(pa.Table.from_batches(held))
 
-    dealt = tiles.select(F.xxhash64("token", "tile").alias("tile"), *columns).repartition(partitions(rows.sparkSession), "tile").sortWithinPartitions("tile")
-    return dealt.mapInArrow(run, "a long, b long")
+    dealt = lambda df: df.repartition(partitions(rows.sparkSession), "tile").sortWithinPartitions("tile")
+    first = dealt(tiles.select(F.xxhash64("token", "tile").alias("tile"), *columns))
+    kept = written(first.mapInArrow(run, first.schema), "tile-rows")
+    return dealt(kept.join(bits.select("sid", "bits"), "sid").select("tile", *columns, "bits")).mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
