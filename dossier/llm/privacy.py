@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm.shared import scratch, small, written
-from dossier.llm.textarrays import LOWER, flat, slices, span_hashes, words
+from dossier.llm.textarrays import flat, slices, span_hashes, words
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on each side of an entity that may disclose it; least different contexts; least share of its information.
@@ -86,40 +86,45 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else re.sub('[^0-9]', '', value)}"
 
 
+def fold(text: str) -> str:
+    """``text`` without differences of case in any script. Each character is folded by itself, so a word folds alike alone and in its text."""
+    return text.casefold()
+
+
 def terms(text: str, start: int = 0, end: int | None = None) -> Iterator[tuple[str, int, int]]:
-    """Words without punctuation at their ends, in lower case, with their places."""
+    """Words without punctuation at their ends, case folded, with their places."""
     for m in _WORD.finditer(text, start, len(text) if end is None else end):
         word = m[0]
         left = len(word) - len(word.lstrip(_EDGE))
         core = word.strip(_EDGE)
         if core:
-            yield core.lower(), m.start() + left, m.start() + left + len(core)
+            yield fold(core), m.start() + left, m.start() + left + len(core)
 
 
 def _around(text: str, start: int, end: int) -> list[str]:
     """The terms near a span."""
     before = _WORD.findall(text[max(0, start - 60 * NEAR) : start])[-NEAR:]
     after = _WORD.findall(text[end : end + 60 * NEAR])[:NEAR]
-    return [w for w in (x.strip(_EDGE).lower() for x in [*before, *after]) if w and not any(c.isdigit() or c == "@" for c in w)]
+    return [w for w in (fold(x.strip(_EDGE)) for x in [*before, *after]) if w and not any(c.isdigit() or c == "@" for c in w)]
 
 
 def term_keys(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the texts' words without ASCII punctuation at their ends, A-Z lowered, and the texts' cuts in them."""
-    data = LOWER[data]
+    """Hashes of the words of folded texts without ASCII punctuation at their ends, and the texts' cuts in them; a word of punctuation alone has the empty term's."""
     s, e, at = words(data, cuts)
     edge = np.zeros(256, bool)
     edge[[ord(c) for c in _EDGE]] = True
-    for _ in range(3):
-        more = (s < e) & edge[data[np.minimum(s, len(data) - 1)]] if len(data) else np.zeros(0, bool)
-        s = s + more
-        more = (s < e) & edge[data[np.maximum(e - 1, 0)]] if len(data) else np.zeros(0, bool)
-        e = e - more
+    ends = np.flatnonzero(edge[data[s]] | edge[data[e - 1]]) if len(s) else s
+    if len(ends):
+        inner = np.append(np.flatnonzero(~edge[data]), len(data))
+        a, b = s[ends], e[ends]
+        s[ends] = np.minimum(inner[np.searchsorted(inner, a)], b)
+        e[ends] = np.where(s[ends] < b, inner[np.searchsorted(inner, b) - 1] + 1, b)
     return span_hashes(data, s, e), at
 
 
 def term_key(term: str) -> int:
-    raw = np.frombuffer(term.encode(), np.uint8)
-    return int(span_hashes(LOWER[raw], np.array([0]), np.array([len(raw)])).view(np.int64)[0])
+    raw = np.frombuffer(fold(term).encode(), np.uint8)
+    return int(span_hashes(raw, np.array([0]), np.array([len(raw)])).view(np.int64)[0])
 
 
 _FOUND = "doc_id long, version long, spans array<struct<kind:string,start:int,end:int>>, entities array<string>, contexts array<struct<entity:string,term:string,context:long>>, key long, docs long"
@@ -148,7 +153,7 @@ def survey(docs: DataFrame) -> DataFrame:
                 contexts.append(near)
             blank = pa.nulls(len(spans), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, span_type), pa.array(entities, pa.list_(pa.string())), pa.array(contexts, context_type), blank, blank], names=names)
-            data, offsets = flat(batch.column(2))
+            data, offsets = flat(pa.array([fold(x.as_py() or "") for x in batch.column(2)], pa.string()))
             keys = []
             for i, j in slices(offsets):
                 h, at = term_keys(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])

@@ -6,12 +6,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from dossier.llm import bytepair, language, packing, packing_query, privacy
+from dossier.llm import bytepair, language, packing, packing_query, privacy, textarrays
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 TEXTS = [None, "", " ", "\n\n  x", "Hello  world!! it's 12345 ok  y 　z\x85w\x1cv", "größer 😀😀 naïve 日本語テキスト", "-" * 777 + "=" * 333 + " " * 99, "a" * 5000, "<|endoftext|> and </s>", "tab\t\ttab \t x\r\n\r\n y", "é " * 2000, "́‍👩‍👩‍👧 नमस्ते", "x.y!z?", "don't we'll I'M THEY'RE"]
@@ -150,6 +151,18 @@ def test_disclosing_terms(spark):
     assert privacy.sanitised(df).columns == df.columns and privacy.sanitised(df.limit(0)).count() == 0
 
 
+def test_terms_fold_alike_everywhere(spark):
+    names = ["Élodie", "Иванов", "ΟΔΥΣΣΕΥΣ", "(((((Zarquon)))))"]
+    for word in names:
+        text = f"Contact {word} at zq@site.org"
+        data, offsets = textarrays.flat(pa.array([privacy.fold(text)]))
+        assert {privacy.term_key(w) for w, _, _ in privacy.terms(text)} == set(privacy.term_keys(data, offsets)[0].view(np.int64).tolist())
+    rows = [(i, f"Contact {(names[0], names[0].upper())[i % 2]} or ((((({names[1]}))))) at zq@site.org number{chr(97 + i)} today") for i in range(5)]
+    rows += [(100 + i, f"other text {i} or contact at today") for i in range(60)]
+    found = {r["doc_id"]: r["extra"] for r in privacy.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all([t[s["start"] : s["end"]].lower() for s in found[i]] == ["élodie", "иванов"] for i, t in rows[:5]) and not found[100]
+
+
 def test_pipeline(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     where = "/root/testdata/sf0.001"
