@@ -4,11 +4,12 @@ Protected entities (e-mail addresses, IP addresses, card and phone numbers) are
 keeps the company of one entity reveals it even where the entity itself is masked: with ``N`` documents, ``n_e`` and ``n_t`` those with
 the entity and with the term and ``n_te`` those with the term near the entity, the disclosure
 
-    PMI(t; e) / IC(e) = ln(n_te N / (n_t n_e)) / ln(N / n_e)
+    PMI(t; e) / IC(e) = ln(n_te N / (n_t n_e)) / ln(N / n_e) = 1 + ln(n_te / n_t) / ln(N / n_e)
 
-is the share of the entity's information that the term gives away (1: the term occurs with it alone). Terms at or beyond
-``THRESHOLD``, seen near the entity in at least ``CONTEXTS`` different contexts (copies of one passage are one context), are spans of kind ``term`` in
-all documents with that entity. Counts cover all documents: every batch sends its distinct words with their number of documents.
+is the share of the entity's information that the term gives away (1: the term occurs with it alone). Near is the entity's sentence, and ``NEAR``
+words on each side beyond it. ``n_te / n_t`` is taken at its lower confidence bound (Wilson's, ``Z``), where the different contexts are the trials
+(copies of one passage are one context). Terms at or beyond ``THRESHOLD`` are spans of kind ``term`` in all documents that hold them, with the entity
+or without. Counts cover all documents: every batch sends its distinct words with their number of documents.
 
 Sanitising generalises entities to their kind in brackets and removes disclosing terms.
 
@@ -20,6 +21,7 @@ empty result; other columns are left alone.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,11 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm.shared import scratch, small, written
-from dossier.llm.textarrays import flat, slices, span_hashes, words
+from dossier.llm.textarrays import U, flat, slices, span_hashes, words
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on each side of an entity that may disclose it; least different contexts; least share of its information.
-NEAR, CONTEXTS, THRESHOLD = 6, 3, 0.8
+#: Words on each side of an entity that are near it beyond its sentence; least share of its information; the confidence bound's normal quantile (95 %, one-sided).
+NEAR, THRESHOLD, Z = 6, 0.8, 1.645
+#: Slots that mark the keys of disclosing terms: more slots let fewer other words through to the join, which is exact.
+MARKS = 1 << 24
 # The contract's patterns. An e-mail address is found from its @, see emails().
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -40,6 +44,7 @@ _IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_SENTENCE = re.compile(r"[.!?][\"')\]}]*(?=[\x20\x09-\x0D])|[\n\u3002\uFF01\uFF1F]")
 _EDGE = ".,;:!?\"'()[]{}"
 
 
@@ -101,11 +106,27 @@ def terms(text: str, start: int = 0, end: int | None = None) -> Iterator[tuple[s
             yield fold(core), m.start() + left, m.start() + left + len(core)
 
 
-def _around(text: str, start: int, end: int) -> list[str]:
-    """The terms near a span."""
-    before = _WORD.findall(text[max(0, start - 60 * NEAR) : start])[-NEAR:]
-    after = _WORD.findall(text[end : end + 60 * NEAR])[:NEAR]
-    return [w for w in (fold(x.strip(_EDGE)) for x in [*before, *after]) if w and not any(c.isdigit() or c == "@" for c in w)]
+def passages(text: str, found: list[tuple[str, int, int]]) -> list[tuple[list[str], list[str]]]:
+    """Entities with the terms near them, one entry for each stretch of text. Words that hold a part of an entity are no terms."""
+    if not found:
+        return []
+    ends = [m.end() for m in _SENTENCE.finditer(text)]
+    places = [m.span() for m in _WORD.finditer(text)]
+    starts, stops = [a for a, _ in places], [b for _, b in places]
+    taken: set[int] = set()
+    near: dict[tuple[int, int], dict[str, None]] = {}
+    for kind, a, b in found:
+        first, last = bisect_right(stops, a), bisect_left(starts, b)  # words that the span touches
+        taken.update(range(first, last))
+        i, j = bisect_right(ends, a), bisect_left(ends, b)
+        low = bisect_right(stops, ends[i - 1]) if i else 0
+        high = bisect_left(starts, ends[j]) if j < len(ends) else len(places)
+        near.setdefault((min(low, max(0, first - NEAR)), max(high, min(len(places), last + NEAR))), {})[entity(kind, text[a:b])] = None
+    out = []
+    for (low, high), names in near.items():
+        words_ = dict.fromkeys(w for k in range(low, high) if k not in taken for w, _, _ in terms(text, *places[k]))
+        out.append((list(names), list(words_)))
+    return out
 
 
 def term_keys(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,32 +148,32 @@ def term_key(term: str) -> int:
     return int(span_hashes(raw, np.array([0]), np.array([len(raw)])).view(np.int64)[0])
 
 
-_FOUND = "doc_id long, version long, spans array<struct<kind:string,start:int,end:int>>, entities array<string>, contexts array<struct<entity:string,term:string,context:long>>, key long, docs long"
+_FOUND = "doc_id long, version long, row long, spans array<struct<kind:string,start:int,end:int>>, entities array<string>, contexts array<struct<entities:array<string>,terms:array<struct<term:string,key:long>>,context:long>>, key long, docs long"
 
 
 def survey(docs: DataFrame) -> DataFrame:
     """Written table of each row's base spans, entities and contexts, and (rows with ``key``) of words with their numbers of documents. ``docs``: ``doc_id, version, text``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "version", "spans", "entities", "contexts", "key", "docs"]
+        names = ["doc_id", "version", "row", "spans", "entities", "contexts", "key", "docs"]
         span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        context_type = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("context", pa.int64())]))
+        context_type = pa.list_(pa.struct([("entities", pa.list_(pa.string())), ("terms", pa.list_(pa.struct([("term", pa.string()), ("key", pa.int64())]))), ("context", pa.int64())]))
         for batch in batches:
             spans, entities, contexts = [], [], []
             for text in batch.column(2):
                 text = text.as_py() or ""
                 found = base_spans(text)
                 spans.append([{"kind": k, "start": a, "end": b} for k, a, b in found])
-                own = [entity(k, text[a:b]) for k, a, b in found]
-                entities.append(sorted(set(own)))
+                entities.append(sorted({entity(k, text[a:b]) for k, a, b in found}))
                 near = []
-                for name, (_, a, b) in zip(own, found, strict=True):
-                    around = _around(text, a, b)
-                    context = term_key(" ".join(around)) if around else 0
-                    near += [{"entity": name, "term": t, "context": context} for t in dict.fromkeys(around)]
+                for own, around in passages(text, found):
+                    if around:
+                        data, at = flat(pa.array([*around, " ".join(around)], pa.string()))
+                        keys = span_hashes(data, at[:-1], at[1:]).view(np.int64).tolist()
+                        near.append({"entities": own, "terms": [{"term": t, "key": k} for t, k in zip(around, keys[:-1], strict=True)], "context": keys[-1]})
                 contexts.append(near)
             blank = pa.nulls(len(spans), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, span_type), pa.array(entities, pa.list_(pa.string())), pa.array(contexts, context_type), blank, blank], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(spans, span_type), pa.array(entities, pa.list_(pa.string())), pa.array(contexts, context_type), blank, blank], names=names)
             data, offsets = flat(pa.array([fold(x.as_py() or "") for x in batch.column(2)], pa.string()))
             keys = []
             for i, j in slices(offsets):
@@ -163,42 +184,68 @@ def survey(docs: DataFrame) -> DataFrame:
                 new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
                 count = np.diff(np.append(new, len(h)))
                 n = len(new)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, span_type), pa.nulls(n, pa.list_(pa.string())), pa.nulls(n, context_type), pa.array(h[new].view(np.int64)), pa.array(count, pa.int64())], names=names
-                )
+                blank = pa.nulls(n, pa.int64())
+                yield pa.RecordBatch.from_arrays([blank, blank, blank, pa.nulls(n, span_type), pa.nulls(n, pa.list_(pa.string())), pa.nulls(n, context_type), pa.array(h[new].view(np.int64)), pa.array(count, pa.int64())], names=names)
 
-    return written(docs.mapInArrow(run, _FOUND), "privacy-survey")
+    return written(docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, _FOUND), "privacy-survey")
 
 
 def disclosing(found: DataFrame) -> DataFrame:
-    """Written table ``entity, term`` of the terms that disclose an entity."""
+    """Written table ``key, term`` of the terms that disclose an entity."""
     rows = found.filter("key IS NULL")
-    total = rows.count()
-    near = rows.select("doc_id", "version", F.explode("contexts").alias("c")).select("doc_id", "version", "c.*")
-    pair = near.groupBy("entity", "term", "context").agg(F.count_distinct("doc_id", "version").alias("docs"))
-    pair = pair.groupBy("entity", "term").agg(F.sum("docs").alias("both"), F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") >= CONTEXTS)
-    holders = rows.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
-    pair = written(pair.join(holders, "entity"), "privacy-pairs")
-    if pair.isEmpty():
-        return pair.select("entity", "term")
-
-    def keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([term_key(t) for t in b.column(1).to_pylist()], pa.int64())], names=[*b.schema.names, "key"])
-
-    pair = pair.select("entity", "term", "both", "with_entity").mapInArrow(keyed, "entity string, term string, both long, with_entity long, key long")
-    asked = pair.select("key").distinct()
-    counts = found.filter("key IS NOT NULL").select("key", "docs").join(small(asked), "key", "left_semi").groupBy("key").agg(F.sum("docs").alias("with_term"))
-    n = F.lit(float(total))
-    both = F.least("both", "with_term", "with_entity")
-    share = F.ln(both * n / (F.col("with_term") * F.col("with_entity"))) / F.ln(n / F.col("with_entity"))
-    return written(pair.join(counts, "key").filter((F.col("with_entity") < total) & (share >= THRESHOLD)).select("entity", "term"), "privacy-terms")
+    holders = written(rows.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity")), "privacy-entities")
+    total, most = rows.count(), holders.agg(F.max("with_entity")).first()[0] or 0
+    near = rows.select("row", F.explode("contexts").alias("c")).select("row", "c.entities", "c.context", F.explode("c.terms").alias("t")).select("row", "entities", "context", "t.*")
+    asked = near.select("key").distinct()
+    # n_te is at most n_e: a term in more documents than this discloses no entity, whatever its company.
+    limit = most**THRESHOLD * total ** (1 - THRESHOLD) * (1 + 1e-9)
+    counts = found.filter("key IS NOT NULL").select("key", "docs").join(small(asked), "key", "left_semi").groupBy("key").agg(F.sum("docs").alias("with_term")).filter(F.col("with_term") <= limit)
+    near = near.join(small(written(counts, "privacy-counts")), "key").select("row", "context", "key", "term", "with_term", F.explode("entities").alias("entity"))
+    pair = near.groupBy("entity", "key", "term", "with_term").agg(F.count_distinct("row").alias("both"), F.count_distinct("context").alias("contexts")).join(small(holders), "entity")
+    p = F.least(F.lit(1.0), F.col("both") / F.col("with_term"))
+    trials = F.col("contexts") / p
+    z2 = F.lit(Z * Z)
+    low = (p + z2 / (2 * trials) - Z * F.sqrt(p * (1 - p) / trials + z2 / (4 * trials * trials))) / (1 + z2 / trials)
+    share = 1 + F.ln(low) / F.ln(F.lit(float(total)) / F.col("with_entity"))
+    return written(pair.filter((F.col("with_entity") < total) & (share >= THRESHOLD)).select("key", "term").distinct(), "privacy-terms")
+
+
+def with_terms(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """``doc_id, version, terms, extra`` of the documents that hold a disclosing term, and the terms' spans. ``docs``: ``doc_id, version, text``; ``names``: ``key, term``."""
+    slot = F.col("key").bitwiseAND(F.lit(MARKS - 1)).cast("int").alias("slot")
+    marks = np.zeros(MARKS, bool)
+    marks[names.select(slot).distinct().toArrow().column(0).to_numpy()] = True
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(marks))
 
-
-def _with_terms(docs: DataFrame, found: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``doc_id, version, terms`` of the documents with an entity that some term discloses."""
-    held = found.filter("key IS NULL AND size(entities) > 0").select("doc_id", "version", F.explode("entities").alias("entity"))
-    return held.join(small(pairs), "entity").groupBy("doc_id", "version").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.unpackbits(sent.value).view(bool)
+        for batch in batches:
+            at_row, keys, held, places = [], [], [], []
+            texts = batch.column(2).to_pylist()
+            data, offsets = flat(pa.array([fold(t or "") for t in texts], pa.string()))
+            for i, j in slices(offsets):
+                h, at = term_keys(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                hit = np.flatnonzero(own[(h & U(MARKS - 1)).astype(np.int64)])
+                row = np.searchsorted(at, hit, side="right") - 1
+                for k in np.unique(row).tolist():
+                    words_ = [m.span() for m in _WORD.finditer(texts[i + k])]
+                    found: dict[tuple[int, str], list[dict]] = {}
+                    for x in hit[row == k].tolist():
+                        for w, a, b in terms(texts[i + k], *words_[x - int(at[k])]):
+                            found.setdefault((int(h[x : x + 1].view(np.int64)[0]), w), []).append({"start": a, "end": b})
+                    for (key, w), where in found.items():
+                        at_row.append(i + k)
+                        keys.append(key)
+                        held.append(w)
+                        places.append(where)
+            take = pa.array(at_row, pa.int64())
+            span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(keys, pa.int64()), pa.array(held, pa.string()), pa.array(places, span)], names=["doc_id", "version", "key", "term", "places"])
+
+    marked = written(docs.mapInArrow(run, "doc_id long, version long, key long, term string, places array<struct<start:int,end:int>>"), "privacy-marked")
+    held = marked.join(small(names), ["key", "term"]).groupBy("doc_id", "version").agg(F.collect_set(F.struct("term", "places")).alias("held"))  # repeated rows count once
+    extra = F.transform(F.array_sort(F.flatten("held.places")), lambda x: F.struct(F.lit("term").alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    return held.select("doc_id", "version", F.array_sort("held.term").alias("terms"), extra.alias("extra"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -209,22 +256,13 @@ def spans(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, version, base, extra``, the base spans and those of disclosing terms."""
     rows = keyed(docs)
     found = survey(rows)
-    pairs = disclosing(found)
+    names = disclosing(found)
     base = found.filter("key IS NULL").select("doc_id", "version", F.col("spans").alias("base"))
     empty = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    if pairs.isEmpty():
+    if names.isEmpty():
         return base.withColumn("extra", empty)
-    ask = _with_terms(rows, found, pairs).withColumnsRenamed({"doc_id": "__d", "version": "__v"})
-    texts = rows.join(small(ask), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("version") == F.col("__v"))).select("doc_id", "version", "text", "terms").distinct()
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [[{"kind": "term", "start": a, "end": e} for w, a, e in terms(t or "") if w in names] for t, names in ((x.as_py(), set(y.as_py())) for x, y in zip(b.column(2), b.column(3), strict=True))]
-            kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, kind)], names=["d", "v", "extra"])
-
-    extra = texts.mapInArrow(run, "d long, v long, extra array<struct<kind:string,start:int,end:int>>")
-    joined = base.join(small(written(extra, "privacy-extra")), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v")), "left")
+    extra = written(with_terms(rows, names).select(F.col("doc_id").alias("d"), F.col("version").alias("v"), "extra"), "privacy-extra")
+    joined = base.join(small(extra), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v")), "left")
     return joined.select("doc_id", "version", "base", F.coalesce("extra", empty).alias("extra"))
 
 
@@ -250,7 +288,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
     with scratch(docs.sparkSession):
         rows = keyed(docs)
         found = survey(rows)
-        ask = written(_with_terms(rows, found, disclosing(found)), "privacy-ask", keep=True)
+        ask = written(with_terms(rows, disclosing(found)).drop("extra"), "privacy-ask", keep=True)
     ask = ask.withColumnsRenamed({"doc_id": "__d", "version": "__v", "terms": "__terms"})
     joined = docs.withColumn("__version", F.xxhash64("text")).join(small(ask), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__version") == F.col("__v")), "left").select(*docs.columns, "__terms")
     at = docs.columns.index("text")

@@ -163,6 +163,24 @@ def test_terms_fold_alike_everywhere(spark):
     assert all([t[s["start"] : s["end"]].lower() for s in found[i]] == ["élodie", "иванов"] for i, t in rows[:5]) and not found[100]
 
 
+def test_terms_are_removed_wherever_they_are(spark):
+    rows = [(i, f"The account KD-4711 and, in one long list of all the many other things at hand, Zarquon: zq@site.org number{chr(97 + i)} today") for i in range(12)]
+    rows += [(100 + i, f"The account and in one long list of all the many other things at hand {i} number today") for i in range(600)]
+    rows += [(200, "KD-4711 is here without an address, as is zarquon"), (201, "顾客编号四七一一在这里。")]
+    df = spark.createDataFrame([*rows, rows[70]], "doc_id long, text string")
+    got = privacy.spans(df).collect()
+    found = {r["doc_id"]: [dict(rows)[r["doc_id"]][s["start"] : s["end"]] for s in r["extra"]] for r in got}
+    assert len(got) == len(rows) + 1 and found[0] == ["KD-4711", "Zarquon"] and found[200] == ["KD-4711", "zarquon"] and not found[100] and not found[201]
+    assert {r["doc_id"]: r["text"] for r in privacy.sanitised(df).collect()}[200] == " is here without an address, as is "
+    assert privacy.passages("Jo Roe.\nzq@site.org and more. Next", privacy.base_spans("Jo Roe.\nzq@site.org and more. Next")) == [(["email:zq@site.org"], ["jo", "roe", "and", "more", "next"])]
+
+
+def test_rare_entities_are_covered(spark):
+    rows = [(i, f"filler text {i % 50} without any name") for i in range(3000)] + [(5000, "Plate K-XY99 belongs to zq@site.org here")]
+    found = {r["doc_id"]: len(r["extra"]) for r in privacy.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found.pop(5000) == 5 and not any(found.values())
+
+
 def test_pipeline(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     where = "/root/testdata/sf0.001"
