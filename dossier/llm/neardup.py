@@ -19,6 +19,11 @@ from dossier.llm.shared import scratch, small, written
 
 def classes(docs: DataFrame) -> DataFrame:
     """One row per document: ``doc_id, version`` (a hash of the text), ``n_shingles, component_id``."""
+    return _grouped(docs).drop("class")
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """Written table of :func:`classes`, with ``class``, which is null where a text has no words."""
     with scratch(docs.sparkSession):
         return written(_classes(docs.select("doc_id", F.xxhash64("text").alias("version"), "text")), "near-duplicate-classes", keep=True)
 
@@ -54,13 +59,23 @@ def _classes(docs: DataFrame) -> DataFrame:
 
     keyed = nodes.drop("bits").join(group, "sid", "left").withColumn("class", F.coalesce("component", "sid"))
     least = keyed.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    return keyed.join(small(least), "class", "left").select("doc_id", "version", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return keyed.join(small(least), "class", "left").select("doc_id", "version", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("class")).alias("class"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that have their component's least doc_id, and one row of each such document; same columns as ``docs``."""
+    """One row of each component: that of the least doc_id (a null one comes last), then text hash; same columns as ``docs``.
+
+    Texts without words link with nothing and stay; of repeated rows (same doc_id and text) one stays, whatever the text.
+    """
     own = docs.withColumn("__version", F.xxhash64("text"))
-    found = classes(docs.select("doc_id", "text")).filter("component_id IS DISTINCT FROM doc_id").select("doc_id", "version").distinct()
-    gone = found.withColumnsRenamed({"doc_id": "__d", "version": "__v"})
+    found = _grouped(docs.select("doc_id", "text"))
+    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "version")
+    best = found.filter("class IS NOT NULL").groupBy("class").agg(F.min(place).alias("best"), F.count(F.lit(1)).alias("members")).filter("members > 1").drop("members")
+    per = found.join(small(best), "class", "left").groupBy("doc_id", "version").agg(F.count(F.lit(1)).alias("rows"), F.max(F.coalesce(place != F.col("best"), F.lit(False))).alias("gone"))
+    marked = written(per.filter("gone OR rows > 1").select(F.col("doc_id").alias("__d"), F.col("version").alias("__v"), "gone"), "near-duplicate-rows")
     same = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__version") == F.col("__v"))
-    return own.join(small(gone), same, "left_anti").drop("__version")
+    left = own.join(small(marked), same, "left_anti")
+    repeated = marked.filter("NOT gone")
+    if not repeated.isEmpty():
+        left = left.unionByName(own.join(small(repeated), same, "left_semi").dropDuplicates(["doc_id", "__version"]))
+    return left.drop("__version")

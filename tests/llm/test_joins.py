@@ -78,6 +78,16 @@ def test_classes_of_odd_tables(spark):
     assert neardup.classes(df.limit(0)).count() == 0
 
 
+def test_one_row_of_each_component(spark):
+    same, near = "a b c d e f g h i j k l m n o p", "A b c d e f g h i j k l m n o p q"
+    rows = [(5, same)] * 40 + [(5, near), (6, same), (None, same), (None, "v w x y z"), (None, "V w x y z"), (None, "V w x y z"), (7, None), (7, None), (8, " "), (9, "one two"), (None, None)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, n long").repartition(3)
+    out = neardup.one_of_each(df)
+    left = [(r["doc_id"], (r["text"] or "").lower().strip()) for r in out.collect()]
+    assert out.columns == df.columns and len(left) == 6
+    assert sorted(left, key=str) == sorted([(5, left[[x[0] for x in left].index(5)][1]), (None, "v w x y z"), (7, ""), (8, ""), (9, "one two"), (None, "")], key=str)
+
+
 def removed_lines(rows):
     sets, gone = [], collections.defaultdict(list)
     for i, t in rows:
