@@ -1,7 +1,7 @@
 """Near-duplicate lines, removed after their first occurrence, by an exact set-similarity join (:mod:`.setjoin`).
 
-A line's tokens are its distinct 5-word shingles (A-Z lowered); lines of fewer than five words carry no evidence of
-copying and always stay. Tokens are ordered by rarity; prefix, positional and length filters leave the pairs whose Jaccard likeness is then verified. A
+A line's tokens are its distinct 5-word shingles (A-Z lowered). With ``short``, as in the query and the pipeline, a line of one to four words has
+its whole sequence as one shingle, so that it goes where it repeats a line before it; without, such lines stay. Lines without words stay. Tokens are ordered by rarity; prefix, positional and length filters leave the pairs whose Jaccard likeness is then verified. A
 line goes if any line before it (in the order of doc_id, then line number) has a likeness of at least 3/4.
 
 Defined results: a null text stays null; a document may become empty, but keeps its row; repeated rows (same doc_id
@@ -11,10 +11,12 @@ a null doc_id comes before all others; an empty table gives an empty result; oth
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.setjoin import block_count, bounded, frequent, inventory, leader_pairs, line_units, popular_pairs, set_bits, shared_postings, tile_pairs, verified, wide_postings
+from dossier.llm.setjoin import block_count, bounded, every_line_units, frequent, inventory, leader_pairs, line_units, popular_pairs, set_bits, shared_postings, tile_pairs, verified, wide_postings
 from dossier.llm.shared import scratch, small, written
 
 
@@ -24,18 +26,18 @@ def _place(prefix: str = "") -> Column:
     return F.struct(c("doc_id").isNotNull().alias("known"), c("doc_id").alias("doc_id"), c("version").alias("version"), c("number").alias("number"))
 
 
-def later_matches(docs: DataFrame) -> DataFrame:
+def later_matches(docs: DataFrame, short: bool = False) -> DataFrame:
     """``doc_id, version, number`` of all lines that match a line before them. ``docs``: ``doc_id, version, text``."""
     with scratch(docs.sparkSession):
-        return written(_later_matches(docs), "line-matches", keep=True)
+        return written(_later_matches(docs, every_line_units if short else line_units), "line-matches", keep=True)
 
 
-def _later_matches(docs: DataFrame) -> DataFrame:
-    units = inventory(docs, line_units, every=False)
-    nodes = units.filter("token IS NULL").select("doc_id", "version", "number", "sid", "n", "bits")
+def _later_matches(docs: DataFrame, units: Callable) -> DataFrame:
+    found = inventory(docs, units, every=False)
+    nodes = found.filter("token IS NULL").select("doc_id", "version", "number", "sid", "n", "bits")
     lines = nodes.drop("bits")
     firsts = written(lines.groupBy("sid").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("lines")), "line-firsts")
-    posted = shared_postings(docs, line_units, frequent(units), block_count(docs, lines))
+    posted = shared_postings(docs, units, frequent(found), block_count(docs, lines))
     bits = set_bits(nodes, posted)
     held = written(firsts.join(small(bits.select("sid")), "sid", "left_semi"), "line-holders")
 
@@ -52,16 +54,16 @@ def _later_matches(docs: DataFrame) -> DataFrame:
         mixed = members.groupBy("token").agg(F.min("first").alias("low"), F.max(F.when(F.col("open"), F.col("first"))).alias("high")).filter("low < high").select("token")
         return written(members.join(small(mixed), "token", "left_semi"), "unsettled-postings")
 
-    removed = written(gone(verified(bounded(leader_pairs(posted), bits), docs, line_units, nodes)), "line-removed")
+    removed = written(gone(verified(bounded(leader_pairs(posted), bits), docs, units, nodes)), "line-removed")
     rows = unsettled(removed)
     if not rows.isEmpty():
-        more = verified(bounded(popular_pairs(rows.withColumn("copies", F.col("lines"))), bits), docs, line_units, nodes)
+        more = verified(bounded(popular_pairs(rows.withColumn("copies", F.col("lines"))), bits), docs, units, nodes)
         removed = written(removed.unionByName(gone(more)).distinct(), "line-removed")
         rows = unsettled(removed)
     if not rows.isEmpty():
         rows = rows.withColumns({"group": F.col("sid"), **{f"first_{d}": F.col(f"first.{c}") for c, d in (("doc_id", "doc"), ("version", "version"), ("number", "number"))}})
         pairs = written(tile_pairs(rows, bits, directed=True).distinct(), "tile-pairs")
-        removed = written(removed.unionByName(gone(verified(pairs, docs, line_units, nodes))).distinct(), "line-removed")
+        removed = written(removed.unionByName(gone(verified(pairs, docs, units, nodes))).distinct(), "line-removed")
 
     # A line goes if its set does, or occurred before.
     known = firsts.join(small(removed.withColumn("__gone", F.lit(True))), "sid", "left").filter(F.col("__gone") | (F.col("lines") > 1))
@@ -69,10 +71,10 @@ def _later_matches(docs: DataFrame) -> DataFrame:
     return judged.filter(F.coalesce("__gone", F.lit(False)) | (_place() > F.col("first"))).select("doc_id", "version", "number").distinct()
 
 
-def without_later_matches(docs: DataFrame) -> DataFrame:
+def without_later_matches(docs: DataFrame, short: bool = False) -> DataFrame:
     """``docs`` with the lines of ``text`` that match a line before them taken out, and ``__removed``, their numbers."""
     keyed = docs.withColumn("__version", F.xxhash64("text"))
-    found = later_matches(keyed.select("doc_id", F.col("__version").alias("version"), "text"))
+    found = later_matches(keyed.select("doc_id", F.col("__version").alias("version"), "text"), short)
     per = found.groupBy("doc_id", "version").agg(F.array_sort(F.collect_list(F.col("number").cast("int"))).alias("__removed")).withColumnsRenamed({"doc_id": "__d", "version": "__v"})
     per = F.broadcast(per) if found.count() <= 2_000_000 else per
     joined = keyed.join(per, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__version") == F.col("__v")), "left")

@@ -49,8 +49,8 @@ def document_units(part: np.ndarray, cuts: np.ndarray) -> Units:
     return rows, np.zeros(len(rows), np.int64), tokens, upto
 
 
-def line_units(part: np.ndarray, cuts: np.ndarray) -> Units:
-    """Every line (texts are split at line ends) of at least ``K`` words; other lines have no shingle."""
+def line_units(part: np.ndarray, cuts: np.ndarray, least: int = K) -> Units:
+    """Every line (texts are split at line ends) of at least ``least`` words; other lines have no shingle."""
     data = LOWER[part]
     breaks = np.flatnonzero(data == 0x0A)
     own = np.searchsorted(cuts, breaks, side="right") - 1  # the row of each line end
@@ -59,7 +59,7 @@ def line_units(part: np.ndarray, cuts: np.ndarray) -> Units:
     starts = np.sort(np.concatenate([cuts[:-1], breaks + 1]), kind="stable")
     s, e, at = words(data, np.append(starts, len(data)))
     h = span_hashes(data, s, e)
-    enough = np.diff(at) >= K
+    enough = np.diff(at) >= least
     keep = np.repeat(enough, np.diff(at))
     at = np.concatenate([[0], np.cumsum(np.where(enough, np.diff(at), 0))])
     tokens, upto = shingles(h[keep], at, K)
@@ -67,6 +67,11 @@ def line_units(part: np.ndarray, cuts: np.ndarray) -> Units:
     return rows, np.arange(len(rows)) - first[rows], tokens, upto
 
 
+def every_line_units(part: np.ndarray, cuts: np.ndarray) -> Units:
+    """Every line with a word; one of fewer than ``K`` words has its whole sequence as its shingle, so it matches its repeats alone."""
+    return line_units(part, cuts, least=1)
+
+
 def distinct_sets(tokens: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each unit's distinct shingles, ascending, and the units' cuts in them."""
     n = len(cuts) - 1

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dossier.llm import linededup, neardup, setjoin
+from dossier.llm import linededup, linededup_query, neardup, setjoin
 from dossier.llm.textarrays import U
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -116,6 +116,13 @@ def test_lines(spark, monkeypatch, block):
     assert linededup.without_later_matches(df.limit(0)).count() == 0
 
 
+def test_short_lines(spark, tmp_path):
+    rows = [(1, "All rights reserved.\n\nx y z w\none two three four five"), (2, "all rights  reserved.\n\nx y z\nx y z w v"), (3, "All Rights Reserved.\nall rights\none two three four five\nx y z w"), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["removed_lines"], r["text"]) for r in linededup_query.op7_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: ("", rows[0][1]), 2: ("0", "\nx y z\nx y z w v"), 3: ("0,2,3", "all rights"), 4: ("", None)}
+
+
 def test_prefixes_hold_the_overlap():
     rng = np.random.default_rng(1)
     tokens = np.sort(rng.choice(1 << 40, 90, replace=False).astype(U))
