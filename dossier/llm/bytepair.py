@@ -3,15 +3,16 @@
 The splitting pattern never joins a character that isn't white space with white space after it, so every
 place before white space that follows another character is a token boundary, and the pieces between such places
 (chunks: white space, then a word with its punctuation) can be encoded apart. Each distinct chunk goes through the library once; a
-bounded table keyed by a 64-bit hash and the length of its bytes gives the ids of those seen before. Texts of any length are worked on
+bounded table keyed by two hashes of its bytes, 128 bits in all, gives the ids of those seen before. Texts of any length are worked on
 whole, in memory that follows the length of the batch.
 
 A rank file's merges are all splits of a token into two tokens, in the order of the token's rank. The library takes equal ranks in
-the order of its list where the rank file's own library takes the leftmost; new chunks are compared with the latter and follow it where they differ.
+the order of its list where the rank file's own library takes the leftmost. Two merges of one rank make one token, by different splits, so
+it has three bytes at least and stands in the chunk twice: only a chunk that repeats three bytes can differ, and such a one is settled by the rank file's library.
 
 Defined results: a null text is empty and has no ids; equal texts have equal ids; an empty table gives an empty
 result; decoding reverses any ids, also those that cut a character in two (the bytes are exact, the string has
-a replacement character there).
+a replacement character there); other columns are left alone, and where one has the name of a result, the result gets an underscore.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from dossier.llm.shared import apart
 from dossier.llm.textarrays import SPACE, U, flat, slices, span_hashes
 
 #: Slots of a worker's table of chunks and ids that it may hold; it starts anew beyond them.
@@ -38,6 +40,18 @@ def byte_characters() -> list[str]:
     return [chr(b if b in plain else next(other)) for b in range(256)]
 
 
+def repeats_three_bytes(texts: list[bytes]) -> np.ndarray:
+    """Marks the texts in which some three bytes stand twice."""
+    data, length = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64), np.fromiter(map(len, texts), np.int64, len(texts))
+    own = np.repeat(np.arange(len(texts)), length)
+    out = np.zeros(len(texts), bool)
+    if len(data) > 2:
+        key = (own[2:] << 24) | (data[:-2] << 16) | (data[1:-1] << 8) | data[2:]
+        key = np.sort(key[own[:-2] == own[2:]])
+        out[key[1:][key[1:] == key[:-1]] >> 24] = True
+    return out
+
+
 def chunk_starts(data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """Byte positions where a chunk starts: every text's start, and white space after a character that surely isn't any."""
     if not len(data):
@@ -94,46 +108,47 @@ class Encoder:
         return out
 
     def _clear(self) -> None:
-        self.slot_hash = np.zeros(SLOTS, U)
+        self.slot_hash, self.slot_check = np.zeros(SLOTS, U), np.zeros(SLOTS, U)
         self.slot_entry = np.zeros(SLOTS, np.int32)
         self.entry_at = np.zeros(1, np.int64)  # entry 0 is no chunk
         self.entry_n = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.int32)
 
-    def _learn(self, texts: list[str]) -> list[list[int]]:
+    def _learn(self, chunks: list[bytes]) -> list[list[int]]:
+        texts = [c.decode("utf-8") for c in chunks]
         found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         if self.reference is not None:
-            for k, x in enumerate(self.reference.encode_ordinary_batch(texts, num_threads=1)):
-                if x != found[k]:
-                    found[k] = x
+            odd = np.flatnonzero(repeats_three_bytes(chunks)).tolist()
+            for k, x in zip(odd, self.reference.encode_ordinary_batch([texts[k] for k in odd], num_threads=1), strict=True):
+                found[k] = x
         return found
 
     def encode(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of texts ``cuts[i]:cuts[i+1]``: ids, each text's cuts in them, and the chunks' byte starts and cuts in the ids."""
         s = chunk_starts(data, cuts)
         e = np.append(s[1:], len(data)).astype(np.int64) if len(s) else s
-        h = span_hashes(data, s, e) ^ (e - s).astype(U)
+        h, check = span_hashes(data, s, e), span_hashes(data, s, e, lane=1)
         slot = (h & U(SLOTS - 1)).astype(np.int64)
-        entry = np.where(self.slot_hash[slot] == h, self.slot_entry[slot], 0).astype(np.int64)
+        entry = np.where((self.slot_hash[slot] == h) & (self.slot_check[slot] == check), self.slot_entry[slot], 0).astype(np.int64)
         new = np.flatnonzero(entry == 0)
         if len(new):
             if len(self.ids) > HELD_IDS:
                 self._clear()
                 entry[:] = 0
                 new = np.arange(len(s))
-            u, first, back = np.unique(h[new], return_index=True, return_inverse=True)
-            at = new[first]
+            order = new[np.lexsort((check[new], h[new]))]
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = (h[order[1:]] != h[order[:-1]]) | (check[order[1:]] != check[order[:-1]])
+            at = order[fresh]
             raw = data.tobytes()
-            learned = self._learn([raw[a:b].decode("utf-8") for a, b in zip(s[at].tolist(), e[at].tolist(), strict=True)])
+            learned = self._learn([raw[a:b] for a, b in zip(s[at].tolist(), e[at].tolist(), strict=True)])
             n = np.fromiter(map(len, learned), np.int64, len(learned))
             base = len(self.entry_at)
             self.entry_at = np.concatenate([self.entry_at, len(self.ids) + np.cumsum(n) - n])
             self.entry_n = np.concatenate([self.entry_n, n])
             self.ids = np.concatenate([self.ids, np.fromiter((i for x in learned for i in x), np.int32, int(n.sum()))])
-            entry[new] = base + back
-            own = (u & U(SLOTS - 1)).astype(np.int64)
-            self.slot_hash[own] = u
-            self.slot_entry[own] = base + np.arange(len(u))
+            entry[order] = base + np.cumsum(fresh) - 1
+            self.slot_hash[slot[at]], self.slot_check[slot[at]], self.slot_entry[slot[at]] = h[at], check[at], base + np.arange(len(at))
         n = self.entry_n[entry]
         upto = np.concatenate([[0], np.cumsum(n)])
         ids = self.ids[np.arange(upto[-1]) + np.repeat(self.entry_at[entry] - upto[:-1], n)] if len(s) else np.zeros(0, np.int32)
@@ -178,6 +193,7 @@ def _lists(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
 
 def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
     """``df`` with ``ids`` and the code points ``starts``, ``ends`` that the ids cover (one cut inside a character covers it whole)."""
+    made = [apart(df.columns, c) for c in ("ids", "starts", "ends")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = vocabulary.encoder()
@@ -188,20 +204,21 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFra
                 row = np.repeat(lead[cuts[:-1]], np.diff(at))
                 start, end = lead[np.minimum(upto[:-1] + 1, len(part))] - 1 - row, lead[upto[1:]] - row
                 rows = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*rows.columns, _lists(ids, at), _lists(start, at), _lists(end, at)], names=[*batch.schema.names, "ids", "starts", "ends"])
+                yield pa.RecordBatch.from_arrays([*rows.columns, _lists(ids, at), _lists(start, at), _lists(end, at)], names=[*batch.schema.names, *made])
 
     whole = T.ArrayType(T.IntegerType())
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *[T.StructField(c, whole) for c in ("ids", "starts", "ends")]]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *[T.StructField(c, whole) for c in made]]))
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids") -> DataFrame:
     """``df`` with ``decoded`` (the exact bytes) and ``decoded_text`` (with replacement characters where a character is incomplete)."""
+    made = [apart(df.columns, c) for c in ("decoded", "decoded_text")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = vocabulary.encoder()
         for batch in batches:
             out = [encoder.decode(np.asarray(x or [], np.int64))[0].tobytes() for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
             texts = [x.decode("utf-8", "replace") for x in out]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary()), pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded", "decoded_text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary()), pa.array(texts, pa.string())], names=[*batch.schema.names, *made])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("decoded", T.BinaryType()), T.StructField("decoded_text", T.StringType())]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(made[0], T.BinaryType()), T.StructField(made[1], T.StringType())]))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,19 +11,28 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a side may be broadcast; a larger side is joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Bytes and rows up to which a side may be broadcast; a larger side is joined by a shuffle.
+BROADCAST_BYTES, BROADCAST_ROWS = 16 << 20, 500_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out anew if it has fewer partitions than the session has cores, as a single small file does; unchanged otherwise."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (local runs)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. A session on one machine that lacks it gets a temporary one; on a cluster that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + os.path.join(tempfile.gettempdir(), "dossier-shared")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -31,24 +41,26 @@ def shared_dir(spark: SparkSession) -> str:
 _SCOPES: list[list[str]] = []
 
 
-#: Rows of an Arrow batch while whole texts go to Python workers: bounds what a worker and its executor hold at once.
-BATCH_ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows and bytes of an Arrow batch while whole texts or packed rows go to Python workers: bounds what a worker and its executor hold at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+_BATCH, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables written inside go when it ends, but for those written with ``keep``, which belong to the scope around it (or stay).
 
-    Arrow batches inside have at most ``BATCH_ROWS`` rows.
+    Arrow batches inside have at most ``BATCH_ROWS`` rows and, but for one row's, ``BATCH_BYTES`` bytes.
     """
-    rows = spark.conf.get(_BATCH)
+    rows, size = spark.conf.get(_BATCH), spark.conf.get(_BYTES, None)
     spark.conf.set(_BATCH, str(min(int(rows), BATCH_ROWS) if int(rows) > 0 else BATCH_ROWS))
+    spark.conf.set(_BYTES, str(BATCH_BYTES))
     _SCOPES.append([])
     try:
         yield
     finally:
         spark.conf.set(_BATCH, rows)
+        spark.conf.set(_BYTES, size) if size else spark.conf.unset(_BYTES)
         for path in _SCOPES.pop():
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
@@ -64,9 +76,25 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``limit`` rows (counted), unchanged otherwise."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def small(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast if its measured size is at most ``BROADCAST_ROWS`` rows and ``BROADCAST_BYTES`` bytes, unchanged otherwise. ``df`` is best a written table, as it is read for that."""
+    fixed, sizes = 8 * (len(df.schema) + 1), []
+    for f in df.schema:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            sizes.append(F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            sizes.append(F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{f.name}`")))), F.lit(0)))
+    row = F.lit(fixed) if not sizes else sum(sizes, F.lit(fixed))
+    rows, size = df.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.sum(row.cast("long"))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else df
+
+
+def apart(columns: list[str], name: str = "own") -> str:
+    """A column name that isn't among ``columns``, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def partitions(spark: SparkSession) -> int:

@@ -1,8 +1,8 @@
 """Texts of an Arrow batch as flat numpy arrays: bytes, words, 64-bit word and shingle hashes.
 
 A word is a run of bytes outside ``\\x20 \\x09-\\x0D``, which is the run of characters outside them, as
-UTF-8 never uses those bytes inside a longer character. Hashes are polynomials modulo 2**64 with a final
-mix; equal words have equal hashes on every worker.
+UTF-8 never uses those bytes inside a longer character. Hashes mix in eight bytes at a time, without the
+algebra by which polynomials collide; equal words have equal hashes on every worker.
 """
 
 from __future__ import annotations
@@ -12,18 +12,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BLOCK = 1 << 20
+_BASE = 0x9E3779B97F4A7C15
+#: Multipliers of the lanes of a hash; keeps the low bytes of a little-endian word.
+_LANES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
+_LOW_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+#: Bytes of a span beyond which it is hashed by the xxhash library.
+_LONG = 64
 #: Bytes of text that are worked on at once; a longer text is taken alone.
 SLICE_BYTES = 4 << 20
-_powers: list[np.ndarray] = []
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -32,15 +35,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(33))
 
 
-def powers() -> list[np.ndarray]:
-    if not _powers:
-        for base in (_BASE, _INVERSE):
-            x = np.full(_BLOCK + 1, base, dtype=U)
-            x[0] = 1
-            _powers.append(np.multiply.accumulate(x))
-    return _powers
-
-
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; a null is an empty text."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -78,27 +72,20 @@ def words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return s, e, np.searchsorted(s, cuts)
 
 
-def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span; spans are ascending and don't overlap."""
-    out = np.empty(len(s), U)
-    up, down = powers()
-    i = 0
-    while i < len(s):
-        j = max(i + 1, int(np.searchsorted(e, s[i] + _BLOCK, side="right")))
-        a, b = int(s[i]), int(e[j - 1])
-        if b - a > _BLOCK:  # one span longer than a block: its blocks' hashes in turn
-            h = U(0)
-            for k in range(a, b, _BLOCK):
-                part = data[k : min(b, k + _BLOCK)].astype(U) + U(1)
-                h = mix(np.array([h + (part * up[: len(part)]).sum(dtype=U)], dtype=U))[0]
-            out[i] = h
-        else:
-            sums = np.zeros(b - a + 1, U)
-            np.cumsum((data[a:b].astype(U) + U(1)) * up[: b - a], out=sums[1:])
-            x, y = s[i:j] - a, e[i:j] - a
-            out[i:j] = mix((sums[y] - sums[x]) * down[x] + (y - x).astype(U))
-        i = j
-    return out
+def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte span: its eight-byte words are mixed in one after the other. Two lanes make up 128 bits."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    word = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    times, n = U(_LANES[lane]), e - s
+    h = mix((word[s] & _LOW_BYTES[np.minimum(n, 8)]) ^ (n.astype(U) * times))
+    left, k = np.flatnonzero(n > 8), 8
+    while len(left) and k < _LONG:
+        h[left] = mix((h[left] * times) ^ (word[s[left] + k] & _LOW_BYTES[np.minimum(n[left] - k, 8)]))
+        k += 8
+        left = left[n[left] > k]
+    for i in left.tolist():
+        h[i] = U(xxhash.xxh3_64_intdigest(data[s[i] : e[i]].tobytes(), seed=lane))
+    return h
 
 
 def shingles(h: np.ndarray, cuts: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
