@@ -1,14 +1,14 @@
 """Exact fingerprints of canonical texts. DataFrame functions only.
 
-A text is made canonical (NFKC by the ICU library that Spark ships, lower case, runs of white space as one
+A text is made canonical (NFKC, case folding and NFKC again by the ICU library that Spark ships, runs of white space as one
 blank, none at the ends) and digested by two differently salted xxhash64 lanes, 128 bits in all. Documents are
 grouped by that digest; only digests that occur twice or more have their canonical texts compared byte by byte,
 and of texts that share a digest without being equal all but the first get a suffix. So documents with one
 fingerprint have one canonical text.
 
 Defined results: a null text is an empty text; the empty text has a fingerprint like any other; repeated rows
-share one; documents of one doc_id are ordered by their text; a null doc_id comes before all others; a table
-of one row is its own next document; an empty table gives an empty result; other columns are left alone.
+share one; documents of one doc_id are ordered by a hash of their text, then by it; a null doc_id comes before all others; a table
+of one row is its own next document; an empty table gives an empty result; other columns are left alone, also one of the result's name.
 """
 
 from __future__ import annotations
@@ -18,14 +18,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dossier.llm.shared import partitions, small, written
+from dossier.llm.shared import apart, partitions, small, written
 
 
 def canonical(text: Column) -> Column:
-    composed = F.when(F.octet_length(text) == F.char_length(text), text).otherwise(
-        F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
-    )
-    return F.trim(F.regexp_replace(F.lower(composed), r"(?U)\s+", " "))
+    icu = lambda name, method, x: F.java_method(F.lit(f"com.ibm.icu.{name}"), F.lit(method), x, F.lit(True))
+    composed = lambda x: icu("text.Normalizer", "compose", x)
+    folded = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(composed(icu("lang.UCharacter", "foldCase", composed(text))))
+    return F.trim(F.regexp_replace(folded, r"(?U)\s+", " "))
 
 
 def digest(canon: Column) -> Column:
@@ -34,12 +34,21 @@ def digest(canon: Column) -> Column:
     return F.concat(lane(canon), lane(F.lit("second lane"), canon))
 
 
+def seen_twice(digests: DataFrame) -> DataFrame:
+    """Written table ``digest`` of those that occur twice or more in ``digests``."""
+    return written(digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest"), "digests-seen-twice")
+
+
+def unequal(texts: DataFrame) -> DataFrame:
+    """Written table ``digest, canon, suffix`` of canonical texts that share a digest without being equal. ``texts``: ``digest, canon`` of the digests seen twice."""
+    groups = texts.distinct().groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("canon")).alias("all"))
+    return written(groups.filter("n > 1").select("digest", F.posexplode("all").alias("suffix", "canon")), "digest-clashes")
+
+
 def clashes(texts: DataFrame) -> DataFrame:
-    """``digest, canon, suffix`` of canonical texts that share a digest with another one. ``texts`` has one column, ``canon``."""
+    """:func:`unequal` of all ``texts`` (one column, ``canon``)."""
     keyed = texts.select(digest(F.col("canon")).alias("digest"), "canon")
-    twice = written(keyed.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest"), "digests-seen-twice")
-    unequal = keyed.join(small(twice), "digest", "left_semi").distinct().groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("canon")).alias("all"))
-    return written(unequal.filter("n > 1").select("digest", F.posexplode("all").alias("suffix", "canon")), "digest-clashes")
+    return unequal(keyed.join(small(seen_twice(keyed.select("digest"))), "digest", "left_semi"))
 
 
 def fingerprinted(df: DataFrame, canon: str, to: str, clash: DataFrame) -> DataFrame:
@@ -53,9 +62,10 @@ def fingerprinted(df: DataFrame, canon: str, to: str, clash: DataFrame) -> DataF
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``fingerprint``."""
-    texts = docs.withColumn("__canon", canonical(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return fingerprinted(texts, "__canon", "fingerprint", clashes(texts.select(F.col("__canon").alias("canon")))).drop("__canon")
+    """``docs`` with ``fingerprint`` (or, if it has such a column, that name with an underscore)."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), canonical(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("canon"))
+    out = fingerprinted(rows, "canon", "print", clashes(rows.select("canon")))
+    return out.select("row.*", F.col("print").alias(apart(docs.columns, "fingerprint")))
 
 
 def copies(docs: DataFrame) -> DataFrame:
@@ -79,22 +89,24 @@ def _range_bucket(key: Column, bounds: list[int]) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """``doc_id, text, next_text``: the text of the next document in ascending doc_id, the first's after the last.
+    """``doc_id, text, next_id, next_text``: those of the next document in ascending doc_id, the first's after the last.
 
-    Ids are dealt to ranges between quantiles of their own (as many as shuffle partitions, a bounded list);
-    each range also gets the first document of the range that follows, so that no task sees more than a range.
+    Ids are dealt to ranges between quantiles of their own (as many as shuffle partitions, a bounded list), null ids to as many ranges of
+    their texts' hashes; each range also gets the first document of the range that follows, so that no task sees more than a range.
     """
     spark, docs = docs.sparkSession, docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     k = partitions(spark)
     bounds = docs.select(F.percentile_approx("doc_id", [i / k for i in range(1, k)] or [0.5], 20 * k)).first()[0] or []
     bounds = sorted(set(bounds))
-    dealt = docs.withColumn("range", _range_bucket(F.col("doc_id"), bounds))
-    ids = dealt.groupBy("range").agg(F.min(F.struct("doc_id")).alias("least"))  # at most k rows
-    first = dealt.join(F.broadcast(ids.select("range", F.col("least.doc_id").alias("id"))), ["range"]).filter(F.col("doc_id").eqNullSafe(F.col("id")))
-    first = first.groupBy("range").agg(F.min("text").alias("text"), F.first("doc_id").alias("doc_id"))
-    around = Window.partitionBy(F.lit(0)).orderBy("range")  # over the at most k ranges
+    docs = docs.withColumn("hash", F.xxhash64("text"))
+    unknown = F.floor((F.col("hash") / 2.0**64 + 0.5) * k).cast("int") - (k + 1)
+    dealt = docs.withColumn("range", F.when(F.col("doc_id").isNull(), unknown).otherwise(_range_bucket(F.col("doc_id"), bounds)))
+    ids = dealt.groupBy("range").agg(F.min(F.struct("doc_id", "hash")).alias("least"))  # at most 2 k + 1 rows
+    first = dealt.join(F.broadcast(ids.select("range", "least")), ["range"]).filter(F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("hash") == F.col("least.hash")))
+    first = first.groupBy("range").agg(F.min("text").alias("text"), F.first("doc_id").alias("doc_id"), F.first("hash").alias("hash"))
+    around = Window.partitionBy(F.lit(0)).orderBy("range")  # over the few ranges
     order = ids.select("range", F.lag("range").over(around).alias("before"), F.max("range").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("last"))
-    borders = first.join(F.broadcast(order), "range").select("doc_id", "text", F.coalesce("before", "last").alias("range"), F.lit(1).alias("border"))
-    w = Window.partitionBy("range").orderBy("border", "doc_id", "text")
-    rows = dealt.select("doc_id", "text", "range", F.lit(0).alias("border")).unionByName(borders)
-    return rows.withColumn("next_text", F.lead("text").over(w)).filter("border = 0").select("doc_id", "text", "next_text")
+    borders = first.join(F.broadcast(order), "range").select("doc_id", "text", "hash", F.coalesce("before", "last").alias("range"), F.lit(1).alias("border"))
+    w = Window.partitionBy("range").orderBy("border", "doc_id", "hash", "text")
+    rows = dealt.select("doc_id", "text", "hash", "range", F.lit(0).alias("border")).unionByName(borders)
+    return rows.withColumns({"next_id": F.lead("doc_id").over(w), "next_text": F.lead("text").over(w)}).filter("border = 0").select("doc_id", "text", "next_id", "next_text")
