@@ -1,25 +1,26 @@
 """Incremental secret scans over a ledger of blobs. DataFrame functions only.
 
-Every version of a document is addressed by the SHA-256 of its content. The ledger holds which blob was scanned
-by which version of which rule; a scan takes only the pairs that it lacks, once per distinct blob however many
-paths hold it, and the findings are joined back to all paths.
+Every version of a document is addressed by the SHA-256 of its content. The ledger, a folder of two tables, holds which blob was scanned
+by which version of which rule, and what was found; a scan takes only the pairs that it lacks, once per distinct blob however many
+paths hold it, adds its findings, then its pairs, and old and new findings are joined back to all paths. A scan that is lost in
+between is done again; its findings count once.
 
 A rule finds leftmost non-overlapping matches of its pattern and keeps those whose value (a group of the
 pattern) is long enough, without another try inside a match that fails. Positions are code points: a text is
 split by the pattern, and running sums over the lengths of the pieces and matches give each match's place.
 
 Defined results: a null text is an empty blob without findings; repeated rows and copies share one scan; an
-empty table, or one wholly in the ledger, gives empty findings; other columns are left alone.
+empty table, or one wholly in the ledger, adds nothing; other columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dossier.llm.shared import small, written
+from dossier.llm.shared import scratch, small, written
 
 
 @dataclass(frozen=True)
@@ -49,13 +50,36 @@ def blob_id(text: str = "text"):
     return F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)
 
 
-def unseen(docs: DataFrame, ledger: DataFrame | None, rules=RULES) -> DataFrame:
-    """Distinct blobs with the rules that have yet to scan them: ``blob, text, todo array<string>``. ``ledger``: ``blob, rule``."""
-    blobs = docs.select(blob_id().alias("blob"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
+SCANNED, FOUND = "blob string, rule string", "blob string, rule string, version int, kind_order int, start long, end long, value string"
+
+
+class Ledger:
+    """The tables ``scanned`` and ``found`` in a folder that all executors share."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        for name, schema in (("scanned", SCANNED), ("found", FOUND)):
+            spark.createDataFrame([], schema).write.mode("append").parquet(f"{path}/{name}")
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.schema(SCANNED if name == "scanned" else FOUND).parquet(f"{self.path}/{name}")
+
+    def add(self, name: str, rows: DataFrame) -> None:
+        rows.write.mode("append").parquet(f"{self.path}/{name}")
+
+    def findings(self, rules=RULES) -> DataFrame:
+        """What the present versions of the ``rules`` found, in whichever scan."""
+        keys = [r.key for r in rules]
+        return self.table("found").filter(F.concat_ws("@", "rule", "version").isin(keys)).distinct()
+
+
+def unseen(docs: DataFrame, scanned: DataFrame | None, rules=RULES) -> DataFrame:
+    """Distinct blobs with the rules that have yet to scan them: ``blob, text, todo array<string>``. ``scanned``: ``blob, rule``."""
+    blobs = docs.select(blob_id().alias("blob"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
     every = F.array(*[F.lit(r.key) for r in rules])
-    if ledger is None:
+    if scanned is None:
         return blobs.withColumn("todo", every)
-    seen = ledger.groupBy("blob").agg(F.collect_set("rule").alias("seen"))
+    seen = scanned.groupBy("blob").agg(F.collect_set("rule").alias("seen"))
     todo = F.array_except(every, F.coalesce("seen", F.array().cast("array<string>")))
     return blobs.join(seen, "blob", "left").withColumn("todo", todo).filter(F.size("todo") > 0).select("blob", "text", "todo")
 
@@ -82,12 +106,14 @@ def findings(blobs: DataFrame, rules=RULES) -> DataFrame:
     return placed.filter(F.char_length("value") >= F.col("min_chars")).select("blob", "rule", "version", "kind_order", "start", "end", "value")
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES) -> tuple[DataFrame, DataFrame]:
-    """New findings (written once) and the ledger rows that the scan adds (``blob, rule``)."""
-    todo = unseen(docs, ledger, rules)
-    new = written(findings(todo, rules), "secret-findings")
-    added = docs.select(blob_id().alias("blob")).distinct().select("blob", F.explode(F.array(*[F.lit(r.key) for r in rules])).alias("rule"))
-    return new, added if ledger is None else added.join(ledger, ["blob", "rule"], "left_anti")
+def scan(docs: DataFrame, ledger: Ledger, rules=RULES) -> None:
+    """Scans the pairs of blobs and rule versions that the ``ledger`` lacks and adds findings and pairs to it."""
+    with scratch(docs.sparkSession):
+        new = written(findings(unseen(docs, ledger.table("scanned"), rules), rules), "secret-findings")
+        pairs = docs.select(blob_id().alias("blob")).distinct().select("blob", F.explode(F.array(*[F.lit(r.key) for r in rules])).alias("rule"))
+        pairs = written(pairs.join(ledger.table("scanned"), ["blob", "rule"], "left_anti"), "secret-pairs")
+        ledger.add("found", new)
+        ledger.add("scanned", pairs)
 
 
 def by_path(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm.secrets import RULES, blob_id, scan
-from dossier.llm.shared import documents, small
+from dossier.llm.secrets import RULES, Ledger, blob_id, scan
+from dossier.llm.shared import documents, shared_dir, small
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scans in two rounds over one ledger: a first half of the blobs by all rules but one, then all documents by all rules."""
     docs = documents(spark, sf_dir)
-    found, _ = scan(docs)
+    ledger = Ledger(spark, f"{shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}")
+    scan(docs.filter(F.crc32(F.coalesce("text", F.lit(""))) % 2 == 0), ledger, RULES[1:])
+    scan(docs, ledger, RULES)
+    found = ledger.findings()
     span = F.struct("start", "kind_order", F.concat_ws(":", "rule", "start", "end").alias("span"))
     per_blob = found.groupBy("blob").agg(
         *[F.count_if(F.col("rule") == r.name).alias(f"n_{r.name}") for r in RULES],
