@@ -2,15 +2,15 @@
 
 Each language has a codeword; one binary classifier per bit (logistic regression over hashed byte n-grams of one
 to three bytes, A-Z lowered, everything that is neither letter nor apostrophe as one blank) predicts that bit. Decoding takes the
-codeword with the least loss, each bit weighted by how well its classifier did on the rows it learned from, and flags
+codeword with the least loss, each bit weighted by how well a classifier of it did on rows held back from its fit, and flags
 a text as ambiguous where the next codeword is close.
 
-Learning uses a bounded sample: at most ``SAMPLE`` documents per language, those with the least hash of their id
-and text. Prediction reads whole texts; it sees nothing but the text.
+Learning uses a bounded sample: of at most ``LANGUAGES`` languages (the most frequent) at most ``SAMPLE`` documents each, those with the least hash of their id
+and text, and no more than about ``ROWS`` in all. Prediction reads whole texts; it sees nothing but the text.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and not ambiguous; equal texts
-get equal predictions; without any labelled row every text is ``und``; with one language every text with a letter has it, score 1;
-an empty table gives an empty result; other columns are left alone.
+get equal predictions, whatever stands beside them; without any labelled row every text is ``und``; with one language every text with a letter has it, score 1;
+an empty table gives an empty result; a column to keep that has the name of a result is kept, and the result gets an underscore.
 """
 
 from __future__ import annotations
@@ -22,11 +22,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from dossier.llm.shared import apart
 from dossier.llm.textarrays import flat, slices
 
-#: Documents per language that the classifiers learn from, and texts' dimensions.
-SAMPLE, DIMENSIONS = 300, 4096
+#: Documents per language that the classifiers learn from, most languages and rows, and texts' dimensions.
+SAMPLE, LANGUAGES, ROWS, DIMENSIONS = 300, 1000, 6000, 4096
+#: One in so many rows of the sample is held back to weigh the bits.
+HELD_BACK = 4
 STEPS, RATE, RIDGE = 300, 4.0, 1e-4
 #: Scores under this flag a text as ambiguous.
 AMBIGUOUS = 0.6
@@ -57,11 +61,9 @@ def features(part: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """Square roots of each text's shares of n-grams, of unit length; one row per text."""
     data = _FOLD[part].astype(np.int64)
     one = (data * 0x9E3779B1) >> 7
-    grams = [one % DIMENSIONS]
-    if len(data) > 2:
-        two = data[:-1] * 257 + data[1:]
-        three = two[:-1] * 257 + data[2:]
-        grams += [((two * 0x85EBCA6B) >> 11) % DIMENSIONS, ((three * 0xC2B2AE35) >> 13) % DIMENSIONS]
+    two = data[:-1] * 257 + data[1:]
+    three = two[:-1] * 257 + data[2:]
+    grams = [one % DIMENSIONS, ((two * 0x85EBCA6B) >> 11) % DIMENSIONS, ((three * 0xC2B2AE35) >> 13) % DIMENSIONS]
     out = np.zeros((len(cuts) - 1, DIMENSIONS), np.float32)
     for i in range(len(cuts) - 1):
         a, b = int(cuts[i]), int(cuts[i + 1])
@@ -91,22 +93,38 @@ class Model:
         return total / total.sum(axis=1, keepdims=True)
 
 
-def fit(x: np.ndarray, lang: list[str]) -> Model:
-    languages = sorted(set(lang))
-    code = codewords(len(languages))
-    y = code[[languages.index(v) for v in lang]].astype(np.float32) if languages else np.zeros((0, 0), np.float32)
-    share = np.bincount([languages.index(v) for v in lang], minlength=len(languages)) if languages else np.zeros(0)
-    row = np.array([1 / share[languages.index(v)] for v in lang], np.float32)[:, None] / max(1, len(languages))
-    w, b = np.zeros((x.shape[1], code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
+def _fitted(x: np.ndarray, y: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and biases of the bits ``y``; ``row``: the rows' weights."""
+    w, b = np.zeros((x.shape[1], y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
     vw, vb = np.zeros_like(w), np.zeros_like(b)
     for _ in range(STEPS):
         g = -y * row / (1 + np.exp(np.clip(y * (x @ w + b), -30, 30)))
         vw = 0.9 * vw - RATE * (x.T @ g + RIDGE * w)
         vb = 0.9 * vb - RATE * g.sum(axis=0)
         w, b = w + vw, b + vb
-    right = ((y * (x @ w + b) > 0) * row).sum(axis=0) if len(y) else np.zeros(code.shape[1])
+    return w, b
+
+
+def fit(x: np.ndarray, lang: list[str]) -> Model:
+    """A model of all rows. The bits' weights come from a fit without every ``HELD_BACK``th row of a language, by its share of right bits on those rows."""
+    languages = sorted(set(lang))
+    code = codewords(len(languages))
+    at = np.array([languages.index(v) for v in lang], np.int64)
+    share = np.bincount(at, minlength=len(languages)).astype(np.float32)
+    y = code[at].astype(np.float32)
+    row = (1 / share[at])[:, None] / max(1, len(languages))
+    place = np.zeros(len(at), np.int64)
+    for k in range(len(languages)):
+        place[at == k] = np.arange((at == k).sum())
+    back = place % HELD_BACK == HELD_BACK - 1
+    if not back.any():
+        back[:] = len(at) > 0
+        w, b = _fitted(x, y, row)
+    else:
+        w, b = _fitted(x[~back], y[~back], row[~back])
+    right = ((y[back] * (x[back] @ w + b) > 0) * row[back]).sum(axis=0) / max(float(row[back].sum()), 1e-9)
     right = np.clip(right, 0.5 + 1e-3, 1 - 1e-3)
-    return Model(languages, code, w, b, np.log(right / (1 - right)) / np.log(999))
+    return Model(languages, code, *_fitted(x, y, row), np.log(right / (1 - right)) / np.log(999))
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
@@ -116,13 +134,13 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     slices, then the first of those.
     """
     rows = docs.filter("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text", F.xxhash64("doc_id", "text").alias("key"))
-    keys = rows.select("lang", "key").withColumn("slice", F.pmod("key", F.lit(64)))
+    known = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang")
+    known = docs.sparkSession.createDataFrame(known.collect(), "lang string")  # at most LANGUAGES rows
+    sample = min(sample, max(1, ROWS // max(1, known.count())))
+    keys = rows.join(F.broadcast(known), "lang", "left_semi").select("lang", "key").withColumn("slice", F.pmod("key", F.lit(64)))
     first = keys.withColumn("k", F.row_number().over(Window.partitionBy("lang", "slice").orderBy("key"))).filter(F.col("k") <= sample)
     first = first.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).filter(F.col("k") <= sample)
-    limits = first.groupBy("lang").agg(F.max("key").alias("limit")).collect()  # one row per language
-    chosen = F.lit(False)
-    for r in limits:
-        chosen = chosen | ((F.col("lang") == r["lang"]) & (F.col("key") <= r["limit"]))
+    limits = F.broadcast(first.groupBy("lang").agg(F.max("key").alias("limit")))  # one row per language
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,7 +149,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
                 x = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array([v.tobytes() for v in x], pa.binary())], names=["lang", "key", "x"])
 
-    found = rows.filter(chosen).dropDuplicates(["lang", "key"]).mapInArrow(run, "lang string, key long, x binary").orderBy("lang", "key").collect()  # the sample
+    found = rows.join(limits, "lang").filter("key <= limit").select("lang", "text", "key").dropDuplicates(["lang", "key"]).mapInArrow(run, "lang string, key long, x binary").orderBy("lang", "key").collect()  # the sample
     x = np.stack([np.frombuffer(r["x"], np.float32) for r in found]) if found else np.zeros((0, DIMENSIONS), np.float32)
     return fit(x, [r["lang"] for r in found])
 
@@ -139,7 +157,9 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of ``docs`` with ``lang_pred, score, ambiguous``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # languages x bits x dimensions, whatever the data
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
+    kept = docs.select(*keep).schema
+    made = [apart(kept.names, c) for c in ("lang_pred", "score", "ambiguous")]
+    schema = T.StructType([*kept.fields, *[T.StructField(c, t) for c, t in zip(made, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True)]])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -164,10 +184,10 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                 known = best < len(m.languages)
                 yield pa.RecordBatch.from_arrays(
                     [*[c.slice(i, j - i) for c in batch.columns[:at]], pa.array(names[best].tolist(), pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(known & (score < AMBIGUOUS))],
-                    names=[*batch.schema.names[:at], "lang_pred", "score", "ambiguous"],
+                    names=schema.names,
                 )
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").alias(apart(schema.names, "text"))).mapInArrow(run, schema)
 
 
 def _has_letter(raw: np.ndarray) -> bool:
