@@ -5,8 +5,8 @@ of at most ``SIZE`` ids are cut at document ends, at sentence ends, or, in long
 places. The cuts minimise padding plus a penalty for each kind of cut: with ``f(j)`` the least cost up to cut j,
 ``f(j) = penalty(j) + WINDOW + min over i of (f(i) + SIZE - (c_j - c_i))``, and the minimum over the cuts within ``SIZE``
 comes from a monotone queue, as ``f(i) + c_i`` doesn't depend on j. A window of a power of two needs no padding.
-The stream is taken in blocks; a block's last window goes on to the next. What is left at a
-partition's end is cut into powers of two where that spares padding. No row is shuffled, and no more than a block and a batch is held.
+The stream is taken in blocks; a block's last window goes on to the next. A partition's last window goes through the same
+programme once more, with a cut after any id and powers of two of any size, so that it is cut further where that spares more padding than its cuts cost. No row is shuffled, and no more than a block and a batch is held.
 
 Defined results: a null or empty text is its end id alone; repeated rows are packed each; a text of any length
 is packed whole; a partition without rows gives none, an empty table an empty result.
@@ -35,13 +35,13 @@ BLOCK = 128 * SIZE
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def windows(cuts: np.ndarray, penalty: np.ndarray, size: int = SIZE) -> list[int]:
-    """Indices of the chosen cuts. ``cuts`` ascend from 0, at most ``size`` apart; the first and last are always chosen."""
+def windows(cuts: np.ndarray, penalty: np.ndarray, size: int = SIZE, least: int = 128) -> list[int]:
+    """Indices of the chosen cuts. A window of a power of two from ``least`` on needs no padding. ``cuts`` ascend from 0, at most ``size`` apart; the first and last are always chosen."""
     c, p = cuts.tolist(), penalty.tolist()
     n = len(c)
     cost, before = [0] * n, [0] * n
     index = dict(zip(c, range(n)))
-    powers = [1 << k for k in range(7, size.bit_length() - 1)]
+    powers = [1 << k for k in range(least.bit_length() - 1, size.bit_length() - 1)]
     queue: deque[tuple[int, int]] = deque([(0, 0)])  # (f(i) + c_i, i), ascending in both
     for j in range(1, n):
         x = c[j]
@@ -64,15 +64,6 @@ def windows(cuts: np.ndarray, penalty: np.ndarray, size: int = SIZE) -> list[int
     return out[::-1]
 
 
-def tail_cuts(n: int, size: int = SIZE) -> list[int]:
-    """Ends of the parts in which a rest of ``n`` ids is cut: powers of two, largest first."""
-    out, at = [], 0
-    while at < n:
-        at += min(size, 1 << ((n - at).bit_length() - 1))
-        out.append(at)
-    return out
-
-
 def places(doc_ends: np.ndarray, sentence_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Cuts (0 first) and their penalties."""
     ends = np.union1d(doc_ends, sentence_ends)
@@ -111,9 +102,9 @@ class _Stream:
         cuts, penalty = places(docs[:, 3], sentences)
         chosen = cuts[windows(cuts, penalty)]
         if last:
-            rest = int(chosen[-1] - chosen[-2])
-            if rest & (rest - 1):
-                chosen = np.concatenate([chosen[:-1], chosen[-2] + np.array(tail_cuts(rest))])
+            fine = np.arange(chosen[-2], chosen[-1] + 1)
+            kind = np.where(np.isin(fine, docs[:, 3]), 0, np.where(np.isin(fine, sentences), SENTENCE, ANYWHERE))
+            chosen = np.concatenate([chosen[:-1], fine[windows(fine - fine[0], kind, least=1)[1:]]])
         else:
             chosen = chosen[:-1]
         done = int(chosen[-1])
