@@ -10,8 +10,9 @@ and roles, control strings of this and other common templates lose their first c
 (backslash and digit); backslashes are escaped too, so :func:`unescape` gives back every text.
 
 Defined results: a null text or role is empty; a node whose parent is absent is a root; a node on a cycle has
-no root and its conversation's other paths are unaffected; repeated rows are separate turns; a null
-conversation id is a conversation of its own; an empty table gives an empty result.
+no root and its conversation's other paths are unaffected; a row with a null node is no message and is left out; of rows with one conversation
+and node one stays, that of the least parent, then role, text and score (:func:`chain` gives repeated rows nodes of their own, so they are separate turns there);
+a null conversation id is a conversation of its own; an empty table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations
@@ -82,6 +83,10 @@ def conversations(messages: DataFrame, branches: int = 1) -> DataFrame:
     ``messages``: ``conv, node, parent, role, text, score``. Result: ``conv, leaf, rank, score, n_turns,
     formatted, loss`` with ``loss array<struct<start, end>>`` the code points of the assistant's texts.
     """
+    fields = ("parent", "role", "text", "score")
+    messages = messages.select("conv", "node", *fields).filter("node IS NOT NULL")
+    if not messages.groupBy("conv", "node").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").isEmpty():
+        messages = written(messages.groupBy("conv", "node").agg(F.min(F.struct(*fields)).alias("m")).select("conv", "node", "m.*"), "tree-messages")
     walk = paths(messages)
     scored = messages.select("conv", "node", "score")
     same = lambda a, b: F.col(f"{a}.conv").eqNullSafe(F.col(f"{b}.conv")) & (F.col(f"{a}.node") == F.col(f"{b}.node"))
