@@ -1,13 +1,13 @@
 """Quality rules whose thresholds adapt to each language and source. DataFrame functions only.
 
 Every document gets integer metrics. Quantile sketches per (lang, source) and metric (:mod:`.sketches`) give
-quartiles; a metric beyond a fence ``quartile + factor x interquartile range``, with a least distance from the
-median, rejects the document. Groups too small for quartiles of their own use their language's, then the
-corpus's (merged from the same sketches). The base rules (too few words, too much repetition) always hold.
+quartiles; a metric beyond a fence ``quartile +- factor x interquartile range`` rejects the document. A fence lies at least a resolution
+away from the median: a step of the metric that single words or marks of an ordinary short text make, so that a group of equal values
+doesn't reject its next one. A group's quartiles are blended with its language's, and those with the corpus's (merged from the same
+sketches), by the weight ``n / (n + PRIOR)``, whatever the group's size. The base rules (too few words, too much repetition) always hold.
 
 Defined results: a null text has no words, so the base rules reject it; a null lang or source forms a group of
-its own; equal rows get equal verdicts; an empty table gives an empty result; other columns are left alone and
-may have any name not starting with ``__``.
+its own; equal rows get equal verdicts; an empty table gives an empty result; other columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,11 +22,14 @@ SPACES = r"[\x20\x09-\x0D]+"
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
-#: Documents that a group needs for thresholds of its own.
-MIN_GROUP = 200
-#: metric, fence factor, least distance of the upper fence from the median (in the metric's thousandths).
-FENCES = (("__word_length", 3.5, 1900), ("__symbol_share", 3.0, 20), ("__mark_share", 3.0, 60), ("__dup_share", 3.0, 400))
-SCOPES = (["lang", "source"], ["lang"], [])
+#: Documents at which a group's own quartiles weigh as much as those of the wider group.
+PRIOR = 100
+#: metric, factors of the lower and upper fence (None: no fence), resolution (in the metric's thousandths).
+FENCES = (
+    ("__word_length", 3.5, 3.5, 1900), ("__symbol_share", None, 3.0, 20), ("__mark_share", None, 3.0, 60), ("__dup_share", None, 3.0, 400),
+    ("__neighbour_share", None, 3.0, 60),
+)
+SCOPES = ([], ["lang"], ["lang", "source"])
 
 
 def _repeated_words(h: Column) -> Column:
@@ -52,6 +55,7 @@ def with_metrics(df: DataFrame, text: str = "text") -> DataFrame:
         }
     )
     df = df.withColumns({"__n_words": F.size("__words").cast("long"), "__hashes": F.transform("__words", lambda w: F.xxhash64(w)), "__n_lines": F.size("__lines"), "__n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long")})
+    df = df.withColumn("__n_neighbours", F.size(F.filter("__hashes", lambda w, i: (i > 0) & (w == F.get(F.col("__hashes"), i - 1)))).cast("long"))
     df = df.withColumn("__windows", _repeated_words(F.col("__hashes")))
     df = df.withColumn("__repeats", F.size("__windows") > F.size(F.array_distinct("__windows")))
     # Only texts with repeats are sorted. Neighbours with one hash are the repeated windows.
@@ -76,6 +80,7 @@ def with_metrics(df: DataFrame, text: str = "text") -> DataFrame:
             "__symbol_share": share("__n_symbols", "__word_chars", 1000),
             "__mark_share": share("__n_marks", "__word_chars", 1000),
             "__dup_share": share("__n_dup_lines", "__n_lines", 1000),
+            "__neighbour_share": share("__n_neighbours", "__n_words", 1000),
             "__base_failed": (F.col("__n_words") < MIN_WORDS) | (100 * F.col("__n_repeat_words") > MAX_REPEAT_PERCENT * F.col("__n_words")),
         }
     )
@@ -83,36 +88,48 @@ def with_metrics(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def thresholds(metrics: DataFrame) -> DataFrame:
-    """One row per (lang, source), with the upper limit of every metric: ``lang, source, limits map<metric, long>``.
+    """One row per (lang, source), with the limits of every metric: ``lang, source, __limits map<metric, struct<low, high>>``.
 
     Documents that the base rules reject take no part. ``metrics`` has ``lang, source, __base_failed`` and the metrics.
     """
-    names = [m for m, _, _ in FENCES]
+    names = [m for m, *_ in FENCES]
     fine = written(sketch(metrics.filter(~F.col("__base_failed")), ["lang", "source"], names), "quality-sketches")
-    groups = metrics.select("lang", "source").distinct()
-    limit = F.lit(None)
-    for m, factor, least in FENCES:
-        limit = F.when(F.col("metric") == m, F.greatest(F.col("q750") + factor * (F.col("q750") - F.col("q250")), F.col("q500") + least).cast("long")).otherwise(limit)
-    out = groups.withColumn("__all", F.lit(0))
+    out = metrics.select("lang", "source").distinct().withColumn("__all", F.lit(0))
     for k, keys in enumerate(SCOPES):
-        q = quantiles(merge(fine, keys), keys, [250, 500, 750]).filter(F.col("n") >= (MIN_GROUP if keys else 1))
-        per = q.withColumn("__limit", limit).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("metric", "__limit"))).alias(f"__limits{k}"))
-        per = per.select(*[F.col(c).alias(f"__k_{c}") for c in keys], F.lit(0).alias("__k___all"), f"__limits{k}")
+        q = quantiles(merge(fine, keys), keys, [250, 500, 750])
+        per = q.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("metric", F.struct("n", "q250", "q500", "q750")))).alias(f"__q{k}"))
+        per = per.select(*[F.col(c).alias(f"__k_{c}") for c in keys], F.lit(0).alias("__k___all"), f"__q{k}")
         out = out.join(per, [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in [*keys, "__all"]], "left").drop("__k___all", *[f"__k_{c}" for c in keys])
-    return out.select("lang", "source", F.coalesce(*[F.col(f"__limits{k}") for k in range(len(SCOPES))]).alias("__limits"))
+
+    def blended(metric: str, q: str) -> Column:
+        value = F.col("__q0")[metric][q].cast("double")
+        for k in range(1, len(SCOPES)):
+            own = F.col(f"__q{k}")[metric]
+            value = F.coalesce((own["n"] * own[q] + PRIOR * value) / (own["n"] + PRIOR), value)
+        return value
+
+    limits = []
+    for m, low, high, least in FENCES:
+        q1, q2, q3 = (blended(m, q) for q in ("q250", "q500", "q750"))
+        none = F.lit(None).cast("double")
+        below = none if low is None else F.least(q1 - low * (q3 - q1), q2 - least)
+        above = none if high is None else F.greatest(q3 + high * (q3 - q1), q2 + least)
+        limits += [F.lit(m), F.struct(below.alias("low"), above.alias("high"))]
+    return out.select("lang", "source", F.create_map(*limits).alias("__limits"))
 
 
 def judged(metrics: DataFrame, limits: DataFrame) -> DataFrame:
     """``metrics`` with ``__reasons`` (the metrics beyond their limits) and ``__kept``."""
     limits = limits.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), "__limits")
     joined = metrics.join(small(limits), F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left")
-    beyond = [F.when(F.col(m) > F.coalesce(F.col("__limits")[m], F.lit(1 << 62)), F.lit(m.lstrip("_"))) for m, _, _ in FENCES]
+    bound = lambda m, side: F.col("__limits")[m][side]
+    beyond = [F.when(F.coalesce(F.col(m) > bound(m, "high"), F.lit(False)) | F.coalesce(F.col(m) < bound(m, "low"), F.lit(False)), F.lit(m.lstrip("_"))) for m, *_ in FENCES]
     # One predicate over both sides of the join: a part of it alone would be pushed below, with all that it is made of.
     joined = joined.withColumn("__reasons", F.array_compact(F.array(F.when(F.col("__base_failed"), F.lit("base")), *beyond)))
     return joined.withColumn("__kept", F.size("__reasons") == 0).drop("__lang", "__source", "__limits")
 
 
-METRIC_COLUMNS = ["lang", "source", "__n_words", "__word_chars", "__n_symbols", "__n_dup_lines", "__n_repeat_words", "__base_failed", *[m for m, _, _ in FENCES]]
+METRIC_COLUMNS = ["lang", "source", "__n_words", "__word_chars", "__n_symbols", "__n_dup_lines", "__n_repeat_words", "__base_failed", *[m for m, *_ in FENCES]]
 
 
 def assess(docs: DataFrame) -> DataFrame:
@@ -126,6 +143,7 @@ def assess(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with their own columns. The figures are computed again beside the text, so that no text is shuffled."""
-    metrics = written(with_metrics(docs.select("doc_id", "text", "lang", "source")).select(*METRIC_COLUMNS), "quality-metrics")
-    return judged(with_metrics(docs), written(thresholds(metrics), "quality-limits")).filter("__kept").select(*docs.columns)
+    """The documents that pass, with their own columns. The rows are written once with their metrics, so that neither is a text shuffled nor a metric made twice."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text", "lang", "source")
+    measured = written(with_metrics(rows).select("row", *METRIC_COLUMNS), "quality-rows")
+    return judged(measured, written(thresholds(measured), "quality-limits")).filter("__kept").select("row.*")
