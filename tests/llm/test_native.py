@@ -8,7 +8,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from dossier.llm import chats, fingerprints, fingerprints_query, quality, secrets, secrets_query, sketches
+from dossier.llm import chats, chats_query, fingerprints, fingerprints_query, quality, quality_query, secrets, secrets_query, sketches
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 HEAD = "the cat sat on the mat and looked at nine small birds "
@@ -46,6 +46,53 @@ def test_quality_adapts(spark):
     assert all(kept[r[0]] for r in dense)  # what is usual in a source is no fault there
 
 
+def test_kept_by_brute_force(spark, tmp_path):
+    """The registered query on rows of several groups, with nulls, ties and repeated rows: fences from exact quartiles of the sketches' buckets."""
+    import random
+
+    rng = random.Random(2)
+    rows = []
+    for i in range(700):
+        w = ["".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 9 + i % 3))) for _ in range(rng.randint(15, 60))]
+        w = [x + rng.choice(["", "", "", ",", "**" if i % 40 == 0 else "."]) for x in w]
+        if i % 50 == 7:
+            w = [x for x in w[:12] for _ in range(4)]
+        rows.append((i, " ".join(w), rng.choice(["en", "de", None]), rng.choice(["a", "b", None, "rare" if i % 90 == 0 else "a"]), 0))
+    rows += [rows[3], (None, None, "en", "a", None), (900, "", None, None, 0), (901, "x" * 40_000, "en", "a", 0)]
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+
+    def metrics(t):
+        n, chars, symbols, dup, _, failed = base(t)
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        share = lambda a, b: 1000 * a // b if b else 0
+        marks = len(re.findall(r"[!-/:-@\[-`{-~]", t or ""))
+        return failed, dict(word_length=share(chars, n), symbol_share=share(symbols, chars), mark_share=share(marks, chars), dup_share=share(dup, len(lines)), neighbour_share=share(sum(a == b for a, b in zip(w, w[1:])), n))
+
+    low = lambda v: v >> max(0, v.bit_length() - 6) << max(0, v.bit_length() - 6)
+
+    def quartiles(values):
+        x = sorted(map(low, values))
+        return [next(v for k, v in enumerate(x, 1) if k * 1000 >= len(x) * p) for p in (250, 500, 750)]
+
+    made = [(r, *metrics(r[1])) for r in rows]
+    want = collections.Counter()
+    for r, failed, m in made:
+        beyond = failed
+        for name, below, above, least in quality.FENCES:
+            q = None
+            for same in (lambda x: True, lambda x: x[2] == r[2], lambda x: x[2:4] == r[2:4]):
+                group = [mm[name.lstrip("_")] for x, f, mm in made if not f and same(x)]
+                if group:
+                    own, n = quartiles(group), len(group)
+                    q = own if q is None else [(n * a + quality.PRIOR * b) / (n + quality.PRIOR) for a, b in zip(own, q)]
+            v = m[name.lstrip("_")]
+            beyond |= v > max(q[2] + above * (q[2] - q[0]), q[1] + least) or (below is not None and v < min(q[0] - below * (q[2] - q[0]), q[1] - least))
+        want[r[0], not beyond] += 1
+    got = quality_query.op1_quality_rules(spark, str(tmp_path)).collect()
+    assert collections.Counter((r["doc_id"], r["kept"]) for r in got) == want and 20 < sum(not k for _, k in want) < 200
+
+
 def test_sketches_merge(spark):
     values = spark.range(1, 20_000).select((F.col("id") % 7).alias("k"), (F.col("id") * F.col("id")).alias("v"))
     fine = sketches.sketch(values, ["k"], ["v"])
@@ -56,26 +103,61 @@ def test_sketches_merge(spark):
 
 
 def canon(t):
-    return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", t or "").lower()).strip()
+    fold = lambda x: unicodedata.normalize("NFKC", x)
+    return re.sub(r"\s+", " ", fold(fold(t or "").casefold())).strip()
 
 
 def test_fingerprints(odd, spark):
-    rows = fingerprints.fingerprints(odd).select("text", "fingerprint").collect()
+    rows = fingerprints.fingerprints(odd.withColumn("fingerprint", F.lit("clash")).withColumn("canon", F.lit(1))).select("text", "fingerprint", "fingerprint_").collect()
     by = collections.defaultdict(set)
     for r in rows:
-        by[r["fingerprint"]].add(canon(r["text"].replace("İ", "i̇") if r["text"] else ""))
+        by[r["fingerprint_"]].add(canon(r["text"]))
+    assert {r["fingerprint"] for r in rows} == {"clash"}
     assert all(len(v) == 1 for v in by.values()) and len(by) == len({canon(t) for t in [*ODD, "null id"]})
     assert fingerprints.fingerprints(odd.limit(0)).count() == 0
     n = fingerprints.copies(odd)
     assert n.count() == odd.count() and n.filter("doc_id = 4 AND n_copies = 3 AND class_id = 4").count() == 2
 
 
+def test_case_is_folded(spark):
+    texts = ["STRASSE", "straße", "ΣΑΣ", "σασ", "ﬁsh ﬂy", "FISH  FLY", "ΐ", "\u0390"]
+    rows = fingerprints.fingerprints(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).orderBy("doc_id").collect()
+    prints = [r["fingerprint"] for r in rows]
+    assert all(prints[i] == prints[i + 1] for i in range(0, len(texts), 2)) and len(set(prints)) == len(texts) // 2
+
+
 def test_clashing_digests_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "digest", lambda c: F.lit("same"))
     rows = fingerprints.fingerprints(spark.createDataFrame([(1, "a"), (2, "b"), (3, "A ")], "doc_id long, text string")).orderBy("doc_id").collect()
     assert [r["fingerprint"] for r in rows] == ["same", "same-1", "same"]
 
 
+def test_edited_texts_are_compared_byte_by_byte(spark, tmp_path, monkeypatch):
+    rows = [(1, "abcdefgh"), (2, "ijklmnop"), (3, "abcdefij"), (4, "abcdefij"), (None, None), (5, "xy")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    own = {r["doc_id"]: r for r in fingerprints_query.op2_document_fingerprints(spark, str(tmp_path)).collect()}
+    for module in (fingerprints, fingerprints_query):
+        monkeypatch.setattr(module, "digest", lambda c: F.lit("same"))
+    got = {r["doc_id"]: r for r in fingerprints_query.op2_document_fingerprints(spark, str(tmp_path)).collect()}
+    prints = lambda by: [by[i][c] for i in by for c in ("fingerprint", "edited_fingerprint")]
+    same = lambda by: [[x == y for y in prints(by)] for x in prints(by)]
+    assert len(own) == 6 and list(own) == list(got) and same(own) == same(got) and len(set(prints(own))) > 4
+    for r in own.values():
+        assert got[r["doc_id"]]["near_edited"] == r["near_edited"] and got[r["doc_id"]]["near_next"] == r["near_next"] and got[r["doc_id"]]["edited_sha256"] == r["edited_sha256"]
+    assert own[1]["edited_fingerprint"] == own[3]["fingerprint"] == own[4]["fingerprint"] and own[3]["near_next"] == 1.0
+
+
+def test_many_null_ids_have_next_documents(spark):
+    df = spark.createDataFrame([(None, f"text {i}") for i in range(200)] + [(1, "one"), (2, "two")], "doc_id long, text string").repartition(3)
+    rows = fingerprints.with_next(df).collect()
+    after = {r["text"]: r["next_text"] for r in rows}
+    walk, at = [], "one"
+    for _ in range(len(after)):
+        walk.append(at)
+        at = after[at]
+    assert at == "one" and len(set(walk)) == 202 and walk[1] == "two"
+
+
 def test_next_document(spark, tmp_path):
     rows = [(i * i, f"text {i}") for i in range(57)] + [(None, "first")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
@@ -106,15 +188,23 @@ def test_secrets(spark, tmp_path):
     assert got == {i: (spans(t or ""), hashlib.sha256(spans(t or "").encode()).hexdigest()) for i, t in rows}
 
 
-def test_ledger(spark):
-    df = spark.createDataFrame([(1, SECRET_TEXTS[0]), (2, SECRET_TEXTS[3]), (3, SECRET_TEXTS[0])], "doc_id long, text string")
-    found, ledger = secrets.scan(df)
-    assert {r["doc_id"] for r in secrets.by_path(df, found).filter("rule = 'assign'").collect()} == {1, 3}
-    more = df.union(spark.createDataFrame([(4, "token=0123456789")], "doc_id long, text string"))
-    assert [r["text"] for r in secrets.unseen(more, ledger).collect()] == ["token=0123456789"]
-    newer = (secrets.Rule("assign", 2, secrets.RULES[0].pattern, 1, 8), *secrets.RULES[1:])
-    assert all(r["todo"] == ["assign@2"] for r in secrets.unseen(df, ledger, newer).collect())
-    assert secrets.scan(df.limit(0))[0].count() == 0
+def test_ledger(spark, tmp_path):
+    df = spark.createDataFrame([(1, SECRET_TEXTS[0], 0), (2, SECRET_TEXTS[3], 0), (3, SECRET_TEXTS[0], 0)], "doc_id long, text string, blob int")
+    ledger = secrets.Ledger(spark, str(tmp_path / "ledger"))
+    secrets.scan(df.limit(0), ledger)
+    assert ledger.table("scanned").count() == ledger.findings().count() == 0
+    secrets.scan(df, ledger)
+    assert {r["doc_id"] for r in secrets.by_path(df, ledger.findings()).filter("rule = 'assign'").collect()} == {1, 3}
+    more = df.union(spark.createDataFrame([(4, "token=0123456789", 0), (5, None, 0)], df.schema))
+    assert {r["text"] for r in secrets.unseen(more, ledger.table("scanned")).collect()} == {"token=0123456789", ""}
+    secrets.scan(more, ledger)
+    secrets.scan(more, ledger)  # nothing is left to scan
+    assert ledger.table("scanned").count() == 4 * len(secrets.RULES)
+    assert {r["doc_id"] for r in secrets.by_path(more, ledger.findings()).filter("rule = 'assign'").collect()} == {1, 3, 4}
+    newer = (secrets.Rule("assign", 2, secrets.RULES[0].pattern, 1, 16), *secrets.RULES[1:])
+    assert all(r["todo"] == ["assign@2"] for r in secrets.unseen(more, ledger.table("scanned"), newer).collect())
+    secrets.scan(more, ledger, newer)
+    assert ledger.findings(newer).filter("rule = 'assign'").count() == 0 < ledger.findings().filter("rule = 'assign'").count()
 
 
 def test_reply_trees(spark):
@@ -129,6 +219,31 @@ def test_reply_trees(spark):
     assert chats.conversations(df.limit(0)).count() == 0
 
 
+def test_repeated_and_null_nodes(spark):
+    rows = [("c", 1, None, "user", "q", 0), ("c", 1, None, "user", "p", 0), ("c", 2, 1, "assistant", "a", 1), ("c", 2, 1, "assistant", "a", 1), ("c", None, 1, "user", "lost", 9)]
+    df = spark.createDataFrame(rows, "conv string, node long, parent long, role string, text string, score long").withColumn("leaf", F.lit("clash"))
+    got = chats.conversations(df, branches=5).select(chats.turns_of(F.col("formatted")).alias("t")).collect()
+    assert [[x["text"] for x in r["t"]] for r in got] == [["p", "a"]]
+
+
+def test_chat_query(spark, tmp_path):
+    texts = ["hello", None, "</s>[INST] \\0 <|end|>\n", "", "x" * 200_000, "a\nb <|user|>\n"]
+    rows = [(c, k, "user" if k % 2 == 0 else "assistant", texts[(c + k) % len(texts)]) for c in range(8) for k in range(c + 1)]
+    rows += [(50, 0, "assistant", "same"), (50, 0, "assistant", "same"), (None, 3, None, "no id"), (51, None, "user", "no turn"), (51, 1, "system", "s")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("score", F.lit("clash")).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["conv_id"]: r for r in chats_query.op6_chat_formatting(spark, str(tmp_path)).collect()}
+    say = "</s>[INST] ok [/INST]"
+    by = collections.defaultdict(list)
+    for c, k, role, t in [*rows, (-7, 0, "user", say), (-7, 1, "assistant", say)]:
+        by[c].append((-1 if k is None else k, role or "", t or ""))
+    assert len(got) == len(by)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for c, turns in by.items():
+        turns = sorted(turns, key=lambda x: x[0])
+        loss = "".join(t for _, role, t in turns if role == "assistant")
+        assert (got[c]["n_turns"], got[c]["turns_sha256"], got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(turns), sha("".join(f"{r}\n{t}\n" for _, r, t in turns)), len(loss), sha(loss))
+
+
 def test_long_chain(spark):
     rows = spark.range(300).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("[INST] \\ <|x|> "), F.col("id").cast("string")).alias("text"))
     out = chats.conversations(chats.chain(rows).withColumn("score", F.lit(1))).select("n_turns", chats.turns_of(F.col("formatted")).alias("t")).collect()
