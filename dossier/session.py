@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import SparkSession
 
 #: Duplicate JSON keys: the last wins, as in most readers. Tables compare in UTC.
@@ -18,3 +21,14 @@ def configured(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``. A session on one machine that lacks it gets a temporary one; on a cluster that is an error."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where is None:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        where = f"file://{tempfile.gettempdir()}/dossier-shared"
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where
