@@ -21,6 +21,19 @@ CATEGORIES = {
     "Market Positioning": ("market_positioning", "market", "Market Positioning", "市场定位"),
 }
 OTHER = "Other Info"
+# Category keys of the validator's reading.
+VALIDATOR_KEYS = (
+    "basic_info", "Basic Info",
+    "technical_features", "technical_characteristics", "Technical Features",
+    "performance_metrics", "performance", "Performance Metrics",
+    "milestone_significance", "milestones", "Milestone Significance",
+    "business_info", "commercial_info", "Business Info",
+    "competition_ecosystem", "competition", "Competition Ecosystem",
+    "history", "History",
+    "market_positioning", "market", "Market Positioning",
+)
+#: Levels of objects that one pass over the records unrolls; records nested deeper take further passes.
+UNROLL = 4
 
 
 def alias_rows() -> list[tuple[str, str]]:
@@ -42,35 +55,51 @@ def _entries(raw: Column) -> Column:
     return F.zip_with(F.map_entries(values), F.map_values(texts), lambda e, t: F.struct(e["key"].alias("key"), e["value"].alias("value"), t.alias("raw")))
 
 
+def nesting(items: DataFrame) -> int:
+    """Most levels of objects or lists in any record's JSON text (``raw``), by its brackets outside of strings."""
+    bare = F.regexp_replace(F.regexp_replace("raw", r'"(?:\\.|[^"\\])*"', ""), r"[^\[\]{}]", "")
+    step = lambda a, c: F.struct((a["now"] + F.when(c.isin("{", "["), 1).otherwise(-1)).alias("now"), F.greatest(a["most"], a["now"] + 1).alias("most"))
+    depth = F.aggregate(F.filter(F.split(bare, ""), lambda c: c != ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda a: a["most"])
+    return items.agg(F.max(depth)).first()[0] or 0
+
+
 def _walk(raw: Column, pos: Column, aliases: Column, left: int) -> Column:
-    """Fields of an object as an array of ``pos, category, field, value, raw``; ``left`` more levels are walked through."""
+    """Fields of an object as an array of ``pos, category, field, value, raw, rest``; ``left`` more levels are walked through, an object below them is ``rest``."""
 
     def one(e: Column, i: Column) -> Column:
         at, name = F.concat(pos, F.array(i)), F.try_element_at(aliases, e["key"])
         is_object = F.coalesce(F.schema_of_variant(e["value"]).startswith("OBJECT"), F.lit(False))
-        row = lambda at, category, x: F.struct(at.alias("pos"), category.alias("category"), x["key"].alias("field"), x["value"].alias("value"), x["raw"].alias("raw"))
+        row = lambda at, category, x, rest=F.lit(False): F.struct(at.alias("pos"), category.alias("category"), x["key"].alias("field"), x["value"].alias("value"), x["raw"].alias("raw"), rest.alias("rest"))
         leaf = F.array(row(at, F.coalesce(name, F.lit(OTHER)), e))
         inside = F.filter(F.transform(_entries(e["raw"]), lambda c, j: row(F.concat(at, F.array(j)), F.coalesce(name, F.lit(OTHER)), c)), lambda r: ~r["field"].isin(*RESERVED))
-        deeper = _walk(e["raw"], at, aliases, left - 1) if left else leaf
+        deeper = _walk(e["raw"], at, aliases, left - 1) if left else F.array(row(at, F.lit(OTHER), e, F.lit(True)))
         return F.when(e["key"].isin(*RESERVED), F.slice(leaf, 1, 0)).when(is_object & name.isNotNull(), inside).when(is_object, deeper).otherwise(leaf)
 
     return F.flatten(F.transform(_entries(raw), one))
 
 
-def explode_fields(items: DataFrame, aliases: DataFrame | None = None, depth: int = 4) -> DataFrame:
+def explode_fields(items: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """The report's field table of ``items`` (``item_id, raw``): ``item_id, pos, category, field, value, raw, json_type, is_uncertain``.
 
-    An alias key with an object gives its entries to that category; other objects are walked through; an alias key with another
+    An alias key with an object gives its entries to that category; other objects are walked through, to any depth; an alias key with another
     value belongs to its category, the rest to :data:`OTHER`. Reserved keys are dropped at every level. The walk is
-    a bounded unroll of ``depth`` levels; what lies deeper is one field with the object as its value. Each record is
-    read once, in its own row; the aliases (a dimension) come as one map.
+    an unroll of a few levels, taken as often as the deepest record needs it. Each record is
+    read in its own row; the aliases (a dimension) come as one map.
     """
     pairs = items.sparkSession.createDataFrame(alias_rows(), "alias string, canonical string") if aliases is None else aliases
     one = pairs.agg(F.map_from_entries(F.collect_list(F.struct("alias", "canonical"))).alias("__aliases"))
     listed = F.coalesce(F.from_json(F.get_json_object("raw", "$.uncertain"), "array<string>"), F.array().cast("array<string>"))
-    rows = items.select("item_id", "raw", listed.alias("listed")).join(F.broadcast(one), F.lit(True), "left")
-    fields = _walk(F.col("raw"), F.array().cast("array<int>"), F.col("__aliases"), depth - 1)
-    out = rows.select("item_id", "listed", F.explode(fields).alias("f")).select("item_id", "listed", "f.*")
+    rows = items.select("item_id", "raw", listed.alias("listed")).join(F.broadcast(one), F.lit(True), "left").withColumn("at", F.array().cast("array<int>"))
+    levels, out = nesting(items), None
+    while True:
+        fields = _walk(F.col("raw"), F.col("at"), F.col("__aliases"), max(1, min(UNROLL, levels)) - 1)
+        found = rows.select("item_id", "listed", "__aliases", F.explode(fields).alias("f")).select("item_id", "listed", "__aliases", "f.*")
+        done = found.filter("NOT rest").drop("rest", "__aliases")
+        out = done if out is None else out.unionByName(done)
+        levels -= UNROLL
+        if levels <= 0:
+            break
+        rows = found.filter("rest").select("item_id", "raw", "listed", "__aliases", F.col("pos").alias("at"))
     kind = F.schema_of_variant("value")
     text = F.when(F.is_variant_null("value"), None).otherwise(F.col("raw"))
     doubt = F.coalesce(F.is_variant_null("value"), F.lit(True)) | F.array_contains("listed", F.col("field")) | ((kind == "STRING") & ((strip(text) == "") | text.contains(MARK)))
@@ -85,22 +114,30 @@ def reportable(fields: DataFrame) -> DataFrame:
     return ranked.filter("__n = 1").withColumn("pos", F.col("__first")).drop("__first", "__n")
 
 
-def field_names(items: DataFrame, depth: int = 4) -> DataFrame:
+def field_names(items: DataFrame) -> DataFrame:
     """The validator's reading of ``items`` (``item_id, raw``): distinct ``item_id, field``.
 
-    Category keys with an object are descended, with another value ignored; every other key is a field, and its value isn't
+    Category keys with an object are descended, to any depth, with another value ignored; every other key is a field, and its value isn't
     looked into. A list at the root stands for its objects.
     """
-    keys = [a for a, _ in alias_rows() if not any(ord(c) > 127 for c in a) and a != "Competition & Ecosystem"] + ["Competition Ecosystem"]
 
     def names(raw: Column, left: int) -> Column:
         def one(e: Column) -> Column:
-            name = F.array(e["key"])
+            row = lambda field, rest: F.array(F.struct(field.alias("field"), rest.alias("rest")))
+            none, text = F.slice(row(e["key"], e["raw"]), 1, 0), F.lit(None).cast("string")
             is_object = F.coalesce(F.schema_of_variant(e["value"]).startswith("OBJECT"), F.lit(False))
-            deeper = names(e["raw"], left - 1) if left else F.slice(name, 1, 0)
-            return F.when(e["key"].isin(*SKIPPED), F.slice(name, 1, 0)).when(~e["key"].isin(*keys), name).when(is_object, deeper).otherwise(F.slice(name, 1, 0))
+            deeper = names(e["raw"], left - 1) if left else row(text, e["raw"])
+            return F.when(e["key"].isin(*SKIPPED), none).when(~e["key"].isin(*VALIDATOR_KEYS), row(e["key"], text)).when(is_object, deeper).otherwise(none)
 
         return F.flatten(F.transform(_entries(raw), one))
 
-    roots = items.select("item_id", F.explode(F.coalesce(F.from_json("raw", "array<string>"), F.array("raw"))).alias("raw"))
-    return roots.select("item_id", F.explode(names(F.col("raw"), depth - 1)).alias("field")).distinct()
+    rows = items.select("item_id", F.explode(F.coalesce(F.from_json("raw", "array<string>"), F.array("raw"))).alias("raw"))
+    levels, out = nesting(items), None
+    while True:
+        found = rows.select("item_id", F.explode(names(F.col("raw"), max(1, min(UNROLL, levels)) - 1)).alias("f")).select("item_id", "f.*")
+        done = found.filter("rest IS NULL").select("item_id", "field")
+        out = done if out is None else out.unionByName(done)
+        levels -= UNROLL
+        if levels <= 0:
+            return out.distinct()
+        rows = found.filter("rest IS NOT NULL").select("item_id", F.col("rest").alias("raw"))
