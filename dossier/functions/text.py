@@ -28,9 +28,9 @@ def one_line(c: Column) -> Column:
 
 
 def normalise(c: Column) -> Column:
-    """No-break spaces and runs of blanks as one blank, none around line ends or at the ends."""
+    """No-break spaces and runs of blanks as one blank, none around line ends or at the ends, no blank lines."""
     out = F.regexp_replace(F.replace(c, F.lit(" "), F.lit(" ")), r"[ \t\f\r]+", " ")
-    return strip(F.regexp_replace(out, r" ?\n ?", "\n"))
+    return strip(F.regexp_replace(out, r"\s*\n\s*", "\n"))
 
 
 def truncate(c: Column, most: int) -> Column:

@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
+import json
 from html.parser import HTMLParser
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dossier.functions.text import strip, truncate
+from dossier.functions.text import normalise, one_line, strip, truncate
 
 #: Most characters of each kind of block, and most blocks of a kind on a slide.
-MOST_CHARS = {"heading": 140, "item": 160, "paragraph": 220, "card": 220, "diagram": 220, "code": 850, "cell": 90}
+MOST_CHARS = {"title": 140, "subtitle": 180, "heading": 140, "item": 160, "paragraph": 220, "card": 220, "diagram": 220, "code": 850, "cell": 90}
 MOST_BODY, MOST_TABLES, MOST_CODE, MOST_ROWS, MOST_CELLS = 10, 2, 2, 9, 5
-_SKIP = {"script", "style", "nav", "button", "svg", "canvas", "template", "noscript"}
-_VOID = {"br", "img", "hr", "input", "meta", "link", "area", "base", "col", "source", "track", "wbr"}
-#: Open elements that a start or end tag closes where their own end tag is left out.
-_ENDS_BEFORE = {**{t: {"p"} for t in ("p", "ul", "ol", "table", "pre", "div", "section", "blockquote", "h1", "h2", "h3", "h4")}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th"}}
-_ENDS_WITH = {"ul": {"li"}, "ol": {"li"}, "table": {"td", "th"}, "tr": {"td", "th"}}
-_BLOCKS = {"h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "li": "item", "p": "paragraph", "pre": "code", "td": "cell", "th": "cell"}
+# Elements and classes that a deck shows no text of; a diagram's source counts nonetheless.
+IGNORED = ("script", "style", "button", "svg", "canvas", "nav")
+IGNORED_CLASSES = ("deck-progress", "deck-dots", "deck-counter", "deck-hint", "deck-nav", "reader-rail", "reader-panel", "outline-overlay", "help-overlay", "zoom-controls")
+DIAGRAMS = ("mermaid", "diagram-source")
+CARDS, CARD_CLASSES = ("article", "aside"), ("card", "panel", "metric-card")
+#: Classes of a subtitle and of a displayed title, the first ones first, and texts of a diagram.
+SUBTITLES = ("slide__subtitle", "subtitle", "eyebrow", "kicker")
+TITLES = ("slide__display", "slide__heading", "blockquote", "slide__kpi-label")
+DIAGRAM_TEXT, NO_DIAGRAM = "Diagram source: ", "Diagram placeholder: render from the HTML deck for full fidelity."
+_VOID = {"br", "img", "hr", "input", "meta", "link", "area", "base", "col", "source", "track", "wbr", "embed", "param"}
+#: Elements that a start tag closes where their own end tag is left out, and those beyond which none is closed.
+_CLOSES = {**{t: {"p"} for t in ("p", "ul", "ol", "table", "pre", "div", "section", "article", "aside", "blockquote", "h1", "h2", "h3", "h4")}, "li": {"li", "p"}, "td": {"td", "th", "p", "li"}, "th": {"td", "th", "p", "li"}, "tr": {"tr", "td", "th", "p", "li"}}
+_WITHIN = {"li": {"ul", "ol", "section", "table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tr": {"table"}}
+_CONTAINERS = {"div", "section", "article", "aside", "blockquote", "li", "td", "th", "ul", "ol", "table", "body", "html"}
 
 
 def cleaned(html: Column) -> Column:
@@ -52,90 +61,185 @@ def page_blocks(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", F.explode(each).alias("b")).select("page_id", "b.*")
 
 
+class _Element:
+    def __init__(self, tag: str, names: list[str], pos: int, slide: int):
+        self.tag, self.names, self.pos, self.slide = tag, names, pos, slide
+        self.text: list[str] = []
+        self.rows: list[list[str]] = []
+        diagram = any(c in names for c in DIAGRAMS)
+        self.ignored = (tag in IGNORED or any(c in names for c in IGNORED_CLASSES)) and "diagram-source" not in names
+        self.holds = "table" if tag == "table" else "diagram" if diagram else "code" if tag == "pre" else None  # what takes all text inside
+        roles = []
+        if self.holds is None:
+            roles += [("heading", " ".join(names))] * (tag in ("h1", "h2", "h3", "h4")) + [("item", "")] * (tag == "li") + [("paragraph", "")] * (tag == "p")
+            roles += [("card", "")] * (tag in CARDS or any(c in names for c in CARD_CLASSES))
+            roles += [("subtitle", c) for c in SUBTITLES if c in names]
+            roles += [("display", c) for c in TITLES if c in names or c == tag]
+        self.roles = roles
+
+
 class _Reader(HTMLParser):
-    """Blocks of a document in order: (slide, kind, element class, text)."""
+    """Blocks of a document: ``(slide, position, kind, style, text)``. Tables take the text inside them, then diagrams, then code, then the rest."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.out: list[tuple[int, str, str, str]] = []
-        self.slide, self.skip, self.open = 0, 0, []
+        self.out: list[tuple[int, int, str, str, str]] = []
+        self.open: list[_Element] = []
+        self.slides: list[tuple[bool, bool]] = []  # is a section; has something to show
+        self.pos = 0
 
     def handle_starttag(self, tag, attrs):
         if tag in _VOID:
             return
-        kind = dict(attrs).get("class") or ""
-        names = kind.split()
-        if self.skip or tag in _SKIP:
-            self.skip += 1
-            return
+        names = (dict(attrs).get("class") or "").split()
+        closes = _CLOSES.get(tag, ())
+        stop = _WITHIN.get(tag, _CONTAINERS)
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k].tag in closes:
+                self._close(k)
+            elif self.open[k].tag in stop:
+                break
         if "slide" in names:
-            self._close_all()
-            self.slide += 1
-        what = "diagram" if "diagram-source" in names else "card" if "card" in names else _BLOCKS.get(tag)
-        self._close(_ENDS_BEFORE.get(tag, set()))
-        if tag in ("table", "tr"):
-            self.out.append((self.slide, tag, kind, ""))
-        if what:
-            self.open.append([tag, what, kind, []])
+            self._close(0)
+            self.slides.append((tag == "section", False))
+        at = self.open[-1].slide if self.open else 0
+        if at and tag in ("h1", "h2", "h3", "h4", "p", "li", "table", "pre"):
+            self.slides[at - 1] = (self.slides[at - 1][0], True)
+        self.pos += 1
+        slide = len(self.slides) if "slide" in names else self.open[-1].slide if self.open else 0
+        self.open.append(_Element(tag, names, self.pos, slide))
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if tag in _VOID:
-            return
-        if self.skip:
-            self.skip -= 1
-            return
-        self._close(_ENDS_WITH.get(tag, {tag}))
-
-    def handle_data(self, data):
-        if not self.skip:
-            for block in self.open:
-                block[3].append(data)
-
-    def _close(self, tags):
         for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] in tags:
-                for tag, what, kind, text in reversed(self.open[k:]):
-                    self.out.append((self.slide, what, kind, "".join(text)))
-                del self.open[k:]
+            if self.open[k].tag == tag:
+                self._close(k)
                 return
 
-    def _close_all(self):
-        if self.open:
-            self._close({self.open[0][0]})
-
-    def result(self):
-        self._close_all()
-        return self.out
+    def handle_data(self, data):
+        if any(e.ignored for e in self.open):
+            return
+        for kind in ("table", "diagram", "code"):
+            holders = [k for k, e in enumerate(self.open) if e.holds == kind]
+            if holders:
+                inside = self.open[holders[-1] :]
+                cells = [e for e in inside if e.tag in ("td", "th")] if kind == "table" else inside[:1]
+                for e in cells[-1:]:
+                    e.text.append(data)
+                return
+        for e in self.open:
+            if e.roles:
+                e.text.append(data)
+
+    def _close(self, k: int) -> None:
+        """Closes all open elements from the ``k``th on."""
+        while len(self.open) > k:
+            e = self.open.pop()
+            if e.ignored or any(x.ignored for x in self.open):
+                continue
+            table = next((x for x in reversed(self.open) if x.tag == "table"), None)
+            add = lambda kind, style, text: self.out.append((e.slide, e.pos, kind, style, text))  # noqa: E731, B023
+            if e.tag in ("td", "th") and table:
+                if not table.rows:
+                    table.rows.append([])
+                table.rows[-1].append("".join(e.text))
+            elif e.tag == "tr" and table:
+                table.rows.append([])
+            elif table and e.tag != "table":
+                continue
+            elif e.holds == "table":
+                add("table", "", json.dumps([r for r in e.rows if r]))
+            elif any(x.holds in ("diagram", "code") for x in self.open):
+                continue
+            elif e.holds:
+                add(e.holds, "", "".join(e.text))
+            for kind, style in e.roles:
+                add(kind, style, "".join(e.text))
+
+    def result(self) -> list[tuple[int, int, str, str, str]]:
+        """Blocks by their place; slides are the sections of class ``slide``, or other elements of that class that show something, numbered from 1."""
+        self._close(0)
+        sections = [k for k, (section, _) in enumerate(self.slides, 1) if section]
+        use = sections or [k for k, (_, full) in enumerate(self.slides, 1) if full]
+        number = {k: n for n, k in enumerate(use, 1)}
+        return [(number.get(k, 0), *rest) for k, *rest in sorted(self.out, key=lambda b: b[1])]
 
 
 BLOCK = "array<struct<slide:int,pos:int,kind:string,style:string,text:string>>"
+ROWS = "array<array<string>>"
 
 
 def blocks(pages: DataFrame) -> DataFrame:
-    """``page_id, slide, pos, kind, style, text`` by an HTML parser, over Arrow batches; broken markup closes where it must."""
+    """``page_id, slide, pos, kind, style, text, rows`` by an HTML parser, over Arrow batches; broken markup closes where it must.
+
+    Texts are in one line, of code with its lines; blank ones are dropped but for diagrams, which get a placeholder. Tables have rows of cells
+    without blank rows. What stands outside of slides has slide 0.
+    """
     @F.pandas_udf(BLOCK)
     def read(html):
         def one(text):
             reader = _Reader()
             reader.feed(text or "")
             reader.close()
-            found = [(s, k, c, t if k == "code" else " ".join(t.split())) for s, k, c, t in reader.result()]
-            return [{"slide": s, "pos": i, "kind": k, "style": c, "text": t} for i, (s, k, c, t) in enumerate(found) if t or k in ("table", "tr")]
+            return [{"slide": s, "pos": i, "kind": k, "style": c, "text": t} for i, (s, _, k, c, t) in enumerate(reader.result())]
 
         return html.map(one)
 
-    return pages.select("page_id", F.explode(read("html")).alias("b")).select("page_id", "b.*")
+    rows = pages.select("page_id", F.explode(read("html")).alias("b")).select("page_id", "b.*")
+    is_ = lambda k: F.col("kind") == k
+    line = one_line(normalise(F.col("text")))
+    cells = F.transform(F.from_json("text", ROWS), lambda r: F.transform(r, lambda c: truncate(one_line(normalise(c)), MOST_CHARS["cell"])))
+    table = F.filter(cells, lambda r: F.exists(r, lambda c: c != ""))
+    diagram = F.when(line == "", F.lit(NO_DIAGRAM)).otherwise(F.concat(F.lit(DIAGRAM_TEXT), truncate(line, MOST_CHARS["diagram"])))
+    text = F.when(is_("table"), "").when(is_("diagram"), diagram).when(is_("code"), truncate(normalise(F.col("text")), MOST_CHARS["code"])).otherwise(line)
+    rows = rows.select("page_id", "slide", "pos", "kind", "style", text.alias("text"), F.when(is_("table"), table).alias("rows"))
+    return rows.filter((F.col("text") != "") | (is_("table") & (F.size("rows") > 0)) | is_("subtitle"))
+
+
+def heads(found: DataFrame) -> DataFrame:
+    """``page_id, slide, title, subtitle`` of every slide, uncut: the first heading (null without one); of each subtitle class the first element, the first that has a text."""
+    heading = F.col("kind") == "heading"
+    rank = F.coalesce(*[F.when(F.col("style") == c, i) for i, c in enumerate(SUBTITLES)])
+    first = F.row_number().over(Window.partitionBy("page_id", "slide", "kind", "style").orderBy("pos"))
+    rows = found.withColumn("__n", F.when(F.col("kind") == "subtitle", first))
+    shown = (F.col("__n") == 1) & (F.col("text") != "")
+    return rows.groupBy("page_id", "slide").agg(
+        F.min_by(F.when(heading, F.col("text")), F.when(heading, F.col("pos"))).alias("title"),
+        F.coalesce(F.min_by(F.when(shown, F.col("text")), F.when(shown, rank)), F.lit("")).alias("subtitle"),
+    )
 
 
 def body_parts(found: DataFrame) -> DataFrame:
-    """Each slide's body in the order diagrams, items, cards, paragraphs: distinct but for case, the first ten, cut to length."""
+    """Each slide's body in the order diagrams, items, cards, paragraphs, without its title and subtitle: cut to length, distinct but for case, the first ten."""
     rank = F.create_map(*[x for i, k in enumerate(("diagram", "item", "card", "paragraph")) for x in (F.lit(k), F.lit(i))])
     most = F.create_map(*[x for k, n in MOST_CHARS.items() for x in (F.lit(k), F.lit(n))])
-    rows = found.filter(F.col("kind").isin("diagram", "item", "card", "paragraph")).withColumn("__o", F.struct(rank[F.col("kind")], "pos"))
+    cut = F.when(F.col("kind") == "diagram", F.col("text")).otherwise(truncate_to(F.col("text"), most[F.col("kind")]))
+    rows = found.filter(F.col("kind").isin("diagram", "item", "card", "paragraph")).withColumns({"text": cut, "__o": F.struct(rank[F.col("kind")], "pos")})
+    rows = rows.join(heads(found), ["page_id", "slide"]).filter(~F.col("text").eqNullSafe(F.col("title")) & (F.col("text") != F.col("subtitle")))
     rows = unique_text(rows, ["page_id", "slide"], "text", "__o")
     n = F.row_number().over(Window.partitionBy("page_id", "slide").orderBy("__o"))
-    cut = truncate_to(F.col("text"), most[F.col("kind")])
-    return rows.withColumn("n", n).filter(F.col("n") <= MOST_BODY).select("page_id", "slide", "n", "kind", cut.alias("text"))
+    return rows.withColumn("n", n).filter(F.col("n") <= MOST_BODY).select("page_id", "slide", "n", "kind", "text")
+
+
+def slides(found: DataFrame) -> DataFrame:
+    """One row per slide, assembled: ``page_id, slide, title, subtitle, body, tables, codes``; the first two tables and blocks of code."""
+    def first(kind: str, value: str, most: int, name: str) -> DataFrame:
+        n = F.row_number().over(Window.partitionBy("page_id", "slide").orderBy("pos"))
+        few = found.filter(F.col("kind") == kind).withColumn("__n", n).filter(F.col("__n") <= most)
+        return few.groupBy("page_id", "slide").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", value))), lambda s: s[value]).alias(name))
+
+    body = body_parts(found).groupBy("page_id", "slide").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda s: s["text"]).alias("body"))
+    out = heads(found).withColumn("title", F.coalesce("title", F.concat(F.lit("Slide "), F.col("slide").cast("string"))))
+    for part in (body, first("table", "rows", MOST_TABLES, "tables"), first("code", "text", MOST_CODE, "codes")):
+        out = out.join(part, ["page_id", "slide"], "left")
+    none = F.array().cast("array<string>")
+    return out.select(
+        "page_id", "slide", truncate(F.col("title"), MOST_CHARS["title"]).alias("title"), truncate(F.col("subtitle"), MOST_CHARS["subtitle"]).alias("subtitle"),
+        F.coalesce("body", none).alias("body"), F.coalesce("tables", F.array().cast(f"array<{ROWS}>")).alias("tables"), F.coalesce("codes", none).alias("codes"),
+    )
 
 
 def truncate_to(c: Column, most: Column) -> Column:
@@ -143,10 +247,16 @@ def truncate_to(c: Column, most: Column) -> Column:
 
 
 def slide_titles(found: DataFrame) -> DataFrame:
-    """Each slide's first heading, by a class that marks it as display text before others; ``Slide n`` where there is none."""
-    priority = F.when(F.col("style").contains("slide__display"), 0).when(F.col("style").contains("slide__heading"), 1).otherwise(2)
-    heads = found.groupBy("page_id", "slide").agg(F.min_by(F.when(F.col("kind") == "heading", F.col("text")), F.when(F.col("kind") == "heading", F.struct(priority, "pos"))).alias("t"))
-    return heads.select("page_id", "slide", truncate(F.coalesce("t", F.concat(F.lit("Slide "), F.col("slide").cast("string"))), MOST_CHARS["heading"]).alias("title"))
+    """Each slide's displayed title, by the class or element that marks it before plain headings; ``Slide n`` where there is none."""
+    marked = F.coalesce(*[F.when((F.col("kind") == "display") & (F.col("style") == c), i) for i, c in enumerate(TITLES)])
+    rank = F.coalesce(marked, F.when(F.col("kind") == "heading", len(TITLES)))
+    heads = found.groupBy("page_id", "slide").agg(F.min_by(F.when(rank.isNotNull(), F.col("text")), F.when(rank.isNotNull(), F.struct(rank, "pos"))).alias("t"))
+    return heads.select("page_id", "slide", truncate(F.coalesce("t", F.concat(F.lit("Slide "), F.col("slide").cast("string"))), MOST_CHARS["title"]).alias("title"))
+
+
+def block_choice(slide: DataFrame) -> DataFrame:
+    """What a slide of :func:`slides` shows beside its body: a ``table``, else ``code``, else a ``panel``."""
+    return slide.withColumn("block", F.when(F.size("tables") > 0, "table").when(F.size("codes") > 0, "code").otherwise("panel"))
 
 
 def unique_text(rows: DataFrame, keys: list[str], text: str, order: str) -> DataFrame:
