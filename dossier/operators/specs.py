@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,10 +94,14 @@ def _each(x: Column, path: Column, rule: tuple, least: int = 1) -> Column:
     return F.when(wrong, F.array(F.concat(path, F.lit(" must be a non-empty array" if least else " must be an array")))).otherwise(F.flatten(F.transform(items, one)))
 
 
-def sections(specs: DataFrame) -> DataFrame:
-    """``spec_id, section_no, section`` of specs (``spec_id, raw``) whose sections are an array."""
-    doc = F.try_parse_json("raw")
-    return specs.select("spec_id", F.posexplode(F.try_variant_get(doc, "$.sections", "array<variant>")).alias("section_no", "section"))
+def parsed(specs: DataFrame) -> DataFrame:
+    """``spec_id, doc`` of specs (``spec_id, raw``), each parsed once; text that is no JSON is null."""
+    return specs.select("spec_id", F.try_parse_json("raw").alias("doc"))
+
+
+def sections(docs: DataFrame) -> DataFrame:
+    """``spec_id, section_no, section`` of parsed specs whose sections are an array."""
+    return docs.select("spec_id", F.posexplode(F.try_variant_get("doc", "$.sections", "array<variant>")).alias("section_no", "section"))
 
 
 def _section_rules(section: Column, path: Column) -> dict[str, Column]:
@@ -125,24 +127,64 @@ def _section_rules(section: Column, path: Column) -> dict[str, Column]:
 
 
 def validate(specs: DataFrame) -> DataFrame:
-    """``spec_id, errors`` (sorted; empty where the spec is valid) of ``spec_id, raw``. Each section is checked as its own row, block by block."""
-    doc = F.try_parse_json("raw")
-    root = F.lit("spec")
-    is_list = _is(_get(doc, "sections"), "ARRAY") & (F.size(F.try_variant_get(doc, "$.sections", "array<variant>")) > 0)
+    """``spec_id, errors`` (sorted; empty where the spec is valid) of ``spec_id, raw``: one pass, each spec with its sections in its own row."""
+    return judged(parsed(specs)).select("spec_id", "errors")
+
+
+def judged(docs: DataFrame) -> DataFrame:
+    """Parsed specs with ``errors``."""
+    doc, root = F.col("doc"), F.lit("spec")
+    listed = F.try_variant_get(doc, "$.sections", "array<variant>")
+    is_list = _is(_get(doc, "sections"), "ARRAY") & (F.size(listed) > 0)
     top = F.concat(_keys(doc, TOP, root), _string(doc, root, "title", True), _string(doc, root, "subtitle", False), _string(doc, root, "summary", False), _when(~F.coalesce(is_list, F.lit(False)), "spec.sections must be a non-empty array"))
-    first = specs.select("spec_id", F.when(~_is(doc, "OBJECT"), F.array(F.lit("spec must be an object"))).otherwise(top).alias("errors"))
-    rows = sections(specs).withColumn("path", _at(F.lit("spec.sections"), F.col("section_no")))
-    good = rows.filter(_is(F.col("section"), "OBJECT"))
-    parts = [first, rows.filter(~_is(F.col("section"), "OBJECT")).select("spec_id", F.array(F.concat("path", F.lit(" must be an object"))).alias("errors"))]
-    rules = _section_rules(F.col("section"), F.col("path"))
-    parts.append(good.select("spec_id", F.concat(*rules.values()).alias("errors")))
-    every = reduce(DataFrame.unionByName, parts)
-    return every.groupBy("spec_id").agg(F.array_sort(F.flatten(F.collect_list("errors"))).alias("errors"))
+
+    def section(v: Column, i: Column) -> Column:
+        path = _at(F.lit("spec.sections"), i)
+        return F.when(~_is(v, "OBJECT"), F.array(F.concat(path, F.lit(" must be an object")))).otherwise(F.concat(*_section_rules(v, path).values()))
+
+    inside = F.flatten(F.transform(F.coalesce(listed, F.array().cast("array<variant>")), section))
+    errors = F.when(~_is(doc, "OBJECT"), F.array(F.lit("spec must be an object"))).otherwise(F.concat(top, inside))
+    return docs.withColumn("errors", F.array_sort(errors))
+
+
+#: The contract of a round's output: keys, required ones by kind, arrays of texts, optional texts; and of a verification.
+ROUND_KEYS = {
+    "base": ("item", "json", "uncertain", "missing", "sources", "notes", "confidence"),
+    "gap": ("item", "json", "uncertain", "missing", "sources", "notes", "confidence"),
+    "verify": ("item", "json", "verification"),
+}
+VERIFICATION = {"confidence": "text", "conflicts": "texts", "notes": "text"}
+
+
+def round_errors(outputs: DataFrame) -> DataFrame:
+    """``outputs`` (``kind, raw`` and more; kinds of :data:`ROUND_KEYS`) with ``errors``, sorted: required keys, no others, texts, objects and arrays of texts."""
+    doc, root = F.try_parse_json("raw"), F.lit("output")
+    absent = lambda x: _is(x, "ABSENT")
+    none = F.array().cast(_ERRORS)
+    text = lambda v, path, k: _string(v, path, k, False)
+    texts = lambda v, path, k: F.when(absent(_get(v, k)), none).otherwise(_strings(_get(v, k), F.concat(path, F.lit(f".{k}"))))
+    whole = lambda k: _when(~_is(_get(doc, k), "OBJECT"), f"output.{k} must be an object")
+
+    def of(kind: str) -> Column:
+        keys = ROUND_KEYS[kind]
+        parts = [_keys(doc, keys, root), _when(~_is(_get(doc, "item"), "STRING"), "output.item must be a string"), whole("json")]
+        if "verification" in keys:
+            v, at = _get(doc, "verification"), F.lit("output.verification")
+            inside = F.concat(*[(text if t == "text" else texts)(v, at, k) for k, t in VERIFICATION.items()])
+            parts += [whole("verification"), F.when(_is(v, "OBJECT"), inside).otherwise(none)]
+        else:
+            parts += [texts(doc, root, k) for k in ("uncertain", "missing", "sources")] + [text(doc, root, k) for k in ("notes", "confidence")]
+        return F.concat(*parts)
+
+    rule = F.when(~_is(doc, "OBJECT"), F.array(F.lit("output must be an object")))
+    for kind in ROUND_KEYS:
+        rule = rule.when(F.col("kind") == kind, of(kind))
+    return outputs.withColumn("errors", F.array_sort(rule.otherwise(F.array(F.lit("kind is not supported")))))
 
 
 def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``from_id, to_id, side`` of edges whose end is no node."""
-    ids = F.broadcast(nodes.select("id").distinct()) if nodes.limit(100_001).count() <= 100_000 else nodes.select("id").distinct()
+    ids = nodes.select("id").distinct()
     one = lambda side: edges.join(ids, edges[f"{side}_id"] == ids["id"], "left_anti").withColumn("side", F.lit(side))
     return one("from").unionByName(one("to"))
 
@@ -177,9 +219,15 @@ def _list(items: Column, kind: str, one) -> Column:
 
 
 def render(specs: DataFrame, css: str = "") -> DataFrame:
-    """``spec_id, title, html`` of valid specs. A section becomes HTML in its own row; a page gathers its own sections alone."""
+    """``spec_id, title, html`` of specs (``spec_id, raw``) that are valid, parsed once for checks and page."""
+    return rendered(judged(parsed(specs)).filter(F.size("errors") == 0).drop("errors"), css)
+
+
+def rendered(docs: DataFrame, css: str = "") -> DataFrame:
+    """``spec_id, title, html`` of parsed valid specs. A section becomes HTML in its own row; a page gathers its own sections alone."""
     e = escape_html
-    rows = sections(specs).select("spec_id", "section_no", F.from_json(F.to_json("section"), _SCHEMA).alias("s"))
+    rows = docs.select("spec_id", F.named_struct(*[x for k in ("title", "subtitle", "summary") for x in (F.lit(k), _text(_get(F.col("doc"), k)))]).alias("d"), F.posexplode(F.try_variant_get("doc", "$.sections", "array<variant>")).alias("section_no", "section"))
+    rows = rows.select("spec_id", "d", "section_no", F.from_json(F.to_json("section"), _SCHEMA).alias("s"))
     s = F.col("s")
     meta = lambda c: F.when(F.size(c["meta"]) > 0, _tag("div", 'class="meta"', F.array_join(F.transform(c["meta"], lambda m: _tag("span", 'class="chip"', e(m))), ""))).otherwise("")
     cards = _list(s["cards"], "grid", lambda c: _toned("article", "card", c["tone"], _tag("h3", "", e(c["title"])), _opt(c["body"], "p"), F.coalesce(meta(c), F.lit(""))))
@@ -198,10 +246,9 @@ def render(specs: DataFrame, css: str = "") -> DataFrame:
     evidence = _list(s["evidence"], "evidence", lambda v: _tag("article", 'class="evidence-item"', _tag("h3", "", e(v["label"])), _tag("div", 'class="evidence-value"', e(v["value"])), _opt(v["source"], "div", 'class="evidence-source"')))
     title = _tag("div", 'class="section-head"', _tag("div", "", _tag("h2", "", e(s["title"])), _opt(s["subtitle"], "p", 'class="section-subtitle"')), _tag("span", 'class="section-kicker"', zero_pad(F.col("section_no") + 1, 2)))
     html = _toned("section", "section", s["tone"], title, _opt(s["summary"], "p", 'class="section-summary"'), cards, table, risks, files, steps, flow, callouts, evidence)
-    gathered = rows.select("spec_id", F.struct("section_no", html.alias("html")).alias("x")).groupBy("spec_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["html"]), "").alias("sections"))
-    top = specs.select("spec_id", F.from_json("raw", "struct<title:string,subtitle:string,summary:string>").alias("d"))
+    gathered = rows.select("spec_id", "d", F.struct("section_no", html.alias("html")).alias("x")).groupBy("spec_id").agg(F.first("d").alias("d"), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["html"]), "").alias("sections"))
     page = F.concat(
         F.lit('<!doctype html>\n<html lang="en">\n<head>\n<meta charset="utf-8">\n<title>'), e(F.col("d.title")), F.lit(f"</title>\n<style>\n{css}\n</style>\n</head>\n<body>\n<main>\n<header>"), _tag("h1", "", e(F.col("d.title"))),
         _opt(F.col("d.subtitle"), "p", 'class="subtitle"'), _opt(F.col("d.summary"), "p", 'class="summary"'), F.lit('</header>\n<div class="sections">'), F.col("sections"), F.lit("</div>\n</main>\n</body>\n</html>\n"),
     )
-    return top.join(gathered, "spec_id").select("spec_id", F.col("d.title").alias("title"), page.alias("html"))
+    return gathered.select("spec_id", F.col("d.title").alias("title"), page.alias("html"))
