@@ -12,7 +12,10 @@ PREFERRED = ("release_date", "github_stars", "google_scholar_cites", "swe_bench_
 
 
 def summary_fields(fields: DataFrame, top: int = 5) -> DataFrame:
-    """Certain fields of two items or more: preferred ones first, then by name; the first ``top``."""
+    """Certain fields of two items or more: preferred ones first, then by name; the first ``top``. Of a field table with ``pos`` as an array and
+    ``json_type``, only scalars at the top level count."""
+    if dict(fields.dtypes).get("pos") == "array<int>" and "json_type" in fields.columns:
+        fields = fields.filter((F.size("pos") == 1) & ~F.col("json_type").rlike("^(OBJECT|ARRAY)"))
     rank = F.coalesce(*[F.when(F.col("field") == f, i) for i, f in enumerate(PREFERRED)], F.lit(len(PREFERRED)))
     per = fields.filter(~is_uncertain(F.col("value"))).groupBy("field").agg(F.count_distinct("item_id").alias("n_items")).filter("n_items >= 2")
     return per.withColumn("__rank", rank).orderBy("__rank", "field").limit(top).drop("__rank")
@@ -41,17 +44,21 @@ def comparison_lines(table: DataFrame, columns: list[str]) -> DataFrame:
 
 def contents(items: DataFrame, shown: DataFrame) -> DataFrame:
     """Table-of-contents lines: number, linked name, summary values, failure mark. ``items``: ``item_id, no, name, failed``; ``shown``: ``item_id, rank, field, value``."""
-    extra = shown.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat("field", F.lit(": "), compact("value")).alias("t")))), lambda s: s["t"]).alias("parts"))
+    extra = shown.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat("field", F.lit(": "), F.coalesce(compact(F.col("value")), F.lit(""))).alias("t")))), lambda s: s["t"]).alias("parts"))
     none = F.array().cast("array<string>")
     rows = items.join(extra, "item_id", "left").withColumn("parts", F.concat(F.coalesce("parts", none), F.when(F.col("failed"), F.array(F.lit("(research failed)"))).otherwise(none)))
     line = F.concat(F.col("no").cast("string"), F.lit(". ["), F.col("name"), F.lit("](#"), anchor(F.col("name")), F.lit(")"), F.when(F.size("parts") > 0, F.concat(F.lit(" - "), F.array_join("parts", " | "))).otherwise(""))
     return rows.select("item_id", "no", line.alias("line"))
 
 
-def synthesis(fields: DataFrame, by: str, value: str) -> DataFrame:
-    """Per group, ``name: value`` of its certain rows in item order, joined by semicolons."""
-    part = F.concat(F.col("slug"), F.lit(": "), compact(F.col(value)))
-    return fields.filter(~is_uncertain(F.col(value))).groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", part.alias("t")))), lambda s: s["t"]), "; ").alias("line"))
+def synthesis(fields: DataFrame, columns: list[str]) -> DataFrame:
+    """``rank, field, item_id, part`` with a part ``name: value`` for every certain summary value; one row each, so that no field's values meet in one task.
+
+    A report joins a field's parts in the order of the items (:func:`report_lines`).
+    """
+    rank = F.coalesce(*[F.when(F.col("field") == c, i) for i, c in enumerate(columns)])
+    rows = fields.filter(F.col("field").isin(*columns) & ~is_uncertain(F.col("value")))
+    return rows.select(rank.alias("rank"), "field", "item_id", F.concat(F.col("slug"), F.lit(": "), compact(F.col("value"))).alias("part"))
 
 
 def category_coverage(fields: DataFrame) -> DataFrame:
@@ -61,13 +68,107 @@ def category_coverage(fields: DataFrame) -> DataFrame:
     return per.join(F.broadcast(total), F.lit(True)).select("category", "n_items", "n_total", F.col("__first.item_id").alias("first_item"), F.col("__first.pos").alias("first_pos"))
 
 
-def detail_lines(fields: DataFrame) -> DataFrame:
-    """Detail lines of each item in order: a heading where a category starts, then its certain fields. ``item_id, ord, line``."""
+def category_members(fields: DataFrame) -> DataFrame:
+    """``category, item_id, slug`` of the categories that some item lacks: the names that are listed beside ``n/N``."""
+    partly = category_coverage(fields).filter("n_items < n_total").select("category")
+    rows = fields.filter(~is_uncertain(F.col("value"))).select("category", "item_id", "slug").distinct()
+    return rows.join(partly, "category", "left_semi")
+
+
+def detail_lines(fields: DataFrame, citations: DataFrame | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """Detail lines of each item in order: a heading where a category starts, its certain fields, its sources. ``item_id, ord, line``.
+
+    A value of one line has its citations (``item_id, field, ref_ord, idx``) behind it, one of several lines stands below its name. ``sources``: ``item_id, n, line``.
+    """
     first = F.min("pos").over(Window.partitionBy("item_id", "category"))
-    rows = fields.filter(~is_uncertain(F.col("value"))).withColumn("__cat", first)
-    heads = rows.select("item_id", "category", "__cat").distinct().select("item_id", F.struct(F.col("__cat"), F.lit(-1).alias("pos")).alias("ord"), F.concat(F.lit("### "), "category").alias("line"))
-    body = rows.select("item_id", F.struct("__cat", F.col("pos")).alias("ord"), F.concat(F.lit("- **"), "field", F.lit("**: "), "value").alias("line"))
-    return heads.unionByName(body)
+    rows = fields.filter(~is_uncertain(F.col("value")) & (F.col("value") != "")).withColumn("__cat", first)
+    place = lambda part, cat, pos: F.struct(F.lit(part).alias("part"), cat.cast("long").alias("cat"), pos.cast("long").alias("pos"))
+    heads = rows.select("item_id", "category", "__cat").distinct().select("item_id", place(0, F.col("__cat"), F.lit(-1)).alias("ord"), F.concat(F.lit("### "), "category").alias("line"))
+    marks = F.lit("")
+    if citations is not None:
+        cited = citations.groupBy("item_id", "field").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ref_ord", "idx"))), lambda x: F.concat(F.lit("["), x["idx"].cast("string"), F.lit("]"))), "").alias("__cited"))
+        rows = rows.join(cited, ["item_id", "field"], "left")
+        marks = F.coalesce(F.concat(F.lit(" "), "__cited"), F.lit(""))
+    several = F.concat(F.lit("**"), "field", F.lit("**\n\n"), "value")
+    line = F.when(F.col("value").contains("\n"), several).otherwise(F.concat(F.lit("- **"), "field", F.lit("**: "), "value", marks))
+    out = heads.unionByName(rows.select("item_id", place(0, F.col("__cat"), F.col("pos")).alias("ord"), line.alias("line")))
+    if sources is not None:
+        out = out.unionByName(sources.select("item_id", place(1, F.lit(0), F.col("n")).alias("ord"), "line"))
+        out = out.unionByName(sources.select("item_id").distinct().select("item_id", place(1, F.lit(0), F.lit(-1)).alias("ord"), F.lit("**Sources**").alias("line")))
+    return out
+
+
+def uncertainty_lines(items: DataFrame, uncertain: DataFrame, missing: DataFrame, sidecars: DataFrame) -> DataFrame:
+    """Lines of the uncertainty section: ``item_id, part, pos, line``.
+
+    ``items``: ``item_id``; ``uncertain`` and ``missing``: ``item_id, pos, field``; ``sidecars``: ``item_id, confidence, conflicts, notes`` (arrays). An item without any of these says so.
+    """
+    line = lambda part, pos, text: (F.lit(part).alias("part"), pos.cast("long").alias("pos"), text.alias("line"))
+
+    def listed(rows: DataFrame, part: int, title: str) -> DataFrame:
+        heads = rows.select("item_id").distinct().select("item_id", *line(part, F.lit(-1), F.lit(f"**{title}**:")))
+        return heads.unionByName(rows.select("item_id", *line(part, F.col("pos"), F.concat(F.lit("- "), F.col("field")))))
+
+    conflicts = sidecars.select("item_id", F.posexplode("conflicts").alias("pos", "field"))
+    notes = F.filter("notes", lambda n: n != "")
+    out = listed(uncertain, 1, "Uncertain fields").unionByName(listed(missing, 2, "Missing fields"))
+    out = out.unionByName(sidecars.filter("confidence <> ''").select("item_id", *line(3, F.lit(0), F.concat(F.lit("**Verification confidence**: "), "confidence"))))
+    out = out.unionByName(listed(conflicts, 4, "Conflicts"))
+    out = out.unionByName(sidecars.filter(F.size(notes) > 0).select("item_id", *line(5, F.lit(0), F.concat(F.lit("**Verification notes**: "), F.array_join(notes, "; ")))))
+    none = items.select("item_id").join(out, "item_id", "left_anti").select("item_id", *line(6, F.lit(0), F.lit("_No uncertainty flags; verification metadata absent._")))
+    return out.unionByName(none)
+
+
+def report_lines(items: DataFrame, fields: DataFrame, columns: list[str], sidecars: DataFrame, citations: DataFrame, sources: DataFrame, missing: DataFrame) -> DataFrame:
+    """The whole report as ordered lines: ``section`` 1 to 5 (contents, comparison, details, synthesis, uncertainty), ``no, part, cat, pos, line``.
+
+    ``items``: ``item_id, no, slug, name, failed``; the other tables as in the sections' own functions. Sorted by its columns and written by range
+    (``items.write_lines`` of the sources), the parts' texts in a row are the report, however many items there are.
+    """
+    names = items.select("item_id", "no", F.col("name").alias("slug"))
+    ok = items.filter("NOT failed").select("item_id")
+    named = fields.drop("slug").join(names, "item_id")
+    at = lambda section, no, part, cat, pos, line: (F.lit(section).alias("section"), no.cast("long").alias("no"), F.lit(part).alias("part") if isinstance(part, int) else part.cast("int").alias("part"), cat.cast("long").alias("cat"), pos.cast("long").alias("pos"), line.alias("line"))
+    zero, first = F.lit(0), F.lit(-1)
+    spark = items.sparkSession
+    heads = ["# Table of Contents\n", "# Comparison\n", "# Detailed Content\n", "# Cross-Item Synthesis\n\n## Summary-field comparison\n", "# Uncertainty & Confidence\n"]
+    out = spark.createDataFrame(list(enumerate(heads, 1)), "section int, line string").select("section", *at(0, first, 0, zero, first, F.col("line"))[1:])
+
+    rank = F.coalesce(*[F.when(F.col("field") == c, i) for i, c in enumerate(columns)])
+    shown = named.filter(F.col("field").isin(*columns)).select("item_id", rank.alias("rank"), "field", "value")
+    toc = contents(items, shown).select(*at(1, F.col("no"), 0, zero, zero, F.col("line")))
+
+    wide = comparison(named, columns).join(names.select("item_id", "no", F.col("slug").alias("Name")), "item_id")
+    own = ["Name", *columns]
+    rows = comparison_lines(wide, own).join(names.select("item_id", "no"), "item_id").select(*at(2, F.col("no"), 0, zero, zero, F.col("line")))
+    w = widths(wide, own).groupBy().pivot("name", own).agg(F.first("width"))
+    rule = lambda cell: F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in own]), F.lit(" |"))
+    table = w.select(*at(2, first, 1, zero, zero, rule(lambda c: pad(F.lit(c), F.col(c).cast("int"))))).unionByName(w.select(*at(2, first, 1, zero, F.lit(1), rule(lambda c: F.repeat(F.lit("-"), F.col(c).cast("int"))))))
+
+    title = names.select(*at(3, F.col("no"), 0, first, first, F.concat(F.lit("## "), "slug", F.lit("\n"))))
+    lost = items.filter("failed").select(*at(3, F.col("no"), 1, zero, zero, F.lit("> Research failed for this item (no results).\n")))
+    good = named.join(ok, "item_id", "left_semi")
+    lines = detail_lines(good, citations, sources.join(ok, "item_id", "left_semi"))
+    empty = names.join(ok, "item_id", "left_semi").join(lines.filter("ord.part = 0"), "item_id", "left_anti").select(*at(3, F.col("no"), 1, zero, zero, F.lit("_No reportable fields (all values uncertain or empty)._\n")))
+    details = lines.join(names.select("item_id", "no"), "item_id").select(*at(3, F.col("no"), F.col("ord.part") + 1, F.col("ord.cat"), F.col("ord.pos"), F.col("line")))
+
+    parts = synthesis(named, columns)
+    compared = parts.select(*at(4, zero, 0, F.col("rank"), F.col("item_id"), F.concat(F.lit("- **"), "field", F.lit("** — "), "part")))
+    cover = category_coverage(named)
+    order = F.col("first_item") * 1_000_000 + F.col("first_pos")
+    covers = cover.select(*at(4, zero, 1, order, first, F.concat(F.lit("- **"), "category", F.lit("** — present in "), F.col("n_items").cast("string"), F.lit("/"), F.col("n_total").cast("string"), F.lit(" item(s)"))))
+    covers = covers.unionByName(category_members(named).join(cover.select("category", order.alias("at")), "category").select(*at(4, zero, 1, F.col("at"), F.col("item_id"), F.concat(F.lit("  - "), "slug"))))
+    covers = covers.unionByName(spark.createDataFrame([("\n## Category coverage\n",)], "line string").select(*at(4, zero, 1, first, first, F.col("line"))))
+    against = sidecars.join(names, "item_id").select("no", "slug", F.posexplode("conflicts").alias("pos", "c")).select(*at(4, F.lit(1), 2, F.col("no"), F.col("pos"), F.concat(F.lit("- "), "slug", F.lit(": "), "c")))
+    said = F.when(F.col("n") > 0, F.lit("\n## Contradictions (from verification)\n")).otherwise(F.lit("\nNo source contradictions were recorded in the verification metadata."))
+    against = against.unionByName(against.agg(F.count(F.lit(1)).alias("n")).select(*at(4, F.lit(1), 2, first, first, said)))
+
+    doubts = named.filter(is_uncertain(F.col("value"))).select("item_id", "pos", "field")
+    flags = uncertainty_lines(items, doubts, missing, sidecars).join(names.select("item_id", "no"), "item_id").select(*at(5, F.col("no"), F.col("part"), zero, F.col("pos"), F.col("line")))
+    flags = flags.unionByName(names.select(*at(5, F.col("no"), 0, zero, first, F.concat(F.lit("## "), "slug", F.lit("\n")))))
+    for more in (toc, rows, table, title, lost, empty, details, compared, covers, against, flags):
+        out = out.unionByName(more)
+    return out
 
 
 def conflict_lines(sidecars: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.functions.text import stem
@@ -11,11 +11,26 @@ SIDECAR = ".verification.json"
 
 
 def read_texts(spark: SparkSession, path: str | list[str], glob: str = "*.json") -> DataFrame:
-    """``file_name, raw`` of whole files; files that vanish meanwhile are left out."""
-    rows = spark.read.option("pathGlobFilter", glob).option("ignoreMissingFiles", "true").text(path, wholetext=True)
+    """``file_name, modified, raw`` of whole files; paths that are absent, and files that vanish meanwhile, are left out."""
+    there = [p for p in ([path] if isinstance(path, str) else path) if _exists(spark, p)]
+    if not there:
+        return spark.createDataFrame([], "file_name string, modified timestamp, raw string")
+    rows = spark.read.option("pathGlobFilter", glob).option("ignoreMissingFiles", "true").text(there, wholetext=True)
     return rows.select(F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("raw"))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+    return found is not None and len(found) > 0
+
+
+def in_order(texts: DataFrame) -> DataFrame:
+    """Files with their 1-based number in the order of names: names alone are sorted and numbered, over all tasks, and joined back."""
+    names = texts.select("file_name").distinct().sort("file_name").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1] + 1))
+    return texts.join(texts.sparkSession.createDataFrame(names, "file_name string, no long"), "file_name")
+
+
 def parse_items(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Item records (``slug, file_name, raw, doc``) and the quarantine (``file_name, reason``): malformed text, or not an object."""
     rows = texts.filter(~F.col("file_name").endswith(SIDECAR)).withColumn("doc", F.try_parse_json("raw")).withColumn("slug", stem(F.col("file_name")))
@@ -43,14 +58,20 @@ def write_results(results: DataFrame, path: str, by: str = "batch") -> None:
     results.select(payload.alias("value"), by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).text(path)
 
 
-def write_lines(lines: DataFrame, path: str, by: str) -> None:
-    """Text lines (``section, ord, line``) sorted inside one folder per report."""
-    lines.repartition(by).sortWithinPartitions(by, "section", "ord").select("line", by).write.mode("overwrite").partitionBy(by).text(path)
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Lines as one text in parts: sorted by all columns but ``line``, dealt by ranges of them, so that the part files in their order are the text."""
+    order = [c for c in lines.columns if c != "line"]
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.mode("overwrite").text(path)
+
+
+def valid_page_name(name: Column) -> Column:
+    """Whether a page's name is a bare file name that ends in ``.html``."""
+    return name.rlike(r"^[^/\\]+\.html$")
 
 
 def manifest(pages: DataFrame) -> DataFrame:
     """``path, bytes, title, warnings`` of rendered pages (``path, title, html``); bytes are those of UTF-8."""
-    warn = F.array_compact(F.array(F.when(~F.col("path").rlike(r"^[^/]+\.html$"), F.lit("name")), F.when(~F.lower("html").contains("<!doctype html>"), F.lit("doctype"))))
+    warn = F.array_compact(F.array(F.when(~valid_page_name(F.col("path")), F.lit("name")), F.when(~F.lower("html").contains("<!doctype html>"), F.lit("doctype"))))
     return pages.select("path", F.octet_length("html").cast("long").alias("bytes"), "title", warn.alias("warnings"))
 
 
@@ -64,7 +85,16 @@ def parse_framework(texts: DataFrame) -> DataFrame:
     return rows.select("category", "category_pos", F.col("f.name").alias("field"), "field_pos", "f.description", "f.detail_level", F.coalesce("f.required", F.lit(False)).alias("required"))
 
 
+OUTLINE = "struct<topic:string,items:array<struct<name:string,category:string,description:string>>,execution:struct<batch_size:int,items_per_agent:int,output_dir:string>>"
+
+
 def parse_outline(texts: DataFrame) -> DataFrame:
     """Outline rows ``topic, pos, name, category, description`` of JSON outline files."""
-    rows = texts.select(F.from_json("raw", "struct<topic:string,items:array<struct<name:string,category:string,description:string>>>").alias("o"))
+    rows = texts.select(F.from_json("raw", OUTLINE).alias("o"))
     return rows.select("o.topic", F.posexplode("o.items").alias("pos", "i")).select("topic", "pos", "i.*")
+
+
+def parse_execution(texts: DataFrame) -> DataFrame:
+    """Execution settings ``topic, batch_size, items_per_agent, output_dir`` of JSON outline files, one item a batch and agent and ``results`` where they are absent."""
+    o = texts.select(F.from_json("raw", OUTLINE).alias("o")).select("o.topic", "o.execution.*")
+    return o.select("topic", F.coalesce("batch_size", F.lit(1)).alias("batch_size"), F.coalesce("items_per_agent", F.lit(1)).alias("items_per_agent"), F.coalesce("output_dir", F.lit("results")).alias("output_dir"))
