@@ -12,7 +12,7 @@ def load_framework(rows: DataFrame) -> DataFrame:
     """Dimension table of a framework: one row per field (its last category wins), categories in first-seen order."""
     order = rows.groupBy("category").agg(F.min("category_pos").alias("category_pos"))
     fields = rows.groupBy("field").agg(F.max_by("category", F.struct("category_pos", "field_pos")).alias("category"), F.bool_or("required").alias("required"))
-    return fields.join(F.broadcast(order), "category").select("category", "category_pos", "field", "required")
+    return fields.join(order, "category").select("category", "category_pos", "field", "required")
 
 
 def framework_counts(framework: DataFrame) -> DataFrame:

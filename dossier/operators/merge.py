@@ -86,9 +86,11 @@ def batches(outline: DataFrame, group: str, order: str, batch_size: int, per_age
     return outline.withColumn("__at", at).withColumn("batch", F.floor(F.col("__at") / (batch_size * per_agent))).withColumn("agent", F.floor(F.pmod("__at", F.lit(batch_size * per_agent)) / per_agent)).drop("__at")
 
 
-def batch_rollup(results: DataFrame, by: str) -> DataFrame:
-    """Per batch: items, failed, uncertain and low-confidence ones."""
-    return results.groupBy(by).agg(F.count(F.lit(1)).alias("total"), F.count_if("failed").alias("failed"), F.count_if(~F.col("failed")).alias("ok"))
+def batch_rollup(results: DataFrame, by: str, flags: tuple[str, ...] = ()) -> DataFrame:
+    """Per batch: items, failed and done ones, and for each of the ``flags`` (as ``uncertain, missing, low_confidence, conflicts``) the done ones that have it."""
+    done = ~F.col("failed")
+    count = [F.count_if(done & F.coalesce(F.col(f), F.lit(False))).alias(f) for f in flags]
+    return results.groupBy(by).agg(F.count(F.lit(1)).alias("total"), F.count_if("failed").alias("failed"), F.count_if(done).alias("ok"), *count)
 
 
 def with_defaults(outline: DataFrame) -> DataFrame:

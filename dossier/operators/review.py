@@ -17,28 +17,43 @@ def check_claims(claims: DataFrame, evidence: DataFrame, kinds: tuple[str, ...])
     return out.select("doc_id", "subject", "attribute", "claimed", "actual", "verdict").unionByName(none.select("doc_id", "subject", "attribute", "claimed", "actual", "verdict"))
 
 
-def check_plan(plan: DataFrame, reality: DataFrame, key: str, value: str) -> DataFrame:
-    """Our rule: in both and equal correct, in both and different stale, planned only unsupported, real only missing."""
+def check_plan(plan: DataFrame, reality: DataFrame, key: str, value: str, risks: DataFrame | None = None) -> DataFrame:
+    """Our rule: planned only is unsupported, real only missing; what is in both is risky if ``risks`` (``key, severity``) has a high or critical one for it, else
+    correct where both are equal and stale where they differ."""
     p, r = plan.select(key, F.col(value).alias("planned"), F.lit(True).alias("__p")), reality.select(key, F.col(value).alias("real"), F.lit(True).alias("__r"))
     rows = p.join(r, key, "full")
-    verdict = F.when(F.col("__r").isNull(), "unsupported").when(F.col("__p").isNull(), "missing").when(F.col("planned").eqNullSafe(F.col("real")), "correct").otherwise("stale")
+    if risks is None:
+        rows = rows.withColumn("__risky", F.lit(False))
+    else:
+        rows = rows.join(risks.filter(F.col("severity").isin("high", "critical")).select(key, F.lit(True).alias("__risky")).distinct(), key, "left")
+    verdict = F.when(F.col("__r").isNull(), "unsupported").when(F.col("__p").isNull(), "missing").when(F.col("__risky"), "risky").when(F.col("planned").eqNullSafe(F.col("real")), "correct").otherwise("stale")
     return rows.select(key, "planned", "real", verdict.alias("verdict"))
 
 
-def changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
-    """``key, status`` (added, deleted, modified, unchanged) of two snapshots, compared by the hashes of their rows."""
+def _both(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """One row per key of two snapshots, with their other columns as structs ``b`` and ``a``, and ``status``."""
     columns = [c for c in before.columns if c != key]
-    hashed = lambda df, to: df.select(key, F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns]).alias(to))
-    rows = hashed(before, "h0").join(hashed(after, "h1"), key, "full")
-    status = F.when(F.col("h0").isNull(), "added").when(F.col("h1").isNull(), "deleted").when(F.col("h0") == F.col("h1"), "unchanged").otherwise("modified")
-    return rows.select(key, status.alias("status"))
+    side = lambda df, to: df.select(key, F.struct(*columns).alias(to))
+    rows = side(before, "b").join(side(after, "a"), key, "full")
+    status = F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "deleted").when(F.col("b").eqNullSafe(F.col("a")), "unchanged").otherwise("modified")
+    return rows.withColumn("status", status)
+
+
+def changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """``key, status`` (added, deleted, modified, unchanged) of two snapshots, compared column by column; nulls are equal to nulls alone."""
+    return _both(before, after, key).select(key, "status")
 
 
 def change_figures(before: DataFrame, after: DataFrame, key: str, lines: str) -> DataFrame:
     """Files and lines added and removed by status, with a total row (status null)."""
-    rows = changes(before, after, key).join(before.select(key, F.col(lines).alias("l0")), key, "left").join(after.select(key, F.col(lines).alias("l1")), key, "left")
-    delta = F.coalesce("l1", F.lit(0)) - F.coalesce("l0", F.lit(0))
-    return rows.withColumn("delta", delta).rollup("status").agg(F.count(F.lit(1)).alias("files"), F.sum(F.greatest("delta", F.lit(0))).cast("long").alias("lines_added"), F.sum(F.greatest(-F.col("delta"), F.lit(0))).cast("long").alias("lines_removed"))
+    delta = F.coalesce(F.col("a")[lines], F.lit(0)) - F.coalesce(F.col("b")[lines], F.lit(0))
+    rows = _both(before, after, key).select("status", delta.alias("delta"))
+    return rows.rollup("status").agg(F.count(F.lit(1)).alias("files"), F.sum(F.greatest("delta", F.lit(0))).cast("long").alias("lines_added"), F.sum(F.greatest(-F.col("delta"), F.lit(0))).cast("long").alias("lines_removed"))
+
+
+def new_modules(before: DataFrame, after: DataFrame, module: str) -> DataFrame:
+    """Modules of ``after`` that had no file before, with their files: ``module, files``."""
+    return after.join(before.select(module).distinct(), module, "left_anti").groupBy(module).agg(F.count(F.lit(1)).alias("files"))
 
 
 def requirement_status(parts: DataFrame, key: str, matched: str) -> DataFrame:
@@ -62,7 +77,7 @@ def uncovered(inventory: DataFrame, mapped: DataFrame, keys: list[str]) -> DataF
 def over_limit(slides: DataFrame, limits: DataFrame, keys: list[str], kind: str) -> DataFrame:
     """Counts per slide and kind beyond the kind's limit (``kind, most``)."""
     n = slides.groupBy(*keys, kind).agg(F.count(F.lit(1)).alias("n"))
-    return n.join(F.broadcast(limits), kind).filter("n > most")
+    return n.join(limits, kind).filter("n > most")
 
 
 def severity_matrix(risks: DataFrame) -> DataFrame:
@@ -81,7 +96,10 @@ def route(rows: Column, columns: Column, elements: Column, sections: Column) ->
 
 
 #: Kinds of checkable claims and their patterns.
-CLAIMS = {"url": r"https?://[^\s<>\"']+", "number": r"\b[0-9]+(?:\.[0-9]+)?%", "path": r"\b[A-Za-z0-9_-]+\.(?:py|js|html|json|md)\b"}
+CLAIMS = {
+    "url": r"https?://[^\s<>\"']+", "number": r"\b[0-9]+(?:\.[0-9]+)?%", "path": r"\b[A-Za-z0-9_-]+\.(?:py|js|html|json|md)\b",
+    "name": r"\b[A-Za-z_][A-Za-z0-9_]*\(\)", "command": r"\b(?:npm|npx|pip|git|python|node|docker|make) [a-z0-9._/-]+",
+}
 
 
 def extract_claims(docs: DataFrame, key: str, text: str) -> DataFrame:
