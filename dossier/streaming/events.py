@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from dossier.functions.text import MARK, file_size
 
@@ -26,49 +25,79 @@ def first_per_key(events: DataFrame) -> DataFrame:
     return rows.filter("__n = 1").drop("__n")
 
 
-def first_arrivals(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Stream form: the first event of each key to arrive; a key's state is dropped once the watermark has passed it."""
-    return matching(events.withColumn("ts", F.col("ts").cast("timestamp"))).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["call_id"])
+def first_arrivals(events: DataFrame, delay: str = "10 minutes", horizon: str = "1 day") -> DataFrame:
+    """Stream form: ``call_id, seq, ts, bytes, size`` of each key's first event by ``seq`` within its horizon of event time, whatever the order of arrival.
 
+    In update mode a key is published as soon as it arrives, and again if an earlier event of it follows; in append mode once, when the watermark has
+    passed its horizon, which also drops its state.
+    """
+    rows = matching(events.withColumn("ts", F.col("ts").cast("timestamp"))).withWatermark("ts", delay)
+    first = F.min_by(F.struct("seq", "ts", "bytes", "size"), "seq").alias("e")
+    return rows.groupBy(F.window("ts", horizon), "call_id").agg(first).select("call_id", "e.*")
+
+
+def as_they_arrive(stream: DataFrame, judge: Callable[[DataFrame], DataFrame], path: str, key: str, checkpoint: str, parts: int = 64):
+    """Each micro-batch judged and added to ``path``; keys that are already there are skipped, so a batch that is run again adds nothing.
 
-def as_they_arrive(stream: DataFrame, judge: Callable[[DataFrame], DataFrame], path: str, key: str, checkpoint: str):
-    """Each micro-batch judged and added to ``path``; keys that are already there are skipped, so a batch that is run again adds nothing."""
+    Results lie in ``parts`` folders by a hash of the key; a batch reads those folders alone that its own keys fall in, and of them the keys alone.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        out = judge(batch)
         spark = batch.sparkSession
+        out = judge(batch).withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")).persist()
         try:
-            done = spark.read.parquet(path).select(key)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            done = None
-        (out if done is None else out.join(done, key, "left_anti")).write.mode("append").parquet(path)
+            mine = [r["part"] for r in out.select("part").distinct().collect()]  # at most ``parts``
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+            done = spark.read.schema(out.schema).parquet(path).filter(F.col("part").isin(mine)).select(key) if there else None
+            (out if done is None else out.join(done, key, "left_anti")).write.mode("append").partitionBy("part").parquet(path)
+        finally:
+            out.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def round_states(rounds: DataFrame) -> DataFrame:
-    """Rounds of each item as they arrive, in any order: ``item_id, rounds_used, values`` (a JSON-like list of ``path=value``), after every batch.
-
-    The state keeps the last value by ``seq`` of each round and path; the result applies the batch form's rule to what is there.
+class RoundState(StatefulProcessor):
+    """The last value by ``seq`` of each round and path of an item, and its sources; idle items are dropped after ``idle_ms``."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        ttl = self.idle_ms or None
+        self.held = handle.getMapState("held", "round_no int, path string", "seq long, value string", ttl)
+        self.sources = handle.getMapState("sources", "url string", "seq long", ttl)
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802
+        for r in rows:
+            at = (r["round_no"], r["path"])
+            old = self.held.getValue(at) if self.held.containsKey(at) else None
+            if old is None or old[0] < r["seq"]:
+                self.held.updateValue(at, (r["seq"], r["value"]))
+            for url in r["sources"] or []:
+                if not self.sources.containsKey((url,)) or self.sources.getValue((url,))[0] > r["seq"]:
+                    self.sources.updateValue((url,), (r["seq"],))
+        held = {tuple(k): v[1] for k, v in self.held.iterator()}
+        started = any(n == 1 for n, _ in held)
+        gap = any(n == 1 and v is not None and MARK in v for (n, _), v in held.items())
+        refined = started and gap and any(n == 2 for n, _ in held)
+        out: dict[str, str | None] = {}
+        for n in (1, 2, 3):
+            if started and (n != 2 or refined):
+                out.update({p: v for (k, p), v in held.items() if k == n})
+        urls = [u[0] for u, _ in sorted(self.sources.iterator(), key=lambda x: (x[1][0], x[0][0]))]
+        values = [Row(path=p, value=v) for p, v in sorted(out.items())]
+        yield Row(item_id=key[0], failed=not started, rounds_used=2 if refined else int(started), gaps=sorted(p for p, v in out.items() if v is None or MARK in v), values=values, sources=urls)
+
+
+ROUND_STATE = "item_id long, failed boolean, rounds_used int, gaps array<string>, values array<struct<path:string,value:string>>, sources array<string>"
+
+
+def round_states(rounds: DataFrame, idle_ms: int = 0) -> DataFrame:
+    """Rounds of each item (``item_id, round_no, seq, path, value, sources``) as they arrive, in any order, one row per item after every batch: :data:`ROUND_STATE`.
+
+    The result applies the batch form's rule to what is there. Needs the RocksDB state store. ``idle_ms``: an entry of the state goes when it
+    wasn't renewed for so long (0: never).
     """
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = {(r, p): (s, v) for r, p, s, v in zip(*state.get, strict=True)} if state.exists else {}
-        for f in frames:
-            for r, s, p, v in zip(f["round_no"].tolist(), f["seq"].tolist(), f["path"].tolist(), f["value"].tolist(), strict=True):
-                if (r, p) not in held or held[r, p][0] < s:
-                    held[r, p] = (s, v)
-        rows = [(r, p, s, v) for (r, p), (s, v) in held.items()]
-        state.update(tuple([list(c) for c in zip(*rows, strict=True)]))
-        started = any(r == 1 for r, _ in held)
-        gap = any(r == 1 and v is not None and MARK in v for (r, _), (_, v) in held.items())
-        refined = started and gap and any(r == 2 for r, _ in held)
-        out: dict[str, str] = {}
-        for r in (1, 2, 3):
-            if started and (r != 2 or refined):
-                out.update({p: v for (k, p), (_, v) in held.items() if k == r})
-        yield pd.DataFrame({"item_id": [key[0]], "rounds_used": [2 if refined else int(started)], "result": [";".join(f"{p}={v}" for p, v in sorted(out.items()))]})
-
-    return rounds.groupBy("item_id").applyInPandasWithState(update, "item_id long, rounds_used int, result string", "rounds array<int>, paths array<string>, seqs array<long>, vals array<string>", "update", "NoTimeout")
+    return rounds.groupBy("item_id").transformWithState(RoundState(idle_ms), ROUND_STATE, "Update", "ProcessingTime" if idle_ms else "None")
