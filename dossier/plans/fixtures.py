@@ -17,8 +17,8 @@ FIXTURES = {
   UNION ALL SELECT p_partkey, 4, 'business_info', 'price', CAST(CAST(p_retailprice * 100 AS BIGINT) AS STRING) FROM {part} WHERE p_partkey % 13 <> 0
   UNION ALL SELECT p_partkey, 5, 'Other Info', 'nickname', p_name FROM {part} WHERE p_partkey % 3 = 0) u""",
     "fx_sidecar": "SELECT doc_id AS item_id, CASE WHEN quality = 1 THEN 'high' WHEN toxic = 1 THEN 'low' ELSE 'medium' END AS confidence, toxic AS n_conflicts FROM {labels}",
-    "fx_source": "SELECT page_id % 100 AS item_id, page_id AS ord, url FROM {pages}",
-    "fx_citation": "SELECT page_id % 100 AS item_id, 'brand' AS field, page_id % 3 AS ref_ord, CASE WHEN page_id % 9 = 0 THEN 'http://nowhere.invalid/' ELSE url END AS ref FROM {pages}",
+    "fx_source": "SELECT CAST(floor(page_id / 3) AS BIGINT) AS item_id, page_id AS ord, url FROM {pages}",
+    "fx_citation": "SELECT CAST(floor(page_id / 3) AS BIGINT) AS item_id, 'brand' AS field, page_id % 3 AS ref_ord, CASE WHEN page_id % 9 = 0 THEN 'http://nowhere.invalid/' ELSE url END AS ref FROM {pages}",
     "fx_round": "SELECT o_custkey AS item_id, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS round_no, o_orderkey AS seq, concat('f', CAST(o_orderkey % 4 AS STRING)) AS path, CASE WHEN o_orderkey % 10 = 0 THEN '[uncertain]' ELSE o_orderpriority END AS value FROM {orders}",
     "fx_tool_event": "SELECT event_id AS seq, ts, CASE WHEN event_type = 'purchase' THEN 'tool/result' ELSE event_type END AS type, user_id AS call_id, CAST(floor(value * 1024) AS BIGINT) AS bytes, props FROM {events}",
     "fx_flow_node": "SELECT n_nationkey AS id, n_name AS label FROM {nation} WHERE n_nationkey % 10 <> 9",

@@ -9,14 +9,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dossier.functions import text as X
 from dossier.functions.values import as_markdown
 from dossier.operators import coverage, decks, evidence, flatten, merge, report, review, specs
-from dossier.plans.fixtures import Fixtures, oracle
-from dossier.session import configured
+from dossier.plans.fixtures import FIXTURES, Fixtures, oracle
+from dossier.session import configured, shared_dir
 from dossier.sources import items as scan
 from dossier.streaming import events as stream
 
@@ -84,6 +84,21 @@ def s9(fx):
     return scan.manifest(rows).select("path", "bytes", joined("warnings").alias("warnings"))
 
 
+@register("l1_files_in_order", "SELECT file_name, CAST(row_number() OVER (ORDER BY file_name) AS BIGINT) AS no FROM (SELECT 'page_' || page_id || '.json' AS file_name FROM pages)")
+def l1(fx):
+    return scan.in_order(fx("pages").select(F.concat(F.lit("page_"), F.col("page_id").cast("string"), F.lit(".json")).alias("file_name"))).select("file_name", "no")
+
+
+@register("s6_outlines", "SELECT o_custkey AS topic, count(*) AS n_items, CASE WHEN o_custkey % 2 = 0 THEN 3 ELSE 1 END AS batch_size, 1 AS items_per_agent, 'results' AS output_dir FROM orders GROUP BY o_custkey")
+def s6(fx):
+    """Outlines as JSON files, one a customer, read back: their items and execution settings."""
+    items = F.array_join(F.collect_list(F.concat(F.lit('{"name":"'), F.col("o_orderkey").cast("string"), F.lit('"}'))), ",")
+    execution = F.when(F.col("o_custkey") % 2 == 0, F.lit(',"execution":{"batch_size":3}')).otherwise(F.lit(""))
+    texts = fx("orders").groupBy("o_custkey").agg(items.alias("i")).select(F.concat(F.lit('{"topic":"'), F.col("o_custkey").cast("string"), F.lit('","items":['), "i", F.lit("]"), execution, F.lit("}")).alias("raw"))
+    counted = scan.parse_outline(texts).groupBy("topic").agg(F.count("name").alias("n_items"))
+    return counted.join(scan.parse_execution(texts), "topic").withColumn("topic", F.col("topic").cast("long"))
+
+
 @register("s12_latest_page", "SELECT max_by(url, page_id) AS file_name FROM pages")
 def s12(fx):
     return scan.latest(fx("pages").select(F.col("url").alias("file_name"), F.col("page_id").alias("modified")))
@@ -158,9 +173,30 @@ def a3(fx):
     return coverage.run_summary(_cover(fx)).withColumn("mean_coverage", F.round(F.col("mean_coverage") * 1000).cast("long"))
 
 
-@register("l4_first_extras", f"SELECT item_id, extra_fields AS shown, CAST(0 AS INT) AS more FROM ({_COVER})")
+@register("l4_first_extras", """SELECT item_id, array_to_string(list_sort(list(field))[1:10], ',') AS shown, CAST(greatest(count(*) - 10, 0) AS INT) AS more FROM (SELECT item_id, field FROM fx_field WHERE field NOT IN (SELECT field FROM fx_framework) UNION ALL
+ SELECT p_partkey, 'extra_' || CAST(k AS STRING) FROM part, range(15) r(k) WHERE k < p_partkey % 15) GROUP BY item_id UNION ALL SELECT DISTINCT item_id, '', 0 FROM fx_field WHERE item_id % 15 = 0 AND item_id NOT IN (SELECT item_id FROM fx_field WHERE field NOT IN (SELECT field FROM fx_framework))""")
 def l4(fx):
-    return coverage.first_extras(_cover(fx)).withColumn("shown", joined("shown"))
+    extra = fx("part").filter("p_partkey % 15 > 0").select(F.col("p_partkey").alias("item_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("p_partkey") % 15 - 1)).alias("k"))
+    fields = fx("fx_field").select("item_id", "field").unionByName(extra.select("item_id", F.concat(F.lit("extra_"), F.col("k").cast("string")).alias("field")))
+    return coverage.first_extras(coverage.item_coverage(fields, coverage.load_framework(fx("fx_framework")))).withColumn("shown", joined("shown"))
+
+
+@register("a4_framework_counts", "SELECT count(DISTINCT field) AS total, 0 AS required, count(DISTINCT field) AS optional FROM fx_field WHERE field NOT IN (SELECT field FROM fx_framework) UNION ALL SELECT count(DISTINCT field), count(DISTINCT field) FILTER (required), count(DISTINCT field) FILTER (NOT required) FROM fx_framework JOIN (SELECT DISTINCT field FROM fx_field) USING (field)")
+def a4(fx):
+    """Counts of the fields that the items have: those beyond the framework (none is required), and those of it."""
+    have = fx("fx_field").select("field").distinct()
+    frame = coverage.load_framework(fx("fx_framework"))
+    beyond = have.join(frame, "field", "left_anti").withColumn("required", F.lit(False))
+    return coverage.framework_counts(beyond).unionByName(coverage.framework_counts(frame.join(have, "field", "left_semi")))
+
+
+@register("j2_category_aliases", "SELECT item_id, alias, CASE alias WHEN 'Basic Info' THEN 'Basic Info' WHEN 'basic_info' THEN 'basic_info' WHEN 'brand' THEN 'basic_info' WHEN 'size' THEN 'performance_metrics' WHEN 'market' THEN 'Market Positioning' END AS canonical FROM (SELECT DISTINCT item_id FROM fx_field), (SELECT unnest(['Basic Info', 'basic_info', 'brand', 'size', 'market']) AS alias)")
+def j2(fx):
+    """The categories of some keys of every item: built-in aliases, overlaid by the framework's categories, with its fields where no category has that name."""
+    builtin = fx.spark.createDataFrame(flatten.alias_rows(), "alias string, canonical string")
+    known = flatten.category_aliases(builtin, fx("fx_framework"))
+    keys = fx("fx_field").select("item_id").distinct().withColumn("alias", F.explode(F.array(*[F.lit(k) for k in ("Basic Info", "basic_info", "brand", "size", "market")])))
+    return keys.join(F.broadcast(known), "alias", "left").select("item_id", "alias", "canonical")
 
 
 @register("f9_completed_items", f"SELECT item_id FROM ({_COVER}) WHERE valid")
@@ -216,10 +252,11 @@ def a10(fx):
     return merge.resolve_rounds(fx("fx_round")).groupBy("rounds_used").agg(F.count_distinct("item_id").alias("n"))
 
 
-@register("a9_batch_rollup", f"SELECT item_id % 10 AS batch, count(*) AS total, count(*) FILTER (failed) AS failed, count(*) FILTER (NOT failed) AS ok FROM (SELECT DISTINCT item_id, failed FROM ({oracle(_ROUNDS)})) GROUP BY 1")
+@register("a9_batch_rollup", f"SELECT item_id % 10 AS batch, count(*) AS total, count(*) FILTER (failed) AS failed, count(*) FILTER (NOT failed) AS ok, count(*) FILTER (NOT failed AND unsure) AS uncertain, count(*) FILTER (NOT failed AND confidence = 'low') AS low_confidence, count(*) FILTER (NOT failed AND n_conflicts > 0) AS conflicts FROM (SELECT item_id, failed, bool_or(contains(coalesce(value, ''), '[uncertain]')) AS unsure FROM ({oracle(_ROUNDS)}) GROUP BY ALL) LEFT JOIN ({FIXTURES['fx_sidecar'].replace('{', '').replace('}', '')}) USING (item_id) GROUP BY 1")
 def a9(fx):
-    rows = merge.resolve_rounds(fx("fx_round")).select("item_id", "failed").distinct().withColumn("batch", F.col("item_id") % 10)
-    return merge.batch_rollup(rows, "batch")
+    rows = merge.resolve_rounds(fx("fx_round")).groupBy("item_id", "failed").agg(F.bool_or(F.coalesce("value", F.lit("")).contains(X.MARK)).alias("uncertain"))
+    rows = evidence.with_verification(rows, fx("fx_sidecar")).withColumns({"batch": F.col("item_id") % 10, "low_confidence": F.col("confidence") == "low", "conflicts": F.col("n_conflicts") > 0})
+    return merge.batch_rollup(rows, "batch", ("uncertain", "low_confidence", "conflicts"))
 
 
 @register("f7_gap_rows", f"SELECT item_id, field || ' (missing)' AS gap FROM ({_STATUS}) WHERE status = 'missing' UNION ALL SELECT item_id, field || ' (uncertain)' FROM fx_field WHERE value IS NULL OR contains(value, '[uncertain]')")
@@ -332,15 +369,77 @@ def r1(fx):
     return report.contents(items, f.filter("field IN ('brand', 'kind') AND value IS NOT NULL").select("item_id", F.col("pos").alias("rank"), "field", "value"))
 
 
-@register("r3_detail_lines", f"SELECT item_id, '- **' || field || '**: ' || value AS line FROM fx_field WHERE {_CERTAIN} UNION ALL SELECT DISTINCT item_id, '### ' || category FROM fx_field WHERE {_CERTAIN}")
+_CITED = "(SELECT item_id, field, string_agg('[' || idx || ']', '' ORDER BY ref_ord, idx) AS cited FROM (SELECT c.item_id, c.field, c.ref_ord, coalesce(s.n, coalesce(t.n, 0) + 1) AS idx FROM fx_citation c LEFT JOIN (SELECT item_id, url, min(n) AS n FROM " + _NUMBERED + " GROUP BY ALL) s ON s.item_id = c.item_id AND s.url = c.ref LEFT JOIN (SELECT item_id, count(*) AS n FROM fx_source GROUP BY ALL) t ON t.item_id = c.item_id) GROUP BY ALL)"
+_SOURCE_LINES = f"SELECT item_id, '[' || n || '] ' || url AS line FROM {_NUMBERED}"
+
+
+def _source_lines(fx: Fixtures) -> DataFrame:
+    n = evidence.numbered_sources(fx("fx_source"))
+    none = F.lit(None).cast("string")
+    return n.select("item_id", "n", X.source_line(F.col("n"), F.col("url"), none, none).alias("line"))
+
+
+@register("r3_detail_lines", f"SELECT item_id, '- **' || field || '**: ' || value || coalesce(' ' || cited, '') AS line FROM fx_field LEFT JOIN {_CITED} USING (item_id, field) WHERE {_CERTAIN} UNION ALL SELECT DISTINCT item_id, '### ' || category FROM fx_field WHERE {_CERTAIN} UNION ALL {_SOURCE_LINES} UNION ALL SELECT DISTINCT item_id, '**Sources**' FROM fx_source")
 def r3(fx):
-    return report.detail_lines(fx("fx_field")).select("item_id", "line")
+    return report.detail_lines(fx("fx_field"), evidence.cited_indices(fx("fx_citation"), fx("fx_source")), _source_lines(fx)).select("item_id", "line")
+
+
+_SUMMARY = ["price", "brand", "kind", "size"]
 
 
-@register("r4_synthesis", f"SELECT category, field, md5(string_agg(slug || ': ' || left(value, 80), '; ' ORDER BY item_id)) AS line_md5 FROM fx_field JOIN (SELECT 1) ON true WHERE {_CERTAIN} AND field = 'brand' GROUP BY ALL")
+@register("r4_synthesis", f"SELECT CASE field WHEN 'price' THEN 0 WHEN 'brand' THEN 1 WHEN 'kind' THEN 2 ELSE 3 END AS rank, field, item_id, slug || ': ' || left(value, 80) AS part FROM fx_field WHERE {_CERTAIN} AND field IN ('price', 'brand', 'kind', 'size')")
 def r4(fx):
-    rows = report.synthesis(fx("fx_field").filter("field = 'brand'"), "field", "value")
-    return rows.select(F.lit("basic_info").alias("category"), "field", F.md5("line").alias("line_md5"))
+    return report.synthesis(fx("fx_field"), _SUMMARY)
+
+
+@register("a6_category_members", f"SELECT DISTINCT category, item_id, slug FROM fx_field WHERE {_CERTAIN} AND category IN (SELECT category FROM fx_field WHERE {_CERTAIN} GROUP BY category HAVING count(DISTINCT item_id) < (SELECT count(DISTINCT item_id) FROM fx_field))")
+def a6_members(fx):
+    return report.category_members(fx("fx_field"))
+
+
+def _sidecars(fx: Fixtures) -> DataFrame:
+    each = lambda name, n: F.when(F.col("n_conflicts") > 0, F.array(F.concat(F.lit(f"{name} "), "item_id"))).otherwise(F.array().cast("array<string>")) if n else F.array(F.lit(""))
+    return fx("fx_sidecar").select("item_id", "confidence", each("conflict", 1).alias("conflicts"), each("note", 1).alias("notes"))
+
+
+_DOUBTS = "value IS NULL OR contains(value, '[uncertain]')"
+_FLAGS = f"""SELECT DISTINCT item_id, '**Uncertain fields**:' AS line FROM fx_field WHERE {_DOUBTS} UNION ALL SELECT item_id, '- ' || field FROM fx_field WHERE {_DOUBTS}
+ UNION ALL SELECT DISTINCT item_id, '**Missing fields**:' FROM fx_field WHERE item_id % 6 = 0 UNION ALL SELECT DISTINCT item_id, '- nickname' FROM fx_field WHERE item_id % 6 = 0
+ UNION ALL SELECT item_id, '**Verification confidence**: ' || confidence FROM fx_sidecar SEMI JOIN part ON item_id = p_partkey UNION ALL SELECT item_id, unnest(['**Conflicts**:', '- conflict ' || item_id, '**Verification notes**: note ' || item_id]) FROM fx_sidecar SEMI JOIN part ON item_id = p_partkey WHERE n_conflicts > 0"""
+
+
+def _flagged(fx: Fixtures) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    f = fx("fx_field")
+    items = f.select("item_id").distinct()
+    return items, f.filter(X.is_uncertain(F.col("value"))).select("item_id", "pos", "field"), items.filter("item_id % 6 = 0").select("item_id", F.lit(0).alias("pos"), F.lit("nickname").alias("field")), _sidecars(fx).join(items, "item_id", "left_semi")
+
+
+@register("r5_uncertainty_lines", f"SELECT * FROM ({_FLAGS}) UNION ALL SELECT DISTINCT item_id, '_No uncertainty flags; verification metadata absent._' FROM fx_field WHERE item_id NOT IN (SELECT item_id FROM ({_FLAGS}))")
+def r5(fx):
+    return report.uncertainty_lines(*_flagged(fx)).select("item_id", "line")
+
+
+_S8_LINES = [
+    "SELECT unnest([1, 2, 3]) AS section",  # heads
+    "SELECT unnest([1, 2, 3]) FROM (SELECT DISTINCT item_id FROM fx_field)",  # an item's line of contents, row and title
+    "SELECT 2 FROM range(2)",  # the table's head and rule
+    f"SELECT 3 FROM fx_field WHERE {_CERTAIN}",
+    f"SELECT 3 FROM (SELECT DISTINCT item_id, category FROM fx_field WHERE {_CERTAIN})",
+    f"SELECT 3 FROM (SELECT item_id FROM fx_field GROUP BY item_id HAVING count(*) FILTER ({_CERTAIN}) = 0)",
+    "SELECT 3 FROM fx_source SEMI JOIN part ON item_id = p_partkey",
+    "SELECT 3 FROM (SELECT DISTINCT item_id FROM fx_source SEMI JOIN part ON item_id = p_partkey)",
+]
+
+
+@register("s8_report_lines", f"SELECT section, count(*) AS n FROM ({' UNION ALL '.join(_S8_LINES)}) GROUP BY section")
+def s8(fx):
+    """Lines of the first three sections by section; the lines themselves are those of r1, r2 and r3 (and, in tests, a whole report)."""
+    f = fx("fx_field")
+    rows = f.select("item_id", F.col("item_id").alias("no"), "slug", F.col("slug").alias("name"), F.lit(False).alias("failed")).distinct()
+    _, _, missing, sidecars = _flagged(fx)
+    own = lambda df: df.join(rows.select("item_id"), "item_id", "left_semi")
+    lines = report.report_lines(rows, f, _SUMMARY, sidecars, own(evidence.cited_indices(fx("fx_citation"), fx("fx_source"))), own(_source_lines(fx)), missing)
+    return lines.filter("section <= 3").groupBy("section").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("a6_category_coverage", f"SELECT category, count(DISTINCT item_id) AS n_items, (SELECT count(DISTINCT item_id) FROM fx_field) AS n_total, min(item_id) AS first_item, min_by(pos, item_id * 10 + pos) AS first_pos FROM fx_field WHERE {_CERTAIN} GROUP BY category")
@@ -397,9 +496,10 @@ def j11(fx):
     return review.check_claims(fx("fx_claim"), fx("fx_evidence"), ("n_chars",))
 
 
-@register("j12_check_plan", "SELECT k, b.n_lines AS planned, a.n_lines AS real, CASE WHEN a.k IS NULL THEN 'unsupported' WHEN b.k IS NULL THEN 'missing' WHEN a.n_lines = b.n_lines THEN 'correct' ELSE 'stale' END AS verdict FROM fx_before b FULL JOIN fx_after a USING (k)")
+@register("j12_check_plan", "SELECT k, b.n_lines AS planned, a.n_lines AS real, CASE WHEN a.k IS NULL THEN 'unsupported' WHEN b.k IS NULL THEN 'missing' WHEN k % 7 = 3 THEN 'risky' WHEN a.n_lines = b.n_lines THEN 'correct' ELSE 'stale' END AS verdict FROM fx_before b FULL JOIN fx_after a USING (k)")
 def j12(fx):
-    return review.check_plan(fx("fx_before"), fx("fx_after"), "k", "n_lines")
+    risks = fx("part").select(F.col("p_partkey").alias("k"), F.when(F.col("p_partkey") % 7 != 3, "low").when(F.col("p_partkey") % 2 == 0, "high").otherwise("critical").alias("severity"))
+    return review.check_plan(fx("fx_before"), fx("fx_after"), "k", "n_lines", risks)
 
 
 _CHANGES = "SELECT k, CASE WHEN b.name IS NULL THEN 'added' WHEN a.name IS NULL THEN 'deleted' WHEN a.n_lines = b.n_lines AND a.name = b.name THEN 'unchanged' ELSE 'modified' END AS status, coalesce(a.n_lines, 0) - coalesce(b.n_lines, 0) AS delta FROM fx_before b FULL JOIN fx_after a USING (k)"
@@ -415,6 +515,12 @@ def a13(fx):
     return review.change_figures(fx("fx_before"), fx("fx_after"), "k", "n_lines")
 
 
+@register("a13_new_modules", "SELECT k % 17 AS module, count(*) AS files FROM fx_after WHERE k % 17 NOT IN (SELECT k % 17 FROM fx_before) GROUP BY 1")
+def a13_modules(fx):
+    module = F.pmod("k", F.lit(17)).alias("module")
+    return review.new_modules(fx("fx_before").select(module), fx("fx_after").select(module), "module")
+
+
 @register("j14_requirement_status", "SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS n_matched, count(*) AS n_parts, CASE WHEN count(*) FILTER (o_orderstatus = 'F') = 0 THEN 'gap' WHEN count(*) FILTER (o_orderstatus = 'F') < count(*) THEN 'partial' ELSE 'match' END AS status FROM orders GROUP BY o_custkey")
 def j14(fx):
     return review.requirement_status(fx("orders").withColumn("m", F.col("o_orderstatus") == "F"), "o_custkey", "m")
@@ -452,9 +558,10 @@ def f15(fx):
     return per.select("l_orderkey", review.route(F.col("n"), F.col("c"), F.col("n"), F.col("s")).alias("route"))
 
 
-@register("h7_extract_claims", "SELECT page_id, 'url' AS kind, unnest(regexp_extract_all(html, 'https?://[^\\s<>\"'']+')) AS claim FROM pages UNION ALL SELECT page_id, 'number', unnest(regexp_extract_all(html, '\\b[0-9]+(?:\\.[0-9]+)?%')) FROM pages UNION ALL SELECT page_id, 'path', unnest(regexp_extract_all(html, '\\b[A-Za-z0-9_-]+\\.(?:py|js|html|json|md)\\b')) FROM pages")
+@register("h7_extract_claims", "SELECT page_id, 'url' AS kind, unnest(regexp_extract_all(html, 'https?://[^\\s<>\"'']+')) AS claim FROM pages UNION ALL SELECT page_id, 'number', unnest(regexp_extract_all(html, '\\b[0-9]+(?:\\.[0-9]+)?%')) FROM pages UNION ALL SELECT page_id, 'path', unnest(regexp_extract_all(html, '\\b[A-Za-z0-9_-]+\\.(?:py|js|html|json|md)\\b')) FROM pages UNION ALL SELECT page_id, 'command', 'git page-' || page_id FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, 'name', 'f' || page_id || '()' FROM pages WHERE page_id % 2 = 0")
 def h7(fx):
-    return review.extract_claims(fx("pages"), "page_id", "html")
+    said = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit(" run git page-"), "page_id", F.lit(" to call f"), "page_id", F.lit("() "))).otherwise(F.lit(""))
+    return review.extract_claims(fx("pages").select("page_id", F.concat("html", said).alias("html")), "page_id", "html")
 
 
 # -- specs ---------------------------------------------------------------------------------------------------
@@ -472,12 +579,37 @@ def a19(fx):
 
 @register("r6_rendered_pages", """SELECT c_custkey AS spec_id, c_name AS title, md5('<section class="section" data-tone="info"><div class="section-head"><div><h2>' || c_mktsegment || '</h2></div><span class="section-kicker">01</span></div><div class="grid"><article class="card" data-tone="accent"><h3>' || c_name || '</h3><p>a &lt; b &amp; c</p></article></div><div class="table-wrap"><table><thead><tr><th scope="col">x</th><th scope="col">y</th></tr></thead><tbody><tr><td>1</td><td>2</td></tr></tbody></table></div><div class="flow"><div class="grid"><article class="flow-node" data-tone="accent"><h3>A</h3></article></div><div class="flow-edges"><span class="flow-edge">a → a</span></div></div></section>') AS sections_md5 FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey % 5 <> 0 AND c_custkey % 3 <> 0 AND c_custkey % 4 <> 0""")
 def r6(fx):
-    s = fx.sql(_SPECS)
-    valid = specs.validate(s).filter(F.size("errors") == 0).select("spec_id")
-    pages = specs.render(s.join(valid, "spec_id", "left_semi"))
+    pages = specs.render(fx.sql(_SPECS))
     return pages.select("spec_id", "title", F.md5(F.regexp_extract("html", r'(?s)<div class="sections">(.*)</div>\n</main>', 1)).alias("sections_md5"))
 
 
+_BLOCKS = """SELECT c_custkey AS spec_id, concat('{{"title":"t","sections":[{{"title":"s","files":[{{"path":"', CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'p' END, '","status":"', CASE WHEN c_custkey % 4 = 0 THEN 'lost' ELSE 'added' END, '"}}],"steps":',
+ CASE WHEN c_custkey % 5 = 0 THEN '[]' ELSE '[{{"title":"x","status":"done"}}]' END, ',"callouts":[{{"body":"b"', CASE WHEN c_custkey % 6 = 0 THEN ',"odd":1' ELSE '' END, '}}],"evidence":[{{"label":"l"', CASE WHEN c_custkey % 7 = 0 THEN '' ELSE ',"value":"v"' END, '}}],"cards":[{{"title":"c","meta":',
+ CASE WHEN c_custkey % 8 = 0 THEN '["m",1]' ELSE '["m"]' END, '}}]', CASE WHEN c_custkey % 9 = 0 THEN ',"extra":[]' ELSE '' END, '}}]', CASE WHEN c_custkey % 10 = 0 THEN ',"more":0' ELSE '' END, '}}') AS raw FROM {customer}"""
+_BLOCK_ERRORS = {
+    3: "spec.sections[0].files[0].path must be a non-empty string", 4: "spec.sections[0].files[0].status must be added, modified, deleted, reviewed, or planned", 5: "spec.sections[0].steps must be a non-empty array",
+    6: "spec.sections[0].callouts[0].odd is not supported", 7: "spec.sections[0].evidence[0].value must be a non-empty string", 8: "spec.sections[0].cards[0].meta must be an array of strings",
+    9: "spec.sections[0].extra is not supported", 10: "spec.more is not supported",
+}
+
+
+@register("v8_block_errors", "SELECT c_custkey AS spec_id, coalesce(array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN c_custkey % {k} = 0 THEN '{e}' END" for k, e in _BLOCK_ERRORS.items()) + "], lambda x: x IS NOT NULL)), '; '), '') AS errors FROM customer")
+def v8(fx):
+    """Unknown keys at every level, texts, arrays of texts, enums and block rules (V1, V2, V3, V4, V5, V8)."""
+    docs = fx.sql(_BLOCKS.replace("{{", "\x01").replace("}}", "\x02")).withColumn("raw", F.translate("raw", "\x01\x02", "{}"))
+    return specs.validate(docs).select("spec_id", joined("errors", "; ").alias("errors"))
+
+
+_ROUND_OUTPUT = """SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'base' WHEN 'O' THEN 'gap' ELSE 'verify' END AS kind, concat('<', CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE '"item":"i",' END, '"json":', CASE WHEN o_orderkey % 4 = 0 THEN '[]' ELSE '<>' END,
+ CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN concat(',"verification":', CASE WHEN o_orderkey % 5 = 0 THEN '<"conflicts":"c","more":1>' ELSE '<"notes":"n">' END) ELSE concat(',"sources":', CASE WHEN o_orderkey % 5 = 0 THEN '[1]' ELSE '["s"]' END) END, CASE WHEN o_orderkey % 7 = 0 THEN ',"extra":null' ELSE '' END, '>') AS raw FROM {orders}"""
+
+
+@register("v9_round_outputs", """SELECT o_orderkey, array_to_string(list_sort(list_filter([CASE WHEN o_orderkey % 3 = 0 THEN 'output.item must be a string' END, CASE WHEN o_orderkey % 4 = 0 THEN 'output.json must be an object' END,
+ CASE WHEN o_orderkey % 5 = 0 AND o_orderstatus NOT IN ('F', 'O') THEN 'output.verification.conflicts must be an array of strings' WHEN o_orderkey % 5 = 0 THEN 'output.sources must be an array of strings' END, CASE WHEN o_orderkey % 7 = 0 THEN 'output.extra is not supported' END], lambda x: x IS NOT NULL)), '; ') AS errors FROM orders""")
+def v9(fx):
+    return specs.round_errors(fx.sql(_ROUND_OUTPUT).withColumn("raw", F.translate("raw", "<>", "{}"))).select("o_orderkey", joined("errors", "; ").alias("errors"))
+
+
 @register("j9_dangling_edges", "SELECT from_id, to_id, 'from' AS side FROM fx_flow_edge WHERE from_id NOT IN (SELECT id FROM fx_flow_node) UNION ALL SELECT from_id, to_id, 'to' FROM fx_flow_edge WHERE to_id NOT IN (SELECT id FROM fx_flow_node)")
 def j9(fx):
     return specs.dangling(fx("fx_flow_edge"), fx("fx_flow_node"))
@@ -555,9 +687,27 @@ def h5(fx):
     return decks.body_parts(decks.blocks(fx("pages")))
 
 
-@register("h6_slide_titles")
+_DECK = """SELECT p_partkey AS page_id, concat('<div class="deck-nav">1</div><', CASE WHEN p_partkey % 11 = 0 THEN 'div' ELSE 'section' END, ' class="slide">', CASE WHEN p_partkey % 4 = 0 THEN '' ELSE concat('<h2>', p_name, '</h2>') END, '<p class="eyebrow">e</p><p class="subtitle">', p_brand, '</p><nav>menu</nav>',
+ CASE WHEN p_partkey % 2 = 0 THEN concat('<table><tr><td> </td></tr><tr><th>k</th><td>', repeat(p_name, 10), '</td></tr></table>') ELSE '' END, CASE WHEN p_partkey % 3 = 0 THEN concat('<pre>a  b\n', 'box', CAST(p_size AS STRING), '</pre>') ELSE '' END,
+ CASE p_partkey % 5 WHEN 0 THEN '<pre class="mermaid">a --&gt;  b</pre>' WHEN 1 THEN '<script class="diagram-source"> </script>' ELSE '<script>x</script>' END, '<ul><li>', p_type, '<li>', upper(p_type), '</ul><p>', p_name, '</p><div class="card">', 'box', CAST(p_size AS STRING), '</div></', CASE WHEN p_partkey % 11 = 0 THEN 'div' ELSE 'section' END, '><p>outside</p>') AS html FROM {part}"""
+
+
+@register("h5_assembled_slides", """SELECT p_partkey AS page_id, CASE WHEN p_partkey % 4 = 0 THEN 'Slide 1' ELSE p_name END AS title, p_brand AS subtitle,
+ array_to_string(list_filter([CASE p_partkey % 5 WHEN 0 THEN 'Diagram source: a --> b' WHEN 1 THEN 'Diagram placeholder: render from the HTML deck for full fidelity.' END, p_type, 'box' || p_size, 'e', CASE WHEN p_partkey % 4 = 0 THEN p_name END], lambda x: x IS NOT NULL), '|') AS body,
+ CASE WHEN p_partkey % 2 = 0 THEN 'k,' || CASE WHEN length(repeat(p_name, 10)) > 90 THEN rtrim(left(repeat(p_name, 10), 89)) || '…' ELSE repeat(p_name, 10) END ELSE '' END AS cells, CASE WHEN p_partkey % 3 = 0 THEN 'a b' || chr(10) || 'box' || p_size ELSE '' END AS code,
+ CASE WHEN p_partkey % 2 = 0 THEN 'table' WHEN p_partkey % 3 = 0 THEN 'code' ELSE 'panel' END AS block FROM part""")
+def h5_assembled(fx):
+    """Ignored elements, slides by section or class, tables, code, diagrams, titles, bodies and the choice of a block (F12, F13, H1, H2, H3, H5, O5, W7, L7) over one slide a part."""
+    found = decks.block_choice(decks.slides(decks.blocks(fx.sql(_DECK)).filter("slide = 1")))
+    rows = F.flatten(F.flatten("tables"))
+    return found.select("page_id", "title", "subtitle", joined("body", "|").alias("body"), joined(rows).alias("cells"), joined("codes", "|").alias("code"), "block")
+
+
+@register("h6_slide_titles", "SELECT p_partkey AS page_id, CASE p_partkey % 3 WHEN 0 THEN p_brand WHEN 1 THEN p_type ELSE p_name END AS title FROM part")
 def h6(fx):
-    return decks.slide_titles(decks.blocks(fx("pages")))
+    marked = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit('<h3 class="slide__display">'), "p_brand", F.lit("</h3>"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("<blockquote>"), "p_type", F.lit("</blockquote>"))).otherwise(F.lit(""))
+    html = F.concat(F.lit('<section class="slide"><h2>'), "p_name", F.lit("</h2>"), marked, F.lit("</section>"))
+    return decks.slide_titles(decks.blocks(fx("part").select(F.col("p_partkey").alias("page_id"), html.alias("html")))).select("page_id", "title")
 
 
 @register("v10_page_rules", """SELECT page_id, unnest(list_filter([CASE WHEN NOT (contains(l, '<html') AND contains(l, '</html>') AND contains(l, '<!doctype html>')) THEN 'complete document' END, CASE WHEN NOT regexp_matches(l, '<link[^>]*rel=["''][^"'']*icon') THEN 'favicon' END,
@@ -581,15 +731,20 @@ def w9(fx):
 
 @register("t1_first_arrivals", "SELECT call_id, min(seq) AS seq FROM fx_tool_event WHERE type = 'tool/result' AND call_id IS NOT NULL GROUP BY call_id")
 def t1(fx):
-    """The stream form over the event files, drained once; the delay exceeds the table's span, so it equals the batch form."""
+    """The stream form over the event files, drained once; one horizon holds the table's span, so what was published last of each key equals the batch form."""
     schema = fx("events").schema
     source = fx.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(fx.dir)
     kind = F.when(F.col("event_type") == "purchase", stream.TOOL_RESULT).otherwise(F.col("event_type"))
     rows = source.select(F.col("event_id").alias("seq"), "ts", kind.alias("type"), F.col("user_id").alias("call_id"), F.floor(F.col("value") * 1024).alias("bytes"))
-    where = f"{fx.spark.conf.get('spark.checkpoint.dir', 'file:///tmp/dossier-streams')}/{uuid.uuid4().hex}"
-    query = stream.first_arrivals(rows, "3650 days").select("call_id", "seq").writeStream.format("parquet").option("path", f"{where}/rows").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return fx.spark.read.schema("call_id long, seq long").parquet(f"{where}/rows")
+    where = f"{shared_dir(fx.spark)}/streams-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{where}/rows/batch={number}")
+
+    first = stream.first_arrivals(rows, "3650 days", "36500 days").select("call_id", "seq")
+    first.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
+    published = fx.spark.read.schema("call_id long, seq long, batch int").parquet(f"{where}/rows")
+    return published.groupBy("call_id").agg(F.max_by("seq", "batch").alias("seq"))
 
 
 @register("x3_markdown_values")
@@ -606,22 +761,24 @@ def f5(fx):
 @register("f11_output_names", "SELECT page_id FROM pages WHERE regexp_full_match(CASE WHEN page_id % 2 = 0 THEN url ELSE 'page' || page_id || '.html' END, '[^/]+\\.html')")
 def f11(fx):
     name = F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.concat(F.lit("page"), F.col("page_id").cast("string"), F.lit(".html")))
-    return fx("pages").filter(name.rlike(r"^[^/]+\.html$")).select("page_id")
+    return fx("pages").filter(scan.valid_page_name(name)).select("page_id")
 
 
 @register("l5_body_caps", "SELECT user_id, string_agg(CAST(event_id AS STRING), ',' ORDER BY event_id) AS first_ten FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) WHERE n <= 10 GROUP BY user_id")
 def l5(fx):
-    ids = F.array_sort(F.collect_list("event_id"))
-    return fx("events").groupBy("user_id").agg(F.array_join(F.slice(ids, 1, decks.MOST_BODY), ",").alias("first_ten"))
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    few = fx("events").select("user_id", "event_id").withColumn("n", n).filter(F.col("n") <= decks.MOST_BODY)
+    return few.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list("event_id")), ",").alias("first_ten"))
 
 
 _L6 = "ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag"
 
 
-@register("l6_clipped_tables", f"""SELECT l_orderkey, string_agg(CAST(l_linenumber AS STRING) || CASE WHEN l_linenumber % 2 = 0 THEN ',' || l_returnflag WHEN evens > 0 THEN ',' ELSE '' END, ';' ORDER BY n) AS rows
- FROM (SELECT *, count(*) FILTER (l_linenumber % 2 = 0) OVER (PARTITION BY l_orderkey) AS evens FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey {_L6}) AS n FROM lineitem) WHERE n <= 9) GROUP BY l_orderkey""")
+@register("l6_clipped_tables", f"""SELECT l_orderkey, string_agg(CAST(l_linenumber AS STRING) || CASE WHEN l_linenumber % 4 = 0 THEN ',' || l_returnflag || ',c,d,e' WHEN l_linenumber % 2 = 0 THEN ',' || l_returnflag || CASE WHEN fours > 0 THEN ',,,' ELSE '' END WHEN fours > 0 THEN ',,,,' WHEN evens > 0 THEN ',' ELSE '' END, ';' ORDER BY n) AS rows
+ FROM (SELECT *, count(*) FILTER (l_linenumber % 2 = 0) OVER (PARTITION BY l_orderkey) AS evens, count(*) FILTER (l_linenumber % 4 = 0) OVER (PARTITION BY l_orderkey) AS fours FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey {_L6}) AS n FROM lineitem) WHERE n <= 9) GROUP BY l_orderkey""")
 def l6(fx):
-    row = F.when(F.col("l_linenumber") % 2 == 0, F.array(F.col("l_linenumber").cast("string"), "l_returnflag")).otherwise(F.array(F.col("l_linenumber").cast("string")))
+    wide = [F.col("l_linenumber").cast("string"), F.col("l_returnflag"), F.lit("c"), F.lit("d"), F.lit("e"), F.lit("cut")]
+    row = F.when(F.col("l_linenumber") % 4 == 0, F.array(*wide)).when(F.col("l_linenumber") % 2 == 0, F.array(*wide[:2])).otherwise(F.array(F.col("l_linenumber").cast("string")))
     order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", row.alias("row"))
     per = fx("lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(order)), lambda s: s["row"]).alias("t"))
     return per.select("l_orderkey", joined(F.transform(decks.clipped(F.col("t")), lambda r: joined(r)), ";").alias("rows"))
@@ -633,7 +790,7 @@ def l7(fx):
     return fx("pages").select("page_id", F.when(html.contains("<table"), "table").when(html.contains("<pre"), "code").otherwise("panel").alias("block"))
 
 
-@register("x5_normalised_text", "SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[ \\t\\f\\r]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), '^\\s+', ''), '\\s+$', '')) AS text_md5, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS line_md5 FROM documents")
+@register("x5_normalised_text", "SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[ \\t\\f\\r]+', ' ', 'g'), '\\s*\\n\\s*', chr(10), 'g'), '^\\s+', ''), '\\s+$', '')) AS text_md5, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS line_md5 FROM documents")
 def x5(fx):
     return fx("documents").select("doc_id", F.md5(X.normalise(F.col("text"))).alias("text_md5"), F.md5(X.one_line(F.col("text"))).alias("line_md5"))
 

@@ -5,7 +5,8 @@ import json
 from pyspark.sql import functions as F
 
 from dossier.functions import text as X
-from dossier.operators import coverage, decks, flatten, merge, review, specs
+from dossier.functions.values import as_markdown
+from dossier.operators import coverage, decks, flatten, merge, report, review, specs
 from dossier.session import configured
 from dossier.sources import items as scan
 from dossier.streaming import events as stream
@@ -84,10 +85,11 @@ def test_requirement_audit(spark):
 
 
 def test_pages(spark):
-    html = '<section class="slide"><h2 class="slide__heading">T<b>i</b></h2><p>one<p>two <script>"</p>"</script><ul><li>x<li>X</ul><pre>a\n b</pre><table><tr><td>c</table></section><section class="slide"><nav>n</nav><div class="card">k</div></section>'
+    html = '<section class="slide"><h2 class="slide__heading">T<b>i</b></h2><p>one<p>two <script>"</p>"</script><ul><li>x<li>X</ul><pre>a\n b</pre><table><tr><td>c</table></section><section class="slide"><nav><p>n<p>m</nav><div class="card">k</div></section>'
     found = decks.blocks(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string"))
     rows = found.orderBy("page_id", "pos").collect()
-    assert [(r["slide"], r["kind"], r["text"]) for r in rows if r["kind"] not in ("table", "tr")] == [(1, "heading", "Ti"), (1, "paragraph", "one"), (1, "paragraph", "two"), (1, "item", "x"), (1, "item", "X"), (1, "code", "a\n b"), (1, "cell", "c"), (2, "card", "k")]
+    assert [(r["slide"], r["kind"], r["text"]) for r in rows if r["kind"] not in ("table", "display")] == [(1, "heading", "Ti"), (1, "paragraph", "one"), (1, "paragraph", "two"), (1, "item", "x"), (1, "item", "X"), (1, "code", "a\nb"), (2, "card", "k")]
+    assert [r["rows"] for r in rows if r["kind"] == "table"] == [[["c"]]]
     assert {(r["slide"], r["title"]) for r in decks.slide_titles(found).collect()} == {(1, "Ti"), (2, "Slide 2")}
     body = [r["text"] for r in decks.body_parts(found).filter("slide = 1").orderBy("n").collect()]
     assert body == ["x", "one", "two"]
@@ -95,6 +97,181 @@ def test_pages(spark):
     assert table.select(decks.clipped(F.col("t"))).first()[0] == [["a", "", "", "", ""], ["b", "c", "d", "e", "f"]]
 
 
+def slides_of(spark, html):
+    return decks.block_choice(decks.slides(decks.blocks(spark.createDataFrame([(1, html)], "page_id long, html string")))).filter("slide > 0").orderBy("slide").collect()
+
+
+def test_assembled_slides(spark):
+    long_ = "word " * 100
+    tables = "".join(f"<table><tr><td>{k}</td></tr><tr><td>&nbsp;</td></tr></table>" for k in range(3)) + "<table><tr><td></td></tr></table>"
+    codes = "".join(f"<pre>  {k}\n\n x  y</pre>" for k in range(2)) + f"<pre>{long_ * 3}</pre>"
+    items = "".join(f"<li>item {k}</li>" for k in range(12))
+    first = f'<section class="slide"><h1>Title</h1><p class="kicker">kick</p><h2 class="subtitle"> </h2>{tables}{codes}<div class="mermaid">a --&gt; b <p>in it</p></div><script class="diagram-source"></script><ul>{items}<li>ITEM 3</li></ul><p>Title</p><p>kick</p><p>{long_}</p><div class="deck-hint">h</div></section>'
+    second = '<section class="slide"><div class="panel">p</div><article>art <b>x</b></article><pre class="mermaid">m</pre></section>'
+    got = slides_of(spark, f'<div class="slide"><p>no section</p></div>{first}{second}')
+    one, two = got
+    assert (one["title"], one["subtitle"], one["block"]) == ("Title", "kick", "table") and one["tables"] == [[["0"]], [["1"]]]
+    assert one["codes"] == ["0\nx y", "1\nx y"] and len(one["body"]) == 10
+    assert one["body"][:3] == ["Diagram source: a --> b in it", decks.NO_DIAGRAM, "item 0"]
+    assert (two["title"], two["subtitle"], two["body"], two["block"]) == ("Slide 2", "", ["Diagram source: m", "p", "art x"], "panel")
+    # Without sections, elements of the class that show something.
+    fallback = slides_of(spark, f'<div class="slide"><div>bare</div></div><div class="slide"><p>{long_}</p><pre>{long_ * 9}</pre><table><tr><td>{long_}</td></tr></table></div>')
+    assert len(fallback) == 1 and len(fallback[0]["body"][0]) == len(("word " * 44).strip()) + 1 and fallback[0]["body"][0].endswith("…")
+    assert len(fallback[0]["codes"][0]) == 850 and len(fallback[0]["tables"][0][0][0]) == 90
+
+
+def test_values_as_markdown(spark):
+    configured(spark)
+
+    def text(v, depth=0):  # what each kind of value says
+        if v is None:
+            return ""
+        if isinstance(v, bool):
+            return "true" if v else "false"
+        if isinstance(v, str):
+            return "\n".join(f"> {x}" for x in v.split("\n")) if len(v) > 100 and "[uncertain]" not in v else v
+        if isinstance(v, dict):
+            return "\n".join(f"{'  ' * depth}{k}: {text(x, depth + 1)}" for k, x in v.items() if x is not None and not (isinstance(x, str) and not x.strip()))
+        if isinstance(v, list) and v and all(isinstance(x, dict) for x in v):
+            rows = [" | ".join(f"{k}: {text(x)}" for k, x in e.items() if x is not None and x != "") for e in v]
+            return "\n".join(r for r in rows if r)
+        if isinstance(v, list):
+            parts = [text(x, depth) for x in v]
+            full = [x for x in parts if x]
+            return ", ".join(full) if sum(map(len, parts)) <= 60 else "\n".join(f"- {x}" for x in full)
+        return str(v)
+
+    values = [None, True, 12, "short", "x" * 101, "a line\n" + "y" * 120, "[uncertain] " + "z" * 120, {"a": 1, "b": None, "c": " ", "d": {"e": "f", "g": [1, 2]}}, [], [1, "b", None, True], ["w" * 40, "v" * 40], [{"k": 1, "l": ""}, {"k": None}, {"m": [1, 2]}], [1, {"a": "b"}]]
+    df = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)], "i int, raw string")
+    got = {r["i"]: r["m"] for r in df.select("i", as_markdown(F.parse_json("raw")).alias("m")).collect()}
+    assert got == {i: text(v) for i, v in enumerate(values)}
+
+
+def test_fields_of_any_depth(spark):
+    configured(spark)
+    doc = {"history": {"y": 1}, "z": 2}
+    for k in range(14):
+        doc = {f"k{k}": doc, f"s{k}": '{"'}
+    frame = {"t": 1}
+    for k in ("history", "market", "basic_info", "Business Info", "performance", "milestones"):
+        frame = {k: frame, f"n{k[0]}": 0}
+    df = spark.createDataFrame([(1, json.dumps(doc)), (2, json.dumps(frame)), (3, "{}")], "item_id long, raw string")
+    rows = flatten.explode_fields(df).filter("item_id = 1").orderBy("pos").collect()
+    assert [(r["category"], r["field"]) for r in rows] == [("History", "y"), (flatten.OTHER, "z"), *[(flatten.OTHER, f"s{k}") for k in range(14)]]
+    names = {r["field"] for r in flatten.field_names(df).filter("item_id = 2").collect()}
+    assert names == {"t", "nh", "nm", "nb", "nB", "np"}
+
+
+def test_report(spark, tmp_path):
+    items = spark.createDataFrame([(1, 1, "a", "A item", False), (2, 2, "b", "B", False), (3, 3, "c", "C", True), (4, 4, "d", "D", False)], "item_id long, no int, slug string, name string, failed boolean")
+    fields = spark.createDataFrame([(1, "a", 1, "Basic Info", "price", "5"), (1, "a", 2, "History", "born", "> long\n> text"), (2, "b", 1, "Basic Info", "price", "[uncertain] 6"), (2, "b", 2, "Basic Info", "kind", "k"), (3, "c", 1, "Basic Info", "price", "9"), (4, "d", 1, "Basic Info", "kind", None)], "item_id long, slug string, pos int, category string, field string, value string")
+    sidecars = spark.createDataFrame([(1, "high", ["x vs y"], ["n1", "n2"]), (2, None, [], [])], "item_id long, confidence string, conflicts array<string>, notes array<string>")
+    citations = spark.createDataFrame([(1, "price", 0, 2), (1, "price", 1, 1), (1, "born", 0, 1)], "item_id long, field string, ref_ord int, idx int")
+    sources = spark.createDataFrame([(1, 1, "[1] u"), (1, 2, "[2] v — w")], "item_id long, n int, line string")
+    missing = spark.createDataFrame([(2, 0, "born")], "item_id long, pos int, field string")
+    lines = report.report_lines(items, fields, ["price", "kind"], sidecars, citations, sources, missing)
+    scan.write_lines(lines, str(tmp_path / "report"))
+    parts = sorted((tmp_path / "report").glob("part-*"))
+    assert "".join(p.read_text() for p in parts) == """# Table of Contents
+
+1. [A item](#a-item) - price: 5
+2. [B](#b) - price: [uncertain] 6 | kind: k
+3. [C](#c) - price: 9 | (research failed)
+4. [D](#d) - kind: 
+# Comparison
+
+| Name   | price | kind |
+| ------ | ----- | ---- |
+| A item | 5     | —    |
+| B      | —     | k    |
+| C      | 9     | —    |
+| D      | —     | —    |
+# Detailed Content
+
+## A item
+
+### Basic Info
+- **price**: 5 [2][1]
+### History
+**born**
+
+> long
+> text
+**Sources**
+[1] u
+[2] v — w
+## B
+
+### Basic Info
+- **kind**: k
+## C
+
+> Research failed for this item (no results).
+
+## D
+
+_No reportable fields (all values uncertain or empty)._
+
+# Cross-Item Synthesis
+
+## Summary-field comparison
+
+- **price** — A item: 5
+- **price** — C: 9
+- **kind** — B: k
+
+## Category coverage
+
+- **Basic Info** — present in 3/4 item(s)
+  - A item
+  - B
+  - C
+- **History** — present in 1/4 item(s)
+  - A item
+
+## Contradictions (from verification)
+
+- A item: x vs y
+# Uncertainty & Confidence
+
+## A item
+
+**Verification confidence**: high
+**Conflicts**:
+- x vs y
+**Verification notes**: n1; n2
+## B
+
+**Uncertain fields**:
+- price
+**Missing fields**:
+- born
+## C
+
+_No uncertainty flags; verification metadata absent._
+## D
+
+**Uncertain fields**:
+- kind
+"""
+
+
+def test_paths_and_order(spark, tmp_path):
+    for name in ("b.json", "a.json", "c.txt"):
+        (tmp_path / name).write_text('{"v": 1}')
+    texts = scan.read_texts(spark, [str(tmp_path / "a.json"), str(tmp_path / "gone.json"), str(tmp_path / "b.json")])
+    assert [(r["file_name"], r["no"]) for r in scan.in_order(texts).orderBy("no").collect()] == [("a.json", 1), ("b.json", 2)]
+    assert scan.read_texts(spark, str(tmp_path / "nowhere")).count() == 0
+    outline = spark.createDataFrame([('{"topic":"t","items":[{"name":"x"}],"execution":{"batch_size":4}}',), ('{"topic":"u","items":[]}',)], "raw string")
+    assert {tuple(r) for r in scan.parse_execution(outline).collect()} == {("t", 4, 1, "results"), ("u", 1, 1, "results")} and scan.parse_outline(outline).first()["name"] == "x"
+
+
+def test_round_outputs(spark):
+    rows = [("base", '{"item":"i","json":{},"notes":"n","uncertain":["a"]}', []), ("gap", '{"json":[],"missing":[1],"other":2}', ["output.item must be a string", "output.json must be an object", "output.missing must be an array of strings", "output.other is not supported"]), ("verify", '{"item":"i","json":{},"verification":{"conflicts":["c"],"extra":1}}', []), ("verify", '{"item":"i","json":{},"notes":"n"}', ["output.notes is not supported", "output.verification must be an object"]), ("base", "[]", ["output must be an object"]), ("odd", "{}", ["kind is not supported"])]
+    got = specs.round_errors(spark.createDataFrame([r[:2] for r in rows], "kind string, raw string")).collect()
+    assert [r["errors"] for r in got] == [r[2] for r in rows]
+
+
 def test_texts(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     assert one(X.truncate(F.lit("ab cd"), 4)) == "ab…" and one(X.truncate(F.lit("abcd"), 4)) == "abcd"
@@ -107,30 +284,42 @@ def test_texts(spark):
 def test_streams(spark, tmp_path):
     events = spark.createDataFrame([(i, f"2024-01-01 00:00:{i:02d}", "tool/result" if i % 3 else "other", i % 4, i * 500) for i in range(20)], "seq long, ts string, type string, call_id long, bytes long")
     events = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    events.coalesce(1).write.parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
-    q = stream.first_arrivals(source).writeStream.format("memory").queryName("firsts").option("checkpointLocation", str(tmp_path / "c1")).start()
+    for k, part in enumerate((events.filter("seq >= 10"), events.filter("seq < 10"))):  # late events come last, in a file of their own
+        part.repartition(3).write.mode("append").parquet(str(tmp_path / "in" / f"k={k}"))
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    seen = []
+    q = stream.first_arrivals(source).writeStream.outputMode("update").foreachBatch(lambda b, n: seen.extend((n, r["call_id"], r["seq"]) for r in b.collect())).option("checkpointLocation", str(tmp_path / "c1")).start()
     q.processAllAvailable()
     q.stop()
-    assert {r["call_id"] for r in spark.table("firsts").collect()} == {r["call_id"] for r in stream.first_per_key(events).collect()}
+    last = {c: s for _, c, s in sorted(seen)}
+    assert last == {r["call_id"]: r["seq"] for r in stream.first_per_key(events).collect()} and len(seen) > len(last)
     judge = lambda b: b.groupBy("call_id").agg(F.count(F.lit(1)).alias("n"))
     for k in range(2):  # a second run, from the start, adds nothing
-        q = stream.as_they_arrive(source, judge, str(tmp_path / "out"), "call_id", str(tmp_path / f"c2{k}")).start()
+        q = stream.as_they_arrive(source, judge, str(tmp_path / "out"), "call_id", str(tmp_path / f"c2{k}"), parts=3).start()
         q.processAllAvailable()
         q.stop()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
 
 
 def test_round_states(spark, tmp_path):
-    rows = [(1, 1, 1, "a", "[uncertain]"), (1, 2, 2, "a", "x"), (2, 1, 3, "a", "v"), (2, 2, 4, "a", "w"), (3, 2, 5, "a", "z")]
-    rounds = spark.createDataFrame(rows, "item_id long, round_no int, seq long, path string, value string")
-    rounds.coalesce(1).write.parquet(str(tmp_path / "in"))
-    q = stream.round_states(spark.readStream.schema(rounds.schema).parquet(str(tmp_path / "in"))).writeStream.outputMode("update").format("memory").queryName("rounds").option("checkpointLocation", str(tmp_path / "c")).start()
-    q.processAllAvailable()
-    q.stop()
-    got = {r["item_id"]: (r["rounds_used"], r["result"]) for r in spark.table("rounds").collect()}
-    batch = {r["item_id"]: (r["rounds_used"], "" if r["failed"] else f"{r['path']}={r['value']}") for r in merge.resolve_rounds(rounds).collect()}
-    assert got == batch == {1: (2, "a=x"), 2: (1, "a=v"), 3: (0, "")}
+    rows = [(1, 1, 1, "a", "[uncertain]", ["u", "v"]), (1, 2, 2, "a", "x", ["w", "u"]), (2, 1, 3, "a", "v=;", None), (2, 2, 4, "a", "w", ["z"]), (3, 2, 5, "a", "z", None), (1, 1, 0, "a", "old", ["v"])]
+    rounds = spark.createDataFrame(rows, "item_id long, round_no int, seq long, path string, value string, sources array<string>")
+    for r in reversed(range(6)):  # in any order
+        rounds.filter(F.col("seq") == rows[r][2]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"k={r}"))
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        source = spark.readStream.schema(rounds.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in" / "*"))
+        seen = []
+        q = stream.round_states(source).writeStream.outputMode("update").foreachBatch(lambda b, n: seen.extend((n, r) for r in b.collect())).option("checkpointLocation", str(tmp_path / "c")).start()
+        q.processAllAvailable()
+        q.stop()
+    finally:
+        spark.conf.unset(provider)
+    got = {r["item_id"]: r for _, r in sorted(seen, key=lambda x: x[0])}
+    batch = {r["item_id"]: (r["failed"], r["rounds_used"], [] if r["failed"] else [(r["path"], r["value"])]) for r in merge.resolve_rounds(rounds).collect()}
+    assert {i: (r["failed"], r["rounds_used"], [(v["path"], v["value"]) for v in r["values"]]) for i, r in got.items()} == batch
+    assert got[1]["sources"] == ["v", "u", "w"] and got[1]["gaps"] == []
 
 
 def test_empty_framework_and_items(spark):
