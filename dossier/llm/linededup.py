@@ -1,84 +1,93 @@
-"""Near-duplicate lines, removed after their first occurrence, by an exact set-similarity join (:mod:`.setjoin`).
+"""Near-duplicate lines, removed after their first occurrence, by an exact set-similarity join (:mod:`.linejoin`).
 
-A line's tokens are its distinct 5-word shingles (A-Z lowered). With ``short``, as in the query and the pipeline, a line of one to four words has
-its whole sequence as one shingle, so that it goes where it repeats a line before it; without, such lines stay. Lines without words stay. Tokens are ordered by rarity; prefix, positional and length filters leave the pairs whose Jaccard likeness is then verified. A
-line goes if any line before it (in the order of doc_id, then line number) has a likeness of at least 3/4.
+A line's tokens are its distinct words (A-Z lowered). They are ordered by rarity; prefix, positional and length filters leave the pairs
+whose Jaccard likeness is then verified. A line goes if any line before it (in the order of doc_id, then line number) has a likeness of at least 3/4.
+So lines of one or two words go where they repeat one; the order of words doesn't matter, nor how often a line has each.
 
-Defined results: a null text stays null; a document may become empty, but keeps its row; repeated rows (same doc_id
+Defined results: a null text stays null; lines without words stay; a document may become empty, but keeps its row; repeated rows (same doc_id
 and text) count as one occurrence and are edited alike; rows of one doc_id with different texts are ordered by a hash of the text;
-a null doc_id comes before all others; an empty table gives an empty result; other columns are left alone.
+a null doc_id comes before all others; an empty table gives an empty result; other columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dossier.llm.setjoin import block_count, bounded, every_line_units, frequent, inventory, leader_pairs, line_units, popular_pairs, set_bits, shared_postings, tile_pairs, verified, wide_postings
-from dossier.llm.shared import scratch, small, written
+from dossier.llm.linejoin import SOME, block_count, further_pairs, line_words, postings, rarity, survey
+from dossier.llm.setjoin import verified
+from dossier.llm.shared import apart, scratch, small, written
 
 
-def _place(prefix: str = "") -> Column:
+def place() -> Column:
     """What orders occurrences; a null doc_id comes first."""
-    c = lambda x: F.col(prefix + x)
-    return F.struct(c("doc_id").isNotNull().alias("known"), c("doc_id").alias("doc_id"), c("version").alias("version"), c("number").alias("number"))
+    return F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "version", "number")
 
 
-def later_matches(docs: DataFrame, short: bool = False) -> DataFrame:
-    """``doc_id, version, number`` of all lines that match a line before them. ``docs``: ``doc_id, version, text``."""
+def later_matches(docs: DataFrame) -> DataFrame:
+    """Written table ``doc_id, version, number`` of all lines that match a line before them; rows may repeat. ``docs``: ``doc_id, version, text``."""
     with scratch(docs.sparkSession):
-        return written(_later_matches(docs, every_line_units if short else line_units), "line-matches", keep=True)
-
-
-def _later_matches(docs: DataFrame, units: Callable) -> DataFrame:
-    found = inventory(docs, units, every=False)
-    nodes = found.filter("token IS NULL").select("doc_id", "version", "number", "sid", "n", "bits")
-    lines = nodes.drop("bits")
-    firsts = written(lines.groupBy("sid").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("lines")), "line-firsts")
-    posted = shared_postings(docs, units, frequent(found), block_count(docs, lines))
-    bits = set_bits(nodes, posted)
-    held = written(firsts.join(small(bits.select("sid")), "sid", "left_semi"), "line-holders")
-
-    def gone(links: DataFrame) -> DataFrame:
-        """Of each link, the set that occurs first later."""
-        x, y = held.select(F.col("sid").alias("a"), F.col("first").alias("fa")), held.select(F.col("sid").alias("b"), F.col("first").alias("fb"))
-        both = links.join(small(x), "a").join(small(y), "b")
-        return both.select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("sid")).distinct()
-
-    def unsettled(removed: DataFrame) -> DataFrame:
-        """Postings of shingles with a set that nothing removed, beside a set before it."""
-        members = wide_postings(posted).join(small(held), "sid").join(small(removed.withColumn("__gone", F.lit(True))), "sid", "left")
-        members = members.withColumn("open", F.col("__gone").isNull()).drop("__gone")
-        mixed = members.groupBy("token").agg(F.min("first").alias("low"), F.max(F.when(F.col("open"), F.col("first"))).alias("high")).filter("low < high").select("token")
-        return written(members.join(small(mixed), "token", "left_semi"), "unsettled-postings")
-
-    removed = written(gone(verified(bounded(leader_pairs(posted), bits), docs, units, nodes)), "line-removed")
-    rows = unsettled(removed)
-    if not rows.isEmpty():
-        more = verified(bounded(popular_pairs(rows.withColumn("copies", F.col("lines"))), bits), docs, units, nodes)
-        removed = written(removed.unionByName(gone(more)).distinct(), "line-removed")
-        rows = unsettled(removed)
-    if not rows.isEmpty():
-        rows = rows.withColumns({"group": F.col("sid"), **{f"first_{d}": F.col(f"first.{c}") for c, d in (("doc_id", "doc"), ("version", "version"), ("number", "number"))}})
-        pairs = written(tile_pairs(rows, bits, directed=True).distinct(), "tile-pairs")
-        removed = written(removed.unionByName(gone(verified(pairs, docs, units, nodes))).distinct(), "line-removed")
-
-    # A line goes if its set does, or occurred before.
-    known = firsts.join(small(removed.withColumn("__gone", F.lit(True))), "sid", "left").filter(F.col("__gone") | (F.col("lines") > 1))
-    judged = lines.join(small(known.select("sid", "first", "__gone")), "sid")
-    return judged.filter(F.coalesce("__gone", F.lit(False)) | (_place() > F.col("first"))).select("doc_id", "version", "number").distinct()
-
-
-def without_later_matches(docs: DataFrame, short: bool = False) -> DataFrame:
-    """``docs`` with the lines of ``text`` that match a line before them taken out, and ``__removed``, their numbers."""
-    keyed = docs.withColumn("__version", F.xxhash64("text"))
-    found = later_matches(keyed.select("doc_id", F.col("__version").alias("version"), "text"), short)
-    per = found.groupBy("doc_id", "version").agg(F.array_sort(F.collect_list(F.col("number").cast("int"))).alias("__removed")).withColumnsRenamed({"doc_id": "__d", "version": "__v"})
-    per = F.broadcast(per) if found.count() <= 2_000_000 else per
-    joined = keyed.join(per, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__version") == F.col("__v")), "left")
-    lines = F.split(F.col("text"), "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__removed"))
-    text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    return joined.withColumn("text", text).select(*docs.columns, "__removed")
+        return written(_later_matches(docs), "line-matches", keep=True)
+
+
+def _later_matches(docs: DataFrame) -> DataFrame:
+    found = survey(docs)
+    lines = found.filter("part IS NULL").select("doc_id", "version", "number", "sid", "n", "later")
+    heads = lines.filter("NOT later").drop("later").withColumn("first", F.min(place()).over(Window.partitionBy("sid")))
+    heads = written(heads, "line-heads")
+    firsts = heads.filter(place() == F.col("first"))
+    posted = postings(docs, rarity(found), firsts.count(), block_count(docs, firsts))
+    kept = posted.filter("token IS NOT NULL").select("token", "sid", "n", "at", "first", "map", "more")
+
+    def gone(pairs: DataFrame) -> DataFrame:
+        """Of each of the ``pairs`` that is alike, the set that occurs first later."""
+        links = verified(written(pairs, "line-pairs"), docs, line_words, firsts)
+        first = lambda c: firsts.select(F.col("sid").alias(c), F.col("first").alias(f"first_{c}"))
+        both = first("a").join(small(links), "a")
+        both = first("b").join(small(written(both, "line-links")), "b")
+        return both.select(F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("sid")).distinct()  # sets of repeated rows are there more than once
+
+    removed = written(gone(posted.filter("a IS NOT NULL").select("a", "b").distinct()), "line-removed")
+    for most in (SOME, None):
+        # Lists with a set that nothing removed and that has partners which it wasn't paired with.
+        left = kept.filter("more").join(small(removed), "sid", "left_anti").select("token").distinct()
+        rows = kept.join(small(left), "token", "left_semi").join(small(removed.withColumn("gone", F.lit(True))), "sid", "left")
+        rows = written(rows.withColumn("open", F.col("more") & F.col("gone").isNull()).drop("more", "gone"), "line-lists")
+        if rows.isEmpty():
+            break
+        removed = written(removed.unionByName(gone(further_pairs(rows, most))).distinct(), "line-removed")
+
+    # A line goes if it occurs after another of its set, or if its set goes.
+    at = ["doc_id", "version", "number"]
+    repeats = lines.filter("later").select(*at).unionByName(heads.filter(place() > F.col("first")).select(*at))
+    return repeats.unionByName(lines.join(small(removed), "sid", "left_semi").select(*at))
+
+
+def without_later_matches(docs: DataFrame, numbers: str | None = None) -> DataFrame:
+    """``docs`` with the lines of ``text`` that match a line before them taken out; the column ``numbers``, if named, has the lines' numbers (null where there are none)."""
+    spark, columns = docs.sparkSession, [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.select(F.struct(*columns).alias("row"), "doc_id", F.xxhash64("text").alias("version"), "text")
+    found = later_matches(keyed.select("doc_id", "version", "text"))
+    with scratch(spark):
+        per = found.groupBy(F.col("doc_id").alias("d"), F.col("version").alias("v")).agg(F.array_sort(F.collect_set(F.col("number").cast("int"))).alias("removed"))
+        per = small(written(per, "lines-removed", keep=True))
+    joined = keyed.join(per, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v")), "left").select("row.*", F.col("removed").alias(numbers or apart(docs.columns)))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, gone = batch.column(at), batch.column(batch.num_columns - 1)
+            if gone.null_count < len(gone):
+                out = texts.to_pylist()
+                for k in gone.is_valid().to_numpy(zero_copy_only=False).nonzero()[0].tolist():
+                    drop = set(gone[k].as_py())
+                    out[k] = "\n".join(x for i, x in enumerate(out[k].split("\n")) if i not in drop)
+                texts = pa.array(out, texts.type)
+            columns = [*batch.columns[:at], texts, *batch.columns[at + 1 :]][: len(schema)]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    schema = joined.schema if numbers else docs.schema
+    return joined.mapInArrow(run, schema)

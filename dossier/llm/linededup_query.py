@@ -10,8 +10,8 @@ from dossier.llm.shared import documents
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = without_later_matches(documents(spark, sf_dir).select("doc_id", "text"), short=True)
-    gone = F.coalesce("__removed", F.array().cast("array<int>"))
+    out = without_later_matches(documents(spark, sf_dir).select("doc_id", "text"), "removed")
+    gone = F.coalesce("removed", F.array().cast("array<int>"))
     return out.select("doc_id", F.size(gone).cast("long").alias("n_removed"), F.array_join(gone, ",").alias("removed_lines"), "text")
 
 

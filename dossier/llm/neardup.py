@@ -51,8 +51,7 @@ def _classes(docs: DataFrame) -> DataFrame:
             rows = unsettled(group)
     if not rows.isEmpty():
         # All pairs across components that filters and bitmaps leave.
-        rows = rows.withColumns({"open": F.lit(True), **{c: F.lit(0).cast("long") for c in ("first_doc", "first_version", "first_number")}})
-        pairs = tile_pairs(rows, bits, directed=False).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = tile_pairs(rows, bits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         more = verified(written(pairs, "tile-pairs"), docs, document_units, nodes)
         if not more.isEmpty():
             group = components(links.unionByName(more))
@@ -67,15 +66,15 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Texts without words link with nothing and stay; of repeated rows (same doc_id and text) one stays, whatever the text.
     """
-    own = docs.withColumn("__version", F.xxhash64("text"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.xxhash64("text").alias("version"))
     found = _grouped(docs.select("doc_id", "text"))
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "version")
     best = found.filter("class IS NOT NULL").groupBy("class").agg(F.min(place).alias("best"), F.count(F.lit(1)).alias("members")).filter("members > 1").drop("members")
     per = found.join(small(best), "class", "left").groupBy("doc_id", "version").agg(F.count(F.lit(1)).alias("rows"), F.max(F.coalesce(place != F.col("best"), F.lit(False))).alias("gone"))
     marked = written(per.filter("gone OR rows > 1").select(F.col("doc_id").alias("__d"), F.col("version").alias("__v"), "gone"), "near-duplicate-rows")
-    same = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__version") == F.col("__v"))
+    same = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("version") == F.col("__v"))
     left = own.join(small(marked), same, "left_anti")
     repeated = marked.filter("NOT gone")
     if not repeated.isEmpty():
-        left = left.unionByName(own.join(small(repeated), same, "left_semi").dropDuplicates(["doc_id", "__version"]))
-    return left.drop("__version")
+        left = left.unionByName(own.join(small(repeated), same, "left_semi").dropDuplicates(["doc_id", "version"]))
+    return left.select("row.*")

@@ -1,6 +1,6 @@
-"""Exact set-similarity joins of shingle sets (Jaccard of at least 3/4), for documents and for lines.
+"""Exact set-similarity joins of shingle sets (Jaccard of at least 3/4), for documents. Lines use some of it (:mod:`.linejoin`).
 
-Units (documents or lines) are the sets of their shingles' 64-bit hashes; equal sets are one unit, named by a
+Units are the sets of their shingles' 64-bit hashes; equal sets are one unit, named by a
 64-bit hash of the set. The steps, all on data that Spark deals out:
 
 1. *Rarity order.* Shingles seen repeatedly are counted over all rows; the most frequent ones (a bounded table) come last in a global
@@ -30,6 +30,8 @@ from dossier.llm.textarrays import LOWER, U, flat, mix, shingles, slices, span_h
 K = 5
 #: Entries of the table of frequent shingles, and sets in a block of a tile.
 FREQUENT, BLOCK = 400_000, 1024
+#: Postings of a block, which a task holds at once.
+BLOCK_POSTINGS = 1_000_000
 #: Sets that a task keeps in mind to post each only once; shingles among which it looks for repeated ones.
 REMEMBERED, COUNTED = 500_000, 1_000_000
 #: Bytes of text that are worked on at once.
@@ -49,29 +51,6 @@ def document_units(part: np.ndarray, cuts: np.ndarray) -> Units:
     return rows, np.zeros(len(rows), np.int64), tokens, upto
 
 
-def line_units(part: np.ndarray, cuts: np.ndarray, least: int = K) -> Units:
-    """Every line (texts are split at line ends) of at least ``least`` words; other lines have no shingle."""
-    data = LOWER[part]
-    breaks = np.flatnonzero(data == 0x0A)
-    own = np.searchsorted(cuts, breaks, side="right") - 1  # the row of each line end
-    per_row = np.bincount(own, minlength=len(cuts) - 1) + 1
-    first = np.concatenate([[0], np.cumsum(per_row)])
-    starts = np.sort(np.concatenate([cuts[:-1], breaks + 1]), kind="stable")
-    s, e, at = words(data, np.append(starts, len(data)))
-    h = span_hashes(data, s, e)
-    enough = np.diff(at) >= least
-    keep = np.repeat(enough, np.diff(at))
-    at = np.concatenate([[0], np.cumsum(np.where(enough, np.diff(at), 0))])
-    tokens, upto = shingles(h[keep], at, K)
-    rows = np.repeat(np.arange(len(cuts) - 1), per_row)
-    return rows, np.arange(len(rows)) - first[rows], tokens, upto
-
-
-def every_line_units(part: np.ndarray, cuts: np.ndarray) -> Units:
-    """Every line with a word; one of fewer than ``K`` words has its whole sequence as its shingle, so it matches its repeats alone."""
-    return line_units(part, cuts, least=1)
-
-
 def distinct_sets(tokens: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each unit's distinct shingles, ascending, and the units' cuts in them."""
     n = len(cuts) - 1
@@ -99,12 +78,12 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def each_slice(batches: Iterable[pa.RecordBatch], units: Callable, text: str = "text") -> Iterator[tuple[pa.RecordBatch, int, Units]]:
+def each_slice(batches: Iterable[pa.RecordBatch], units: Callable, text: str = "text", sets: Callable = distinct_sets) -> Iterator[tuple[pa.RecordBatch, int, Units]]:
     for batch in batches:
         data, offsets = flat(batch.column(batch.schema.get_field_index(text)))
         for i, j in slices(offsets, SLICE):
             rows, number, tokens, upto = units(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            tokens, upto = distinct_sets(tokens, upto)
+            tokens, upto = sets(tokens, upto)
             yield batch, i, (rows, number, tokens, upto)
 
 
@@ -243,10 +222,11 @@ def shared_postings(docs: DataFrame, units: Callable, table: tuple[np.ndarray, n
         def flush() -> pa.RecordBatch:
             single, led = _with_leaders(np.concatenate(held))
             held.clear()
-            block = lambda t: (((t >> U(32)) * U(blocks)) >> U(32)).astype(np.int64)
-            led = led[np.argsort(led["token"], kind="stable")]
+            # Prefixes hold the least hashes of their sets, so the block comes from a hash of the shingle.
+            block = lambda x: (((mix(x["token"]) >> U(32)) * U(blocks)) >> U(32)).astype(np.int64)
+            single, led = single[np.argsort(block(single), kind="stable")], led[np.argsort(block(led), kind="stable")]
             edges = np.arange(blocks + 1)
-            a, b = np.searchsorted(block(single["token"]), edges), np.searchsorted(block(led["token"]), edges)
+            a, b = np.searchsorted(block(single), edges), np.searchsorted(block(led), edges)
             use = [k for k in range(blocks) if a[k] < a[k + 1]]
             return pa.RecordBatch.from_arrays(
                 [pa.array(use, pa.int32()), pa.array([single[a[k] : a[k + 1]].tobytes() for k in use], pa.binary()), pa.array([led[b[k] : b[k + 1]].tobytes() for k in use], pa.binary())],
@@ -445,14 +425,8 @@ def _bit_bound(maps: list[bytes], n: np.ndarray, i: np.ndarray, j: np.ndarray) -
     return ok
 
 
-def tile_pairs(rows: DataFrame, bits: DataFrame, directed: bool) -> DataFrame:
-    """Pairs ``a, b`` of sets with a common shingle in ``rows`` that length, positional filter and bitmaps leave.
-
-    ``rows``: ``token, sid, n, at, group, open, first_doc, first_version, first_number``. Undirected: pairs of different ``group``.
-    Directed: ``a`` is ``open`` and ``b`` occurs before it. A shingle of at most ``BLOCK`` sets is one tile. Tiles are first
-    gone through without bitmaps, which are then fetched only for sets that have a partner in their tile.
-    """
-    rows = rows.drop("n").join(small(bits.select("sid", "n")), "sid")
+def tiled(rows: DataFrame) -> DataFrame:
+    """``rows`` (``token, sid, n`` and more) with ``tile``: rows of one shingle that can be alike in size meet in a tile, in one that holds ``2 * BLOCK`` rows or few more."""
     rows = rows.withColumn("band", F.floor(F.ln(F.col("n")) / F.ln(F.lit(4 / 3)) + 1e-9).cast("int"))
     counts = written(rows.groupBy("token", "band").agg(F.count(F.lit(1)).alias("sets")), "tile-counts")
     large = counts.groupBy("token").agg(F.sum("sets").alias("sets")).filter(F.col("sets") > BLOCK).select("token", F.lit(True).alias("large"))
@@ -470,67 +444,70 @@ def tile_pairs(rows: DataFrame, bits: DataFrame, directed: bool) -> DataFrame:
         each(F.col("down"), lambda i: key(band - 1, band, i, block)),
     )
     tiles = rows.withColumn("tile", F.explode(F.when(F.col("large"), keys).otherwise(F.array(key(zero, zero, zero, zero)))))
-    columns = ["sid", "n", "at", "group", "open", "first_doc", "first_version", "first_number"]
+    return tiles.withColumn("tile", F.xxhash64("token", "tile")).drop("band", "block", "large", "own", "up", "down")
+
+
+def whole_tiles(batches: Iterable[pa.RecordBatch], work: Callable) -> Iterator[pa.RecordBatch]:
+    """``work`` on tables of whole tiles; rows come sorted by their first column, the tile, and the last tile of a batch may go on in the next."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        tile = batch.column(0).to_numpy()
+        differ = np.flatnonzero(tile != tile[-1]) if len(tile) else tile
+        last = int(differ[-1]) + 1 if len(differ) else 0
+        if len(tile) and held and held[-1].column(0)[-1].as_py() != tile[0]:
+            yield from work(pa.Table.from_batches(held))
+            held = []
+        if last:
+            yield from work(pa.Table.from_batches([*held, batch.slice(0, last)]))
+            held = []
+        if last < len(tile):
+            held.append(batch.slice(last))
+    if held:
+        yield from work(pa.Table.from_batches(held))
+
+
+def by_tile(df: DataFrame) -> DataFrame:
+    return df.repartition(partitions(df.sparkSession), "tile").sortWithinPartitions("tile")
+
+
+def tile_pairs(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of sets of different ``group`` with a common shingle in ``rows`` (``token, sid, at, group``) that length, positional filter and bitmaps leave.
+
+    Tiles are first gone through without bitmaps, which are then fetched only for sets that have a partner in their tile.
+    """
+    rows = rows.select("token", "sid", "at", "group").join(small(bits.select("sid", "n")), "sid")
+    columns = ["sid", "n", "at", "group"]
 
     def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        col = lambda c: t.column(c).fill_null(0).to_numpy().astype(np.int64)
-        tile, sid, n, at, group = col("tile"), col("sid"), col("n"), col("at"), col("group")
-        open_ = t.column("open").to_numpy().astype(bool)
-        known = t.column("first_doc").is_valid().to_numpy()
-        when = np.empty(len(sid), np.int64)
-        when[np.lexsort((sid, col("first_number"), col("first_version"), col("first_doc"), known))] = np.arange(len(sid))
-        new = np.concatenate([[True], tile[1:] != tile[:-1]])
-        start = np.flatnonzero(new)
+        tile, sid, n, at, group = (t.column(c).to_numpy().astype(np.int64) for c in ("tile", "sid", "n", "at", "group"))
+        start = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
         size = np.diff(np.append(start, len(tile)))
         left = np.repeat(size, size) - (np.arange(len(tile)) - np.repeat(start, size))  # members from each on, itself included
         maps = t.column("bits").to_pylist() if "bits" in t.column_names else None
         partnered = np.zeros(len(sid), bool)
-        pair = lambda x, y: pa.RecordBatch.from_arrays([pa.array(sid[x]), pa.array(sid[y])], names=["a", "b"])
         i = np.flatnonzero(left > 1)
         d = 1
         while len(i):
             j = i + d
-            if directed:
-                later = np.where(when[i] > when[j], i, j)
-                ok = open_[later]
-            else:
-                later = i
-                ok = group[i] != group[j]
-            ok &= (sid[i] != sid[j]) & _plausible(n[i], at[i], n[j], at[j])
-            x, y = later[ok], (i + j - later)[ok]
+            ok = (group[i] != group[j]) & (sid[i] != sid[j]) & _plausible(n[i], at[i], n[j], at[j])
+            x, y = i[ok], j[ok]
             if maps is None:
                 partnered[x] = partnered[y] = True
             elif len(x):
                 fits = _bit_bound(maps, n, x, y)
                 if fits.any():
-                    yield pair(x[fits], y[fits])
+                    yield pa.RecordBatch.from_arrays([pa.array(sid[x[fits]]), pa.array(sid[y[fits]])], names=["a", "b"])
             d += 1
             i = i[left[i] > d]
         if maps is None and partnered.any():
             yield from t.filter(pa.array(partnered)).combine_chunks().to_batches()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            # Rows come sorted by tile; the last tile of a batch may go on in the next.
-            tile = batch.column(0).to_numpy()
-            differ = np.flatnonzero(tile != tile[-1]) if len(tile) else tile
-            last = int(differ[-1]) + 1 if len(differ) else 0
-            if len(tile) and held and held[-1].column(0)[-1].as_py() != tile[0]:
-                yield from compare(pa.Table.from_batches(held))
-                held = []
-            if last:
-                yield from compare(pa.Table.from_batches([*held, batch.slice(0, last)]))
-                held = []
-            if last < len(tile):
-                held.append(batch.slice(last))
-        if held:
-            yield from compare(pa.Table.from_batches(held))
+        return whole_tiles(batches, compare)
 
-    dealt = lambda df: df.repartition(partitions(rows.sparkSession), "tile").sortWithinPartitions("tile")
-    first = dealt(tiles.select(F.xxhash64("token", "tile").alias("tile"), *columns))
+    first = by_tile(tiled(rows).select("tile", *columns))
     kept = written(first.mapInArrow(run, first.schema), "tile-rows")
-    return dealt(kept.join(bits.select("sid", "bits"), "sid").select("tile", *columns, "bits")).mapInArrow(run, "a long, b long")
+    return by_tile(kept.join(bits.select("sid", "bits"), "sid").select("tile", *columns, "bits")).mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -552,6 +529,6 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def block_count(docs: DataFrame, units: DataFrame) -> int:
-    """Blocks of postings: as many as shuffle partitions, more if a block would hold over four million."""
+    """Blocks of postings: as many as shuffle partitions, more if a block would hold over ``BLOCK_POSTINGS``."""
     total = units.agg(F.sum(F.expr("n div 4 + 1"))).first()[0] or 0
-    return max(partitions(docs.sparkSession), total // 4_000_000 + 1)
+    return max(partitions(docs.sparkSession), total // BLOCK_POSTINGS + 1)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -13,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dossier.session import shared_dir
+
 #: Bytes and rows up to which a side may be broadcast; a larger side is joined by a shuffle.
 BROADCAST_BYTES, BROADCAST_ROWS = 16 << 20, 500_000
 
@@ -27,17 +26,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``. A session on one machine that lacks it gets a temporary one; on a cluster that is an error."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where is None:
-        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        where = "file://" + os.path.join(tempfile.gettempdir(), "dossier-shared")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
 _SCOPES: list[list[str]] = []
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dossier.llm import linededup, linededup_query, neardup, setjoin
+from dossier.llm import linededup, linededup_query, linejoin, neardup, neardup_query, setjoin
 from dossier.llm.textarrays import U
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -72,6 +72,14 @@ def test_classes(spark, monkeypatch, block):
     assert left == {c for _, c in components(texts).values()}
 
 
+def test_join_query(spark):
+    where = "/root/testdata/sf0.001"
+    rows = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{where}/documents.parquet").collect())
+    want = components([t for _, t in rows])
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup_query.op9_ngram_jaccard_join(spark, where).collect()}
+    assert got == {rows[i][0]: (n, rows[c][0]) for i, (n, c) in want.items()}
+
+
 def test_classes_of_odd_tables(spark):
     df = spark.createDataFrame([(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (7, None), (None, None)], "doc_id long, text string")
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.classes(df).collect()), key=str) == sorted([(5, 2, 5), (5, 2, 5), (None, 2, 5), (7, 0, 7), (None, 0, None)], key=str)
@@ -88,39 +96,81 @@ def test_one_row_of_each_component(spark):
     assert sorted(left, key=str) == sorted([(5, left[[x[0] for x in left].index(5)][1]), (None, "v w x y z"), (7, ""), (8, ""), (9, "one two"), (None, "")], key=str)
 
 
+def word_set(line):
+    return frozenset(re.findall(r"[^\x20\x09-\x0D]+", line.translate(LOW)))
+
+
 def removed_lines(rows):
     sets, gone = [], collections.defaultdict(list)
-    for i, t in rows:
+    for i, t in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
         for k, line in enumerate((t or "").split("\n")):
-            s = shingle_set(line)
-            if len(re.findall(r"[^\x20\x09-\x0D]+", line)) < 5:
-                continue
-            if any(alike(s, x) for x in sets):
+            s = word_set(line)
+            if s and any(alike(s, x) for x in sets):
                 gone[i].append(k)
-            sets.append(s)
+            if s:
+                sets.append(s)
     return gone
 
 
-@pytest.mark.parametrize("block", [1024, 4])
-def test_lines(spark, monkeypatch, block):
-    monkeypatch.setattr(setjoin, "BLOCK", block)
+def line_rows():
+    """Near copies, one word changed, lines of one to four words, other orders of words, repeated rows, a null id, a long text."""
     rng = random.Random(5)
     lines = [(t or "").replace("\n", " ") for t in corpus(9)]
-    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 8)))) for i in range(60)] + [(60, None), (61, ""), (62, "\n\n")]
-    df = spark.createDataFrame([(i, t, "clash", 0) for i, t in rows], DOCS).repartition(3)
-    got = {r["doc_id"]: (r["text"], r["__removed"]) for r in linededup.without_later_matches(df).collect()}
+    lines += ["Subscribe to our newsletter", "subscribe to our  newsletter", "All rights reserved.", "The.", "the.", "a b", "b a", "one two three", "three two one four", " ".join(f"w{k}" for k in range(20)), " ".join(f"w{k}" for k in range(19)) + " x"]
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 8)))) for i in range(60)] + [(60, None), (61, ""), (62, "\n\n"), (None, lines[0] + "\nThe.")]
+    return [*rows, rows[3], rows[3], (70, "\n".join(rng.choice(lines) + (f" {k}" if k % 3 else "") for k in range(3000)))]
+
+
+@pytest.mark.parametrize("often, longest, block, some", [(4096, 4096, 1024, 8), (6, 5, 4, 1)])
+def test_lines(spark, monkeypatch, often, longest, block, some):
+    monkeypatch.setattr(linejoin, "OFTEN", often)
+    monkeypatch.setattr(linejoin, "LIST", longest)
+    monkeypatch.setattr(linejoin, "TILE", block)
+    monkeypatch.setattr(linededup, "SOME", some)
+    rows = line_rows()
+    df = spark.createDataFrame([(i, t, "clash", 0) for i, t in rows], DOCS).withColumn("removed", F.lit("clash")).repartition(3)
+    out = linededup.without_later_matches(df, "numbers")
+    assert out.columns == [*df.columns, "numbers"] and linededup.without_later_matches(df.limit(0)).count() == 0
+    got = collections.Counter((r["doc_id"], r["text"], tuple(r["numbers"] or ())) for r in out.collect())
     gone = removed_lines(rows)
-    for i, t in rows:
-        want = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in set(gone[i]))
-        assert got[i] == (want, gone[i] or None)
-    assert linededup.without_later_matches(df.limit(0)).count() == 0
+    want = collections.Counter((i, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in set(gone[i])), tuple(gone[i])) for i, t in rows)
+    assert got == want
+
+
+def test_hot_lines(spark, monkeypatch):
+    """A group of near copies that holds a third of all lines, beside unlike lines with its words."""
+    monkeypatch.setattr(linejoin, "LIST", 20)
+    monkeypatch.setattr(linejoin, "TILE", 16)
+    rng = random.Random(8)
+    hot = [f"h{k}" for k in range(24)]
+    rows = []
+    for i in range(240):
+        w = list(hot)
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(24)] = f"x{rng.randrange(400)}"
+        rows.append((i, "\n".join([" ".join(w), " ".join(rng.sample(hot, 5) + [f"y{rng.randrange(3000)}" for _ in range(15)]), f"line {i} by itself"])))
+    got = {r["doc_id"]: r["numbers"] or [] for r in linededup.without_later_matches(spark.createDataFrame(rows, "doc_id long, text string"), "numbers").collect()}
+    gone = removed_lines(rows)
+    assert got == {i: gone[i] for i, _ in rows}
 
 
-def test_short_lines(spark, tmp_path):
-    rows = [(1, "All rights reserved.\n\nx y z w\none two three four five"), (2, "all rights  reserved.\n\nx y z\nx y z w v"), (3, "All Rights Reserved.\nall rights\none two three four five\nx y z w"), (4, None)]
-    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r["doc_id"]: (r["removed_lines"], r["text"]) for r in linededup_query.op7_line_dedup(spark, str(tmp_path)).collect()}
-    assert got == {1: ("", rows[0][1]), 2: ("0", "\nx y z\nx y z w v"), 3: ("0,2,3", "all rights"), 4: ("", None)}
+def test_line_query(spark):
+    where = "/root/testdata/sf0.001"
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{where}/documents.parquet").collect()]
+    gone = removed_lines(rows)
+    got = {r["doc_id"]: (r["n_removed"], r["removed_lines"]) for r in linededup_query.op7_line_dedup(spark, where).collect()}
+    assert got == {i: (len(gone[i]), ",".join(map(str, gone[i]))) for i, _ in rows}
+
+
+def test_parity_maps_bound_the_difference():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 300, n).astype(U) * U(0x9E3779B97F4A7C15)) for n in rng.integers(1, 250, 60)]
+    maps = linejoin.parity_maps(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])]))
+    for kind in range(3):
+        m = linejoin._folded(maps, kind)
+        for a in range(0, 60, 7):
+            for b in range(60):
+                assert np.bitwise_count(m[a] ^ m[b]).sum() <= len(np.setxor1d(sets[a], sets[b]))
 
 
 def test_prefixes_hold_the_overlap():
