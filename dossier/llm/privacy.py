@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.shared import scratch, small, written
+from dossier.llm.shared import apart, scratch, small, written
 from dossier.llm.textarrays import U, flat, slices, span_hashes, words
 
 KINDS = ("email", "ip", "card", "phone")
@@ -289,15 +289,16 @@ def sanitised(docs: DataFrame) -> DataFrame:
         rows = keyed(docs)
         found = survey(rows)
         ask = written(with_terms(rows, disclosing(found)).drop("extra"), "privacy-ask", keep=True)
-    ask = ask.withColumnsRenamed({"doc_id": "__d", "version": "__v", "terms": "__terms"})
-    joined = docs.withColumn("__version", F.xxhash64("text")).join(small(ask), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__version") == F.col("__v")), "left").select(*docs.columns, "__terms")
-    at = docs.columns.index("text")
+    ask = ask.select(F.col("doc_id").alias("d"), F.col("version").alias("v"), F.col("terms").alias("asked"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.xxhash64("text").alias("version"))
+    joined = own.join(small(ask), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v")), "left").select("row.*", F.col("asked").alias(apart(docs.columns)))
+    at, docs_names = docs.columns.index("text"), docs.columns
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [None if (t := x.as_py()) is None else masked(t, base_spans(t), set(y.as_py() or ())) for x, y in zip(b.column(at), b.column(b.num_columns - 1), strict=True)]
             columns = list(b.columns[:-1])
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays(columns, names=docs_names)
 
     return joined.mapInArrow(run, docs.schema)

@@ -16,7 +16,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
     return found.select(
         "doc_id", *[count(k).alias(f"n_{k}") for k in KINDS], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "extra")).alias("spans"),
-        F.size("extra").cast("long").alias("n_term"),
+        F.size("extra").cast("long").alias("n_term"), (F.size("base") + F.size("extra")).cast("long").alias("n_spans"),
     )
 
 
