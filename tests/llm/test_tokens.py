@@ -329,21 +329,3 @@ def test_rare_entities_are_covered(spark):
     rows = [(i, f"filler text {i % 50} without any name") for i in range(3000)] + [(5000, "Plate K-XY99 belongs to zq@site.org here")]
     found = {r["doc_id"]: len(r["extra"]) for r in privacy.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found.pop(5000) == 5 and not any(found.values())
-
-
-def test_pipeline(spark):
-    corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    where = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{where}/documents.parquet")
-    columns = docs.columns
-    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        out = stage(spark, docs, where)
-        if i < len(corpus_pipeline.STAGES) - 1:
-            assert out.columns == columns
-            path = f"{spark.conf.get('spark.checkpoint.dir')}/stage-{i}"
-            out.write.mode("overwrite").parquet(path)
-            docs = spark.read.parquet(path)
-    ids = {r["doc_id"] for r in docs.select("doc_id").collect()}
-    assert {r["doc_id"] for r in out.collect()} == ids
-    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{where}/labels.parquet").collect()}
-    assert sum(labels.get(i) == 0 for i in ids) <= 2
