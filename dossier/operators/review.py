@@ -51,6 +51,21 @@ def change_figures(before: DataFrame, after: DataFrame, key: str, lines: str) ->
     return rows.rollup("status").agg(F.count(F.lit(1)).alias("files"), F.sum(F.greatest("delta", F.lit(0))).cast("long").alias("lines_added"), F.sum(F.greatest(-F.col("delta"), F.lit(0))).cast("long").alias("lines_removed"))
 
 
+def page_rows(before: DataFrame, after: DataFrame, key: str, lines: str, risks: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Rows of a review page's tables, as ``block, label, value``: figures (``kpi``), changed files (``files``), figures of modified ones before and after (``compare``),
+    risks by dimension and severity (``risk``; ``risks``: ``dimension, severity``) and what the plan's review says of all but correct parts (``decision``; ``verdicts``: ``key, verdict``)."""
+    row = lambda block, label, value: (F.lit(block).alias("block"), label.alias("label"), value.cast("string").alias("value"))
+    both, name = _both(before, after, key).filter("status <> 'unchanged'"), F.concat(F.lit("part "), F.col(key).cast("string"))
+    figures = change_figures(before, after, key, lines).withColumn("of", F.coalesce("status", F.lit("all")))
+    kpi = figures.select(F.explode(F.array(*[F.struct(F.concat(F.lit(f"{c} "), "of").alias("label"), F.col(c).cast("string").alias("value")) for c in ("files", "lines_added", "lines_removed")])).alias("x"))
+    out = kpi.select(*row("kpi", F.col("x.label"), F.col("x.value"))).unionByName(both.select(*row("files", name, F.col("status"))))
+    change = F.concat(F.col("b")[lines].cast("string"), F.lit(" → "), F.col("a")[lines].cast("string"))
+    out = out.unionByName(both.filter("status = 'modified'").select(*row("compare", name, change)))
+    counted = risks.groupBy("dimension", "severity").agg(F.count(F.lit(1)).alias("n"))
+    out = out.unionByName(counted.select(*row("risk", F.concat_ws(" ", "dimension", "severity"), F.col("n"))))
+    return out.unionByName(verdicts.filter("verdict <> 'correct'").select(*row("decision", name, F.col("verdict"))))
+
+
 def new_modules(before: DataFrame, after: DataFrame, module: str) -> DataFrame:
     """Modules of ``after`` that had no file before, with their files: ``module, files``."""
     return after.join(before.select(module).distinct(), module, "left_anti").groupBy(module).agg(F.count(F.lit(1)).alias("files"))

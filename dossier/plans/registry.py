@@ -78,6 +78,17 @@ def s5(fx):
     return f.groupBy("category").agg(F.min("category_pos").alias("category_pos"), joined(F.array_sort(F.collect_list("field"))).alias("fields"))
 
 
+@register("s7_results", "SELECT p_partkey AS item_id, p_name AS name, CAST(p_partkey % 10 AS INT) AS batch FROM part")
+def s7(fx):
+    """Results written as JSON text, one folder a batch, a batch of them written again, and read back."""
+    where = f"{shared_dir(fx.spark)}/results-{uuid.uuid4().hex}"
+    rows = fx("part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("name"), (F.col("p_partkey") % 10).cast("int").alias("batch"))
+    scan.write_results(rows.withColumn("name", F.when(F.col("batch") == 3, "old").otherwise(F.col("name"))), where)
+    scan.write_results(rows.filter("batch = 3"), where)
+    back = fx.spark.read.schema("value string, batch int").text(where)
+    return back.select(F.from_json("value", "item_id long, name string").alias("r"), "batch").select("r.*", "batch")
+
+
 @register("s9_page_manifest", "SELECT concat('page_', CAST(page_id AS STRING), '.html') AS path, CAST(octet_length(encode(html)) AS BIGINT) AS bytes, CASE WHEN contains(lower(html), '<!doctype html>') THEN '' ELSE 'doctype' END AS warnings FROM pages")
 def s9(fx):
     rows = fx("pages").select(F.concat(F.lit("page_"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.lit("").alias("title"), "html")
@@ -347,6 +358,12 @@ def a5(fx):
     return report.summary_fields(fx("fx_field"))
 
 
+@register("a5_top_level_fields", "SELECT 'price' AS field, count(*) AS n_items FROM part HAVING count(*) >= 2")
+def a5_top(fx):
+    """Of item records: brand, kind and size lie below a category, name is reserved, so price alone is a top-level scalar."""
+    return report.summary_fields(flatten.explode_fields(fx.sql(_RAW)).withColumn("value", F.col("raw")))
+
+
 @register("r2_comparison", _WIDE)
 def r2(fx):
     return report.comparison(fx("fx_field"), ["brand", "kind"])
@@ -496,8 +513,15 @@ def j11(fx):
     return review.check_claims(fx("fx_claim"), fx("fx_evidence"), ("n_chars",))
 
 
-@register("j12_check_plan", "SELECT k, b.n_lines AS planned, a.n_lines AS real, CASE WHEN a.k IS NULL THEN 'unsupported' WHEN b.k IS NULL THEN 'missing' WHEN k % 7 = 3 THEN 'risky' WHEN a.n_lines = b.n_lines THEN 'correct' ELSE 'stale' END AS verdict FROM fx_before b FULL JOIN fx_after a USING (k)")
+_VERDICTS = "SELECT k, b.n_lines AS planned, a.n_lines AS real, CASE WHEN a.k IS NULL THEN 'unsupported' WHEN b.k IS NULL THEN 'missing' WHEN k % 7 = 3 THEN 'risky' WHEN a.n_lines = b.n_lines THEN 'correct' ELSE 'stale' END AS verdict FROM fx_before b FULL JOIN fx_after a USING (k)"
+
+
+@register("j12_check_plan", _VERDICTS)
 def j12(fx):
+    return _verdicts(fx)
+
+
+def _verdicts(fx: Fixtures) -> DataFrame:
     risks = fx("part").select(F.col("p_partkey").alias("k"), F.when(F.col("p_partkey") % 7 != 3, "low").when(F.col("p_partkey") % 2 == 0, "high").otherwise("critical").alias("severity"))
     return review.check_plan(fx("fx_before"), fx("fx_after"), "k", "n_lines", risks)
 
@@ -824,7 +848,11 @@ def o1(fx):
     return s.groupBy("item_id").agg(joined(F.array_sort(F.collect_list("field"))).alias("common"))
 
 
-@register("r7_review_rows", f"SELECT k AS spec_id, 'files' AS block, 'part ' || k AS path, status FROM ({_CHANGES}) WHERE status IN ('added', 'deleted', 'modified')")
+_FIGURES = f"SELECT coalesce(status, 'all') AS f, count(*) AS files, CAST(sum(greatest(delta, 0)) AS BIGINT) AS lines_added, CAST(sum(greatest(-delta, 0)) AS BIGINT) AS lines_removed FROM ({_CHANGES}) GROUP BY ROLLUP (status)"
+
+
+@register("r7_review_rows", f"""SELECT 'files' AS block, 'part ' || k AS label, status AS value FROM ({_CHANGES}) WHERE status <> 'unchanged' UNION ALL SELECT 'kpi', unnest(['files ' || f, 'lines_added ' || f, 'lines_removed ' || f]), unnest([files, lines_added, lines_removed])::VARCHAR FROM ({_FIGURES})
+ UNION ALL SELECT 'compare', 'part ' || k, b.n_lines || ' → ' || a.n_lines FROM fx_before b JOIN fx_after a USING (k) WHERE b.n_lines <> a.n_lines OR b.name <> a.name UNION ALL SELECT 'risk', dimension || ' ' || severity, count(*)::VARCHAR FROM fx_risk GROUP BY dimension, severity
+ UNION ALL SELECT 'decision', 'part ' || k, verdict FROM ({_VERDICTS}) WHERE verdict <> 'correct'""")
 def r7(fx):
-    rows = review.changes(fx("fx_before"), fx("fx_after"), "k").filter("status <> 'unchanged'")
-    return rows.select(F.col("k").alias("spec_id"), F.lit("files").alias("block"), F.concat(F.lit("part "), F.col("k").cast("string")).alias("path"), "status")
+    return review.page_rows(fx("fx_before"), fx("fx_after"), "k", "n_lines", fx("fx_risk"), _verdicts(fx))
