@@ -56,11 +56,11 @@ def chain(messages: DataFrame, conv: str = "conv_id", turn: str = "turn") -> Dat
 def paths(nodes: DataFrame) -> DataFrame:
     """``conv, leaf, node, up``: every node of every root-to-leaf path, ``up`` steps above its leaf. ``nodes``: ``conv, node, parent``."""
     on = lambda a, b, x, y: F.col(f"{a}.conv").eqNullSafe(F.col(f"{b}.conv")) & (F.col(f"{a}.{x}") == F.col(f"{b}.{y}"))
-    ids = written(nodes.select("conv", "node", "parent"), "tree-nodes")
+    ids = written(nodes.select("conv", "node", "parent"), "tree-nodes", narrow=True)
     hops = ids.filter("parent IS NOT NULL").alias("c").join(ids.alias("p"), on("c", "p", "parent", "node"), "left_semi").select("conv", "node", F.col("parent").alias("above"))
-    hops = written(hops, "tree-hops")
+    hops = written(hops, "tree-hops", narrow=True)
     leaves = ids.alias("n").join(hops.alias("h"), on("n", "h", "node", "above"), "left_anti")
-    parts = [written(leaves.select("conv", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")), "tree-paths")]
+    parts = [written(leaves.select("conv", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")), "tree-paths", narrow=True)]
     step = 1
     total = ids.count()
     while not hops.isEmpty() and step <= total:
@@ -68,8 +68,8 @@ def paths(nodes: DataFrame) -> DataFrame:
         for p in parts[1:]:
             so_far = so_far.unionByName(p)
         more = so_far.alias("a").join(hops.alias("h"), on("a", "h", "node", "node")).select("a.conv", "a.leaf", F.col("h.above").alias("node"), (F.col("a.up") + step).alias("up"))
-        parts.append(written(more, "tree-paths"))
-        hops = written(hops.alias("a").join(hops.alias("b"), on("a", "b", "above", "node")).select("a.conv", "a.node", "b.above"), "tree-hops")
+        parts.append(written(more, "tree-paths", narrow=True))
+        hops = written(hops.alias("a").join(hops.alias("b"), on("a", "b", "above", "node")).select("a.conv", "a.node", "b.above"), "tree-hops", narrow=True)
         step *= 2
     out = parts[0]
     for p in parts[1:]:
@@ -92,7 +92,7 @@ def conversations(messages: DataFrame, branches: int = 1) -> DataFrame:
     same = lambda a, b: F.col(f"{a}.conv").eqNullSafe(F.col(f"{b}.conv")) & (F.col(f"{a}.node") == F.col(f"{b}.node"))
     ranked = walk.alias("w").join(scored.alias("s"), same("w", "s")).groupBy("w.conv", "w.leaf").agg(F.sum(F.coalesce("s.score", F.lit(0))).alias("score"), F.count(F.lit(1)).alias("n_turns"))
     best = Window.partitionBy("conv").orderBy(F.desc("score"), F.desc("n_turns"), "leaf")
-    ranked = written(ranked.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= branches), "tree-branches")
+    ranked = written(ranked.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= branches), "tree-branches", narrow=True)
     chosen = walk.alias("w").join(ranked.alias("r"), F.col("w.conv").eqNullSafe(F.col("r.conv")) & (F.col("w.leaf") == F.col("r.leaf"))).select("w.*", "r.rank", "r.score", "r.n_turns")
     texts = messages.select("conv", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = chosen.alias("c").join(texts.alias("t"), same("c", "t")).select("c.conv", "c.leaf", "c.rank", "c.score", "c.n_turns", "c.up", "t.role", escape(F.col("t.text")).alias("body"))

@@ -36,13 +36,13 @@ def digest(canon: Column) -> Column:
 
 def seen_twice(digests: DataFrame) -> DataFrame:
     """Written table ``digest`` of those that occur twice or more in ``digests``."""
-    return written(digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest"), "digests-seen-twice")
+    return written(digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest"), "digests-seen-twice", narrow=True)
 
 
 def unequal(texts: DataFrame) -> DataFrame:
     """Written table ``digest, canon, suffix`` of canonical texts that share a digest without being equal. ``texts``: ``digest, canon`` of the digests seen twice."""
     groups = texts.distinct().groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("canon")).alias("all"))
-    return written(groups.filter("n > 1").select("digest", F.posexplode("all").alias("suffix", "canon")), "digest-clashes")
+    return written(groups.filter("n > 1").select("digest", F.posexplode("all").alias("suffix", "canon")), "digest-clashes", narrow=True)
 
 
 def clashes(texts: DataFrame) -> DataFrame:

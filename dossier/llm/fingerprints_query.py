@@ -25,11 +25,11 @@ def _same_digest(docs: DataFrame, seen: DataFrame) -> DataFrame:
     keyed = lambda kind, d: seen.withColumnRenamed(f"d_{d}", "digest").join(small(twice), "digest", "left_semi").select("digest", *kind).distinct()
     own = lambda t, doc, version: (t["doc_id"].eqNullSafe(doc)) & (t["version"] == version)
     first = keyed(("id", "v"), "text")
-    plain = texts.join(small(written(first, "digest-texts")).alias("k"), own(texts, F.col("id"), F.col("v"))).select("digest", canonical(F.col("text")).alias("canon"))
-    second = small(written(keyed(("id", "v", "next_id", "next_v"), "edited"), "digest-edits"))
+    plain = texts.join(small(written(first, "digest-texts", narrow=True)).alias("k"), own(texts, F.col("id"), F.col("v"))).select("digest", canonical(F.col("text")).alias("canon"))
+    second = small(written(keyed(("id", "v", "next_id", "next_v"), "edited"), "digest-edits", narrow=True))
     half = texts.join(second, own(texts, F.col("id"), F.col("v"))).select("digest", "text", "next_id", "next_v").distinct()
     other = texts.withColumnRenamed("text", "next_text")
-    whole = other.join(small(written(half, "digest-halves")), own(other, F.col("next_id"), F.col("next_v"))).select("digest", "text", "next_text")
+    whole = other.join(small(written(half, "digest-halves", narrow=True)), own(other, F.col("next_id"), F.col("next_v"))).select("digest", "text", "next_text")
     return plain.unionByName(_edited(whole).select("digest", canonical(F.col("edited")).alias("canon")))
 
 

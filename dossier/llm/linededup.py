@@ -44,21 +44,21 @@ def _later_matches(docs: DataFrame) -> DataFrame:
 
     def gone(pairs: DataFrame) -> DataFrame:
         """Of each of the ``pairs`` that is alike, the set that occurs first later."""
-        links = verified(written(pairs, "line-pairs"), docs, line_words, firsts)
+        links = verified(written(pairs, "line-pairs", narrow=True), docs, line_words, firsts)
         first = lambda c: firsts.select(F.col("sid").alias(c), F.col("first").alias(f"first_{c}"))
         both = first("a").join(small(links), "a")
-        both = first("b").join(small(written(both, "line-links")), "b")
+        both = first("b").join(small(written(both, "line-links", narrow=True)), "b")
         return both.select(F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("sid")).distinct()  # sets of repeated rows are there more than once
 
-    removed = written(gone(posted.filter("a IS NOT NULL").select("a", "b").distinct()), "line-removed")
+    removed = written(gone(posted.filter("a IS NOT NULL").select("a", "b").distinct()), "line-removed", narrow=True)
     for most in (SOME, None):
         # Lists with a set that nothing removed and that has partners which it wasn't paired with.
         left = kept.filter("more").join(small(removed), "sid", "left_anti").select("token").distinct()
         rows = kept.join(small(left), "token", "left_semi").join(small(removed.withColumn("gone", F.lit(True))), "sid", "left")
-        rows = written(rows.withColumn("open", F.col("more") & F.col("gone").isNull()).drop("more", "gone"), "line-lists")
+        rows = written(rows.withColumn("open", F.col("more") & F.col("gone").isNull()).drop("more", "gone"), "line-lists", narrow=True)
         if rows.isEmpty():
             break
-        removed = written(removed.unionByName(gone(further_pairs(rows, most))).distinct(), "line-removed")
+        removed = written(removed.unionByName(gone(further_pairs(rows, most))).distinct(), "line-removed", narrow=True)
 
     # A line goes if it occurs after another of its set, or if its set goes.
     at = ["doc_id", "version", "number"]

@@ -421,9 +421,9 @@ def _beside(rows: DataFrame) -> DataFrame:
     its open sets go to all tiles of their own and the next bands. So rows are made in proportion to the sets, and to the open ones of long lists.
     """
     rows = rows.withColumn("band", F.floor(F.ln(F.col("n")) / F.ln(F.lit(4 / 3)) + 1e-9).cast("int"))
-    counts = written(rows.groupBy("token", "band").agg(F.count(F.lit(1)).alias("sets")), "line-counts")
+    counts = written(rows.groupBy("token", "band").agg(F.count(F.lit(1)).alias("sets")), "line-counts", narrow=True)
     long_ = counts.groupBy("token").agg(F.sum("sets").alias("all"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("sets") / TILE).cast("int").alias("parts")))).alias("parts"))
-    rows = rows.join(small(written(long_.filter(F.col("all") > TILE).select("token", "parts"), "line-long")), "token", "left")
+    rows = rows.join(small(written(long_.filter(F.col("all") > TILE).select("token", "parts"), "line-long", narrow=True)), "token", "left")
     part = F.pmod(F.xxhash64("sid"), F.try_element_at("parts", F.col("band"))).cast("int")
     key = lambda band, i: F.xxhash64("token", band, i)
     role = lambda tile, opened, other: F.struct(tile.alias("tile"), opened.alias("open"), other.alias("other"))

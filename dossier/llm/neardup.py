@@ -40,7 +40,7 @@ def _classes(docs: DataFrame) -> DataFrame:
         """Postings of shingles whose sets aren't in one component yet."""
         members = wide_postings(posted).join(small(group), "sid", "left").withColumn("group", F.coalesce("component", "sid")).drop("component")
         mixed = members.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low < high").select("token")
-        return written(members.join(small(mixed), "token", "left_semi"), "unsettled-postings")
+        return written(members.join(small(mixed), "token", "left_semi"), "unsettled-postings", narrow=True)
 
     rows = unsettled(group)
     if not rows.isEmpty():

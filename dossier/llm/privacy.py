@@ -193,21 +193,21 @@ def survey(docs: DataFrame) -> DataFrame:
 def disclosing(found: DataFrame) -> DataFrame:
     """Written table ``key, term`` of the terms that disclose an entity."""
     rows = found.filter("key IS NULL")
-    holders = written(rows.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity")), "privacy-entities")
+    holders = written(rows.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity")), "privacy-entities", narrow=True)
     total, most = rows.count(), holders.agg(F.max("with_entity")).first()[0] or 0
     near = rows.select("row", F.explode("contexts").alias("c")).select("row", "c.entities", "c.context", F.explode("c.terms").alias("t")).select("row", "entities", "context", "t.*")
     asked = near.select("key").distinct()
     # n_te is at most n_e: a term in more documents than this discloses no entity, whatever its company.
     limit = most**THRESHOLD * total ** (1 - THRESHOLD) * (1 + 1e-9)
     counts = found.filter("key IS NOT NULL").select("key", "docs").join(small(asked), "key", "left_semi").groupBy("key").agg(F.sum("docs").alias("with_term")).filter(F.col("with_term") <= limit)
-    near = near.join(small(written(counts, "privacy-counts")), "key").select("row", "context", "key", "term", "with_term", F.explode("entities").alias("entity"))
+    near = near.join(small(written(counts, "privacy-counts", narrow=True)), "key").select("row", "context", "key", "term", "with_term", F.explode("entities").alias("entity"))
     pair = near.groupBy("entity", "key", "term", "with_term").agg(F.count_distinct("row").alias("both"), F.count_distinct("context").alias("contexts")).join(small(holders), "entity")
     p = F.least(F.lit(1.0), F.col("both") / F.col("with_term"))
     trials = F.col("contexts") / p
     z2 = F.lit(Z * Z)
     low = (p + z2 / (2 * trials) - Z * F.sqrt(p * (1 - p) / trials + z2 / (4 * trials * trials))) / (1 + z2 / trials)
     share = 1 + F.ln(low) / F.ln(F.lit(float(total)) / F.col("with_entity"))
-    return written(pair.filter((F.col("with_entity") < total) & (share >= THRESHOLD)).select("key", "term").distinct(), "privacy-terms")
+    return written(pair.filter((F.col("with_entity") < total) & (share >= THRESHOLD)).select("key", "term").distinct(), "privacy-terms", narrow=True)
 
 
 def with_terms(docs: DataFrame, names: DataFrame) -> DataFrame:

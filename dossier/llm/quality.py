@@ -93,7 +93,7 @@ def thresholds(metrics: DataFrame) -> DataFrame:
     Documents that the base rules reject take no part. ``metrics`` has ``lang, source, __base_failed`` and the metrics.
     """
     names = [m for m, *_ in FENCES]
-    fine = written(sketch(metrics.filter(~F.col("__base_failed")), ["lang", "source"], names), "quality-sketches")
+    fine = written(sketch(metrics.filter(~F.col("__base_failed")), ["lang", "source"], names), "quality-sketches", narrow=True)
     out = metrics.select("lang", "source").distinct().withColumn("__all", F.lit(0))
     for k, keys in enumerate(SCOPES):
         q = quantiles(merge(fine, keys), keys, [250, 500, 750])
@@ -146,4 +146,4 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with their own columns. The rows are written once with their metrics, so that neither is a text shuffled nor a metric made twice."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text", "lang", "source")
     measured = written(with_metrics(rows).select("row", *METRIC_COLUMNS), "quality-rows")
-    return judged(measured, written(thresholds(measured), "quality-limits")).filter("__kept").select("row.*")
+    return judged(measured, written(thresholds(measured), "quality-limits", narrow=True)).filter("__kept").select("row.*")

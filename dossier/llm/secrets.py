@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dossier.llm.shared import scratch, small, written
+from dossier.llm.shared import partitions, scratch, small, written
 
 
 @dataclass(frozen=True)
@@ -65,7 +65,7 @@ class Ledger:
         return self.spark.read.schema(SCANNED if name == "scanned" else FOUND).parquet(f"{self.path}/{name}")
 
     def add(self, name: str, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(f"{self.path}/{name}")
+        rows.coalesce(max(self.spark.sparkContext.defaultParallelism, partitions(self.spark) // 8)).write.mode("append").parquet(f"{self.path}/{name}")
 
     def findings(self, rules=RULES) -> DataFrame:
         """What the present versions of the ``rules`` found, in whichever scan."""
@@ -111,7 +111,7 @@ def scan(docs: DataFrame, ledger: Ledger, rules=RULES) -> None:
     with scratch(docs.sparkSession):
         new = written(findings(unseen(docs, ledger.table("scanned"), rules), rules), "secret-findings")
         pairs = docs.select(blob_id().alias("blob")).distinct().select("blob", F.explode(F.array(*[F.lit(r.key) for r in rules])).alias("rule"))
-        pairs = written(pairs.join(ledger.table("scanned"), ["blob", "rule"], "left_anti"), "secret-pairs")
+        pairs = written(pairs.join(ledger.table("scanned"), ["blob", "rule"], "left_anti"), "secret-pairs", narrow=True)
         ledger.add("found", new)
         ledger.add("scanned", pairs)
 

@@ -324,7 +324,7 @@ def bitmaps(tokens: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 
 def set_bits(nodes: DataFrame, posted: DataFrame) -> DataFrame:
     """Written table ``sid, n, bits, copies`` (units that have the set) of the sets in ``posted``. ``nodes``: units of the inventory."""
-    named = written(posted.select("sid").unionByName(posted.filter("leader IS NOT NULL").select(F.col("leader").alias("sid"))).distinct(), "set-names")
+    named = written(posted.select("sid").unionByName(posted.filter("leader IS NOT NULL").select(F.col("leader").alias("sid"))).distinct(), "set-names", narrow=True)
     found = nodes.filter("n > 0").join(small(named), "sid", "left_semi")
     return written(found.groupBy("sid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.count(F.lit(1)).alias("copies")), "set-bits")
 
@@ -350,7 +350,7 @@ def bounded(pairs: DataFrame, bits: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(fits)) for c in batch.columns[:2]], names=["a", "b"])
 
     joined = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
-    return written(joined.mapInArrow(run, "a long, b long"), "bounded-pairs")
+    return written(joined.mapInArrow(run, "a long, b long"), "bounded-pairs", narrow=True)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, units: Callable, nodes: DataFrame) -> DataFrame:
@@ -358,10 +358,10 @@ def verified(pairs: DataFrame, docs: DataFrame, units: Callable, nodes: DataFram
 
     The sorted shingles are taken anew from one row that holds each set (``nodes``: units of the inventory).
     """
-    asked = written(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct(), "sets-asked")
+    asked = written(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct(), "sets-asked", narrow=True)
     holders = nodes.select("sid", "doc_id", "version").join(small(asked), "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("doc_id", "version")).alias("at"))
     wanted = holders.groupBy(F.col("at.doc_id").alias("__d"), F.col("at.version").alias("__v")).agg(F.collect_list("sid").alias("sids"))
-    rows = docs.join(small(written(wanted, "sets-wanted")), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("version") == F.col("__v"))).select("doc_id", "version", "text", "sids")
+    rows = docs.join(small(written(wanted, "sets-wanted", narrow=True)), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("version") == F.col("__v"))).select("doc_id", "version", "text", "sids")
 
     def fetch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, i, (rows, _, tokens, upto) in each_slice(batches, units):
@@ -388,7 +388,7 @@ def verified(pairs: DataFrame, docs: DataFrame, units: Callable, nodes: DataFram
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
     joined = pairs.join(sets.select(F.col("sid").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("elements").alias("y")), "b").select("a", "b", "x", "y")
-    return written(joined.mapInArrow(run, "a long, b long"), "set-links")
+    return written(joined.mapInArrow(run, "a long, b long"), "set-links", narrow=True)
 
 
 def popular_pairs(members: DataFrame) -> DataFrame:
@@ -428,7 +428,7 @@ def _bit_bound(maps: list[bytes], n: np.ndarray, i: np.ndarray, j: np.ndarray) -
 def tiled(rows: DataFrame) -> DataFrame:
     """``rows`` (``token, sid, n`` and more) with ``tile``: rows of one shingle that can be alike in size meet in a tile, in one that holds ``2 * BLOCK`` rows or few more."""
     rows = rows.withColumn("band", F.floor(F.ln(F.col("n")) / F.ln(F.lit(4 / 3)) + 1e-9).cast("int"))
-    counts = written(rows.groupBy("token", "band").agg(F.count(F.lit(1)).alias("sets")), "tile-counts")
+    counts = written(rows.groupBy("token", "band").agg(F.count(F.lit(1)).alias("sets")), "tile-counts", narrow=True)
     large = counts.groupBy("token").agg(F.sum("sets").alias("sets")).filter(F.col("sets") > BLOCK).select("token", F.lit(True).alias("large"))
     blocks = counts.join(small(large), "token").select("token", "band", F.ceil(F.col("sets") / BLOCK).cast("int").alias("blocks"))
     rows = rows.join(small(large), "token", "left")
@@ -516,15 +516,15 @@ def components(links: DataFrame) -> DataFrame:
     Each round, every node takes the least of itself and its neighbours as its parent, parents' parents shorten
     the way, and links are redrawn between parents; links inside a parent vanish. Ends when none is left.
     """
-    edges = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "edges")
-    label = written(edges.select(F.col("a").alias("sid")).distinct().withColumn("component", F.col("sid")), "labels")
+    edges = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "edges", narrow=True)
+    label = written(edges.select(F.col("a").alias("sid")).distinct().withColumn("component", F.col("sid")), "labels", narrow=True)
     while not edges.isEmpty():
-        parent = written(edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("p")), "parents")
+        parent = written(edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("p")), "parents", narrow=True)
         up = parent.select(F.col("a").alias("p"), F.col("p").alias("pp"))
-        parent = written(parent.join(up, "p", "left").select("a", F.coalesce("pp", "p").alias("p")), "parents")
+        parent = written(parent.join(up, "p", "left").select("a", F.coalesce("pp", "p").alias("p")), "parents", narrow=True)
         other = parent.select(F.col("a").alias("b"), F.col("p").alias("q"))
-        edges = written(edges.join(parent, "a").join(other, "b").select(F.col("p").alias("a"), F.col("q").alias("b")).filter("a <> b").distinct(), "edges")
-        label = written(label.join(parent.withColumnRenamed("a", "component"), "component", "left").select("sid", F.coalesce("p", "component").alias("component")), "labels")
+        edges = written(edges.join(parent, "a").join(other, "b").select(F.col("p").alias("a"), F.col("q").alias("b")).filter("a <> b").distinct(), "edges", narrow=True)
+        label = written(label.join(parent.withColumnRenamed("a", "component"), "component", "left").select("sid", F.coalesce("p", "component").alias("component")), "labels", narrow=True)
     return label
 
 

@@ -54,8 +54,13 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """``df`` as a table in the shared folder: its lineage ends here, and a lost executor costs no recomputation beyond it."""
+def written(df: DataFrame, name: str, keep: bool = False, narrow: bool = False) -> DataFrame:
+    """``df`` as a table in the shared folder: its lineage ends here, and a lost executor costs no recomputation beyond it.
+
+    ``narrow``: a table of ids or counts, written by an eighth of the partitions (the session's cores at least), as each file costs more than its rows.
+    """
+    if narrow:
+        df = df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, partitions(df.sparkSession) // 8))
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     scopes = _SCOPES[:-1] if keep else _SCOPES
     if scopes:
