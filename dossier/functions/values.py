@@ -26,7 +26,7 @@ def _blank(v: Column) -> Column:
 
 def as_markdown(v: Column, depth: int = 0, left: int = DEPTH) -> Column:
     """Null is empty, a boolean lower case, a long text a quotation, an object lines of ``key: value``, a list of objects a line each, a
-    short list joined by commas, another list bullets."""
+    short list joined by commas, another list bullets. An object's keys come in alphabetical order, as variants keep them."""
     kind = F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
     text = _text(v)
     quoted = F.array_join(F.transform(F.split(text, r"\r\n|\n|\r"), lambda x: F.concat(F.lit("> "), x)), "\n")

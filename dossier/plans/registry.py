@@ -771,7 +771,7 @@ def t1(fx):
     return published.groupBy("call_id").agg(F.max_by("seq", "batch").alias("seq"))
 
 
-@register("x3_markdown_values")
+@register("x3_markdown_values", "SELECT p_partkey, 'k: ' || p_name || chr(10) || 'l: true, ' || p_brand || chr(10) || 'n: ' || p_size || chr(10) || 'o: a: 1' AS markdown FROM part")
 def x3(fx):
     doc = F.parse_json(F.concat(F.lit('{"k":"'), "p_name", F.lit('","n":'), F.col("p_size").cast("string"), F.lit(',"l":[true,null,"'), "p_brand", F.lit('"],"o":[{"a":1},{"b":""}]}')))
     return fx("part").select("p_partkey", as_markdown(doc).alias("markdown"))
