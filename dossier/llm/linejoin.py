@@ -20,7 +20,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm.setjoin import MOST, REMEMBERED, Units, _signed, by_tile, each_slice, set_ids, whole_tiles
@@ -350,6 +350,9 @@ def postings(docs: DataFrame, levels: np.ndarray, lines: int, blocks: int) -> Da
         o = np.lexsort((order, sid, token))
         same = np.zeros(len(o), bool)
         same[1:] = (token[o[1:]] == token[o[:-1]]) & (sid[o[1:]] == sid[o[:-1]])
+        if len(o):  # where two hashes share a list, a set is there with two places: the least one bounds the overlap least
+            at = at.copy()
+            at[o[~same]] = np.minimum.reduceat(at[o], np.flatnonzero(~same))
         o = o[~same]
         o = o[np.lexsort((order[o], n[o], token[o]))]
         start = np.flatnonzero(np.concatenate([[True], token[o[1:]] != token[o[:-1]]]))
@@ -428,7 +431,12 @@ def _beside(rows: DataFrame) -> DataFrame:
     key = lambda band, i: F.xxhash64("token", band, i)
     role = lambda tile, opened, other: F.struct(tile.alias("tile"), opened.alias("open"), other.alias("other"))
     yes, no = F.lit(True), F.lit(False)
-    asked = F.flatten(F.array(*[F.transform(F.coalesce(F.sequence(F.lit(1), F.try_element_at("parts", F.col("band") + d)), F.array().cast("array<int>")), lambda i, d=d: role(key(F.col("band") + d, i - 1), yes, no)) for d in (-1, 0, 1)]))
+
+    def asked_of(band: Column) -> Column:
+        parts = F.coalesce(F.sequence(F.lit(1), F.try_element_at("parts", band)), F.array().cast("array<int>"))
+        return F.transform(parts, lambda i: role(key(band, i - 1), yes, no))
+
+    asked = F.concat(*[asked_of(F.col("band") + d) for d in (-1, 0, 1)])
     own = F.array(role(key(F.col("band"), part), no, yes))
     roles = F.when(F.col("parts").isNull(), F.array(role(F.xxhash64("token"), F.col("open"), yes))).when(F.col("open"), F.concat(own, asked)).otherwise(own)
     return rows.withColumn("r", F.explode(roles)).select("r.tile", "sid", "n", "at", "first", "map", "r.open", "r.other")
