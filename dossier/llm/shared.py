@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -26,7 +27,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-_SCOPES: list[list[str]] = []
+class _Scopes(threading.local):
+    """The open scopes of a thread, the innermost last: operators in two threads don't remove each other's tables."""
+
+    def __init__(self) -> None:
+        self.open: list[list[str]] = []
+
+
+_SCOPES = _Scopes()
 
 
 #: Rows and bytes of an Arrow batch while whole texts or packed rows go to Python workers: bounds what a worker and its executor hold at once.
@@ -34,6 +42,19 @@ BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 _BATCH, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+def _stored(spark: SparkSession, path: str) -> tuple:
+    """A path's file system and the path, as the JVM has them."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def until_exit(spark: SparkSession, path: str) -> str:
+    """``path``, which goes when the application ends (what a lazy result still reads can't go before)."""
+    files, where = _stored(spark, path)
+    files.deleteOnExit(where)
+    return path
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables written inside go when it ends, but for those written with ``keep``, which belong to the scope around it (or stay).
@@ -43,32 +64,44 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     rows, size = spark.conf.get(_BATCH), spark.conf.get(_BYTES, None)
     spark.conf.set(_BATCH, str(min(int(rows), BATCH_ROWS) if int(rows) > 0 else BATCH_ROWS))
     spark.conf.set(_BYTES, str(BATCH_BYTES))
-    _SCOPES.append([])
+    _SCOPES.open.append([])
     try:
         yield
     finally:
         spark.conf.set(_BATCH, rows)
         spark.conf.set(_BYTES, size) if size else spark.conf.unset(_BYTES)
-        for path in _SCOPES.pop():
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        for path in _SCOPES.open.pop():
+            files, where = _stored(spark, path)
+            files.delete(where, True)
 
 
 def written(df: DataFrame, name: str, keep: bool = False, narrow: bool = False) -> DataFrame:
-    """``df`` as a table in the shared folder: its lineage ends here, and a lost executor costs no recomputation beyond it.
+    """``df`` as a table in the shared folder: its lineage ends here, and a lost executor costs no recomputation beyond it. It goes with its scope, or else with the application.
 
     ``narrow``: a table of ids or counts, written by an eighth of the partitions (the session's cores at least), as each file costs more than its rows.
     """
     if narrow:
         df = df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, partitions(df.sparkSession) // 8))
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    scopes = _SCOPES[:-1] if keep else _SCOPES
+    scopes = _SCOPES.open[:-1] if keep else _SCOPES.open
     if scopes:
         scopes[-1].append(path)
     df.write.parquet(path)
+    if not scopes:
+        until_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def saved(spark: SparkSession, name: str, content: bytes) -> str:
+    """The path of a file of ``content`` in the shared folder, which goes when the application ends."""
+    path = f"{shared_dir(spark)}/{name}"
+    files, where = _stored(spark, path)
+    out = files.create(where)
+    out.write(content)
+    out.close()
+    return until_exit(spark, path)
+
+
 def small(df: DataFrame) -> DataFrame:
     """``df`` marked for broadcast if its measured size is at most ``BROADCAST_ROWS`` rows and ``BROADCAST_BYTES`` bytes, unchanged otherwise. ``df`` is best a written table, as it is read for that."""
     fixed, sizes = 8 * (len(df.schema) + 1), []

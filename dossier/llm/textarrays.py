@@ -56,11 +56,11 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         i = j
 
 
-def words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words, and for each cut (ascending byte position) the number of words before it."""
+def words(data: np.ndarray, cuts: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (runs without the bytes marked in ``between``), and for each cut (ascending byte position) the number of words before it."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(cuts), np.int64)
-    inside = ~SPACE[data]
+    inside = ~between[data]
     start = inside.copy()
     start[1:] &= ~inside[:-1]
     end = inside.copy()
