@@ -1,9 +1,9 @@
 """Mergeable quantile sketches as plain aggregations.
 
-A non-negative integer falls in a bucket by its highest bits: values under 64 have a bucket each, larger ones
-share one with values of the same leading six bits, so a quantile read from the buckets is at most 1/32 too
+A non-negative integer falls in a bucket by its highest bits: values under ``1 << BITS`` have a bucket each, larger ones
+share one with values of the same leading bits, so a quantile read from the buckets is at most 1/256 too
 low. A sketch is its buckets' counts: sketches merge by adding counts, in any order and with the same result, and
-Spark combines them before the shuffle. Each group holds some 2,000 buckets at most.
+Spark combines them before the shuffle. Each group holds some 256 buckets per doubling of a metric at most.
 """
 
 from __future__ import annotations
@@ -12,9 +12,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Leading bits by which values share a bucket, and the share of a value that a bucket spans at most.
+BITS = 9
+ERROR = 2.0 ** (1 - BITS)
+
+
 def bucket_low(value: Column) -> Column:
     """The least value of ``value``'s bucket."""
-    shift = F.greatest(F.length(F.bin(value)) - F.lit(6), F.lit(0))
+    shift = F.greatest(F.length(F.bin(value)) - F.lit(BITS), F.lit(0))
     return F.call_function("shiftleft", F.call_function("shiftright", value, shift), shift)
 
 

@@ -2,13 +2,14 @@
 
 import collections
 import hashlib
+import math
 import re
 import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
-from dossier.llm import chats, chats_query, fingerprints, fingerprints_query, quality, quality_query, secrets, secrets_query, sketches
+from dossier.llm import chats, chats_query, fingerprints, fingerprints_query, quality, quality_query, secrets, secrets_query, shared, sketches
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 HEAD = "the cat sat on the mat and looked at nine small birds "
@@ -62,37 +63,61 @@ def test_kept_by_brute_force(spark, tmp_path):
     spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
 
     def metrics(t):
+        """Of each metric the sketched and the judged value."""
         n, chars, symbols, dup, _, failed = base(t)
         w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
         lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-        share = lambda a, b: 1000 * a // b if b else 0
         marks = len(re.findall(r"[!-/:-@\[-`{-~]", t or ""))
-        return failed, dict(word_length=share(chars, n), symbol_share=share(symbols, chars), mark_share=share(marks, chars), dup_share=share(dup, len(lines)), neighbour_share=share(sum(a == b for a, b in zip(w, w[1:])), n))
+        shares = dict(symbol_share=(symbols, chars), mark_share=(marks, chars), dup_share=(dup, len(lines)), neighbour_share=(sum(a == b for a, b in zip(w, w[1:])), n))
+        length = chars * 1_000_000 // n if n else 0
+        both = {m: (math.floor((c + 1.0) * 1_000_000 / (k + 1.0)), math.floor((c - 2 * math.sqrt(c)) * 1_000_000 / max(k, 1))) for m, (c, k) in shares.items()}
+        return failed, {"word_length": (length, length), **both}
 
-    low = lambda v: v >> max(0, v.bit_length() - 6) << max(0, v.bit_length() - 6)
+    low = lambda v: v >> max(0, v.bit_length() - sketches.BITS) << max(0, v.bit_length() - sketches.BITS)
 
     def quartiles(values):
         x = sorted(map(low, values))
-        return [next(v for k, v in enumerate(x, 1) if k * 1000 >= len(x) * p) for p in (250, 500, 750)]
+        return [next(v for k, v in enumerate(x, 1) if k * 1000 >= len(x) * p) for p in (250, 750)]
 
     made = [(r, *metrics(r[1])) for r in rows]
-    want = collections.Counter()
-    for r, failed, m in made:
-        beyond = failed
-        for name, below, above, least in quality.FENCES:
+    fences = {}
+    for r in rows:
+        if r[2:4] in fences:
+            continue
+        for name in quality.METRICS:
             q = None
             for same in (lambda x: True, lambda x: x[2] == r[2], lambda x: x[2:4] == r[2:4]):
-                group = [mm[name.lstrip("_")] for x, f, mm in made if not f and same(x)]
+                group = [mm[name][0] for x, f, mm in made if not f and same(x)]
                 if group:
-                    own, n = quartiles(group), len(group)
+                    own, n = [math.log1p(x) for x in quartiles(group)], len(group)
                     q = own if q is None else [(n * a + quality.PRIOR * b) / (n + quality.PRIOR) for a, b in zip(own, q)]
-            v = m[name.lstrip("_")]
-            beyond |= v > max(q[2] + above * (q[2] - q[0]), q[1] + least) or (below is not None and v < min(q[0] - below * (q[2] - q[0]), q[1] - least))
+            q = [math.expm1(x) for x in q]
+            fences.setdefault(r[2:4], {})[name] = (q[0] - quality.FACTOR * (q[1] - q[0])) * (1 - 1 / 256), (q[1] + quality.FACTOR * (q[1] - q[0])) * (1 + 1 / 256)
+    want = collections.Counter()
+    for r, failed, m in made:
+        beyond = failed
+        for name, (_, _, both) in quality.METRICS.items():
+            below, above = fences[r[2:4]][name]
+            beyond |= m[name][1] > above or (both and m[name][1] < below)
         want[r[0], not beyond] += 1
     got = quality_query.op1_quality_rules(spark, str(tmp_path)).collect()
     assert collections.Counter((r["doc_id"], r["kept"]) for r in got) == want and 20 < sum(not k for _, k in want) < 200
 
 
+def test_sketches_decide(spark):
+    """On whole tables every fence follows its sketch: other than all other groups' of the metric, and so are the verdicts on labelled documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    measured = shared.written(quality.with_metrics(docs).select("doc_id", *quality.METRIC_COLUMNS), "measured")
+    limits = [(r["lang"], r["source"], m, x["high"]) for r in quality.thresholds(measured).collect() for m, x in r["__limits"].items()]
+    for m in quality.METRICS:
+        highs = [h for _, _, name, h in limits if name == m]
+        assert all(h > 0 for h in highs) and len(set(highs)) >= 0.9 * len(highs)  # a constant would be the same for many
+    rows = quality.assess(docs).join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").collect()
+    good, bad = ([r for r in rows if r["quality"] == q] for q in (1, 0))
+    assert all(r["kept"] or r["base_failed"] for r in good) and not any(r["kept"] for r in bad)
+    assert sum(1 for r in bad if not r["base_failed"]) > 15
+
+
 def test_sketches_merge(spark):
     values = spark.range(1, 20_000).select((F.col("id") % 7).alias("k"), (F.col("id") * F.col("id")).alias("v"))
     fine = sketches.sketch(values, ["k"], ["v"])
