@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import json
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dossier.functions.text import normalise, one_line, strip, truncate
+from dossier.session import spread
 
 #: Most characters of each kind of block, and most blocks of a kind on a slide.
 MOST_CHARS = {"title": 140, "subtitle": 180, "heading": 140, "item": 160, "paragraph": 220, "card": 220, "diagram": 220, "code": 850, "cell": 90}
@@ -84,6 +87,7 @@ class _Reader(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.out: list[tuple[int, int, str, str, str]] = []
+        self.tables: dict[int, list[list[str]]] = {}
         self.open: list[_Element] = []
         self.slides: list[tuple[bool, bool]] = []  # is a section; has something to show
         self.pos = 0
@@ -151,7 +155,8 @@ class _Reader(HTMLParser):
             elif table and e.tag != "table":
                 continue
             elif e.holds == "table":
-                add("table", "", json.dumps([r for r in e.rows if r]))
+                self.tables[len(self.out)] = [r for r in e.rows if r]
+                add("table", "", "")
             elif any(x.holds in ("diagram", "code") for x in self.open):
                 continue
             elif e.holds:
@@ -159,39 +164,47 @@ class _Reader(HTMLParser):
             for kind, style in e.roles:
                 add(kind, style, "".join(e.text))
 
-    def result(self) -> list[tuple[int, int, str, str, str]]:
-        """Blocks by their place; slides are the sections of class ``slide``, or other elements of that class that show something, numbered from 1."""
+    def result(self) -> list[tuple[int, int, str, str, str, list[list[str]] | None]]:
+        """Blocks by their place, tables with their cells; slides are the sections of class ``slide``, or other elements of that class that show something, numbered from 1."""
         self._close(0)
         sections = [k for k, (section, _) in enumerate(self.slides, 1) if section]
         use = sections or [k for k, (_, full) in enumerate(self.slides, 1) if full]
         number = {k: n for n, k in enumerate(use, 1)}
-        return [(number.get(k, 0), *rest) for k, *rest in sorted(self.out, key=lambda b: b[1])]
+        found = [(b[1], number.get(b[0], 0), *b[2:], self.tables.get(i)) for i, b in enumerate(self.out)]
+        return [(slide, pos, *rest) for pos, (_, slide, *rest) in enumerate(sorted(found, key=lambda b: b[0]))]
 
 
-BLOCK = "array<struct<slide:int,pos:int,kind:string,style:string,text:string>>"
-ROWS = "array<array<string>>"
+_BLOCK = "slide int, pos int, kind string, style string, text string, rows array<array<string>>"
 
 
 def blocks(pages: DataFrame) -> DataFrame:
-    """``page_id, slide, pos, kind, style, text, rows`` by an HTML parser, over Arrow batches; broken markup closes where it must.
+    """``page_id, slide, pos, kind, style, text, rows`` by an HTML parser, over Arrow batches, each page parsed once; broken markup closes where it must.
 
     Texts are in one line, of code with its lines; blank ones are dropped but for diagrams, which get a placeholder. Tables have rows of cells
-    without blank rows. What stands outside of slides has slide 0.
+    without blank rows. What stands outside of slides has slide 0. A page of null HTML has no blocks.
     """
-    @F.pandas_udf(BLOCK)
-    def read(html):
-        def one(text):
-            reader = _Reader()
-            reader.feed(text or "")
-            reader.close()
-            return [{"slide": s, "pos": i, "kind": k, "style": c, "text": t} for i, (s, _, k, c, t) in enumerate(reader.result())]
-
-        return html.map(one)
-
-    rows = pages.select("page_id", F.explode(read("html")).alias("b")).select("page_id", "b.*")
+    rows = spread(pages.select("page_id", "html"))
+    schema = T.StructType([rows.schema["page_id"], *T.StructType.fromDDL(_BLOCK).fields])
+    kinds = dict(slide=pa.int32(), pos=pa.int32(), kind=pa.string(), style=pa.string(), text=pa.string(), rows=pa.list_(pa.list_(pa.string())))
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at: list[int] = []
+            found: list[tuple] = []
+            for i, html in enumerate(batch.column(1).to_pylist()):
+                reader = _Reader()
+                reader.feed(html or "")
+                reader.close()
+                own = reader.result()
+                at += [i] * len(own)
+                found += own
+            columns = zip(*found, strict=True) if found else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)]], names=["page_id", *kinds])
+
+    rows = rows.mapInArrow(read, schema)
     is_ = lambda k: F.col("kind") == k
     line = one_line(normalise(F.col("text")))
-    cells = F.transform(F.from_json("text", ROWS), lambda r: F.transform(r, lambda c: truncate(one_line(normalise(c)), MOST_CHARS["cell"])))
+    cells = F.transform("rows", lambda r: F.transform(r, lambda c: truncate(one_line(normalise(c)), MOST_CHARS["cell"])))
     table = F.filter(cells, lambda r: F.exists(r, lambda c: c != ""))
     diagram = F.when(line == "", F.lit(NO_DIAGRAM)).otherwise(F.concat(F.lit(DIAGRAM_TEXT), truncate(line, MOST_CHARS["diagram"])))
     text = F.when(is_("table"), "").when(is_("diagram"), diagram).when(is_("code"), truncate(normalise(F.col("text")), MOST_CHARS["code"])).otherwise(line)
@@ -199,46 +212,59 @@ def blocks(pages: DataFrame) -> DataFrame:
     return rows.filter((F.col("text") != "") | (is_("table") & (F.size("rows") > 0)) | is_("subtitle"))
 
 
-def heads(found: DataFrame) -> DataFrame:
-    """``page_id, slide, title, subtitle`` of every slide, uncut: the first heading (null without one); of each subtitle class the first element, the first that has a text."""
+_SLIDE = ["page_id", "slide"]
+
+
+def with_heads(found: DataFrame) -> DataFrame:
+    """Blocks with their slide's ``title`` and ``subtitle``, uncut: the first heading (null without one); of each subtitle class the first element, the first that has a text.
+
+    Windows over the slide, which later ones of the same slide share their shuffle with: blocks are neither joined with themselves nor parsed again.
+    """
     heading = F.col("kind") == "heading"
     rank = F.coalesce(*[F.when(F.col("style") == c, i) for i, c in enumerate(SUBTITLES)])
-    first = F.row_number().over(Window.partitionBy("page_id", "slide", "kind", "style").orderBy("pos"))
+    first = F.row_number().over(Window.partitionBy(*_SLIDE, "kind", "style").orderBy("pos"))
     rows = found.withColumn("__n", F.when(F.col("kind") == "subtitle", first))
-    shown = (F.col("__n") == 1) & (F.col("text") != "")
-    return rows.groupBy("page_id", "slide").agg(
-        F.min_by(F.when(heading, F.col("text")), F.when(heading, F.col("pos"))).alias("title"),
-        F.coalesce(F.min_by(F.when(shown, F.col("text")), F.when(shown, rank)), F.lit("")).alias("subtitle"),
-    )
+    shown, slide = (F.col("__n") == 1) & (F.col("text") != ""), Window.partitionBy(*_SLIDE)
+    title = F.min_by(F.when(heading, F.col("text")), F.when(heading, F.col("pos"))).over(slide)
+    subtitle = F.min_by(F.when(shown, F.col("text")), F.when(shown, rank)).over(slide)
+    return rows.withColumns({"title": title, "subtitle": F.coalesce(subtitle, F.lit(""))}).drop("__n")
+
+
+def with_body(found: DataFrame) -> DataFrame:
+    """Blocks with ``title``, ``subtitle``, their text as ``cut`` to its length in a body, and ``n``, their place there (null for what isn't in it).
+
+    A body has diagrams, items, cards, paragraphs in this order, without the slide's title and subtitle, distinct but for case, the first ten.
+    """
+    rank = F.coalesce(*[F.when(F.col("kind") == k, i) for i, k in enumerate(("diagram", "item", "card", "paragraph"))])
+    most = F.coalesce(*[F.when(F.col("kind") == k, F.lit(n)) for k, n in MOST_CHARS.items()])
+    cut = F.when(F.col("kind") == "diagram", F.col("text")).otherwise(truncate_to(F.col("text"), most))
+    rows = with_heads(found).withColumns({"cut": cut, "__rank": rank})
+    may = F.col("__rank").isNotNull() & ~F.col("cut").eqNullSafe(F.col("title")) & (F.col("cut") != F.col("subtitle")) & (strip(F.col("cut")) != "")
+    rows = rows.withColumn("__may", F.coalesce(may, F.lit(False)))
+    again = F.row_number().over(Window.partitionBy(*_SLIDE, "__may", F.lower("cut")).orderBy("__rank", "pos"))
+    rows = rows.withColumn("__use", F.col("__may") & (again == 1))
+    upto = F.count_if("__use").over(Window.partitionBy(*_SLIDE).orderBy("__rank", "pos").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    return rows.withColumn("n", F.when(F.col("__use") & (upto <= MOST_BODY), upto)).drop("__rank", "__may", "__use")
 
 
 def body_parts(found: DataFrame) -> DataFrame:
-    """Each slide's body in the order diagrams, items, cards, paragraphs, without its title and subtitle: cut to length, distinct but for case, the first ten."""
-    rank = F.create_map(*[x for i, k in enumerate(("diagram", "item", "card", "paragraph")) for x in (F.lit(k), F.lit(i))])
-    most = F.create_map(*[x for k, n in MOST_CHARS.items() for x in (F.lit(k), F.lit(n))])
-    cut = F.when(F.col("kind") == "diagram", F.col("text")).otherwise(truncate_to(F.col("text"), most[F.col("kind")]))
-    rows = found.filter(F.col("kind").isin("diagram", "item", "card", "paragraph")).withColumns({"text": cut, "__o": F.struct(rank[F.col("kind")], "pos")})
-    rows = rows.join(heads(found), ["page_id", "slide"]).filter(~F.col("text").eqNullSafe(F.col("title")) & (F.col("text") != F.col("subtitle")))
-    rows = unique_text(rows, ["page_id", "slide"], "text", "__o")
-    n = F.row_number().over(Window.partitionBy("page_id", "slide").orderBy("__o"))
-    return rows.withColumn("n", n).filter(F.col("n") <= MOST_BODY).select("page_id", "slide", "n", "kind", "text")
+    """``page_id, slide, n, kind, text`` of each slide's body."""
+    return with_body(found).filter("n IS NOT NULL").select(*_SLIDE, "n", "kind", F.col("cut").alias("text"))
 
 
 def slides(found: DataFrame) -> DataFrame:
     """One row per slide, assembled: ``page_id, slide, title, subtitle, body, tables, codes``; the first two tables and blocks of code."""
-    def first(kind: str, value: str, most: int, name: str) -> DataFrame:
-        n = F.row_number().over(Window.partitionBy("page_id", "slide").orderBy("pos"))
-        few = found.filter(F.col("kind") == kind).withColumn("__n", n).filter(F.col("__n") <= most)
-        return few.groupBy("page_id", "slide").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", value))), lambda s: s[value]).alias(name))
-
-    body = body_parts(found).groupBy("page_id", "slide").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda s: s["text"]).alias("body"))
-    out = heads(found).withColumn("title", F.coalesce("title", F.concat(F.lit("Slide "), F.col("slide").cast("string"))))
-    for part in (body, first("table", "rows", MOST_TABLES, "tables"), first("code", "text", MOST_CODE, "codes")):
-        out = out.join(part, ["page_id", "slide"], "left")
-    none = F.array().cast("array<string>")
-    return out.select(
-        "page_id", "slide", truncate(F.col("title"), MOST_CHARS["title"]).alias("title"), truncate(F.col("subtitle"), MOST_CHARS["subtitle"]).alias("subtitle"),
-        F.coalesce("body", none).alias("body"), F.coalesce("tables", F.array().cast(f"array<{ROWS}>")).alias("tables"), F.coalesce("codes", none).alias("codes"),
+    nth = F.row_number().over(Window.partitionBy(*_SLIDE, "kind").orderBy("pos"))
+    rows = with_body(found).withColumn("__nth", nth)
+
+    def listed(use: Column, order: str, value: str) -> Column:
+        return F.transform(F.array_sort(F.collect_list(F.when(use, F.struct(order, value)))), lambda s: s[value])
+
+    few = lambda kind, most: (F.col("kind") == kind) & (F.col("__nth") <= most)
+    title = F.coalesce(F.first("title"), F.concat(F.lit("Slide "), F.first("slide").cast("string")))
+    return rows.groupBy(*_SLIDE).agg(
+        truncate(title, MOST_CHARS["title"]).alias("title"), truncate(F.first("subtitle"), MOST_CHARS["subtitle"]).alias("subtitle"),
+        listed(F.col("n").isNotNull(), "n", "cut").alias("body"), listed(few("table", MOST_TABLES), "pos", "rows").alias("tables"), listed(few("code", MOST_CODE), "pos", "text").alias("codes"),
     )
 
 

@@ -701,16 +701,46 @@ def h8(fx):
     return decks.page_blocks(fx("pages")).groupBy("page_id", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("h1_parsed_blocks")
+_ARTICLE = f"regexp_extract({_CLEAN}, '(?is)<article>(.*?)</article>', 1)"
+_LINE = _PLAIN.replace("(x,", "(replace(x, chr(160), ' '),", 1)
+#: Blocks of the pages: an article is a card; its heading and paragraphs follow it, a paragraph ending where the next one starts.
+_H1 = f"""SELECT page_id, 0 AS slide, CAST(pos AS INT) AS pos, kind, '' AS style, {_LINE} AS text, 0 AS n_rows FROM (
+ SELECT page_id, unnest([0, 1]) AS pos, unnest(['card', 'heading']) AS kind, unnest([a, regexp_extract(a, '(?is)<h1[^>]*>(.*?)</h1>', 1)]) AS x FROM (SELECT page_id, {_ARTICLE} AS a FROM pages)
+ UNION ALL SELECT page_id, i + 1, 'paragraph', regexp_replace(regexp_replace(p, '(?s)^[^>]*>', ''), '(?is)</p>.*', '') FROM (SELECT page_id, unnest(l) AS p, generate_subscripts(l, 1) AS i FROM (SELECT page_id, string_split_regex({_ARTICLE}, '(?i)<p\\b')[2:] AS l FROM pages))) WHERE text <> ''"""
+
+
+def _cut(text: str, most: int) -> str:
+    return f"CASE WHEN length({text}) > {most} THEN regexp_replace(left({text}, {most - 1}), '\\s+$', '') || '…' ELSE {text} END"
+
+
+@register("h1_parsed_blocks", _H1)
 def h1(fx):
-    return decks.blocks(fx("pages"))
+    return decks.blocks(fx("pages")).withColumn("n_rows", F.coalesce(F.array_size("rows"), F.lit(0))).drop("rows")
 
 
-@register("h5_slide_bodies")
+@register("h5_slide_bodies", f"""SELECT page_id, 0 AS slide, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) AS INT) AS n, kind, cut AS text FROM (
+ SELECT *, row_number() OVER (PARTITION BY page_id, lower(cut) ORDER BY pos) AS again FROM (SELECT page_id, pos, kind, {_cut('text', 220)} AS cut, max(text) FILTER (kind = 'heading') OVER (PARTITION BY page_id) AS title FROM ({_H1}))
+ WHERE kind <> 'heading' AND cut IS DISTINCT FROM title) WHERE again = 1 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pos) <= 10""")
 def h5(fx):
     return decks.body_parts(decks.blocks(fx("pages")))
 
 
+_LONG_SQL = f"""SELECT doc_id, CASE WHEN said = '' THEN 'Diagram placeholder: render from the HTML deck for full fidelity.' ELSE 'Diagram source: ' || {_cut('said', 220)} END AS diagram, {_cut('lines', 850)} AS code, {_cut('said', 90)} AS cell,
+ CASE WHEN length(said) > 160 THEN {_cut('said', 160)} ELSE '' END AS item, {_cut('said', 180)} AS subtitle FROM (SELECT doc_id, trim(regexp_replace(t, '\\s+', ' ', 'g')) AS said, regexp_replace(regexp_replace(regexp_replace(t, '[ \\t\\f\\r]+', ' ', 'g'), '\\s*\\n\\s*', '\n', 'g'), '^\\s+|\\s+$', '', 'g') AS lines
+ FROM (SELECT doc_id, translate(coalesce(text, ''), '<&' || chr(160), '   ') AS t FROM documents))"""
+
+
+@register("h2_long_blocks", _LONG_SQL)
+def h2_long(fx):
+    """A slide a document, with its whole text as code, a diagram's source, a cell, an item and a subtitle: each kind cut at its own length, most texts longer than all of them."""
+    t = F.translate(F.coalesce("text", F.lit("")), "<&", "  ")
+    parts = ('<section class="slide"><p class="subtitle">', '</p><pre>', '</pre><pre class="mermaid">', "</pre><table><tr><td>", "</td></tr></table><ul><li>")
+    html = F.concat(*[x for part in parts for x in (F.lit(part), t)], F.lit("</li></ul></section>"))
+    found = decks.slides(decks.blocks(fx("documents").select(F.col("doc_id").alias("page_id"), html.alias("html"))))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    return found.select(F.col("page_id").alias("doc_id"), F.get("body", F.lit(0)).alias("diagram"), text(F.get("codes", F.lit(0))).alias("code"), text(F.get(F.flatten(F.flatten("tables")), F.lit(0))).alias("cell"), text(F.get("body", F.lit(1))).alias("item"), "subtitle")
+
+
 _DECK = """SELECT p_partkey AS page_id, concat('<div class="deck-nav">1</div><', CASE WHEN p_partkey % 11 = 0 THEN 'div' ELSE 'section' END, ' class="slide">', CASE WHEN p_partkey % 4 = 0 THEN '' ELSE concat('<h2>', p_name, '</h2>') END, '<p class="eyebrow">e</p><p class="subtitle">', p_brand, '</p><nav>menu</nav>',
  CASE WHEN p_partkey % 2 = 0 THEN concat('<table><tr><td> </td></tr><tr><th>k</th><td>', repeat(p_name, 10), '</td></tr></table>') ELSE '' END, CASE WHEN p_partkey % 3 = 0 THEN concat('<pre>a  b\n', 'box', CAST(p_size AS STRING), '</pre>') ELSE '' END,
  CASE p_partkey % 5 WHEN 0 THEN '<pre class="mermaid">a --&gt;  b</pre>' WHEN 1 THEN '<script class="diagram-source"> </script>' ELSE '<script>x</script>' END, '<ul><li>', p_type, '<li>', upper(p_type), '</ul><p>', p_name, '</p><div class="card">', 'box', CAST(p_size AS STRING), '</div></', CASE WHEN p_partkey % 11 = 0 THEN 'div' ELSE 'section' END, '><p>outside</p>') AS html FROM {part}"""
