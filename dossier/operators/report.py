@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.functions.text import anchor, compact, is_uncertain, pad
+from dossier.session import written
 
 # Summary fields that go first, in this order.
 PREFERRED = ("release_date", "github_stars", "google_scholar_cites", "swe_bench_score", "user_scale", "valuation", "price", "score")
@@ -119,56 +120,117 @@ def uncertainty_lines(items: DataFrame, uncertain: DataFrame, missing: DataFrame
     return out.unionByName(none)
 
 
-def report_lines(items: DataFrame, fields: DataFrame, columns: list[str], sidecars: DataFrame, citations: DataFrame, sources: DataFrame, missing: DataFrame) -> DataFrame:
-    """The whole report as ordered lines: ``section`` 1 to 5 (contents, comparison, details, synthesis, uncertainty), ``no, part, cat, pos, line``.
+def item_rows(items: DataFrame, fields: DataFrame, columns: list[str], sidecars: DataFrame, citations: DataFrame, sources: DataFrame, missing: DataFrame) -> DataFrame:
+    """One row per item with all that a report says of it, gathered by one shuffle of one tagged stream: each table is scanned once and none is joined.
 
-    ``items``: ``item_id, no, slug, name, failed``; the other tables as in the sections' own functions. Sorted by its columns and written by range
-    (``items.write_lines`` of the sources), the parts' texts in a row are the report, however many items there are.
+    ``item_id, no, name, failed, cells`` (of ``columns``), ``fields`` (in order, each ``sure`` or not, with its category's first place ``cat`` and its citations ``cited``), ``sources``,
+    ``missing``, ``sides``. What belongs to no item goes.
     """
-    names = items.select("item_id", "no", F.col("name").alias("slug"))
-    ok = items.filter("NOT failed").select("item_id")
-    named = fields.drop("slug").join(names, "item_id")
-    at = lambda section, no, part, cat, pos, line: (F.lit(section).alias("section"), no.cast("long").alias("no"), F.lit(part).alias("part") if isinstance(part, int) else part.cast("int").alias("part"), cat.cast("long").alias("cat"), pos.cast("long").alias("pos"), line.alias("line"))
-    zero, first = F.lit(0), F.lit(-1)
-    spark = items.sparkSession
-    heads = ["# Table of Contents\n", "# Comparison\n", "# Detailed Content\n", "# Cross-Item Synthesis\n\n## Summary-field comparison\n", "# Uncertainty & Confidence\n"]
-    out = spark.createDataFrame(list(enumerate(heads, 1)), "section int, line string").select("section", *at(0, first, 0, zero, first, F.col("line"))[1:])
+    kinds = {"no": "long", "name": "string", "failed": "boolean", "pos": "int", "category": "string", "field": "string", "value": "string", "cite": "struct<ref_ord:long,idx:long>", "source": "struct<n:long,line:string>", "lack": "struct<pos:long,field:string>", "side": "struct<confidence:string,conflicts:array<string>,notes:array<string>>"}
+
+    def tagged(df: DataFrame, **own: Column | str) -> DataFrame:
+        return df.select("item_id", *[(F.lit(None) if c not in own else F.col(own[c]) if isinstance(own[c], str) else own[c]).cast(t).alias(c) for c, t in kinds.items()])
+
+    rows = tagged(items, no="no", name="name", failed="failed")
+    for more in (
+        tagged(fields, pos="pos", category="category", field="field", value="value"), tagged(citations, field="field", cite=F.struct("ref_ord", "idx")),
+        tagged(sources, source=F.struct("n", "line")), tagged(missing, lack=F.struct("pos", "field")), tagged(sidecars, side=F.struct("confidence", "conflicts", "notes")),
+    ):
+        rows = rows.unionByName(more)
+    sure = ~is_uncertain(F.col("value"))
+    first = F.min(F.when(sure, F.col("pos"))).over(Window.partitionBy("item_id", "category"))
+    cites = F.array_sort(F.collect_list("cite").over(Window.partitionBy("item_id", "field")))
+    cited = F.array_join(F.transform(cites, lambda x: F.concat(F.lit("["), x["idx"].cast("string"), F.lit("]"))), "")
+    rows = rows.withColumns({"cat": first, "cited": F.when(F.col("pos").isNotNull(), cited)})
+    field = F.when(F.col("pos").isNotNull(), F.struct("pos", "category", "field", "value", sure.alias("sure"), "cat", "cited"))
+    per = rows.groupBy("item_id").agg(
+        *[F.first(c, ignorenulls=True).alias(c) for c in ("no", "name", "failed")], F.array_sort(F.collect_list(field)).alias("fields"),
+        F.array_sort(F.collect_list("source")).alias("sources"), F.array_sort(F.collect_list("lack")).alias("missing"), F.collect_list("side").alias("sides"),
+    ).filter("no IS NOT NULL")
+
+    def cell(column: str) -> Column:
+        found = F.try_element_at(F.filter("fields", lambda f: f["field"] == column), F.lit(-1))
+        return F.when(found["sure"], compact(found["value"])).otherwise(F.lit("—"))
+
+    return per.withColumn("cells", F.array(F.coalesce("name", F.lit("")), *[F.coalesce(cell(c), F.lit("—")) for c in columns]))
 
-    rank = F.coalesce(*[F.when(F.col("field") == c, i) for i, c in enumerate(columns)])
-    shown = named.filter(F.col("field").isin(*columns)).select("item_id", rank.alias("rank"), "field", "value")
-    toc = contents(items, shown).select(*at(1, F.col("no"), 0, zero, zero, F.col("line")))
 
-    wide = comparison(named, columns).join(names.select("item_id", "no", F.col("slug").alias("Name")), "item_id")
+def report_lines(items: DataFrame, fields: DataFrame, columns: list[str], sidecars: DataFrame, citations: DataFrame, sources: DataFrame, missing: DataFrame) -> DataFrame:
+    """The whole report as ordered lines: ``section`` 1 to 5 (contents, comparison, details, synthesis, uncertainty), ``no, part, cat, pos, line``.
+
+    ``items``: ``item_id, no, slug, name, failed``; the other tables as in the sections' own functions. :func:`item_rows` is written once, and each item's lines of all sections come
+    from its row. Sorted by its columns (``reports.write_report`` of the sources) the lines are the report, however many items there are.
+    """
+    table = written(item_rows(items, fields, columns, sidecars, citations, sources, missing), "report-items")
     own = ["Name", *columns]
-    rows = comparison_lines(wide, own).join(names.select("item_id", "no"), "item_id").select(*at(2, F.col("no"), 0, zero, zero, F.col("line")))
-    w = widths(wide, own).groupBy().pivot("name", own).agg(F.first("width"))
-    rule = lambda cell: F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in own]), F.lit(" |"))
-    table = w.select(*at(2, first, 1, zero, zero, rule(lambda c: pad(F.lit(c), F.col(c).cast("int"))))).unionByName(w.select(*at(2, first, 1, zero, F.lit(1), rule(lambda c: F.repeat(F.lit("-"), F.col(c).cast("int"))))))
-
-    title = names.select(*at(3, F.col("no"), 0, first, first, F.concat(F.lit("## "), "slug", F.lit("\n"))))
-    lost = items.filter("failed").select(*at(3, F.col("no"), 1, zero, zero, F.lit("> Research failed for this item (no results).\n")))
-    good = named.join(ok, "item_id", "left_semi")
-    lines = detail_lines(good, citations, sources.join(ok, "item_id", "left_semi"))
-    empty = names.join(ok, "item_id", "left_semi").join(lines.filter("ord.part = 0"), "item_id", "left_anti").select(*at(3, F.col("no"), 1, zero, zero, F.lit("_No reportable fields (all values uncertain or empty)._\n")))
-    details = lines.join(names.select("item_id", "no"), "item_id").select(*at(3, F.col("no"), F.col("ord.part") + 1, F.col("ord.cat"), F.col("ord.pos"), F.col("line")))
-
-    parts = synthesis(named, columns)
-    compared = parts.select(*at(4, zero, 0, F.col("rank"), F.col("item_id"), F.concat(F.lit("- **"), "field", F.lit("** — "), "part")))
-    cover = category_coverage(named)
-    order = F.col("first_item") * 1_000_000 + F.col("first_pos")
-    covers = cover.select(*at(4, zero, 1, order, first, F.concat(F.lit("- **"), "category", F.lit("** — present in "), F.col("n_items").cast("string"), F.lit("/"), F.col("n_total").cast("string"), F.lit(" item(s)"))))
-    covers = covers.unionByName(category_members(named).join(cover.select("category", order.alias("at")), "category").select(*at(4, zero, 1, F.col("at"), F.col("item_id"), F.concat(F.lit("  - "), "slug"))))
-    covers = covers.unionByName(spark.createDataFrame([("\n## Category coverage\n",)], "line string").select(*at(4, zero, 1, first, first, F.col("line"))))
-    against = sidecars.join(names, "item_id").select("no", "slug", F.posexplode("conflicts").alias("pos", "c")).select(*at(4, F.lit(1), 2, F.col("no"), F.col("pos"), F.concat(F.lit("- "), "slug", F.lit(": "), "c")))
-    said = F.when(F.col("n") > 0, F.lit("\n## Contradictions (from verification)\n")).otherwise(F.lit("\nNo source contradictions were recorded in the verification metadata."))
-    against = against.unionByName(against.agg(F.count(F.lit(1)).alias("n")).select(*at(4, F.lit(1), 2, first, first, said)))
-
-    doubts = named.filter(is_uncertain(F.col("value"))).select("item_id", "pos", "field")
-    flags = uncertainty_lines(items, doubts, missing, sidecars).join(names.select("item_id", "no"), "item_id").select(*at(5, F.col("no"), F.col("part"), zero, F.col("pos"), F.col("line")))
-    flags = flags.unionByName(names.select(*at(5, F.col("no"), 0, zero, first, F.concat(F.lit("## "), "slug", F.lit("\n")))))
-    for more in (toc, rows, table, title, lost, empty, details, compared, covers, against, flags):
-        out = out.unionByName(more)
-    return out
+
+    def at(section, no, part, cat, pos, line) -> Column:
+        number = lambda x, kind: (F.lit(x) if isinstance(x, int) else x).cast(kind)
+        return F.struct(number(section, "int").alias("section"), number(no, "long").alias("no"), number(part, "int").alias("part"), number(cat, "long").alias("cat"), number(pos, "long").alias("pos"), line.alias("line"))
+
+    def rank(field: Column) -> Column:
+        return F.coalesce(*[F.when(field == c, i) for i, c in enumerate(columns)])
+
+    no, name, found = F.col("no"), F.col("name"), F.col("fields")
+    ok, sure = ~F.col("failed"), F.filter("fields", lambda f: f["sure"])
+    when = lambda condition, lines: F.when(condition, lines).otherwise(F.slice(lines, 1, 0))
+
+    # Contents and comparison.
+    shown = F.array_sort(F.transform(F.filter(found, lambda f: f["field"].isin(*columns)), lambda f: F.struct(rank(f["field"]).alias("rank"), f["pos"], F.concat(f["field"], F.lit(": "), F.coalesce(compact(f["value"]), F.lit(""))).alias("t"))))
+    parts = F.concat(F.transform(shown, lambda s: s["t"]), F.when(ok, F.array().cast("array<string>")).otherwise(F.array(F.lit("(research failed)"))))
+    toc = F.concat(no.cast("string"), F.lit(". ["), name, F.lit("](#"), anchor(name), F.lit(")"), F.when(F.size(parts) > 0, F.concat(F.lit(" - "), F.array_join(parts, " | "))).otherwise(""))
+    ruled = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
+    row = ruled(F.zip_with("cells", "widths", lambda c, w: pad(c, w)))
+    lines = [F.array(at(1, no, 0, 0, 0, toc), at(2, no, 0, 0, 0, row), at(3, no, 0, -1, -1, F.concat(F.lit("## "), name, F.lit("\n"))), at(5, no, 0, 0, -1, F.concat(F.lit("## "), name, F.lit("\n"))))]
+
+    # Details: categories, their fields, sources.
+    several = lambda f: F.concat(F.lit("**"), f["field"], F.lit("**\n\n"), f["value"])
+    single = lambda f: F.concat(F.lit("- **"), f["field"], F.lit("**: "), f["value"], F.when(f["cited"] != "", F.concat(F.lit(" "), f["cited"])).otherwise(""))
+    heads = F.array_distinct(F.transform(F.filter(sure, lambda f: f["pos"] == f["cat"]), lambda f: at(3, no, 1, f["cat"], -1, F.concat(F.lit("### "), f["category"]))))
+    lines += [
+        when(~ok, F.array(at(3, no, 1, 0, 0, F.lit("> Research failed for this item (no results).\n")))), when(ok, heads),
+        when(ok, F.transform(sure, lambda f: at(3, no, 1, f["cat"], f["pos"], F.when(f["value"].contains("\n"), several(f)).otherwise(single(f))))),
+        when(ok & (F.size(sure) == 0), F.array(at(3, no, 1, 0, 0, F.lit("_No reportable fields (all values uncertain or empty)._\n")))),
+        when(ok & (F.size("sources") > 0), F.array(at(3, no, 2, 0, -1, F.lit("**Sources**")))), when(ok, F.transform("sources", lambda s: at(3, no, 2, 0, s["n"], s["line"]))),
+    ]
+
+    # Synthesis of one item: its summary values and its contradictions.
+    conflicts = F.flatten(F.transform("sides", lambda v: F.coalesce(v["conflicts"], F.array().cast("array<string>"))))
+    lines += [
+        F.transform(F.filter(sure, lambda f: f["field"].isin(*columns)), lambda f: at(4, 0, 0, rank(f["field"]), F.col("item_id"), F.concat(F.lit("- **"), f["field"], F.lit("** — "), name, F.lit(": "), compact(f["value"])))),
+        F.transform(conflicts, lambda c, i: at(4, 1, 2, no, i, F.concat(F.lit("- "), name, F.lit(": "), c))),
+    ]
+
+    # Uncertainty.
+    def listed(part: int, title: str, rows: Column, pos, text) -> list[Column]:
+        return [when(F.size(rows) > 0, F.array(at(5, no, part, 0, -1, F.lit(f"**{title}**:")))), F.transform(rows, lambda x, i: at(5, no, part, 0, pos(x, i), F.concat(F.lit("- "), text(x))))]
+
+    doubts = F.filter("fields", lambda f: ~f["sure"])
+    rated = F.filter("sides", lambda v: F.coalesce(v["confidence"] != "", F.lit(False)))
+    notes = F.filter(F.transform("sides", lambda v: F.array_join(F.filter(v["notes"], lambda n: n != ""), "; ")), lambda n: F.coalesce(n != "", F.lit(False)))
+    none = (F.size(doubts) == 0) & (F.size("missing") == 0) & (F.size(rated) == 0) & (F.size(conflicts) == 0) & (F.size(notes) == 0)
+    lines += [
+        *listed(1, "Uncertain fields", doubts, lambda x, i: x["pos"], lambda x: x["field"]), *listed(2, "Missing fields", F.col("missing"), lambda x, i: x["pos"], lambda x: x["field"]),
+        F.transform(rated, lambda v: at(5, no, 3, 0, 0, F.concat(F.lit("**Verification confidence**: "), v["confidence"]))), *listed(4, "Conflicts", conflicts, lambda x, i: i, lambda x: x),
+        F.transform(notes, lambda n: at(5, no, 5, 0, 0, F.concat(F.lit("**Verification notes**: "), n))), when(none, F.array(at(5, no, 6, 0, 0, F.lit("_No uncertainty flags; verification metadata absent._")))),
+    ]
+    widths = table.agg(F.array(*[F.greatest(F.lit(len(c)), F.coalesce(F.max(F.char_length(F.col("cells")[i])), F.lit(0))) for i, c in enumerate(own)]).alias("widths"))
+    out = table.join(F.broadcast(widths), F.lit(True)).select(F.explode(F.concat(*lines)).alias("l")).select("l.*")  # one row of widths
+
+    # What is said of all items together.
+    whole = lambda df, *rows: df.select(F.explode(F.array(*rows)).alias("l")).select("l.*")
+    head = [pad(F.lit(c), F.col("widths")[i]) for i, c in enumerate(own)]
+    out = out.unionByName(whole(widths, at(2, -1, 1, 0, 0, ruled(F.array(*head))), at(2, -1, 1, 0, 1, ruled(F.transform("widths", lambda w: F.repeat(F.lit("-"), w))))))
+    has = table.select("item_id", "name", F.explode(F.array_distinct(F.transform(sure, lambda f: F.struct(f["category"].alias("category"), f["cat"].alias("cat"))))).alias("c")).select("item_id", "name", "c.*")
+    total = table.agg(F.count_if(F.size("fields") > 0).alias("n_total"), F.sum(F.size(conflicts)).alias("n_conflicts"))
+    cover = has.groupBy("category").agg(F.count(F.lit(1)).alias("n_items"), F.min(F.struct("item_id", "cat")).alias("f")).join(F.broadcast(total), F.lit(True))  # one row of totals
+    cover = cover.withColumn("order", F.col("f.item_id") * 1_000_000 + F.col("f.cat"))
+    present = F.concat(F.lit("- **"), "category", F.lit("** — present in "), F.col("n_items").cast("string"), F.lit("/"), F.col("n_total").cast("string"), F.lit(" item(s)"))
+    out = out.unionByName(whole(cover, at(4, 0, 1, F.col("order"), -1, present)))
+    out = out.unionByName(whole(has.join(cover.filter("n_items < n_total").select("category", "order"), "category"), at(4, 0, 1, F.col("order"), F.col("item_id"), F.concat(F.lit("  - "), "name"))))
+    said = F.when(F.col("n_conflicts") > 0, F.lit("\n## Contradictions (from verification)\n")).otherwise(F.lit("\nNo source contradictions were recorded in the verification metadata."))
+    titles = ["# Table of Contents\n", "# Comparison\n", "# Detailed Content\n", "# Cross-Item Synthesis\n\n## Summary-field comparison\n", "# Uncertainty & Confidence\n"]
+    return out.unionByName(whole(total, at(4, 1, 2, -1, -1, said), at(4, 0, 1, -1, -1, F.lit("\n## Category coverage\n")), *[at(k, -1, 0, 0, -1, F.lit(t)) for k, t in enumerate(titles, 1)]))
 
 
 def conflict_lines(sidecars: DataFrame) -> DataFrame:

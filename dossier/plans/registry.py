@@ -16,8 +16,9 @@ from dossier.functions import text as X
 from dossier.functions.values import as_markdown
 from dossier.operators import coverage, decks, evidence, flatten, merge, report, review, specs
 from dossier.plans.fixtures import FIXTURES, Fixtures, oracle
-from dossier.session import configured, shared_dir
+from dossier.session import configured, shared_dir, until_exit
 from dossier.sources import items as scan
+from dossier.sources import reports
 from dossier.streaming import events as stream
 
 Query = Callable[[Fixtures], DataFrame]
@@ -448,15 +449,36 @@ _S8_LINES = [
 ]
 
 
+_S8_LINES += [
+    "SELECT unnest([4, 4, 4, 5])",  # heads of the last sections
+    f"SELECT 4 FROM fx_field WHERE {_CERTAIN} AND field IN ('price', 'brand', 'kind', 'size')",
+    f"SELECT DISTINCT ON (category) 4 FROM fx_field WHERE {_CERTAIN}",
+    f"SELECT 4 FROM (SELECT DISTINCT category, item_id FROM fx_field WHERE {_CERTAIN} AND category IN (SELECT category FROM fx_field WHERE {_CERTAIN} GROUP BY category HAVING count(DISTINCT item_id) < (SELECT count(DISTINCT item_id) FROM fx_field)))",
+    "SELECT 4 FROM fx_sidecar SEMI JOIN part ON item_id = p_partkey WHERE n_conflicts > 0",
+    "SELECT 5 FROM part",  # titles
+    f"SELECT 5 FROM ({_FLAGS})",
+    f"SELECT 5 FROM part WHERE p_partkey NOT IN (SELECT item_id FROM ({_FLAGS}))",
+]
+
+
+def _report(fx: Fixtures) -> DataFrame:
+    items = fx("part").select(F.col("p_partkey").alias("item_id"), F.col("p_partkey").alias("no"), F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("name"), F.lit(False).alias("failed"))
+    missing = items.filter("item_id % 6 = 0").select("item_id", F.lit(0).alias("pos"), F.lit("nickname").alias("field"))
+    return report.report_lines(items, fx("fx_field"), _SUMMARY, _sidecars(fx), evidence.cited_indices(fx("fx_citation"), fx("fx_source")), _source_lines(fx), missing)
+
+
 @register("s8_report_lines", f"SELECT section, count(*) AS n FROM ({' UNION ALL '.join(_S8_LINES)}) GROUP BY section")
 def s8(fx):
-    """Lines of the first three sections by section; the lines themselves are those of r1, r2 and r3 (and, in tests, a whole report)."""
-    f = fx("fx_field")
-    rows = f.select("item_id", F.col("item_id").alias("no"), "slug", F.col("slug").alias("name"), F.lit(False).alias("failed")).distinct()
-    _, _, missing, sidecars = _flagged(fx)
-    own = lambda df: df.join(rows.select("item_id"), "item_id", "left_semi")
-    lines = report.report_lines(rows, f, _SUMMARY, sidecars, own(evidence.cited_indices(fx("fx_citation"), fx("fx_source"))), own(_source_lines(fx)), missing)
-    return lines.filter("section <= 3").groupBy("section").agg(F.count(F.lit(1)).alias("n"))
+    """Lines of the five sections by section; the lines themselves are those of r1 to r5 (and, in tests, a whole report)."""
+    return _report(fx).groupBy("section").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("s8_report_text", f"SELECT '- **' || field || '**: ' || value || coalesce(' ' || cited, '') AS line, count(*) AS n FROM fx_field LEFT JOIN {_CITED} USING (item_id, field) WHERE {_CERTAIN} GROUP BY ALL")
+def s8_text(fx):
+    """The report as one text file, read back: its lines of fields."""
+    where = until_exit(fx.spark, f"{shared_dir(fx.spark)}/report-{uuid.uuid4().hex}.md")
+    reports.write_report(_report(fx), where)
+    return fx.spark.read.text(where).filter(F.col("value").rlike(r"^- [*][*].*[*][*]: ")).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("a6_category_coverage", f"SELECT category, count(DISTINCT item_id) AS n_items, (SELECT count(DISTINCT item_id) FROM fx_field) AS n_total, min(item_id) AS first_item, min_by(pos, item_id * 10 + pos) AS first_pos FROM fx_field WHERE {_CERTAIN} GROUP BY category")

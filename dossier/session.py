@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +39,17 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt out anew if it has fewer partitions than the session has cores, as a single small file does; unchanged otherwise."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def until_exit(spark: SparkSession, path: str) -> str:
+    """``path``, which goes when the application ends: what a lazy result reads can't go before."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, until the application ends: its lineage ends here, and each further use is one scan."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(until_exit(df.sparkSession, path))

@@ -9,6 +9,7 @@ from dossier.functions.values import as_markdown
 from dossier.operators import coverage, decks, flatten, merge, report, review, specs
 from dossier.session import configured
 from dossier.sources import items as scan
+from dossier.sources import reports
 from dossier.streaming import events as stream
 
 
@@ -172,7 +173,13 @@ def test_report(spark, tmp_path):
     lines = report.report_lines(items, fields, ["price", "kind"], sidecars, citations, sources, missing)
     scan.write_lines(lines, str(tmp_path / "report"))
     parts = sorted((tmp_path / "report").glob("part-*"))
-    assert "".join(p.read_text() for p in parts) == """# Table of Contents
+    target = tmp_path / "report.md"
+    target.write_text("old")
+    reports.write_report(lines, f"file://{target}")
+    assert [p.name for p in tmp_path.iterdir() if p.name.startswith("report.md")] == ["report.md"]
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(plan.count(x) for x in ("Relation [", "LogicalRDD", "LocalRelation")) < 20
+    assert target.read_text() == "".join(p.read_text() for p in parts) == """# Table of Contents
 
 1. [A item](#a-item) - price: 5
 2. [B](#b) - price: [uncertain] 6 | kind: k
