@@ -1,50 +1,106 @@
-"""JSON values as Markdown text, by the kind of the value."""
+"""JSON values as Markdown text, by the kind of the value, at any depth."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from dossier.functions.records import Number, parsed
 from dossier.functions.text import MARK
 
-#: Levels that are formatted; a value nested deeper stays JSON text.
-DEPTH, LONG, SHORT = 3, 100, 60
-
-
-def _text(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "string")
-
-
-def _entries(v: Column) -> Column:
-    return F.map_entries(F.from_json(F.to_json(v), "map<string,variant>"))
-
-
-def _blank(v: Column) -> Column:
-    kind = F.schema_of_variant(v)
-    return F.coalesce(F.is_variant_null(v), F.lit(True)) | ((kind == "STRING") & (F.regexp_replace(_text(v), r"(?U)\s", "") == ""))
-
-
-def as_markdown(v: Column, depth: int = 0, left: int = DEPTH) -> Column:
-    """Null is empty, a boolean lower case, a long text a quotation, an object lines of ``key: value``, a list of objects a line each, a
-    short list joined by commas, another list bullets. An object's keys come in alphabetical order, as variants keep them."""
-    kind = F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
-    text = _text(v)
-    quoted = F.array_join(F.transform(F.split(text, r"\r\n|\n|\r"), lambda x: F.concat(F.lit("> "), x)), "\n")
-    words = F.when(~text.contains(MARK) & (F.char_length(text) > LONG), quoted).otherwise(text)
-    out = F.when(kind == "VOID", "").when(kind == "STRING", words)
-    if left == 0:
-        return out.when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.to_json(v)).otherwise(text)
-    indent = "  " * depth
-    line = lambda e: F.concat(F.lit(indent), e["key"], F.lit(": "), as_markdown(e["value"], depth + 1, left - 1))
-    obj = F.array_join(F.transform(F.filter(_entries(v), lambda e: ~_blank(e["value"])), line), "\n")
-    items = F.try_variant_get(v, "$", "array<variant>")
-    filled = lambda e: ~F.coalesce(F.is_variant_null(e["value"]), F.lit(True)) & F.coalesce(_text(e["value"]) != "", F.lit(True))
-    pair = lambda e: F.concat(e["key"], F.lit(": "), as_markdown(e["value"], 0, left - 1))
-    rows = F.filter(F.transform(items, lambda x: F.array_join(F.transform(F.filter(_entries(x), filled), pair), " | ")), lambda x: x != "")
-    plain = F.transform(items, lambda x: as_markdown(x, depth, left - 1))
-    total = F.aggregate(plain, F.lit(0), lambda a, x: a + F.char_length(x))
-    full = F.filter(plain, lambda x: x != "")
-    listed = F.when(total <= SHORT, F.array_join(full, ", ")).otherwise(F.array_join(F.transform(full, lambda x: F.concat(F.lit("- "), x)), "\n"))
-    every = F.forall(items, lambda x: F.coalesce(F.schema_of_variant(x).startswith("OBJECT"), F.lit(False)))
-    array = F.when(F.size(items) == 0, "").when(every, F.array_join(rows, "\n")).otherwise(listed)
-    return out.when(kind.startswith("OBJECT"), obj).when(kind.startswith("ARRAY"), array).otherwise(text)
+#: Characters beyond which a text is a quotation, and up to which a list's values stand in one line.
+LONG, SHORT = 100, 60
+
+
+def _number(x: Number) -> str:
+    """As readers of JSON say it: whole numbers as they are, others as the shortest text of their double."""
+    return str(x) if x.lstrip("-").isdigit() else str(float(x))
+
+
+def _plain(x) -> str:
+    """A value that holds no others."""
+    if x is None or x == {} or x == []:
+        return ""
+    if isinstance(x, bool):
+        return str(x).lower()
+    if isinstance(x, Number):
+        return _number(x)
+    return "\n".join(f"> {line}" for line in x.splitlines() or [x]) if MARK not in x and len(x) > LONG else x
+
+
+@dataclass
+class _Open:
+    """A container whose values are being written: what stands before each, which line it is in, and the texts so far."""
+
+    kind: str
+    values: list
+    depth: int
+    labels: list[str]
+    lines: list[int]
+    texts: list[str] = field(default_factory=list)
+
+    def text(self) -> str:
+        if self.kind == "list":
+            full = [t for t in self.texts if t]
+            return ", ".join(full) if sum(map(len, self.texts)) <= SHORT else "\n".join(f"- {t}" for t in full)
+        said = [f"{label}{text}" for label, text in zip(self.labels, self.texts, strict=True)]
+        if self.kind == "object":
+            return "\n".join(said)
+        rows: dict[int, list[str]] = {}
+        for line, part in zip(self.lines, said, strict=True):
+            rows.setdefault(line, []).append(part)
+        return "\n".join(" | ".join(parts) for parts in rows.values())
+
+
+def _opened(x, depth: int) -> _Open:
+    if isinstance(x, dict):
+        shown = [(k, v) for k, v in x.items() if v is not None and not (isinstance(v, str) and not isinstance(v, Number) and not v.strip())]
+        return _Open("object", [v for _, v in shown], depth + 1, ["  " * depth + f"{k}: " for k, _ in shown], [])
+    if all(isinstance(e, dict) for e in x):
+        cells = [(i, k, v) for i, e in enumerate(x) for k, v in e.items() if v is not None and not (isinstance(v, str) and v == "")]
+        return _Open("rows", [v for *_, v in cells], 0, [f"{k}: " for _, k, _ in cells], [i for i, *_ in cells])
+    return _Open("list", x, depth, [], [])
+
+
+def markdown(value) -> str:
+    """Null is empty, a boolean lower case, a long text a quotation, an object lines of ``key: value`` (inner ones indented), a list of objects a line each, a
+    short list joined by commas, another list bullets. Keys come in the order of the record. Containers are kept on a stack of their own, so depth costs no calls."""
+    stack: list[_Open] = []
+    done: str | None = None
+    todo, depth = value, 0
+    while True:
+        if done is None:
+            if isinstance(todo, (dict, list)) and todo:
+                stack.append(_opened(todo, depth))
+            else:
+                done = _plain(todo)
+        if done is not None:
+            if not stack:
+                return done
+            stack[-1].texts.append(done)
+        top = stack[-1]
+        if len(top.texts) == len(top.values):
+            done = stack.pop().text()
+        else:
+            done, todo, depth = None, top.values[len(top.texts)], top.depth
+
+
+def as_markdown(raw: Column) -> Column:
+    """JSON texts as Markdown (:func:`markdown`); a null is empty, a text that isn't JSON stays as it is."""
+
+    @F.pandas_udf("string")
+    def formatted(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> str:
+            if text is None:
+                return ""
+            try:
+                return markdown(parsed(text))
+            except ValueError:
+                return text
+
+        return texts.map(one)
+
+    return formatted(raw)

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from dossier.functions.records import compact, parsed
 from dossier.functions.text import MARK, strip
+from dossier.session import spread
 
 # Keys that are no fields, and category keys with their names.
 RESERVED = ("name", "item", "category", "description", "slug", "uncertain", "missing", "sources", "citations", "verification", "failed", "_source_file")
@@ -32,10 +39,6 @@ VALIDATOR_KEYS = (
     "history", "History",
     "market_positioning", "market", "Market Positioning",
 )
-#: Levels of objects that one pass over the records unrolls; records nested deeper take further passes.
-UNROLL = 4
-
-
 def alias_rows() -> list[tuple[str, str]]:
     return [(alias, name) for name, aliases in CATEGORIES.items() for alias in aliases]
 
@@ -49,61 +52,89 @@ def category_aliases(builtin: DataFrame, framework: DataFrame, merge_aliases: bo
     return ranked.groupBy("alias").agg(F.max_by("canonical", "r").alias("canonical"))
 
 
-def _entries(raw: Column) -> Column:
-    """Keys, values and value texts of a JSON object, in its order."""
-    values, texts = F.from_json(raw, "map<string,variant>"), F.from_json(raw, "map<string,string>")
-    return F.zip_with(F.map_entries(values), F.map_values(texts), lambda e, t: F.struct(e["key"].alias("key"), e["value"].alias("value"), t.alias("raw")))
-
-
-def nesting(items: DataFrame) -> int:
-    """Most levels of objects or lists in any record's JSON text (``raw``), by its brackets outside of strings."""
-    bare = F.regexp_replace(F.regexp_replace("raw", r'"(?:\\.|[^"\\])*"', ""), r"[^\[\]{}]", "")
-    step = lambda a, c: F.struct((a["now"] + F.when(c.isin("{", "["), 1).otherwise(-1)).alias("now"), F.greatest(a["most"], a["now"] + 1).alias("most"))
-    depth = F.aggregate(F.filter(F.split(bare, ""), lambda c: c != ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda a: a["most"])
-    return items.agg(F.max(depth)).first()[0] or 0
-
-
-def _walk(raw: Column, pos: Column, aliases: Column, left: int) -> Column:
-    """Fields of an object as an array of ``pos, category, field, value, raw, rest``; ``left`` more levels are walked through, an object below them is ``rest``."""
-
-    def one(e: Column, i: Column) -> Column:
-        at, name = F.concat(pos, F.array(i)), F.try_element_at(aliases, e["key"])
-        is_object = F.coalesce(F.schema_of_variant(e["value"]).startswith("OBJECT"), F.lit(False))
-        row = lambda at, category, x, rest=F.lit(False): F.struct(at.alias("pos"), category.alias("category"), x["key"].alias("field"), x["value"].alias("value"), x["raw"].alias("raw"), rest.alias("rest"))
-        leaf = F.array(row(at, F.coalesce(name, F.lit(OTHER)), e))
-        inside = F.filter(F.transform(_entries(e["raw"]), lambda c, j: row(F.concat(at, F.array(j)), F.coalesce(name, F.lit(OTHER)), c)), lambda r: ~r["field"].isin(*RESERVED))
-        deeper = _walk(e["raw"], at, aliases, left - 1) if left else F.array(row(at, F.lit(OTHER), e, F.lit(True)))
-        return F.when(e["key"].isin(*RESERVED), F.slice(leaf, 1, 0)).when(is_object & name.isNotNull(), inside).when(is_object, deeper).otherwise(leaf)
-
-    return F.flatten(F.transform(_entries(raw), one))
+#: Category keys that may be given; they come to the driver as one map.
+MOST_ALIASES = 100_000
+
+
+def _report_fields(record: dict, names: dict[str, str]) -> Iterator[tuple[list[int], str, str, object]]:
+    """Place, category, key and value of each field, by a stack of the objects that are walked."""
+    stack: list[tuple[list[int], dict]] = [([], record)]
+    while stack:
+        at, obj = stack.pop()
+        for i, (key, value) in enumerate(obj.items()):
+            if key in RESERVED:
+                continue
+            if not isinstance(value, dict):
+                yield [*at, i], names.get(key, OTHER), key, value
+            elif key in names:
+                yield from (([*at, i, j], names[key], k, v) for j, (k, v) in enumerate(value.items()) if k not in RESERVED)
+            else:
+                stack.append(([*at, i], value))
+
+
+def _validator_fields(record: object) -> set[str]:
+    out: set[str] = set()
+    stack = [x for x in (record if isinstance(record, list) else [record]) if isinstance(x, dict)]
+    while stack:
+        for key, value in stack.pop().items():
+            if key in VALIDATOR_KEYS:
+                stack += [value] * isinstance(value, dict)
+            elif key not in SKIPPED:
+                out.add(key)
+    return out
+
+
+def _walked(items: DataFrame, walk: Callable[[object], Iterable[tuple]], columns: str) -> DataFrame:
+    """Rows ``item_id`` and ``columns`` that ``walk`` makes of each record, which is parsed once, over Arrow batches; malformed records have none."""
+    rows = spread(items.select("item_id", "raw"))
+    made = T.StructType.fromDDL(columns)
+    kinds = [to_arrow_type(f.dataType) for f in made]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at: list[int] = []
+            out: list[tuple] = []
+            for i, raw in enumerate(batch.column(1).to_pylist()):
+                try:
+                    found = list(walk(parsed(raw)))
+                except ValueError:
+                    continue
+                at += [i] * len(found)
+                out += found
+            values = zip(*out, strict=True) if out else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(v, k) for v, k in zip(values, kinds, strict=True)]], names=["item_id", *made.names])
+
+    return rows.mapInArrow(run, T.StructType([rows.schema["item_id"], *made.fields]))
 
 
 def explode_fields(items: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """The report's field table of ``items`` (``item_id, raw``): ``item_id, pos, category, field, value, raw, json_type, is_uncertain``.
 
     An alias key with an object gives its entries to that category; other objects are walked through, to any depth; an alias key with another
-    value belongs to its category, the rest to :data:`OTHER`. Reserved keys are dropped at every level. The walk is
-    an unroll of a few levels, taken as often as the deepest record needs it. Each record is
-    read in its own row; the aliases (a dimension) come as one map.
+    value belongs to its category, the rest to :data:`OTHER`. Reserved keys are dropped at every level. Each record is parsed once and walked with a stack in its
+    own row, so the plan is the same for records of any depth; ``raw`` is a value's text, of texts their content. The aliases are a dimension, ``MOST_ALIASES`` at most.
     """
-    pairs = items.sparkSession.createDataFrame(alias_rows(), "alias string, canonical string") if aliases is None else aliases
-    one = pairs.agg(F.map_from_entries(F.collect_list(F.struct("alias", "canonical"))).alias("__aliases"))
-    listed = F.coalesce(F.from_json(F.get_json_object("raw", "$.uncertain"), "array<string>"), F.array().cast("array<string>"))
-    rows = items.select("item_id", "raw", listed.alias("listed")).join(F.broadcast(one), F.lit(True), "left").withColumn("at", F.array().cast("array<int>"))
-    levels, out = nesting(items), None
-    while True:
-        fields = _walk(F.col("raw"), F.col("at"), F.col("__aliases"), max(1, min(UNROLL, levels)) - 1)
-        found = rows.select("item_id", "listed", "__aliases", F.explode(fields).alias("f")).select("item_id", "listed", "__aliases", "f.*")
-        done = found.filter("NOT rest").drop("rest", "__aliases")
-        out = done if out is None else out.unionByName(done)
-        levels -= UNROLL
-        if levels <= 0:
-            break
-        rows = found.filter("rest").select("item_id", "raw", "listed", "__aliases", F.col("pos").alias("at"))
+    names = dict(alias_rows())
+    if aliases is not None:
+        found = aliases.select("alias", "canonical").limit(MOST_ALIASES + 1).collect()
+        if len(found) > MOST_ALIASES:
+            raise ValueError(f"over {MOST_ALIASES} category keys")
+        names = {r["alias"]: r["canonical"] for r in found}
+
+    def walk(record: object) -> Iterator[tuple]:
+        if not isinstance(record, dict):
+            return
+        listed = record.get("uncertain")
+        listed = {x for x in listed if isinstance(x, str)} if isinstance(listed, list) else set()
+        for pos, category, key, value in _report_fields(record, names):
+            json_text = compact(value)
+            yield pos, category, key, json_text, value if isinstance(value, str) else None if value is None else json_text, key in listed
+
+    rows = _walked(items, walk, "pos array<int>, category string, field string, value string, raw string, listed boolean").withColumn("value", F.try_parse_json("value"))
     kind = F.schema_of_variant("value")
-    text = F.when(F.is_variant_null("value"), None).otherwise(F.col("raw"))
-    doubt = F.coalesce(F.is_variant_null("value"), F.lit(True)) | F.array_contains("listed", F.col("field")) | ((kind == "STRING") & ((strip(text) == "") | text.contains(MARK)))
-    return out.select("item_id", "pos", "category", "field", "value", text.alias("raw"), kind.alias("json_type"), F.coalesce(doubt, F.lit(True)).alias("is_uncertain"))
+    text = F.col("raw")
+    doubt = text.isNull() | F.col("listed") | ((kind == "STRING") & ((strip(text) == "") | text.contains(MARK)))
+    return rows.select("item_id", "pos", "category", "field", "value", "raw", kind.alias("json_type"), F.coalesce(doubt, F.lit(True)).alias("is_uncertain"))
 
 
 def reportable(fields: DataFrame) -> DataFrame:
@@ -120,24 +151,4 @@ def field_names(items: DataFrame) -> DataFrame:
     Category keys with an object are descended, to any depth, with another value ignored; every other key is a field, and its value isn't
     looked into. A list at the root stands for its objects.
     """
-
-    def names(raw: Column, left: int) -> Column:
-        def one(e: Column) -> Column:
-            row = lambda field, rest: F.array(F.struct(field.alias("field"), rest.alias("rest")))
-            none, text = F.slice(row(e["key"], e["raw"]), 1, 0), F.lit(None).cast("string")
-            is_object = F.coalesce(F.schema_of_variant(e["value"]).startswith("OBJECT"), F.lit(False))
-            deeper = names(e["raw"], left - 1) if left else row(text, e["raw"])
-            return F.when(e["key"].isin(*SKIPPED), none).when(~e["key"].isin(*VALIDATOR_KEYS), row(e["key"], text)).when(is_object, deeper).otherwise(none)
-
-        return F.flatten(F.transform(_entries(raw), one))
-
-    rows = items.select("item_id", F.explode(F.coalesce(F.from_json("raw", "array<string>"), F.array("raw"))).alias("raw"))
-    levels, out = nesting(items), None
-    while True:
-        found = rows.select("item_id", F.explode(names(F.col("raw"), max(1, min(UNROLL, levels)) - 1)).alias("f")).select("item_id", "f.*")
-        done = found.filter("rest IS NULL").select("item_id", "field")
-        out = done if out is None else out.unionByName(done)
-        levels -= UNROLL
-        if levels <= 0:
-            return out.distinct()
-        rows = found.filter("rest IS NOT NULL").select("item_id", F.col("rest").alias("raw"))
+    return _walked(items, lambda record: ((name,) for name in sorted(_validator_fields(record))), "field string").distinct()

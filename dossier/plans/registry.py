@@ -823,10 +823,17 @@ def t1(fx):
     return published.groupBy("call_id").agg(F.max_by("seq", "batch").alias("seq"))
 
 
-@register("x3_markdown_values", "SELECT p_partkey, 'k: ' || p_name || chr(10) || 'l: true, ' || p_brand || chr(10) || 'n: ' || p_size || chr(10) || 'o: a: 1' AS markdown FROM part")
+@register("x3_markdown_values", """SELECT p_partkey, 'o: a: 1' || chr(10) || 'n: ' || p_size || chr(10) || 'l: true, ' || p_brand || chr(10) || 'k: ' || p_name || chr(10) || 'd:   e:     f:       g:         h:           i: ' || p_size || '.5, ' || p_brand
+ || chr(10) || 'q: > ' || repeat(p_name, 10) || chr(10) || 'r: ' || CASE WHEN length(p_name) * 3 <= 60 THEN p_name || ', ' || p_name || ', ' || p_name ELSE '- ' || p_name || chr(10) || '- ' || p_name || chr(10) || '- ' || p_name END AS markdown FROM part WHERE length(p_name) > 10
+ UNION ALL SELECT p_partkey, p_name FROM part WHERE length(p_name) <= 10""")
 def x3(fx):
-    doc = F.parse_json(F.concat(F.lit('{"k":"'), "p_name", F.lit('","n":'), F.col("p_size").cast("string"), F.lit(',"l":[true,null,"'), "p_brand", F.lit('"],"o":[{"a":1},{"b":""}]}')))
-    return fx("part").select("p_partkey", as_markdown(doc).alias("markdown"))
+    """Records of every kind of value, six levels deep, keys in their own order (short names as bare texts)."""
+    name, brand, size = F.col("p_name"), F.col("p_brand"), F.col("p_size").cast("string")
+    texts = F.concat(
+        F.lit('{"o": [{"a":1},{"b":""}], "n":'), size, F.lit(',"l":[true,null,"'), brand, F.lit('"],"k":"'), name, F.lit('","d":{"e":{"f":{"g":{"h":{"i":['), size, F.lit('.50,"'), brand,
+        F.lit('"]}}}}},"e":" ","q":"'), F.repeat(name, F.lit(10)), F.lit('","r":["'), name, F.lit('","'), name, F.lit('","'), name, F.lit('"]}'),
+    )
+    return fx("part").select("p_partkey", as_markdown(F.when(F.char_length("p_name") > 10, texts).otherwise(name)).alias("markdown"))
 
 
 @register("f5_failed_items", f"SELECT DISTINCT item_id FROM ({oracle(_ROUNDS)}) WHERE failed")

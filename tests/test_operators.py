@@ -2,10 +2,12 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from dossier.functions import records
 from dossier.functions import text as X
-from dossier.functions.values import as_markdown
+from dossier.functions.values import as_markdown, markdown
 from dossier.operators import coverage, decks, flatten, merge, report, review, specs
 from dossier.session import configured
 from dossier.sources import items as scan
@@ -142,14 +144,37 @@ def test_values_as_markdown(spark):
             return ", ".join(full) if sum(map(len, parts)) <= 60 else "\n".join(f"- {x}" for x in full)
         return str(v)
 
-    values = [None, True, 12, "short", "x" * 101, "a line\n" + "y" * 120, "[uncertain] " + "z" * 120, {"a": 1, "b": None, "c": " ", "d": {"e": "f", "g": [1, 2]}}, [], [1, "b", None, True], ["w" * 40, "v" * 40], [{"k": 1, "l": ""}, {"k": None}, {"m": [1, 2]}], [1, {"a": "b"}]]
+    values = [None, True, 12, "short", "x" * 101, "a line\n" + "y" * 120, "[uncertain] " + "z" * 120, {"a": 1, "b": None, "c": " ", "d": {"e": "f", "g": [1, 2]}}, [], [1, "b", None, True], ["w" * 40, "v" * 40], [{"k": 1, "l": ""}, {"k": None}, {"m": [1, 2]}], [1, {"a": "b"}], {"z": 1.50, "a": {"y": {"x": {"w": {"v": {"u": [2, {"t": "s"}]}}}}}, "m": [{"q": {"p": 0}, "o": False}]}, {"a": {}, "b": [], "c": [{}]}]
     df = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)], "i int, raw string")
-    got = {r["i"]: r["m"] for r in df.select("i", as_markdown(F.parse_json("raw")).alias("m")).collect()}
+    got = {r["i"]: r["m"] for r in df.select("i", as_markdown(F.col("raw")).alias("m")).collect()}
     assert got == {i: text(v) for i, v in enumerate(values)}
+    deep = '{"k":' * 3000 + "[1]" + "}" * 3000
+    assert markdown(records.parsed(deep)) == "".join("  " * d + "k: " for d in range(3000)) + "1"
+    odd = spark.createDataFrame([(None,), ("oops {",)], "raw string")
+    assert [r["m"] for r in odd.select(as_markdown(F.col("raw")).alias("m")).collect()] == ["", "oops {"]
+
+
+def test_records():
+    deep = "[" * 5000 + '{"a": [1, {"b": 1.50, "c": "\\u00e9\\n"}], "d": {}, "a": []}' + "]" * 5000
+    value = records.parsed(deep)
+    assert records.compact(value) == "[" * 5000 + '{"a":[],"d":{}}' + "]" * 5000
+    for text in ('{"a": [1, -2.50e3, {"b": null, "c": "é\\n"}], "d": {}, "e": [[], [true]]}', " 7 ", '"x"', "[]", "null"):
+        assert records.compact(records._deep(text)) == records.compact(records.parsed(text)) == json.dumps(json.loads(text), ensure_ascii=False, separators=(",", ":")).replace("-2500.0", "-2.50e3")
+    for text in ("", "{", "[1,]", "{,}", '{"a"}', '{"a":}', '{"a":1,}', "[1 2]", "1 2", "]", "[}", "nul", "NaN", "01", '{"a":1 "b":2}', "{1:2}", ":", ",", '["a":1]'):
+        for read in (records.parsed, records._deep):
+            with pytest.raises(ValueError):
+                read(text)
 
 
 def test_fields_of_any_depth(spark):
     configured(spark)
+    nested = {"leaf": 1, "history": {"old": 2}}
+    for _ in range(800):
+        nested = {"n": nested}
+    deep = flatten.explode_fields(spark.createDataFrame([(1, json.dumps(nested)), (2, "oops"), (3, None), (4, "[1]")], "item_id long, raw string"))
+    assert [(r["item_id"], r["category"], r["field"], r["raw"], len(r["pos"])) for r in deep.orderBy("category").collect()] == [(1, "History", "old", "2", 802), (1, flatten.OTHER, "leaf", "1", 801)]
+    plan = lambda d: flatten.explode_fields(spark.createDataFrame([(1, "{}" if not d else json.dumps(nested))], "item_id long, raw string"))._jdf.queryExecution().optimizedPlan().toString().count("\n")
+    assert plan(0) == plan(800)
     doc = {"history": {"y": 1}, "z": 2}
     for k in range(14):
         doc = {f"k{k}": doc, f"s{k}": '{"'}
