@@ -3,7 +3,8 @@
 Each language has a codeword; one binary classifier per bit (logistic regression over hashed byte n-grams of one
 to three bytes, A-Z lowered, everything that is neither letter nor apostrophe as one blank) predicts that bit. Decoding takes the
 codeword with the least loss, each bit weighted by how well a classifier of it did on rows held back from its fit, and flags
-a text as ambiguous where the next codeword is close.
+a text as ambiguous where the next codeword is close. Features and weights are whole numbers (of ``1 / SCALE``) whose products and sums doubles hold exactly, so a
+margin is the same in whatever order it is summed; scores are rounded to ``DIGITS`` digits.
 
 Learning uses a bounded sample: of at most ``LANGUAGES`` languages (the most frequent) at most ``SAMPLE`` documents each, those with the least hash of their id
 and text, and no more than about ``ROWS`` in all. Prediction reads whole texts; it sees nothing but the text.
@@ -32,6 +33,8 @@ SAMPLE, LANGUAGES, ROWS, DIMENSIONS = 300, 1000, 6000, 4096
 #: One in so many rows of the sample is held back to weigh the bits.
 HELD_BACK = 4
 STEPS, RATE, RIDGE = 300, 4.0, 1e-4
+#: Steps of a unit in features and weights; with |x| = 1 and weights under 100, sums stay under 2^53. Digits of scores and losses.
+SCALE, DIGITS = 2.0**18, 9
 #: Scores under this flag a text as ambiguous.
 AMBIGUOUS = 0.6
 UNKNOWN = "und"
@@ -64,20 +67,21 @@ def features(part: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     two = data[:-1] * 257 + data[1:]
     three = two[:-1] * 257 + data[2:]
     grams = [one % DIMENSIONS, ((two * 0x85EBCA6B) >> 11) % DIMENSIONS, ((three * 0xC2B2AE35) >> 13) % DIMENSIONS]
-    out = np.zeros((len(cuts) - 1, DIMENSIONS), np.float32)
+    out = np.zeros((len(cuts) - 1, DIMENSIONS))
     for i in range(len(cuts) - 1):
         a, b = int(cuts[i]), int(cuts[i + 1])
         count = np.bincount(grams[0][a:b], minlength=DIMENSIONS)
         for g, x in enumerate(grams[1:], 1):
             if b - a > g:
                 count = count + np.bincount(x[a : b - g], minlength=DIMENSIONS)
-        out[i] = np.sqrt(count)
-    length = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.maximum(length, 1e-9)
+        out[i] = np.rint(np.sqrt(count / max(1, int(count.sum()))) * SCALE) / SCALE
+    return out
 
 
 @dataclass
 class Model:
+    """``weights`` and ``bias`` are whole numbers of ``1 / SCALE``."""
+
     languages: list[str]
     code: np.ndarray
     weights: np.ndarray
@@ -86,15 +90,16 @@ class Model:
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         """Probability-like score of each language, by the loss of its codeword."""
-        margin = x @ self.weights + self.bias
+        margin = ((x * SCALE) @ self.weights + self.bias * SCALE) / (SCALE * SCALE)
         loss = np.log1p(np.exp(-np.clip(margin[:, None, :] * self.code[None], -30, 30)))
-        total = (loss * self.trust).sum(axis=2)
+        total = np.round((loss * self.trust).sum(axis=2), DIGITS)
         total = np.exp(total.min(axis=1, keepdims=True) - total)
-        return total / total.sum(axis=1, keepdims=True)
+        return np.round(total / total.sum(axis=1, keepdims=True), DIGITS)
 
 
 def _fitted(x: np.ndarray, y: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weights and biases of the bits ``y``; ``row``: the rows' weights."""
+    x = x.astype(np.float32)
     w, b = np.zeros((x.shape[1], y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
     vw, vb = np.zeros_like(w), np.zeros_like(b)
     for _ in range(STEPS):
@@ -124,7 +129,8 @@ def fit(x: np.ndarray, lang: list[str]) -> Model:
         w, b = _fitted(x[~back], y[~back], row[~back])
     right = ((y[back] * (x[back] @ w + b) > 0) * row[back]).sum(axis=0) / max(float(row[back].sum()), 1e-9)
     right = np.clip(right, 0.5 + 1e-3, 1 - 1e-3)
-    return Model(languages, code, *_fitted(x, y, row), np.log(right / (1 - right)) / np.log(999))
+    w, b = (np.rint(v.astype(np.float64) * SCALE) for v in _fitted(x, y, row))
+    return Model(languages, code, w, b, np.log(right / (1 - right)) / np.log(999))
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
@@ -147,7 +153,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
             data, offsets = flat(batch.column(1))
             for i, j in slices(offsets):
                 x = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array([v.tobytes() for v in x], pa.binary())], names=["lang", "key", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array([v.astype(np.float32).tobytes() for v in x], pa.binary())], names=["lang", "key", "x"])
 
     found = rows.join(limits, "lang").filter("key <= limit").select("lang", "text", "key").dropDuplicates(["lang", "key"]).mapInArrow(run, "lang string, key long, x binary").orderBy("lang", "key").collect()  # the sample
     x = np.stack([np.frombuffer(r["x"], np.float32) for r in found]) if found else np.zeros((0, DIMENSIONS), np.float32)

@@ -6,8 +6,8 @@ the entity and with the term and ``n_te`` those with the term near the entity, t
 
     PMI(t; e) / IC(e) = ln(n_te N / (n_t n_e)) / ln(N / n_e) = 1 + ln(n_te / n_t) / ln(N / n_e)
 
-is the share of the entity's information that the term gives away (1: the term occurs with it alone). Near is the entity's sentence, and ``NEAR``
-words on each side beyond it. ``n_te / n_t`` is taken at its lower confidence bound (Wilson's, ``Z``), where the different contexts are the trials
+is the share of the entity's information that the term gives away (1: the term occurs with it alone). Near is the entity's sentence up to ``REACH`` words away, and ``NEAR``
+words on each side beyond it; so pairs of terms and entities are in proportion to the entities, also where thousands stand in one line. ``n_te / n_t`` is taken at its lower confidence bound (Wilson's, ``Z``), where the different contexts are the trials
 (copies of one passage are one context). Terms at or beyond ``THRESHOLD`` are spans of kind ``term`` in all documents that hold them, with the entity
 or without. Counts cover all documents: every batch sends its distinct words with their number of documents.
 
@@ -33,8 +33,8 @@ from dossier.llm.shared import apart, scratch, small, written
 from dossier.llm.textarrays import U, flat, slices, span_hashes, words
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on each side of an entity that are near it beyond its sentence; least share of its information; the confidence bound's normal quantile (95 %, one-sided).
-NEAR, THRESHOLD, Z = 6, 0.8, 1.645
+#: Words on each side of an entity that are near it in any case, and in its own sentence; least share of its information; the confidence bound's normal quantile (95 %, one-sided).
+NEAR, REACH, THRESHOLD, Z = 6, 32, 0.8, 1.645
 #: Slots that mark the keys of disclosing terms: more slots let fewer other words through to the join, which is exact.
 MARKS = 1 << 24
 # The contract's patterns. An e-mail address is found from its @, see emails().
@@ -107,7 +107,7 @@ def terms(text: str, start: int = 0, end: int | None = None) -> Iterator[tuple[s
 
 
 def passages(text: str, found: list[tuple[str, int, int]]) -> list[tuple[list[str], list[str]]]:
-    """Entities with the terms near them, one entry for each stretch of text. Words that hold a part of an entity are no terms."""
+    """Entities with the terms near them, one entry for each stretch of text: the words of an entity's sentence up to ``REACH`` away, and ``NEAR`` words a side beyond it. Words that hold a part of an entity are no terms."""
     if not found:
         return []
     ends = [m.end() for m in _SENTENCE.finditer(text)]
@@ -121,6 +121,7 @@ def passages(text: str, found: list[tuple[str, int, int]]) -> list[tuple[list[st
         i, j = bisect_right(ends, a), bisect_left(ends, b)
         low = bisect_right(stops, ends[i - 1]) if i else 0
         high = bisect_left(starts, ends[j]) if j < len(ends) else len(places)
+        low, high = max(low, first - REACH), min(high, last + REACH)  # so a list of addresses makes rows in proportion to its length
         near.setdefault((min(low, max(0, first - NEAR)), max(high, min(len(places), last + NEAR))), {})[entity(kind, text[a:b])] = None
     out = []
     for (low, high), names in near.items():

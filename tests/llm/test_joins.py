@@ -207,3 +207,33 @@ def test_components_of_chains(spark):
         by[r["component"]].add(r["sid"])
     assert sorted(map(len, by.values())) == [2, 201]
     assert setjoin.components(links.filter(F.lit(False))).count() == 0
+
+
+def test_long_lists_meet_their_neighbours(spark):
+    """A list over the real ``TILE``, in several parts of each band: every open set meets the sets of its own and of both neighbouring bands."""
+    rng = np.random.default_rng(3)
+    sets = []
+    for k in range(900):
+        whole = rng.integers(1, 1 << 63, 24, dtype=np.uint64)
+        for n in (18, 21, 24) if k % 2 else (24, 18, 17):
+            sets.append(whole[:n])
+    n = np.array([len(x) for x in sets])
+    maps = linejoin._folded(linejoin.parity_maps(np.concatenate(sets), np.concatenate([[0], np.cumsum(n)])), 0)
+    rows = [(7, k, int(n[k]), 0, k, maps[k].tobytes(), k % 3 != 0) for k in range(len(sets))] + [(8, k, int(n[k]), 0, k, maps[k].tobytes(), True) for k in range(30)]
+    assert len(sets) > 2 * linejoin.TILE
+    kept = spark.createDataFrame(rows, "token long, sid long, n int, at int, first long, map binary, open boolean")
+    got = {(r["a"], r["b"]) for r in linejoin.further_pairs(kept, None).collect()}
+    i, j = np.triu_indices(len(sets), 1)
+    need = -(-3 * (n[i] + n[j]) // 7)
+    near = (4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j])) & (np.minimum(n[i], n[j]) >= need) & (np.bitwise_count(maps[i, 0] ^ maps[j, 0]) <= n[i] + n[j] - 2 * need)
+    want = {(int(b), int(a)) for a, b in zip(i[near], j[near]) if b % 3 != 0 or b < 30}
+    assert got == want and sum(1 for a, b in want if {n[a], n[b]} == {18, 24}) > 500
+
+
+def test_one_set_in_a_list_twice(spark):
+    """Where two words share a list by their hashes, the set's least place counts."""
+    lines = [f"a{k % 3} b{k} c d e f g h" for k in range(40)]
+    rows = list(enumerate(lines))
+    got = {r["doc_id"]: r["numbers"] or [] for r in linededup.without_later_matches(spark.createDataFrame(rows, "doc_id long, text string"), "numbers").collect()}
+    gone = removed_lines(rows)
+    assert got == {i: gone[i] for i, _ in rows}

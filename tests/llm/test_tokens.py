@@ -329,3 +329,45 @@ def test_rare_entities_are_covered(spark):
     rows = [(i, f"filler text {i % 50} without any name") for i in range(3000)] + [(5000, "Plate K-XY99 belongs to zq@site.org here")]
     found = {r["doc_id"]: len(r["extra"]) for r in privacy.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found.pop(5000) == 5 and not any(found.values())
+
+
+def test_list_of_entities():
+    """Two thousand addresses and names in one line: terms near entities are in proportion to the line, and each address has its own name."""
+    text = "Guests: " + ", ".join(f"Name{k} Sur{k} <u{k}@site{k}.example.org>" for k in range(2000))
+    found = privacy.passages(text, privacy.base_spans(text))
+    pairs = sum(len(names) * len(near) for names, near in found)
+    assert sum(len(names) for names, _ in found) == 2000 and pairs <= 2000 * (2 * privacy.REACH + 2 * privacy.NEAR)
+    assert all(f"name{names[0].split('@')[0].split(':u')[1]}" in near for names, near in found)
+
+
+def test_scores_depend_on_the_text_alone(spark):
+    """Bit for bit: alone, in batches of any size, beside long texts."""
+    rng = np.random.default_rng(5)
+    words_ = {"en": "the of and to in that it was for with".split(), "de": "der die und in das nicht mit von zu auf".split(), "fr": "le la et les des une que pour dans est".split()}
+    texts = [(" ".join(rng.choice(words_[v], rng.integers(3, 40))), v) for v in words_ for _ in range(60)]
+    x = np.concatenate([language.features(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])) for t, _ in texts])
+    model = language.fit(x, [v for _, v in texts])
+    together = model.scores(x)
+    for size in (1, 2, 7, 50):
+        apart = np.concatenate([model.scores(x[k : k + size]) for k in range(0, len(x), size)])
+        assert (apart == together).all()
+    long_ = " ".join(t for t, _ in texts) * 150
+    assert len(long_) > 1_500_000
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate([*texts, (long_, None), texts[0]])], "doc_id long, text string")
+    for parts in (1, 5):
+        got = {r["doc_id"]: r["score"] for r in language.predict(df.repartition(parts), model, ["doc_id"]).collect()}
+        assert [got[k] for k in range(len(texts))] == together.max(axis=1).tolist() and got[len(texts) + 1] == got[0] and got[len(texts)] > 0
+
+
+def test_long_texts_in_bytes(spark):
+    """A text over a slice's size, with every kind of white space, in one piece."""
+    import public_tokenizers
+    import tiktoken
+
+    path = public_tokenizers.path(bytepair_query.RANKS)
+    ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in open(path, "rb") if line.strip())}
+    library = tiktoken.Encoding("long", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    text = "".join(f"wörd{k % 977}{' ' if k % 7 else chr(10) + '  '}" for k in range(600_000)) + "x" * 30_000
+    assert len(text.encode()) > 5_000_000
+    vocabulary = bytepair.Vocabulary(spark, path, "ranks", public_tokenizers.PATTERN)
+    assert bytepair.encode(spark.createDataFrame([(text,), ("a",)], "text string"), vocabulary).filter("length(text) > 1").first()["ids"] == library.encode_ordinary(text)
