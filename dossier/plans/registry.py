@@ -6,17 +6,17 @@ text, shares as whole numbers or fixed decimals.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dossier.functions import text as X
 from dossier.functions.values import as_markdown
 from dossier.operators import coverage, decks, evidence, flatten, merge, report, review, specs
 from dossier.plans.fixtures import FIXTURES, Fixtures, oracle
-from dossier.session import configured, shared_dir, until_exit
+from dossier.session import configured, scratch_dir
 from dossier.sources import items as scan
 from dossier.sources import reports
 from dossier.streaming import events as stream
@@ -82,7 +82,7 @@ def s5(fx):
 @register("s7_results", "SELECT p_partkey AS item_id, p_name AS name, CAST(p_partkey % 10 AS INT) AS batch FROM part")
 def s7(fx):
     """Results written as JSON text, one folder a batch, a batch of them written again, and read back."""
-    where = f"{shared_dir(fx.spark)}/results-{uuid.uuid4().hex}"
+    where = scratch_dir(fx.spark, "results")
     rows = fx("part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("name"), (F.col("p_partkey") % 10).cast("int").alias("batch"))
     scan.write_results(rows.withColumn("name", F.when(F.col("batch") == 3, "old").otherwise(F.col("name"))), where)
     scan.write_results(rows.filter("batch = 3"), where)
@@ -476,7 +476,7 @@ def s8(fx):
 @register("s8_report_text", f"SELECT '- **' || field || '**: ' || value || coalesce(' ' || cited, '') AS line, count(*) AS n FROM fx_field LEFT JOIN {_CITED} USING (item_id, field) WHERE {_CERTAIN} GROUP BY ALL")
 def s8_text(fx):
     """The report as one text file, read back: its lines of fields."""
-    where = until_exit(fx.spark, f"{shared_dir(fx.spark)}/report-{uuid.uuid4().hex}.md")
+    where = f"{scratch_dir(fx.spark, 'report')}/report.md"
     reports.write_report(_report(fx), where)
     return fx.spark.read.text(where).filter(F.col("value").rlike(r"^- [*][*].*[*][*]: ")).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -805,22 +805,57 @@ def w9(fx):
     return stream.first_per_key(fx("fx_tool_event")).select("call_id", "seq")
 
 
-@register("t1_first_arrivals", "SELECT call_id, min(seq) AS seq FROM fx_tool_event WHERE type = 'tool/result' AND call_id IS NOT NULL GROUP BY call_id")
+def _in_files(rows: DataFrame, by: Column, where: str, files: int) -> DataFrame:
+    """``rows`` as a stream of ``files`` files, one a batch, with those of equal ``by`` in one."""
+    for k in range(files):
+        rows.filter(F.pmod(by, F.lit(files)) == k).coalesce(1).write.parquet(f"{where}/in/k={k}")
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in/k=*")
+
+
+def _streams(fx: Fixtures) -> str:
+    return scratch_dir(fx.spark, "streams")
+
+
+def _drained(stream_: DataFrame, where: str, keep: Callable[[DataFrame, int], None], mode: str = "update") -> None:
+    stream_.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
+
+
+@register("t1_first_arrivals", "SELECT call_id, min(seq) AS seq, count(*) > 0 AS published FROM fx_tool_event WHERE type = 'tool/result' AND call_id IS NOT NULL GROUP BY call_id")
 def t1(fx):
-    """The stream form over the event files, drained once; one horizon holds the table's span, so what was published last of each key equals the batch form."""
-    schema = fx("events").schema
-    source = fx.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(fx.dir)
-    kind = F.when(F.col("event_type") == "purchase", stream.TOOL_RESULT).otherwise(F.col("event_type"))
-    rows = source.select(F.col("event_id").alias("seq"), "ts", kind.alias("type"), F.col("user_id").alias("call_id"), F.floor(F.col("value") * 1024).alias("bytes"))
-    where = f"{shared_dir(fx.spark)}/streams-{uuid.uuid4().hex}"
+    """The stream form over the events in three files out of order: what was published last of each key equals the batch form, whatever the days of its events."""
+    where = _streams(fx)
+    rows = fx("fx_tool_event").select("seq", "ts", "type", "call_id", "bytes")
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{where}/rows/batch={number}")
 
-    first = stream.first_arrivals(rows, "3650 days", "36500 days").select("call_id", "seq")
-    first.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
+    _drained(stream.first_arrivals(_in_files(rows, F.col("seq") * -1, where, 3)).select("call_id", "seq"), where, keep)
     published = fx.spark.read.schema("call_id long, seq long, batch int").parquet(f"{where}/rows")
-    return published.groupBy("call_id").agg(F.max_by("seq", "batch").alias("seq"))
+    return published.groupBy("call_id").agg(F.max_by("seq", "batch").alias("seq"), (F.count(F.lit(1)) > 0).alias("published"))
+
+
+@register("t2_judged_arrivals", "SELECT o_orderkey AS item_id, o_totalprice > 100000 AS valid, 1 AS n FROM orders")
+def t2(fx):
+    """Orders judged as they arrive, in three files and then all again by a run from the start: each is added once (T2, T3)."""
+    where = _streams(fx)
+    rows = fx("orders").select(F.col("o_orderkey").alias("item_id"), "o_totalprice")
+    source = _in_files(rows.unionByName(rows.filter("item_id % 5 = 0")), F.floor(F.col("item_id") / 7).cast("int"), where, 3)
+    judge = lambda b: b.select("item_id", (F.col("o_totalprice") > 100000).alias("valid"))
+    for run in ("first", "again"):
+        stream.as_they_arrive(source, judge, f"{where}/out", "item_id", f"{where}/{run}", parts=8).trigger(availableNow=True).start().awaitTermination()
+    back = stream.Arrivals(fx.spark, f"{where}/out", "item_id").rows(T.StructType.fromDDL("item_id long, valid boolean"))
+    return back.groupBy("item_id", "valid").agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
+@register("t4_round_states", _ROUNDS)
+def t4(fx):
+    """Rounds through the stream, a third of them as its first state and the others in two files; the state is read back from the store and resolved as the batch form does."""
+    where = _streams(fx)
+    rows = fx("fx_round").select(F.col("item_id").cast("long").alias("item_id"), "round_no", F.col("seq").cast("long").alias("seq"), "path", "value", F.array().cast("array<string>").alias("sources"))
+    third = F.pmod(F.floor(F.col("seq") / 4), F.lit(3))
+    source = _in_files(rows.filter(third > 0), third.cast("int"), where, 2)
+    _drained(stream.round_states(source, before=rows.filter(third == 0)), where, lambda batch, number: batch.write.format("noop").mode("overwrite").save())
+    return merge.resolve_rounds(stream.held_rounds(fx.spark, f"{where}/state"))
 
 
 @register("x3_markdown_values", """SELECT p_partkey, 'o: a: 1' || chr(10) || 'n: ' || p_size || chr(10) || 'l: true, ' || p_brand || chr(10) || 'k: ' || p_name || chr(10) || 'd:   e:     f:       g:         h:           i: ' || p_size || '.5, ' || p_brand

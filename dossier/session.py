@@ -8,13 +8,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Duplicate JSON keys: the last wins, as in most readers. Tables compare in UTC.
+#: Duplicate JSON keys: the last wins, as in most readers. Tables compare in UTC. Streams' own states need RocksDB.
 SETTINGS = {
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -41,15 +42,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def until_exit(spark: SparkSession, path: str) -> str:
-    """``path``, which goes when the application ends: what a lazy result reads can't go before."""
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder, which goes when the application ends: what a lazy result reads can't go before."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(where)
+    files.deleteOnExit(where)
     return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder, until the application ends: its lineage ends here, and each further use is one scan."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(df.sparkSession, name)}/table"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(until_exit(df.sparkSession, path))
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Row, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from dossier.functions.text import MARK, file_size
@@ -25,34 +29,176 @@ def first_per_key(events: DataFrame) -> DataFrame:
     return rows.filter("__n = 1").drop("__n")
 
 
-def first_arrivals(events: DataFrame, delay: str = "10 minutes", horizon: str = "1 day") -> DataFrame:
-    """Stream form: ``call_id, seq, ts, bytes, size`` of each key's first event by ``seq`` within its horizon of event time, whatever the order of arrival.
+class FirstOfKey(StatefulProcessor):
+    """The event of least ``seq`` of one key: a value in the state, whatever the days of its events.
 
-    In update mode a key is published as soon as it arrives, and again if an earlier event of it follows; in append mode once, when the watermark has
-    passed its horizon, which also drops its state.
+    Without ``settle_ms`` it is published as soon as it arrives, and again where an earlier one follows; the state goes when its key was idle for ``forget_ms`` of processing time. With it, an event-time
+    timer publishes it once, ``settle_ms`` after the first arrival's time; a second one drops the state ``forget_ms`` later.
     """
-    rows = matching(events.withColumn("ts", F.col("ts").cast("timestamp"))).withWatermark("ts", delay)
-    first = F.min_by(F.struct("seq", "ts", "bytes", "size"), "seq").alias("e")
-    return rows.groupBy(F.window("ts", horizon), "call_id").agg(first).select("call_id", "e.*")
 
+    def __init__(self, settle_ms: int | None, forget_ms: int):
+        self.settle_ms, self.forget_ms = settle_ms, forget_ms
 
-def as_they_arrive(stream: DataFrame, judge: Callable[[DataFrame], DataFrame], path: str, key: str, checkpoint: str, parts: int = 64):
-    """Each micro-batch judged and added to ``path``; keys that are already there are skipped, so a batch that is run again adds nothing.
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        ttl = self.forget_ms or None if self.settle_ms is None else None  # the state store's own expiry knows processing time alone
+        self.first = handle.getValueState("first", "seq long, ts timestamp, bytes long, size string, settled boolean", ttl)
+
+    def _said(self, key, seq, ts, bytes_, size) -> Row:
+        return Row(call_id=key[0], seq=seq, ts=ts, bytes=bytes_, size=size)
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802
+        old = self.first.get() if self.first.exists() else None
+        least = min(rows, key=lambda r: r["seq"])
+        if old is not None and (old[4] or old[0] <= least["seq"]):
+            return
+        self.first.update((least["seq"], least["ts"], least["bytes"], least["size"], False))
+        if self.settle_ms is None:
+            yield self._said(key, least["seq"], least["ts"], least["bytes"], least["size"])
+        elif old is None:
+            self.handle.registerTimer(least["ts_ms"] + self.settle_ms)
 
-    Results lie in ``parts`` folders by a hash of the key; a batch reads those folders alone that its own keys fall in, and of them the keys alone.
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802
+        seq, ts, bytes_, size, settled = self.first.get()
+        if settled:
+            self.first.clear()
+            return
+        self.first.update((seq, ts, bytes_, size, True))
+        if self.forget_ms:
+            self.handle.registerTimer(expiredTimerInfo.getExpiryTimeInMs() + self.forget_ms)
+        yield self._said(key, seq, ts, bytes_, size)
+
+
+_FIRST = "call_id long, seq long, ts timestamp, bytes long, size string"
+
+
+def first_arrivals(events: DataFrame, forget_ms: int = 0) -> DataFrame:
+    """Stream form: ``call_id, seq, ts, bytes, size`` of each key's first event by ``seq``, whatever the order of arrival and its days; one state for each key.
+
+    A key is published as soon as it arrives, and again if an earlier event of it follows (update mode). ``forget_ms``: a key that was idle so long is new again (0: never). Needs the RocksDB state store.
     """
+    rows = matching(events.withColumn("ts", F.col("ts").cast("timestamp"))).withColumn("ts_ms", F.unix_millis("ts"))
+    return rows.groupBy("call_id").transformWithState(FirstOfKey(None, forget_ms), _FIRST, "Update", "ProcessingTime" if forget_ms else "None")
 
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        out = judge(batch).withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")).persist()
+
+def settled_arrivals(events: DataFrame, delay: str = "10 minutes", settle_ms: int = 600_000, forget_ms: int = 0) -> DataFrame:
+    """Stream form with one row for each key: its first event by ``seq`` of those that arrive until the watermark (``delay`` behind the latest event) passes the first arrival's time by ``settle_ms``.
+
+    Later events of the key change nothing (append mode); its state is kept for that, or ``forget_ms`` of event time. Needs the RocksDB state store.
+    """
+    rows = matching(events.withColumn("ts", F.col("ts").cast("timestamp"))).withColumn("ts_ms", F.unix_millis("ts")).withWatermark("ts", delay)
+    return rows.groupBy("call_id").transformWithState(FirstOfKey(settle_ms, forget_ms), _FIRST, "Append", "EventTime")
+
+
+#: Bits of a filter for each key, and places that a key marks in it.
+FILTER_BITS, FILTER_MARKS = 10, 7
+
+
+def _marks(h1: np.ndarray, h2: np.ndarray, size: int) -> np.ndarray:
+    """The places of keys in a filter of ``size`` bits (a power of two), one row per key."""
+    steps = np.arange(FILTER_MARKS, dtype=np.uint64)
+    return ((h1.view(np.uint64)[:, None] + steps * (h2.view(np.uint64)[:, None] | np.uint64(1))) & np.uint64(size - 1)).astype(np.int64)
+
+
+def _filters(t: pa.Table) -> pa.Table:
+    """One row ``part, bits`` for the keys of a part."""
+    n = t.num_rows
+    size = 1 << max(6, (FILTER_BITS * n - 1).bit_length())
+    bits = np.zeros(size, bool)
+    bits[_marks(t.column("h1").to_numpy(), t.column("h2").to_numpy(), size).ravel()] = True
+    return pa.table({"part": t.column("part").slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+
+def _maybe(keys: pa.Table, filters: pa.Table) -> pa.Table:
+    """The hashes of those keys of a part that some filter of the part may hold."""
+    h1, h2 = keys.column("h1").to_numpy(), keys.column("h2").to_numpy()
+    found = np.zeros(len(h1), bool)
+    for raw in filters.column("bits").to_pylist():
+        bits = np.unpackbits(np.frombuffer(raw, np.uint8)).view(bool)
+        found |= bits[_marks(h1, h2, len(bits))].all(axis=1)
+    return keys.select(["part", "h1", "h2"]).filter(pa.array(found))
+
+
+class Arrivals:
+    """A table that grows by micro-batches, each key once, whatever is run again.
+
+    Rows lie in ``rows/part=<p>/batch=<b>`` (parts by a hash of the key), filters of their keys in ``keys/batch=<b>``, and ``log`` has a marker for each batch that is complete. Readers see the rows of complete
+    batches alone. A batch that was complete is left out when it comes again; what one that died has left goes before it is written again.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str, parts: int = 64):
+        self.spark, self.path, self.key, self.parts = spark, path, key, parts
+
+    def _at(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{path}")
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
+
+    def _there(self, path: str) -> bool:
+        files, where = self._at(path)
+        return files.exists(where)
+
+    def _complete(self, df: DataFrame) -> DataFrame:
+        return df.join(self.spark.read.schema("batch string").text(f"{self.path}/log"), "batch", "left_semi")
+
+    def rows(self, schema: T.StructType) -> DataFrame:
+        """The rows of complete batches, with ``part`` and ``batch``."""
+        full = T.StructType([*schema.fields, T.StructField("part", T.IntegerType()), T.StructField("batch", T.StringType())])
+        return self._complete(self.spark.read.schema(full).parquet(f"{self.path}/rows")) if self._there("log") else self.spark.createDataFrame([], full)
+
+    def add(self, rows: DataFrame, batch: str) -> None:
+        """``rows`` whose keys aren't there yet (of one key in ``rows`` the first by all columns; null is a key), as ``batch``."""
+        if self._there(f"log/{batch}"):
+            return
+        self._drop(batch)
+        old, schema = self._there("log"), rows.schema
+        one = Window.partitionBy(self.key).orderBy(*[c for c in rows.columns if c != self.key] or [F.lit(1)])
+        rows = rows.withColumn("__n", F.row_number().over(one)).filter("__n = 1").drop("__n")
+        rows = rows.withColumns({"part": F.pmod(F.xxhash64(self.key), F.lit(self.parts)).cast("int"), "h1": F.xxhash64(self.key), "h2": F.xxhash64(self.key, F.lit(1))}).persist()
         try:
-            mine = [r["part"] for r in out.select("part").distinct().collect()]  # at most ``parts``
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-            done = spark.read.schema(out.schema).parquet(path).filter(F.col("part").isin(mine)).select(key) if there else None
-            (out if done is None else out.join(done, key, "left_anti")).write.mode("append").partitionBy("part").parquet(path)
+            fresh = rows
+            if old:
+                filters = self._complete(self.spark.read.schema("part int, bits binary, batch string").parquet(f"{self.path}/keys"))
+                maybe = rows.select("part", "h1", "h2").groupBy("part").cogroup(filters.groupBy("part")).applyInArrow(_maybe, "part int, h1 long, h2 long").persist()
+                mine = [r["part"] for r in maybe.select("part").distinct().collect()]  # at most ``parts``
+                if mine:  # keys are read of those parts alone in which some key may be there
+                    done = self.rows(schema).filter(F.col("part").isin(mine)).select(F.col(self.key).alias("__key"))
+                    again = rows.join(maybe, ["part", "h1", "h2"], "left_semi").join(done, F.col(self.key).eqNullSafe(F.col("__key")), "left_semi").select(F.col(self.key).alias("__key"))
+                    fresh = rows.join(again, F.col(self.key).eqNullSafe(F.col("__key")), "left_anti")
+            named = fresh.withColumn("batch", F.lit(batch))
+            named.drop("h1", "h2").write.mode("append").partitionBy("part", "batch").parquet(f"{self.path}/rows")
+            named.select("part", "h1", "h2").groupBy("part").applyInArrow(_filters, "part int, bits binary").withColumn("batch", F.lit(batch)).write.mode("append").partitionBy("batch").parquet(f"{self.path}/keys")
+            self._commit(batch)
         finally:
-            out.unpersist()
+            rows.unpersist()
+            if old:
+                maybe.unpersist()
+
+    def _drop(self, batch: str) -> None:
+        for pattern in (f"rows/part=*/batch={batch}", f"keys/batch={batch}"):
+            files, where = self._at(pattern)
+            for found in files.globStatus(where) or []:
+                files.delete(found.getPath(), True)
+
+    def _commit(self, batch: str) -> None:
+        """The marker is written aside and moved, so it is there whole or not at all."""
+        files, aside = self._at(f"pending-{batch}")
+        out = files.create(aside, True)
+        out.write(f"{batch}\n".encode())
+        out.close()
+        _, log = self._at("log")
+        files.mkdirs(log)
+        files.rename(aside, self._at(f"log/{batch}")[1])
+
+
+def as_they_arrive(stream: DataFrame, judge: Callable[[DataFrame], DataFrame], path: str, key: str, checkpoint: str, parts: int = 64):
+    """Each micro-batch judged and added to the :class:`Arrivals` at ``path``, each key once: repeats within a batch, in later batches, and in another run from the start add nothing.
+
+    A batch is named by its checkpoint and its number, so one that is run again is the same.
+    """
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+    def write(batch: DataFrame, number: int) -> None:
+        Arrivals(batch.sparkSession, path, key, parts).add(judge(batch), f"{run}-{number:09d}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
@@ -69,15 +215,21 @@ class RoundState(StatefulProcessor):
         self.held = handle.getMapState("held", "round_no int, path string", "seq long, value string", ttl)
         self.sources = handle.getMapState("sources", "url string", "seq long", ttl)
 
+    def _hold(self, r) -> None:
+        at = (r["round_no"], r["path"])
+        old = self.held.getValue(at) if self.held.containsKey(at) else None
+        if old is None or old[0] < r["seq"]:
+            self.held.updateValue(at, (r["seq"], r["value"]))
+        for url in r["sources"] or []:
+            if not self.sources.containsKey((url,)) or self.sources.getValue((url,))[0] > r["seq"]:
+                self.sources.updateValue((url,), (r["seq"],))
+
+    def handleInitialState(self, key, initialState, timerValues):  # noqa: N802, N803
+        self._hold(initialState)
+
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802
         for r in rows:
-            at = (r["round_no"], r["path"])
-            old = self.held.getValue(at) if self.held.containsKey(at) else None
-            if old is None or old[0] < r["seq"]:
-                self.held.updateValue(at, (r["seq"], r["value"]))
-            for url in r["sources"] or []:
-                if not self.sources.containsKey((url,)) or self.sources.getValue((url,))[0] > r["seq"]:
-                    self.sources.updateValue((url,), (r["seq"],))
+            self._hold(r)
         held = {tuple(k): v[1] for k, v in self.held.iterator()}
         started = any(n == 1 for n, _ in held)
         gap = any(n == 1 and v is not None and MARK in v for (n, _), v in held.items())
@@ -94,10 +246,17 @@ class RoundState(StatefulProcessor):
 ROUND_STATE = "item_id long, failed boolean, rounds_used int, gaps array<string>, values array<struct<path:string,value:string>>, sources array<string>"
 
 
-def round_states(rounds: DataFrame, idle_ms: int = 0) -> DataFrame:
+def round_states(rounds: DataFrame, idle_ms: int = 0, before: DataFrame | None = None) -> DataFrame:
     """Rounds of each item (``item_id, round_no, seq, path, value, sources``) as they arrive, in any order, one row per item after every batch: :data:`ROUND_STATE`.
 
-    The result applies the batch form's rule to what is there. Needs the RocksDB state store. ``idle_ms``: an entry of the state goes when it
+    The result applies the batch form's rule to what is there. ``before``: a batch table of rounds that the state starts with. Needs the RocksDB state store. ``idle_ms``: an entry of the state goes when it
     wasn't renewed for so long (0: never).
     """
-    return rounds.groupBy("item_id").transformWithState(RoundState(idle_ms), ROUND_STATE, "Update", "ProcessingTime" if idle_ms else "None")
+    first = None if before is None else before.select(*rounds.columns).groupBy("item_id")
+    return rounds.groupBy("item_id").transformWithState(RoundState(idle_ms), ROUND_STATE, "Update", "ProcessingTime" if idle_ms else "None", initialState=first)
+
+
+def held_rounds(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """``item_id, round_no, path, seq, value``: the state of :func:`round_states` after its last complete batch, read from the state store of ``checkpoint``."""
+    state = spark.read.format("statestore").option("stateVarName", "held").load(checkpoint)
+    return state.select(F.col("key.item_id"), F.col("user_map_key.round_no"), F.col("user_map_key.path"), F.col("user_map_value.seq"), F.col("user_map_value.value"))

@@ -313,45 +313,83 @@ def test_texts(spark):
     assert one(X.one_decimal(F.lit(12.25))) == "12.2" and one(X.stem(F.lit("d/a.b.json"))) == "a.b"
 
 
-def test_streams(spark, tmp_path):
-    events = spark.createDataFrame([(i, f"2024-01-01 00:00:{i:02d}", "tool/result" if i % 3 else "other", i % 4, i * 500) for i in range(20)], "seq long, ts string, type string, call_id long, bytes long")
-    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    for k, part in enumerate((events.filter("seq >= 10"), events.filter("seq < 10"))):  # late events come last, in a file of their own
-        part.repartition(3).write.mode("append").parquet(str(tmp_path / "in" / f"k={k}"))
-    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
-    seen = []
-    q = stream.first_arrivals(source).writeStream.outputMode("update").foreachBatch(lambda b, n: seen.extend((n, r["call_id"], r["seq"]) for r in b.collect())).option("checkpointLocation", str(tmp_path / "c1")).start()
-    q.processAllAvailable()
-    q.stop()
-    last = {c: s for _, c, s in sorted(seen)}
-    assert last == {r["call_id"]: r["seq"] for r in stream.first_per_key(events).collect()} and len(seen) > len(last)
-    judge = lambda b: b.groupBy("call_id").agg(F.count(F.lit(1)).alias("n"))
-    for k in range(2):  # a second run, from the start, adds nothing
-        q = stream.as_they_arrive(source, judge, str(tmp_path / "out"), "call_id", str(tmp_path / f"c2{k}"), parts=3).start()
-        q.processAllAvailable()
-        q.stop()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+def drained(stream_, keep, checkpoint, mode="update"):
+    stream_.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", str(checkpoint)).trigger(availableNow=True).start().awaitTermination()
 
 
-def test_round_states(spark, tmp_path):
-    rows = [(1, 1, 1, "a", "[uncertain]", ["u", "v"]), (1, 2, 2, "a", "x", ["w", "u"]), (2, 1, 3, "a", "v=;", None), (2, 2, 4, "a", "w", ["z"]), (3, 2, 5, "a", "z", None), (1, 1, 0, "a", "old", ["v"])]
-    rounds = spark.createDataFrame(rows, "item_id long, round_no int, seq long, path string, value string, sources array<string>")
-    for r in reversed(range(6)):  # in any order
-        rounds.filter(F.col("seq") == rows[r][2]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"k={r}"))
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+def in_files(spark, df, by, where):
+    """A stream of one file a batch, in the order of ``by``."""
+    for k in [r[0] for r in df.select(by).distinct().orderBy(by).collect()]:
+        df.filter(F.col(by) == k).coalesce(1).write.parquet(str(where / f"k={k:03d}"))
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(where / "k=*"))
+
+
+def test_first_arrivals(spark, tmp_path):
+    """Keys with events on two days, files out of order: one state a key; published at once with corrections, or once when settled."""
+    configured(spark)
+    rows = [(i, f"2024-01-0{1 + i % 2} 23:59:{i:02d}", "tool/result" if i % 3 else "other", None if i == 7 else i % 4, i * 500, (20 - i) // 7) for i in range(20)]
+    events = spark.createDataFrame(rows, "seq long, ts string, type string, call_id long, bytes long, file int").withColumn("ts", F.col("ts").cast("timestamp"))
+    want = {r["call_id"]: r["seq"] for r in stream.first_per_key(events).collect()}
+    source, seen = in_files(spark, events, "file", tmp_path / "in"), []
+    drained(stream.first_arrivals(source), lambda b, n: seen.extend((n, r["call_id"], r["seq"]) for r in b.collect()), tmp_path / "c1")
+    assert {c: s for _, c, s in sorted(seen)} == want and len(seen) > len(want) == 4
+    # Settled: the stream ends with an event that moves the watermark beyond all others.
+    last = spark.createDataFrame([(99, "2024-02-01 00:00:00", "tool/result", 50, 0, 8), (100, "2024-02-02 00:00:00", "tool/result", 51, 0, 9), (1, "2024-01-01 00:00:00", "tool/result", 2, 7, 10)], "seq long, ts string, type string, call_id long, bytes long, file int")
+    source, once = in_files(spark, events.unionByName(last.withColumn("ts", F.col("ts").cast("timestamp"))), "file", tmp_path / "in2"), []
+    drained(stream.settled_arrivals(source, "3 days", 3 * 86_400_000), lambda b, n: once.extend((r["call_id"], r["seq"]) for r in b.collect()), tmp_path / "c2", "append")
+    assert sorted(x for x in once if x[0] < 50) == sorted(want.items())  # the late event of key 2, with seq 1, comes after
+
+
+def test_arrivals_once(spark, tmp_path):
+    """Keys twice in a batch, in two batches, null keys, a run from the start, and a batch that died after half of its parts."""
+    rows = [(k, None if i % 9 == 0 else i % 30, i) for i in range(120) for k in [i // 30]]
+    source = in_files(spark, spark.createDataFrame(rows, "file int, key int, v int"), "file", tmp_path / "in")
+    judge = lambda b: b.select("key", (F.col("v") * 0).alias("zero"))
+    out = stream.Arrivals(spark, f"file://{tmp_path}/out", "key", 5)
+    schema = spark.createDataFrame([], "key int, zero int").schema
+    assert out.rows(schema).count() == 0
+    keys = lambda: sorted((-1 if r["key"] is None else r["key"]) for r in out.rows(schema).collect())
+    every = sorted({-1 if r[1] is None else r[1] for r in rows})
+    for run in ("a", "b"):
+        stream.as_they_arrive(source, judge, out.path, "key", str(tmp_path / run), 5).trigger(availableNow=True).start().awaitTermination()
+        assert keys() == every
+    more = spark.createDataFrame([(k, 1) for k in (100, 101, 102, 103, 104, 105, 3, None, 100)], "key int, zero int")
+    real, calls = stream.Arrivals._commit, []
+
+    def dies(self, batch):
+        calls.append(batch)
+        raise OSError("lost")
+
+    stream.Arrivals._commit = dies
     try:
-        source = spark.readStream.schema(rounds.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in" / "*"))
-        seen = []
-        q = stream.round_states(source).writeStream.outputMode("update").foreachBatch(lambda b, n: seen.extend((n, r) for r in b.collect())).option("checkpointLocation", str(tmp_path / "c")).start()
-        q.processAllAvailable()
-        q.stop()
+        with pytest.raises(OSError):
+            out.add(more, "late")
     finally:
-        spark.conf.unset(provider)
+        stream.Arrivals._commit = real
+    half = sorted(tmp_path.glob("out/rows/part=*/batch=late"))
+    assert half and keys() == every  # what isn't complete isn't seen
+    for x in half[: len(half) // 2]:
+        for f in x.iterdir():
+            f.unlink()
+    for _ in range(2):
+        out.add(more, "late")
+        assert keys() == sorted([*every, *range(100, 106)])
+
+
+def test_round_states(spark, tmp_path):
+    configured(spark)
+    rows = [(1, 1, 1, "a", "[uncertain]", ["u", "v"]), (1, 2, 2, "a", "x", ["w", "u"]), (2, 1, 3, "a", "v=;", None), (2, 2, 4, "a", "w", ["z"]), (3, 2, 5, "a", "z", None), (1, 1, 0, "a", "old", ["v"]), (4, 1, 6, "b", None, None)]
+    rounds = spark.createDataFrame(rows, "item_id long, round_no int, seq long, path string, value string, sources array<string>")
+    before, later = rounds.filter("seq IN (0, 3)"), rounds.filter("seq NOT IN (0, 3)")
+    source, seen = in_files(spark, later.withColumn("file", (7 - F.col("seq")).cast("int")), "file", tmp_path / "in").drop("file"), []
+    drained(stream.round_states(source, before=before), lambda b, n: seen.extend((n, r) for r in b.collect()), tmp_path / "c")
     got = {r["item_id"]: r for _, r in sorted(seen, key=lambda x: x[0])}
     batch = {r["item_id"]: (r["failed"], r["rounds_used"], [] if r["failed"] else [(r["path"], r["value"])]) for r in merge.resolve_rounds(rounds).collect()}
     assert {i: (r["failed"], r["rounds_used"], [(v["path"], v["value"]) for v in r["values"]]) for i, r in got.items()} == batch
     assert got[1]["sources"] == ["v", "u", "w"] and got[1]["gaps"] == []
+    held = stream.held_rounds(spark, str(tmp_path / "c"))
+    state = lambda df: sorted(map(str, merge.resolve_rounds(df).collect()))
+    assert state(held) == state(rounds)
 
 
 def test_empty_framework_and_items(spark):
