@@ -1,7 +1,7 @@
 """Exact ranks of a whole table by parallel sorting with regular sampling.
 
 Every partition is sorted by itself and written: a run. Every ``step``-th row of each run is a regular sample; ``step`` grows with the table, so that
-about ``SAMPLES`` rows come to the driver whatever its size. The samples' regular quantiles are the splitters: segment k of all runs lies between splitter k - 1 and k. The rows of each
+about ``PER_SEGMENT`` rows for each segment come to the driver, whatever the table's size. The samples' regular quantiles are the splitters: segment k of all runs lies between splitter k - 1 and k. The rows of each
 segment are counted where they stand, and the counts' prefix sums are the ranks at which the segments start. Segments that start within
 the wanted ranks are exchanged, one partition for each, merged there by a local sort, and numbered. Samples decide how even the segments are, never a rank.
 
@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 
 from dossier.llm.shared import partitions, written
 
-#: Rows that the driver gets as samples, but for a factor of two.
-SAMPLES = 1 << 18
+#: Samples for each segment, but for a factor of two.
+PER_SEGMENT = 64
 _IN_RUN = (1 << 33) - 1  # the part of Spark's row id that counts rows within a partition
 
 
@@ -58,7 +58,7 @@ def ranked(rows: DataFrame, most: int, segments: int | None = None) -> DataFrame
     order = [F.col("score").desc(), F.col("doc_id").asc_nulls_first()]
     runs = written(rows.sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "ranking-runs", keep=True)
     total = runs.count()
-    step = max(1, total // SAMPLES)
+    step = max(1, total // (PER_SEGMENT * segments))
     place = F.col("at").bitwiseAND(F.lit(_IN_RUN))
     cuts = splitters(runs.filter((place + 1) % step == 0).select("score", "doc_id", "at").toArrow(), segments)
     sent = spark.sparkContext.broadcast(cuts)
