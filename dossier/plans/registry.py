@@ -14,11 +14,11 @@ from pyspark.sql import types as T
 
 from dossier.functions import text as X
 from dossier.functions.values import as_markdown
-from dossier.operators import coverage, decks, evidence, flatten, merge, report, review, specs
+from dossier.operators import coverage, decks, evidence, flatten, merge, numbering, report, review, specs
 from dossier.plans.fixtures import FIXTURES, Fixtures, oracle
 from dossier.session import configured, scratch_dir
+from dossier.sources import files, reports
 from dossier.sources import items as scan
-from dossier.sources import reports
 from dossier.streaming import events as stream
 
 Query = Callable[[Fixtures], DataFrame]
@@ -101,6 +101,11 @@ def l1(fx):
     return scan.in_order(fx("pages").select(F.concat(F.lit("page_"), F.col("page_id").cast("string"), F.lit(".json")).alias("file_name"))).select("file_name", "no")
 
 
+@register("w1_items_in_order", "SELECT p_partkey AS item_id, row_number() OVER (ORDER BY p_name, p_partkey) AS no FROM part")
+def w1_items(fx):
+    return numbering.numbered(fx("part").select(F.col("p_partkey").alias("item_id"), "p_name"), "p_name", "item_id").select("item_id", "no")
+
+
 @register("s6_outlines", "SELECT o_custkey AS topic, count(*) AS n_items, CASE WHEN o_custkey % 2 = 0 THEN 3 ELSE 1 END AS batch_size, 1 AS items_per_agent, 'results' AS output_dir FROM orders GROUP BY o_custkey")
 def s6(fx):
     """Outlines as JSON files, one a customer, read back: their items and execution settings."""
@@ -786,6 +791,31 @@ def h6(fx):
     return decks.slide_titles(decks.blocks(fx("part").select(F.col("p_partkey").alias("page_id"), html.alias("html")))).select("page_id", "title")
 
 
+def _deck_files(fx: Fixtures) -> tuple[str, DataFrame]:
+    """The pages as files of a folder, and what was written."""
+    folder = scratch_dir(fx.spark, "decks")
+    return folder, files.write_pages(fx("pages").select(F.concat(F.lit("page_"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), "html"), folder)
+
+
+@register("s9_written_pages", "SELECT 'page_' || page_id || '.html' AS path, CAST(octet_length(encode(html)) AS BIGINT) AS bytes FROM pages")
+def s9_written(fx):
+    return _deck_files(fx)[1]
+
+
+_TITLES = f"SELECT 'page_' || page_id || '.html' AS file_name, coalesce(nullif({_PLAIN.replace('(x,', '(t,', 1)}, ''), 'Slide 0') AS title FROM (SELECT page_id, regexp_extract({_CLEAN}, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS t FROM pages)"
+
+
+@register("s10_deck_files", f"SELECT file_name, title, '' AS problem FROM ({_TITLES}) UNION ALL SELECT 'gone_' || r_regionkey || '.html', '', 'not found' FROM region")
+def s10(fx):
+    """Decks read from ``*.html`` files of a folder and from listed paths, some of them absent: each deck's title, and a warning for each absent path (S4, S10)."""
+    folder, out = _deck_files(fx)
+    out.write.format("noop").mode("overwrite").save()
+    listed = [f"{folder}/gone_{r['r_regionkey']}.html" for r in fx("region").collect()]
+    texts, problems = files.scan_files(fx.spark, [folder, *listed], "*.html")
+    titles = decks.slide_titles(decks.blocks(texts.select(F.col("file_name").alias("page_id"), F.col("raw").alias("html"))))
+    return titles.select(F.col("page_id").alias("file_name"), "title", F.lit("").alias("problem")).unionByName(problems.select("file_name", F.lit("").alias("title"), "problem"))
+
+
 @register("v10_page_rules", """SELECT page_id, unnest(list_filter([CASE WHEN NOT (contains(l, '<html') AND contains(l, '</html>') AND contains(l, '<!doctype html>')) THEN 'complete document' END, CASE WHEN NOT regexp_matches(l, '<link[^>]*rel=["''][^"'']*icon') THEN 'favicon' END,
  CASE WHEN regexp_matches(l, '<pre[^>]*class=["'']mermaid') THEN 'bare mermaid' END, CASE WHEN regexp_matches(l, '[^a-z0-9_-]\\.node[ ]*\\{') THEN 'page-level .node' END], lambda x: x IS NOT NULL)) AS rule FROM (SELECT page_id, lower(html) AS l FROM pages)""")
 def v10(fx):
@@ -805,10 +835,10 @@ def w9(fx):
     return stream.first_per_key(fx("fx_tool_event")).select("call_id", "seq")
 
 
-def _in_files(rows: DataFrame, by: Column, where: str, files: int) -> DataFrame:
-    """``rows`` as a stream of ``files`` files, one a batch, with those of equal ``by`` in one."""
-    for k in range(files):
-        rows.filter(F.pmod(by, F.lit(files)) == k).coalesce(1).write.parquet(f"{where}/in/k={k}")
+def _in_files(rows: DataFrame, by: Column, where: str, n: int) -> DataFrame:
+    """``rows`` as a stream of ``n`` files, one a batch, with those of equal ``by`` in one."""
+    for k in range(n):
+        rows.filter(F.pmod(by, F.lit(n)) == k).coalesce(1).write.parquet(f"{where}/in/k={k}")
     return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in/k=*")
 
 

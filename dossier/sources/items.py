@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.functions.text import stem
+from dossier.operators.numbering import numbered
 
 SIDECAR = ".verification.json"
 
@@ -26,9 +27,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def in_order(texts: DataFrame) -> DataFrame:
-    """Files with their 1-based number in the order of names: names alone are sorted and numbered, over all tasks, and joined back."""
-    names = texts.select("file_name").distinct().sort("file_name").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1] + 1))
-    return texts.join(texts.sparkSession.createDataFrame(names, "file_name string, no long"), "file_name")
+    """Files with their 1-based number in the order of names: names alone are sorted and numbered, over ranges of them, and joined back."""
+    return texts.join(numbered(texts.select("file_name").distinct(), "file_name"), "file_name")
 
 
 def parse_items(texts: DataFrame) -> tuple[DataFrame, DataFrame]:

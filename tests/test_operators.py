@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from dossier.functions import records
 from dossier.functions import text as X
 from dossier.functions.values import as_markdown, markdown
-from dossier.operators import coverage, decks, flatten, merge, report, review, specs
+from dossier.operators import coverage, decks, flatten, merge, numbering, report, review, specs
 from dossier.session import configured
+from dossier.sources import files, reports
 from dossier.sources import items as scan
-from dossier.sources import reports
 from dossier.streaming import events as stream
 
 
@@ -298,6 +298,40 @@ def test_paths_and_order(spark, tmp_path):
     assert {tuple(r) for r in scan.parse_execution(outline).collect()} == {("t", 4, 1, "results"), ("u", 1, 1, "results")} and scan.parse_outline(outline).first()["name"] == "x"
 
 
+def test_files_and_warnings(spark, tmp_path):
+    """Files of folders and listed paths, over several tasks; absent, vanished and undecodable ones are rows of their own."""
+    (tmp_path / "in" / "sub.html").mkdir(parents=True)
+    for k in range(5):
+        (tmp_path / "in" / f"d{k}.html").write_text(f"<h1>é{k}</h1>")
+    (tmp_path / "in" / "bad.html").write_bytes(b"\xff\xfe")
+    (tmp_path / "in" / "x.txt").write_text("no")
+    paths = [f"file://{tmp_path}/in", f"file://{tmp_path}/gone.html", f"file://{tmp_path}/in/x.txt"]
+    old = files.FILES
+    files.FILES = 2
+    try:
+        reader = files.FileReader(paths, "*.html")
+        parts = reader.partitions()
+        assert len(parts) == 4 and all(len(p.entries) <= 2 for p in parts)
+        (tmp_path / "in" / "d4.html").unlink()
+        rows = sorted((name, raw, problem) for p in parts for _, name, _, raw, problem in reader.read(p))
+    finally:
+        files.FILES = old
+    assert rows == [("bad.html", None, "unreadable"), *[(f"d{k}.html", f"<h1>é{k}</h1>", None) for k in range(4)], ("d4.html", None, "not found"), ("gone.html", None, "not found"), ("x.txt", "no", None)]
+    texts, problems = files.scan_files(spark, paths, "*.html")
+    assert {r["file_name"] for r in texts.collect()} == {"d0.html", "d1.html", "d2.html", "d3.html", "x.txt"}
+    assert {(r["file_name"], r["problem"]) for r in problems.collect()} == {("bad.html", "unreadable"), ("gone.html", "not found")}
+    assert files.scan_files(spark, [])[0].count() == 0
+
+
+def test_numbering(spark):
+    rows = [(None if k % 50 == 0 else (k * 7919) % 301, k % 3) for k in range(3000)]
+    df = spark.createDataFrame(rows, "v int, __part int").repartition(7)
+    got = numbering.numbered(df, "v").orderBy("no").collect()
+    assert [r["no"] for r in got] == list(range(1, 3001)) and set(got[0].asDict()) == {"v", "__part", "no"}
+    assert [r["v"] for r in got] == sorted((r[0] for r in rows), key=lambda v: (v is not None, v or 0))
+    assert numbering.numbered(df.limit(0), "v").count() == 0
+
+
 def test_round_outputs(spark):
     rows = [("base", '{"item":"i","json":{},"notes":"n","uncertain":["a"]}', []), ("gap", '{"json":[],"missing":[1],"other":2}', ["output.item must be a string", "output.json must be an object", "output.missing must be an array of strings", "output.other is not supported"]), ("verify", '{"item":"i","json":{},"verification":{"conflicts":["c"],"extra":1}}', []), ("verify", '{"item":"i","json":{},"notes":"n"}', ["output.notes is not supported", "output.verification must be an object"]), ("base", "[]", ["output must be an object"]), ("odd", "{}", ["kind is not supported"])]
     got = specs.round_errors(spark.createDataFrame([r[:2] for r in rows], "kind string, raw string")).collect()
