@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from dossier.functions.records import compact, parsed
 from dossier.functions.text import MARK
 
 
@@ -48,6 +53,52 @@ def merge_leaves(left: DataFrame, right: DataFrame, key: str = "item_id") -> Dat
     return kept.unionByName(right.filter("value IS DISTINCT FROM '{}'").unionByName(empty).select(*left.columns))
 
 
+def merged(left: object, right: object) -> object:
+    """Deep merge of two values, the right one winning: objects merge by key, everything else (arrays, scalars, null) replaces. A stack, so depth is data."""
+    if not (isinstance(left, dict) and isinstance(right, dict)):
+        return right
+    out = dict(left)
+    stack = [(out, right)]
+    while stack:
+        target, more = stack.pop()
+        for key, value in more.items():
+            if isinstance(value, dict) and isinstance(target.get(key), dict):
+                target[key] = dict(target[key])
+                stack.append((target[key], value))
+            else:
+                target[key] = value
+    return out
+
+
+def merge_documents(left: DataFrame, right: DataFrame, key: str = "item_id") -> DataFrame:
+    """``key, raw``: the JSON documents of both sides merged by :func:`merged`; a document without another stays, as does one whose other isn't JSON. Keys are unique on each side; null is a key.
+
+    One join by key; each pair is parsed once and merged in its own row, whatever its depth.
+    """
+    a, b = left.select(F.col(key).alias("__a"), F.col("raw").alias("__left")), right.select(F.col(key).alias("__b"), F.col("raw").alias("__right"))
+    both = a.join(b, F.col("__a").eqNullSafe(F.col("__b")), "full")
+    both = both.select(F.coalesce("__a", "__b").alias(key), F.col("__left"), F.col("__right"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def one(x: str | None, y: str | None) -> str | None:
+            if x is None or y is None:
+                return y if x is None else x
+            try:
+                under = parsed(x)
+            except ValueError:
+                return y
+            try:
+                return compact(merged(under, parsed(y)))
+            except ValueError:
+                return x
+
+        for batch in batches:
+            texts = [one(x, y) for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, "raw"])
+
+    return both.mapInArrow(run, T.StructType([both.schema[key], T.StructField("raw", T.StringType())]))
+
+
 def union_sources(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """Ordered distinct union of each key's sources."""
     first = rows.groupBy(key, value).agg(F.min(order).alias("__at"))

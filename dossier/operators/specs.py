@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.functions.text import TONES, escape_html, tone, zero_pad
+from dossier.session import spread
 
 # The contract's keys, kinds and texts.
 TOP = ("title", "subtitle", "summary", "sections")
@@ -96,7 +97,7 @@ def _each(x: Column, path: Column, rule: tuple, least: int = 1) -> Column:
 
 def parsed(specs: DataFrame) -> DataFrame:
     """``spec_id, doc`` of specs (``spec_id, raw``), each parsed once; text that is no JSON is null."""
-    return specs.select("spec_id", F.try_parse_json("raw").alias("doc"))
+    return spread(specs.select("spec_id", "raw")).select("spec_id", F.try_parse_json("raw").alias("doc"))
 
 
 def sections(docs: DataFrame) -> DataFrame:

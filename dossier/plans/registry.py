@@ -253,6 +253,17 @@ def j7(fx):
     return merge.merge_leaves(leaves(1), leaves(2))
 
 
+@register("j7_merged_documents", """SELECT p_partkey AS item_id, CASE WHEN p_partkey % 4 = 0 THEN '{"a":{"x":' || p_size || ',"y":"' || p_brand || '"},"n":[1,{"q":0}]}' WHEN p_partkey % 4 = 1 THEN '{"a":{"y":null,"z":{"w":"' || p_type || '"}},"n":[2],"m":true}'
+ ELSE '{"a":{"x":' || p_size || ',"y":null,"z":{"w":"' || p_type || '"}},"n":[2],"m":true}' END AS raw FROM part""")
+def j7_documents(fx):
+    """Whole documents merged by key: pairs, left ones alone, right ones alone."""
+    brand, kind = F.col("p_brand"), F.col("p_type")
+    left = F.concat(F.lit('{"a":{"x":'), F.col("p_size").cast("string"), F.lit(',"y":"'), brand, F.lit('"},"n":[1,{"q":0}]}'))
+    right = F.concat(F.lit('{"a":{"y":null,"z":{"w":"'), kind, F.lit('"}},"n":[2],"m":true}'))
+    of = lambda use, raw: fx("part").filter(use).select(F.col("p_partkey").alias("item_id"), raw.alias("raw"))
+    return merge.merge_documents(of("p_partkey % 4 <> 1", left), of("p_partkey % 4 <> 0", right))
+
+
 _ROUNDS = """WITH last AS (SELECT item_id, round_no, path, max_by(value, seq) AS value FROM fx_round GROUP BY ALL),
  per AS (SELECT item_id, NOT bool_or(round_no = 1) AS failed, bool_or(round_no = 1) AND bool_or(round_no = 1 AND contains(value, '[uncertain]')) AND bool_or(round_no = 2) AS refined FROM last GROUP BY item_id)
  SELECT item_id, failed, CASE WHEN refined THEN 2 ELSE 1 END AS rounds_used, path, max_by(value, round_no) AS value FROM last JOIN per USING (item_id) WHERE NOT failed AND (round_no <> 2 OR refined) GROUP BY ALL

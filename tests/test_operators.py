@@ -30,6 +30,15 @@ def test_merge_of_leaves(spark):
     assert merged(spark, [("a", "1"), ("b.c", "2")], [("a", "1"), ("b.c", "2")]) == {("a", "1"), ("b.c", "2")}
 
 
+def test_merged_documents(spark):
+    pairs = [('{"a":{"b":1,"c":[1]},"k":"x"}', '{"a":{"c":[2],"d":{}},"k":{"y":1.50}}', '{"a":{"b":1,"c":[2],"d":{}},"k":{"y":1.50}}'), ('{"a":1}', '{"a":null}', '{"a":null}'), ("[1]", '{"a":2}', '{"a":2}'), ('{"a":{}}', '{"a":{"b":0}}', '{"a":{"b":0}}'), (None, '{"z":1}', '{"z":1}'), ('{"z":2}', None, '{"z":2}'), ("oops", "[3]", "[3]"), ('{"o":1}', "oops", '{"o":1}')]
+    deep = ['{"k":' * 900 + v + "}" * 900 for v in ('{"l":1}', '{"r":2}', '{"l":1,"r":2}')]
+    pairs.append(tuple(deep))
+    side = lambda i: spark.createDataFrame([(k if k else None, p[i]) for k, p in enumerate(pairs) if p[i] is not None], "item_id long, raw string")
+    got = {r["item_id"] or 0: r["raw"] for r in merge.merge_documents(side(0), side(1)).collect()}
+    assert got == {k: p[2] for k, p in enumerate(pairs)}
+
+
 def test_fields_of_items(spark):
     configured(spark)
     raw = json.dumps({"name": "n", "basic_info": {"z": 1, "a": None, "description": "x"}, "misc": {"history": {"y": True}, "deep": {"t": "v"}}, "performance": 3, "top": "[uncertain] t", "l": [1, 2], "uncertain": ["t"]})
