@@ -80,7 +80,7 @@ def features(part: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """``weights`` and ``bias`` are whole numbers of ``1 / SCALE``."""
+    """``weights`` and ``bias`` are multiples of ``1 / SCALE``."""
 
     languages: list[str]
     code: np.ndarray
@@ -90,7 +90,7 @@ class Model:
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         """Probability-like score of each language, by the loss of its codeword."""
-        margin = ((x * SCALE) @ self.weights + self.bias * SCALE) / (SCALE * SCALE)
+        margin = ((x * SCALE) @ (self.weights * SCALE) + self.bias * SCALE * SCALE) / (SCALE * SCALE)
         loss = np.log1p(np.exp(-np.clip(margin[:, None, :] * self.code[None], -30, 30)))
         total = np.round((loss * self.trust).sum(axis=2), DIGITS)
         total = np.exp(total.min(axis=1, keepdims=True) - total)
@@ -129,7 +129,7 @@ def fit(x: np.ndarray, lang: list[str]) -> Model:
         w, b = _fitted(x[~back], y[~back], row[~back])
     right = ((y[back] * (x[back] @ w + b) > 0) * row[back]).sum(axis=0) / max(float(row[back].sum()), 1e-9)
     right = np.clip(right, 0.5 + 1e-3, 1 - 1e-3)
-    w, b = (np.rint(v.astype(np.float64) * SCALE) for v in _fitted(x, y, row))
+    w, b = (np.rint(v.astype(np.float64) * SCALE) / SCALE for v in _fitted(x, y, row))
     return Model(languages, code, w, b, np.log(right / (1 - right)) / np.log(999))
 
 
