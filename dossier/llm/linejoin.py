@@ -20,10 +20,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.setjoin import MOST, REMEMBERED, Units, _signed, by_tile, each_slice, set_ids, whole_tiles
+from dossier.llm.setjoin import MOST, REMEMBERED, Units, _signed, by_tile, each_of, each_slice, kinds, met_by, set_ids, whole_tiles, within
 from dossier.llm.shared import partitions, small, written
 from dossier.llm.textarrays import LOWER, U, mix, span_hashes, words
 
@@ -418,27 +418,27 @@ def _runs(token: np.ndarray, n: np.ndarray, i: np.ndarray) -> Iterator[tuple[int
 
 
 def _beside(rows: DataFrame) -> DataFrame:
-    """``rows`` (``token, sid, n, open`` and more) dealt to tiles, with ``tile`` and ``other``.
+    """``rows`` (``token, sid, n, at, open`` and more) dealt to tiles, with ``tile`` and ``other``.
 
-    A list of at most ``TILE`` sets is one tile. The sets of a longer one (``other``) go to one tile each, of their band of sizes and a part of it; copies of
-    its open sets go to all tiles of their own and the next bands. So rows are made in proportion to the sets, and to the open ones of long lists.
+    A list of at most ``TILE`` sets is one tile. In a longer one, open sets ask and all sets (``other``) are asked. The sets of each kind (:func:`dossier.llm.setjoin.kinds`)
+    are dealt to parts of about ``TILE``, and so are those that may ask them; a tile is a part of both. So place and size are filtered
+    before rows are copied, and a tile is bounded whatever the number of open sets.
     """
-    rows = rows.withColumn("band", F.floor(F.ln(F.col("n")) / F.ln(F.lit(4 / 3)) + 1e-9).cast("int"))
-    counts = written(rows.groupBy("token", "band").agg(F.count(F.lit(1)).alias("sets")), "line-counts", narrow=True)
-    long_ = counts.groupBy("token").agg(F.sum("sets").alias("all"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("sets") / TILE).cast("int").alias("parts")))).alias("parts"))
-    rows = rows.join(small(written(long_.filter(F.col("all") > TILE).select("token", "parts"), "line-long", narrow=True)), "token", "left")
-    part = F.pmod(F.xxhash64("sid"), F.try_element_at("parts", F.col("band"))).cast("int")
-    key = lambda band, i: F.xxhash64("token", band, i)
+    rows = kinds(rows)
+    counts = written(rows.groupBy("token", "kind").agg(F.count(F.lit(1)).alias("sets"), F.count_if("open").alias("asking")), "line-counts", narrow=True)
+    entry = lambda c, n: F.map_from_entries(F.collect_list(F.struct("kind", n))).alias(c)
+    per = counts.groupBy("token").agg(F.sum("sets").alias("all"), entry("parts", F.ceil(F.col("sets") / TILE).cast("int")), entry("asking", F.col("asking")))
+    askers = lambda k: F.aggregate(met_by(k), F.lit(0).cast("long"), lambda n, j: n + F.coalesce(F.try_element_at("asking", j), F.lit(0)))
+    long_ = per.filter(F.col("all") > TILE).select("token", "parts", F.transform_values("parts", lambda k, _: F.ceil(askers(k) / TILE).cast("int")).alias("asks"))
+    rows = rows.join(small(written(long_, "line-long", narrow=True)), "token", "left")
+    kind, parts, asks = F.col("kind"), lambda k: F.try_element_at("parts", k), lambda k: F.try_element_at("asks", k)
+    dealt = lambda n: F.pmod(F.xxhash64("sid"), F.greatest(n, F.lit(1))).cast("int")
     role = lambda tile, opened, other: F.struct(tile.alias("tile"), opened.alias("open"), other.alias("other"))
     yes, no = F.lit(True), F.lit(False)
-
-    def asked_of(band: Column) -> Column:
-        parts = F.coalesce(F.sequence(F.lit(1), F.try_element_at("parts", band)), F.array().cast("array<int>"))
-        return F.transform(parts, lambda i: role(key(band, i - 1), yes, no))
-
-    asked = F.concat(*[asked_of(F.col("band") + d) for d in (-1, 0, 1)])
-    own = F.array(role(key(F.col("band"), part), no, yes))
-    roles = F.when(F.col("parts").isNull(), F.array(role(F.xxhash64("token"), F.col("open"), yes))).when(F.col("open"), F.concat(own, asked)).otherwise(own)
+    asked = each_of(asks(kind), lambda j: role(F.xxhash64("token", kind, dealt(parts(kind)), j), no, yes))
+    whom = F.filter(met_by(kind), lambda k: within(F.col("reach"), k))
+    asking = F.flatten(F.transform(whom, lambda k: each_of(parts(k), lambda i: role(F.xxhash64("token", k, i, dealt(asks(k))), yes, no))))
+    roles = F.when(F.col("parts").isNull(), F.array(role(F.xxhash64("token"), F.col("open"), yes))).when(F.col("open"), F.concat(asked, asking)).otherwise(asked)
     return rows.withColumn("r", F.explode(roles)).select("r.tile", "sid", "n", "at", "first", "map", "r.open", "r.other")
 
 

@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm.shared import partitions, small, written
@@ -425,26 +425,57 @@ def _bit_bound(maps: list[bytes], n: np.ndarray, i: np.ndarray, j: np.ndarray) -
     return ok
 
 
+def kinds(rows: DataFrame) -> DataFrame:
+    """``rows`` (``n, at`` and more) with ``kind`` and ``reach``, which say before any row is copied whom it can be like.
+
+    By the positional filter a set of size n with a shingle at place p has partners of at most ``(4 * n - 7 * p) / 3`` elements, which hold
+    for both sides. ``reach`` is the band of that size, as sizes in a band differ by less than a third. A set that is beyond its own reach (late) is met by smaller ones alone, so
+    two late ones are never alike. ``kind`` is twice the set's own band, and one more where it is late.
+    """
+    band = lambda n: F.floor(F.ln(n) / F.ln(F.lit(4 / 3)) + 1e-9).cast("int")
+    n, at = F.col("n").cast("long"), F.when(F.col("at") < MOST, F.col("at")).otherwise(F.lit(0)).cast("long")  # a saturated place bounds nothing
+    return rows.withColumn("kind", 2 * band(n) + (7 * at > n).cast("int")).withColumn("reach", band(F.greatest(F.floor((4 * n - 7 * at) / 3), F.lit(1))))
+
+
+def met_by(kind: Column) -> Column:
+    """The kinds whose sets can be alike those of ``kind``: none if both are late, and of an early and a late one the early one is smaller."""
+    return F.when(kind % 2 == 0, F.array(*[kind + d for d in (-2, 0, 1, 2, 3)])).otherwise(F.array(kind - 3, kind - 1))
+
+
+def within(reach: Column, kind: Column) -> Column:
+    return F.shiftright(kind, 1) <= reach
+
+
+def each_of(n: Column, f: Callable) -> Column:
+    """``f`` of 0 to ``n - 1``; nothing where ``n`` is 0 or null."""
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), f)).otherwise(F.array())
+
+
 def tiled(rows: DataFrame) -> DataFrame:
-    """``rows`` (``token, sid, n`` and more) with ``tile``: rows of one shingle that can be alike in size meet in a tile, in one that holds ``2 * BLOCK`` rows or few more."""
-    rows = rows.withColumn("band", F.floor(F.ln(F.col("n")) / F.ln(F.lit(4 / 3)) + 1e-9).cast("int"))
-    counts = written(rows.groupBy("token", "band").agg(F.count(F.lit(1)).alias("sets")), "tile-counts", narrow=True)
-    large = counts.groupBy("token").agg(F.sum("sets").alias("sets")).filter(F.col("sets") > BLOCK).select("token", F.lit(True).alias("large"))
-    blocks = counts.join(small(large), "token").select("token", "band", F.ceil(F.col("sets") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(small(large), "token", "left")
-    for d, name in ((0, "own"), (1, "up"), (-1, "down")):
-        rows = rows.join(small(blocks.select("token", (F.col("band") - d).alias("band"), F.col("blocks").alias(name))), ["token", "band"], "left")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("sid"), F.coalesce("own", F.lit(1))).cast("int"))
-    key = lambda low, high, i, j: F.struct(low.alias("low"), high.alias("high"), i.alias("i"), j.alias("j"))
-    each = lambda n, f: F.when(n.isNotNull(), F.transform(F.sequence(F.lit(0), n - 1), f)).otherwise(F.array())
-    band, block, zero = F.col("band"), F.col("block"), F.lit(0)
-    keys = F.concat(
-        each(F.col("own"), lambda j: key(band, band, F.least(block, j), F.greatest(block, j))),
-        each(F.col("up"), lambda j: key(band, band + 1, block, j)),
-        each(F.col("down"), lambda i: key(band - 1, band, i, block)),
-    )
-    tiles = rows.withColumn("tile", F.explode(F.when(F.col("large"), keys).otherwise(F.array(key(zero, zero, zero, zero)))))
-    return tiles.withColumn("tile", F.xxhash64("token", "tile")).drop("band", "block", "large", "own", "up", "down")
+    """``rows`` (``token, sid, n, at`` and more) with ``tile`` and ``side``: rows of one shingle that can be alike by size and place meet in a tile, in one that holds ``2 * BLOCK`` rows or few more.
+
+    Rows of one ``side`` have another tile for each other; a tile of side 2 compares all its rows.
+    """
+    rows = kinds(rows)
+    counts = written(rows.groupBy("token", "kind").agg(F.count(F.lit(1)).alias("sets")), "tile-counts", narrow=True)
+    per = counts.groupBy("token").agg(F.sum("sets").alias("sets"), F.map_from_entries(F.collect_list(F.struct("kind", F.ceil(F.col("sets") / BLOCK).cast("int").alias("n")))).alias("blocks"))
+    rows = rows.join(small(written(per.filter(F.col("sets") > BLOCK).select("token", "blocks"), "tile-blocks", narrow=True)), "token", "left")
+    kind = F.col("kind")
+    blocks = lambda k: F.try_element_at("blocks", k)
+    block = F.pmod(F.xxhash64("sid"), F.coalesce(blocks(kind), F.lit(1))).cast("int")
+    key = lambda low, high, i, j, side: F.struct(F.xxhash64("token", low, high, i, j).alias("tile"), side.alias("side"))
+    two, zero = F.lit(2), F.lit(0)
+    side = lambda mine, other: F.when(mine == other, two).otherwise((mine > other).cast("int"))
+
+    def keys(other: Column) -> Column:
+        ranked = lambda j: F.when(kind < other, F.col("block")).otherwise(j)
+        beside = each_of(blocks(other), lambda j: key(F.least(kind, other), F.greatest(kind, other), ranked(j), F.when(kind < other, j).otherwise(F.col("block")), side(kind, other)))
+        own = each_of(blocks(kind), lambda j: key(kind, kind, F.least(F.col("block"), j), F.greatest(F.col("block"), j), side(F.col("block"), j)))
+        return F.when(kind == other, own).otherwise(beside)
+
+    whom = F.filter(met_by(kind), lambda k: within(F.col("reach"), k))
+    roles = F.when(F.col("blocks").isNull(), F.array(key(zero, zero, zero, zero, two))).otherwise(F.flatten(F.transform(whom, keys)))
+    return rows.withColumn("block", block).withColumn("r", F.explode(roles)).drop("kind", "reach", "blocks", "block").select("*", "r.tile", "r.side").drop("r")
 
 
 def whole_tiles(batches: Iterable[pa.RecordBatch], work: Callable) -> Iterator[pa.RecordBatch]:
@@ -476,10 +507,10 @@ def tile_pairs(rows: DataFrame, bits: DataFrame) -> DataFrame:
     Tiles are first gone through without bitmaps, which are then fetched only for sets that have a partner in their tile.
     """
     rows = rows.select("token", "sid", "at", "group").join(small(bits.select("sid", "n")), "sid")
-    columns = ["sid", "n", "at", "group"]
+    columns = ["sid", "n", "at", "group", "side"]
 
     def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        tile, sid, n, at, group = (t.column(c).to_numpy().astype(np.int64) for c in ("tile", "sid", "n", "at", "group"))
+        tile, sid, n, at, group, side = (t.column(c).to_numpy().astype(np.int64) for c in ("tile", *columns))
         start = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
         size = np.diff(np.append(start, len(tile)))
         left = np.repeat(size, size) - (np.arange(len(tile)) - np.repeat(start, size))  # members from each on, itself included
@@ -489,7 +520,7 @@ def tile_pairs(rows: DataFrame, bits: DataFrame) -> DataFrame:
         d = 1
         while len(i):
             j = i + d
-            ok = (group[i] != group[j]) & (sid[i] != sid[j]) & _plausible(n[i], at[i], n[j], at[j])
+            ok = ((side[i] != side[j]) | (side[i] == 2)) & (group[i] != group[j]) & (sid[i] != sid[j]) & _plausible(n[i], at[i], n[j], at[j])
             x, y = i[ok], j[ok]
             if maps is None:
                 partnered[x] = partnered[y] = True

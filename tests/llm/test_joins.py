@@ -237,3 +237,61 @@ def test_one_set_in_a_list_twice(spark):
     got = {r["doc_id"]: r["numbers"] or [] for r in linededup.without_later_matches(spark.createDataFrame(rows, "doc_id long, text string"), "numbers").collect()}
     gone = removed_lines(rows)
     assert got == {i: gone[i] for i, _ in rows}
+
+
+def posted_list(rng, token, many, sizes):
+    """Postings of one list: sets of every size in ``sizes`` at every place of their prefixes."""
+    n = rng.choice(sizes, many)
+    return [(token, token * 100_000 + k, int(n[k]), int(rng.integers(0, n[k] // 4 + 1)), k) for k in range(many)]
+
+
+def near_places(rows):
+    """Pairs of positions in ``rows`` (``token, sid, n, at, ...``) that the length and positional filters leave."""
+    n, at, token = (np.array([r[c] for r in rows]) for c in (2, 3, 0))
+    i, j = np.triu_indices(len(rows), 1)
+    need = -(-3 * (n[i] + n[j]) // 7)
+    ok = (token[i] == token[j]) & (4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j])) & (np.minimum(n[i] - at[i], n[j] - at[j]) >= need)
+    return list(zip(i[ok].tolist(), j[ok].tolist(), strict=True))
+
+
+def test_tiles_hold_all_pairs_that_size_and_place_leave(spark, monkeypatch):
+    """Long lists of op9: each such pair meets in just one tile, whatever its bands and places; two late sets need none."""
+    monkeypatch.setattr(setjoin, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    rows = posted_list(rng, 1, 400, [40, 41, 52, 53, 55, 70, 71, 93, 94, 200]) + posted_list(rng, 2, 12, [30, 31, 40])
+    df = spark.createDataFrame([(*r[:4], r[4]) for r in rows], "token long, sid long, n int, at int, group long")
+    tiles = collections.defaultdict(list)
+    for r in setjoin.tiled(df).collect():
+        tiles[r["tile"]].append((r["sid"], r["side"]))
+    met = collections.Counter(frozenset((a, b)) for t in tiles.values() for k, (a, x) in enumerate(t) for b, y in t[:k] if x != y or x == 2)
+    wanted = near_places(rows)
+    assert len(wanted) > 5000 and all(met[frozenset((rows[i][1], rows[j][1]))] == 1 for i, j in wanted)
+    assert max(met.values()) == 1
+    late = [k for k, r in enumerate(rows) if r[0] == 1 and 7 * r[3] > r[2]]
+    assert len(late) > 100 and not any(frozenset((rows[i][1], rows[j][1])) in met for i in late for j in late if i != j)
+
+
+@pytest.mark.parametrize("asking", [1, 3])
+def test_tiles_of_open_sets_are_bounded(spark, monkeypatch, asking):
+    """Long lists of op7: each open set meets all sets that size and place leave, and no tile grows with the open ones."""
+    monkeypatch.setattr(linejoin, "TILE", 32)
+    rng = np.random.default_rng(5)
+    rows = posted_list(rng, 1, 900, [18, 20, 21, 24, 28, 29]) + posted_list(rng, 2, 20, [18, 20])
+    df = spark.createDataFrame([(*r[:4], r[4], b"", k % asking == 0) for k, r in enumerate(rows)], "token long, sid long, n int, at int, first long, map binary, open boolean")
+    tiles = collections.defaultdict(list)
+    for r in linejoin._beside(df).collect():
+        tiles[r["tile"]].append((r["sid"], r["open"], r["other"]))
+    met = {(a, b) for t in tiles.values() for a, x, _ in t if x for b, _, y in t if y and a != b}
+    for i, j in near_places(rows):
+        a, b = rows[i][1], rows[j][1]
+        assert (i % asking or (a, b) in met) and (j % asking or (b, a) in met)
+    assert max(map(len, tiles.values())) < 4 * 32
+
+
+def test_a_passage_that_unlike_documents_share_copies_nothing(spark):
+    """Sets whose common shingles come late in their order can't be alike: 20,000 of them on one shingle go to no tile."""
+    rows = spark.range(20_000).select(F.lit(7).cast("long").alias("token"), F.col("id").alias("sid"), (F.col("id") % 90 + 100).cast("int").alias("n"), F.col("id").alias("group"))
+    late = rows.withColumn("at", F.ceil(F.col("n") / 5).cast("int"))
+    assert setjoin.tiled(late).count() == 0
+    beside = linejoin._beside(late.select("token", "sid", "n", "at", F.col("group").alias("first"), F.lit(b"").alias("map"), F.lit(True).alias("open")))
+    assert beside.count() == 0
