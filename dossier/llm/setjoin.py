@@ -34,8 +34,8 @@ FREQUENT, BLOCK = 400_000, 1024
 BLOCK_POSTINGS = 1_000_000
 #: Sets that a task keeps in mind to post each only once; shingles among which it looks for repeated ones.
 REMEMBERED, COUNTED = 500_000, 1_000_000
-#: Bytes of text that are worked on at once.
-SLICE = 1 << 20
+#: Bytes of text that are worked on at once, and of bitmaps.
+SLICE, BITMAP_BYTES = 1 << 20, 4 << 20
 POSTING = np.dtype([("token", "<u8"), ("sid", "<u8"), ("order", "<u4"), ("n", "<u2"), ("at", "<u2")])
 LEADER = np.dtype([("token", "<u8"), ("sid", "<u8"), ("n", "<u2"), ("at", "<u2"), ("leader", "<u8"), ("leader_n", "<u2"), ("leader_at", "<u2")])
 MOST = 65535
@@ -346,7 +346,7 @@ def bounded(pairs: DataFrame, bits: DataFrame) -> DataFrame:
         for batch in batches:
             k = batch.num_rows
             n = np.concatenate([batch.column(2).to_numpy(), batch.column(3).to_numpy()])
-            fits = _bit_bound([*batch.column(4).to_pylist(), *batch.column(5).to_pylist()], n, np.arange(k), np.arange(k) + k)
+            fits = _Maps([*batch.column(4).to_pylist(), *batch.column(5).to_pylist()], n).fits(np.arange(k), np.arange(k) + k)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(fits)) for c in batch.columns[:2]], names=["a", "b"])
 
     joined = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
@@ -400,29 +400,34 @@ def popular_pairs(members: DataFrame) -> DataFrame:
     return rows.select(F.col("sid").alias("a"), F.col("top.sid").alias("b")).distinct()
 
 
-def _bit_bound(maps: list[bytes], n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether the bitmaps leave room for the wanted overlap of the sets ``i`` and ``j``: a bit that one has alone is an element that isn't shared."""
-    length = np.fromiter(map(len, maps), np.int64, len(maps))
-    at, stacks = np.zeros(len(maps), np.int64), {}
-    for size in np.unique(length).tolist():
-        own = np.flatnonzero(length == size)
-        at[own] = np.arange(len(own))
-        stacks[size] = np.frombuffer(b"".join(maps[k] for k in own.tolist()), np.uint8).reshape(-1, size)
-    ok = np.zeros(len(i), bool)
-    kind = length[i] * (1 << 40) + length[j]
-    for k in np.unique(kind).tolist():
-        x, y = k >> 40, k & ((1 << 40) - 1)
-        low = min(x, y)
-        rows = np.flatnonzero(kind == k)
-        for c in range(0, len(rows), max(1, (8 << 20) // max(x, y))):
-            r = rows[c : c + max(1, (8 << 20) // max(x, y))]
-            # A larger map folds onto a smaller one.
-            one = np.bitwise_or.reduce(stacks[x][at[i[r]]].reshape(len(r), -1, low), axis=1)
-            two = np.bitwise_or.reduce(stacks[y][at[j[r]]].reshape(len(r), -1, low), axis=1)
-            one_alone = np.bitwise_count(one & ~two).sum(axis=1, dtype=np.int64)
-            two_alone = np.bitwise_count(two & ~one).sum(axis=1, dtype=np.int64)
-            ok[r] = 7 * np.minimum(n[i[r]] - one_alone, n[j[r]] - two_alone) >= 3 * (n[i[r]] + n[j[r]])
-    return ok
+class _Maps:
+    """Bitmaps of several sets, stacked by length once for all comparisons."""
+
+    def __init__(self, maps: list[bytes], n: np.ndarray):
+        self.n, self.length = n, np.fromiter(map(len, maps), np.int64, len(maps))
+        self.at, self.stacks = np.zeros(len(maps), np.int64), {}
+        for size in np.unique(self.length).tolist():
+            own = np.flatnonzero(self.length == size)
+            self.at[own] = np.arange(len(own))
+            self.stacks[size] = np.frombuffer(b"".join(maps[k] for k in own.tolist()), np.uint8).reshape(-1, size)
+
+    def fits(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the bitmaps leave room for the wanted overlap of the sets ``i`` and ``j``: a bit that one has alone is an element that isn't shared."""
+        ok, n, at = np.zeros(len(i), bool), self.n, self.at
+        kind = self.length[i] * (1 << 40) + self.length[j]
+        for k in np.unique(kind).tolist():
+            x, y = k >> 40, k & ((1 << 40) - 1)
+            low = min(x, y)
+            rows = np.flatnonzero(kind == k)
+            for c in range(0, len(rows), max(1, BITMAP_BYTES // max(x, y))):
+                r = rows[c : c + max(1, BITMAP_BYTES // max(x, y))]
+                # A larger map folds onto a smaller one.
+                one = np.bitwise_or.reduce(self.stacks[x][at[i[r]]].reshape(len(r), -1, low), axis=1)
+                two = np.bitwise_or.reduce(self.stacks[y][at[j[r]]].reshape(len(r), -1, low), axis=1)
+                one_alone = np.bitwise_count(one & ~two).sum(axis=1, dtype=np.int64)
+                two_alone = np.bitwise_count(two & ~one).sum(axis=1, dtype=np.int64)
+                ok[r] = 7 * np.minimum(n[i[r]] - one_alone, n[j[r]] - two_alone) >= 3 * (n[i[r]] + n[j[r]])
+        return ok
 
 
 def kinds(rows: DataFrame) -> DataFrame:
@@ -514,7 +519,7 @@ def tile_pairs(rows: DataFrame, bits: DataFrame) -> DataFrame:
         start = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
         size = np.diff(np.append(start, len(tile)))
         left = np.repeat(size, size) - (np.arange(len(tile)) - np.repeat(start, size))  # members from each on, itself included
-        maps = t.column("bits").to_pylist() if "bits" in t.column_names else None
+        maps = _Maps(t.column("bits").to_pylist(), n) if "bits" in t.column_names else None
         partnered = np.zeros(len(sid), bool)
         i = np.flatnonzero(left > 1)
         d = 1
@@ -525,7 +530,7 @@ def tile_pairs(rows: DataFrame, bits: DataFrame) -> DataFrame:
             if maps is None:
                 partnered[x] = partnered[y] = True
             elif len(x):
-                fits = _bit_bound(maps, n, x, y)
+                fits = maps.fits(x, y)
                 if fits.any():
                     yield pa.RecordBatch.from_arrays([pa.array(sid[x[fits]]), pa.array(sid[y[fits]])], names=["a", "b"])
             d += 1

@@ -194,7 +194,7 @@ def test_bitmaps_bound_the_overlap():
     n = np.array([len(x) for x in sets])
     i, j = (x.ravel() for x in np.meshgrid(np.arange(60), np.arange(60)))
     cuts = np.concatenate([[0], np.cumsum(n)])
-    fits = setjoin._bit_bound(setjoin.bitmaps(np.concatenate(sets), cuts).tolist(), n, i, j)
+    fits = setjoin._Maps(setjoin.bitmaps(np.concatenate(sets), cuts).tolist(), n).fits(i, j)
     both = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
     assert fits[7 * both >= 3 * (n[i] + n[j])].all() and not fits.all()
 
