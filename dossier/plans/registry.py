@@ -847,10 +847,11 @@ def w9(fx):
 
 
 def _in_files(rows: DataFrame, by: Column, where: str, n: int) -> DataFrame:
-    """``rows`` as a stream of ``n`` files, one a batch, with those of equal ``by`` in one."""
+    """``rows`` as a stream of ``n`` batches, with those of equal ``by`` in one. A batch has as many files as all tasks wrote of it."""
+    files = min(rows.rdd.getNumPartitions(), rows.sparkSession.sparkContext.defaultParallelism)
     for k in range(n):
-        rows.filter(F.pmod(by, F.lit(n)) == k).coalesce(1).write.parquet(f"{where}/in/k={k}")
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in/k=*")
+        rows.filter(F.pmod(by, F.lit(n)) == k).coalesce(files).write.parquet(f"{where}/in/k={k}")
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{where}/in/k=*")
 
 
 def _streams(fx: Fixtures) -> str:

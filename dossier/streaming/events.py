@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable
 
 import numpy as np
@@ -76,9 +77,15 @@ def first_arrivals(events: DataFrame, forget_ms: int = 0) -> DataFrame:
     """Stream form: ``call_id, seq, ts, bytes, size`` of each key's first event by ``seq``, whatever the order of arrival and its days; one state for each key.
 
     A key is published as soon as it arrives, and again if an earlier event of it follows (update mode). ``forget_ms``: a key that was idle so long is new again (0: never). Needs the RocksDB state store.
+
+    Without ``forget_ms`` the state is an aggregation's, in the JVM: the least event with the time of the batch that brought it, and a batch publishes those that are its own.
     """
-    rows = matching(events.withColumn("ts", F.col("ts").cast("timestamp"))).withColumn("ts_ms", F.unix_millis("ts"))
-    return rows.groupBy("call_id").transformWithState(FirstOfKey(None, forget_ms), _FIRST, "Update", "ProcessingTime" if forget_ms else "None")
+    rows = matching(events.withColumn("ts", F.col("ts").cast("timestamp")))
+    if forget_ms:
+        return rows.withColumn("ts_ms", F.unix_millis("ts")).groupBy("call_id").transformWithState(FirstOfKey(None, forget_ms), _FIRST, "Update", "ProcessingTime")
+    now = F.current_timestamp()  # the same all over a batch, also when it is run again
+    least = rows.withColumn("came", now).groupBy("call_id").agg(F.min(F.struct("seq", "came", "ts", "bytes", "size")).alias("e"))
+    return least.filter(F.col("e.came") == now).select("call_id", *[F.col(f"e.{c}") for c in ("seq", "ts", "bytes", "size")])
 
 
 def settled_arrivals(events: DataFrame, delay: str = "10 minutes", settle_ms: int = 600_000, forget_ms: int = 0) -> DataFrame:
@@ -203,34 +210,61 @@ def as_they_arrive(stream: DataFrame, judge: Callable[[DataFrame], DataFrame], p
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+#: Columns of the texts that hold the rounds and the sources of a bucket of items.
+_ROUNDS, _SOURCES = ("item_id", "round_no", "path", "seq", "value", "renewed"), ("item_id", "url", "seq", "renewed")
+
+
 class RoundState(StatefulProcessor):
-    """The last value by ``seq`` of each round and path of an item, and its sources; idle items are dropped after ``idle_ms``."""
+    """The last value by ``seq`` of each round and path of an item, and its sources; what wasn't renewed for ``idle_ms`` is dropped.
+
+    A state holds a bucket of items as one text, read and written once a batch: a key and each call of the state store cost round trips between Python and the JVM.
+    """
 
     def __init__(self, idle_ms: int):
         self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        ttl = self.idle_ms or None
-        self.held = handle.getMapState("held", "round_no int, path string", "seq long, value string", ttl)
-        self.sources = handle.getMapState("sources", "url string", "seq long", ttl)
-
-    def _hold(self, r) -> None:
-        at = (r["round_no"], r["path"])
-        old = self.held.getValue(at) if self.held.containsKey(at) else None
-        if old is None or old[0] < r["seq"]:
-            self.held.updateValue(at, (r["seq"], r["value"]))
-        for url in r["sources"] or []:
-            if not self.sources.containsKey((url,)) or self.sources.getValue((url,))[0] > r["seq"]:
-                self.sources.updateValue((url,), (r["seq"],))
+        self.held = handle.getValueState("held", "text string", self.idle_ms or None)
+
+    def _hold(self, rows, timer_values) -> tuple[dict, dict, dict]:
+        """Rounds and sources of each item after ``rows``, kept in the state; and the items of ``rows``."""
+        old, now = self.held.get(), timer_values.getCurrentProcessingTimeInMs() if self.idle_ms else 0
+        held: dict = {}
+        urls: dict = {}
+        if old is not None:
+            kept = json.loads(old[0])
+            for i, n, p, seq, v, at in zip(*[kept["rounds"][c] for c in _ROUNDS], strict=True):
+                if at + self.idle_ms >= now:
+                    held.setdefault(i, {})[n, p] = (seq, v, at)
+            for i, u, seq, at in zip(*[kept["sources"][c] for c in _SOURCES], strict=True):
+                if at + self.idle_ms >= now:
+                    urls.setdefault(i, {})[u] = (seq, at)
+        came: dict = {}
+        for r in rows:
+            i, at, seq = r["item_id"], (r["round_no"], r["path"]), r["seq"]
+            came[i] = True
+            own = held.setdefault(i, {})
+            if at not in own or own[at][0] < seq:
+                own[at] = (seq, r["value"], now)
+            for url in r["sources"] or []:
+                its = urls.setdefault(i, {})
+                if url not in its or its[url][0] > seq:
+                    its[url] = (seq, now)
+        columns = lambda names, each: dict(zip(names, zip(*each, strict=True), strict=True)) if each else {c: [] for c in names}
+        rounds = columns(_ROUNDS, [(i, *k, *v) for i, own in held.items() for k, v in own.items()])
+        self.held.update((json.dumps({"rounds": rounds, "sources": columns(_SOURCES, [(i, u, *x) for i, its in urls.items() for u, x in its.items()])}),))
+        return held, urls, came
 
     def handleInitialState(self, key, initialState, timerValues):  # noqa: N802, N803
-        self._hold(initialState)
+        self._hold(initialState["rounds"], timerValues)
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802
-        for r in rows:
-            self._hold(r)
-        held = {tuple(k): v[1] for k, v in self.held.iterator()}
+        held, sources, came = self._hold(rows, timerValues)
+        for item in came:
+            yield self._result(item, {k: v[1] for k, v in held[item].items()}, sources.get(item, {}))
+
+    @staticmethod
+    def _result(item, held: dict, sources: dict) -> Row:
         started = any(n == 1 for n, _ in held)
         gap = any(n == 1 and v is not None and MARK in v for (n, _), v in held.items())
         refined = started and gap and any(n == 2 for n, _ in held)
@@ -238,25 +272,30 @@ class RoundState(StatefulProcessor):
         for n in (1, 2, 3):
             if started and (n != 2 or refined):
                 out.update({p: v for (k, p), v in held.items() if k == n})
-        urls = [u[0] for u, _ in sorted(self.sources.iterator(), key=lambda x: (x[1][0], x[0][0]))]
+        urls = [u for u, _ in sorted(sources.items(), key=lambda x: (x[1][0], x[0]))]
         values = [Row(path=p, value=v) for p, v in sorted(out.items())]
-        yield Row(item_id=key[0], failed=not started, rounds_used=2 if refined else int(started), gaps=sorted(p for p, v in out.items() if v is None or MARK in v), values=values, sources=urls)
+        return Row(item_id=item, failed=not started, rounds_used=2 if refined else int(started), gaps=sorted(p for p, v in out.items() if v is None or MARK in v), values=values, sources=urls)
 
 
 ROUND_STATE = "item_id long, failed boolean, rounds_used int, gaps array<string>, values array<struct<path:string,value:string>>, sources array<string>"
 
 
-def round_states(rounds: DataFrame, idle_ms: int = 0, before: DataFrame | None = None) -> DataFrame:
-    """Rounds of each item (``item_id, round_no, seq, path, value, sources``) as they arrive, in any order, one row per item after every batch: :data:`ROUND_STATE`.
+def round_states(rounds: DataFrame, idle_ms: int = 0, before: DataFrame | None = None, buckets: int = 16_384) -> DataFrame:
+    """Rounds of each item (``item_id, round_no, seq, path, value, sources``) as they arrive, in any order, one row per item after every batch that has rows of it: :data:`ROUND_STATE`.
 
     The result applies the batch form's rule to what is there. ``before``: a batch table of rounds that the state starts with. Needs the RocksDB state store. ``idle_ms``: an entry of the state goes when it
-    wasn't renewed for so long (0: never).
+    wasn't renewed for so long (0: never). ``buckets``: states that the items share, by a hash; fixed for a checkpoint. A batch reads and writes the states of its items whole.
     """
-    first = None if before is None else before.select(*rounds.columns).groupBy("item_id")
-    return rounds.groupBy("item_id").transformWithState(RoundState(idle_ms), ROUND_STATE, "Update", "ProcessingTime" if idle_ms else "None", initialState=first)
+    bucket = F.pmod(F.xxhash64("item_id"), F.lit(buckets)).cast("int").alias("bucket")
+    first = None
+    if before is not None:  # one row a bucket
+        first = before.select(bucket, F.struct(*rounds.columns).alias("r")).groupBy("bucket").agg(F.collect_list("r").alias("rounds")).groupBy("bucket")
+    return rounds.select(bucket, *rounds.columns).groupBy("bucket").transformWithState(RoundState(idle_ms), ROUND_STATE, "Update", "ProcessingTime" if idle_ms else "None", initialState=first)
 
 
 def held_rounds(spark: SparkSession, checkpoint: str) -> DataFrame:
     """``item_id, round_no, path, seq, value``: the state of :func:`round_states` after its last complete batch, read from the state store of ``checkpoint``."""
     state = spark.read.format("statestore").option("stateVarName", "held").load(checkpoint)
-    return state.select(F.col("key.item_id"), F.col("user_map_key.round_no"), F.col("user_map_key.path"), F.col("user_map_value.seq"), F.col("user_map_value.value"))
+    held = F.from_json("value.text", "rounds struct<item_id:array<long>,round_no:array<int>,path:array<string>,seq:array<long>,value:array<string>>")["rounds"]
+    columns = ("item_id", "round_no", "path", "seq", "value")
+    return state.select(held.alias("h")).select(F.inline(F.arrays_zip(*[F.col(f"h.{c}") for c in columns])).alias(*columns))

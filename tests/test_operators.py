@@ -389,6 +389,41 @@ def test_first_arrivals(spark, tmp_path):
     assert sorted(x for x in once if x[0] < 50) == sorted(want.items())  # the late event of key 2, with seq 1, comes after
 
 
+def test_streams_state(spark, tmp_path):
+    """First arrivals without an expiry call no Python and publish a key only with a batch that brings an earlier event; a bucket of items is one value of the state, so a batch of it costs two calls."""
+    configured(spark)
+    rows = [(5, "tool/result", 1, 0), (9, "tool/result", 2, 0), (7, "tool/result", 1, 1), (3, "tool/result", 2, 1), (3, "tool/result", 2, 2)]
+    events = spark.createDataFrame([(s, "2024-01-01 00:00:00", t, c, None, f) for s, t, c, f in rows], "seq long, ts string, type string, call_id long, bytes long, file int")
+    first, seen = stream.first_arrivals(in_files(spark, events, "file", tmp_path / "in")), []
+    assert "TransformWithState" not in first._jdf.queryExecution().analyzed().toString()
+    drained(first, lambda b, n: seen.extend((n, r["call_id"], r["seq"], r["bytes"]) for r in b.collect()), tmp_path / "c")
+    assert sorted(seen) == [(0, 1, 5, 0), (0, 2, 9, 0), (1, 2, 3, 0)]
+
+    class Held:
+        calls, value = 0, None
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls, self.value = self.calls + 1, value
+
+    class Clock:
+        now = 0
+
+        def getCurrentProcessingTimeInMs(self):  # noqa: N802
+            return self.now
+
+    state, clock = stream.RoundState(10), Clock()
+    state.held = Held()
+    batch = lambda *r: list(state.handleInputRows((1,), [dict(zip(("item_id", "round_no", "seq", "path", "value", "sources"), x, strict=True)) for x in r], clock))
+    many = batch(*[(i % 2, 1, i, f"p{i}", "v", [f"u{i}"]) for i in range(50)])
+    assert [len(m["values"]) for m in many] == [len(m["sources"]) for m in many] == [25, 25] and state.held.calls == 2
+    clock.now = 11  # an entry goes that wasn't renewed, in an item that was
+    assert [(m["item_id"], [(v["path"], v["value"]) for v in m["values"]]) for m in batch((1, 1, 99, "p1", "new", None))] == [(1, [("p1", "new")])]
+
+
 def test_arrivals_once(spark, tmp_path):
     """Keys twice in a batch, in two batches, null keys, a run from the start, and a batch that died after half of its parts."""
     rows = [(k, None if i % 9 == 0 else i % 30, i) for i in range(120) for k in [i // 30]]
