@@ -221,14 +221,15 @@ def _list(items: Column, kind: str, one) -> Column:
 
 def render(specs: DataFrame, css: str = "") -> DataFrame:
     """``spec_id, title, html`` of specs (``spec_id, raw``) that are valid, parsed once for checks and page."""
-    return rendered(judged(parsed(specs)).filter(F.size("errors") == 0).drop("errors"), css)
+    valid = F.when(F.size("errors") == 0, F.col("doc"))  # no filter: pushed below the parsing, it would parse the text anew at each place that names the document
+    return rendered(judged(parsed(specs)).select("spec_id", valid.alias("doc")), css)
 
 
 def rendered(docs: DataFrame, css: str = "") -> DataFrame:
-    """``spec_id, title, html`` of parsed valid specs. A section becomes HTML in its own row; a page gathers its own sections alone."""
+    """``spec_id, title, html`` of parsed valid specs (null ones have no page). A section becomes HTML in its own row; a page gathers its own sections alone."""
     e = escape_html
-    rows = docs.select("spec_id", F.named_struct(*[x for k in ("title", "subtitle", "summary") for x in (F.lit(k), _text(_get(F.col("doc"), k)))]).alias("d"), F.posexplode(F.try_variant_get("doc", "$.sections", "array<variant>")).alias("section_no", "section"))
-    rows = rows.select("spec_id", "d", "section_no", F.from_json(F.to_json("section"), _SCHEMA).alias("s"))
+    rows = docs.select("spec_id", F.named_struct(*[x for k in ("title", "subtitle", "summary") for x in (F.lit(k), _text(_get(F.col("doc"), k)))]).alias("d"), F.posexplode_outer(F.try_variant_get("doc", "$.sections", "array<variant>")).alias("section_no", "section"))
+    rows = rows.filter("section_no IS NOT NULL").select("spec_id", "d", "section_no", F.from_json(F.to_json("section"), _SCHEMA).alias("s"))
     s = F.col("s")
     meta = lambda c: F.when(F.size(c["meta"]) > 0, _tag("div", 'class="meta"', F.array_join(F.transform(c["meta"], lambda m: _tag("span", 'class="chip"', e(m))), ""))).otherwise("")
     cards = _list(s["cards"], "grid", lambda c: _toned("article", "card", c["tone"], _tag("h3", "", e(c["title"])), _opt(c["body"], "p"), F.coalesce(meta(c), F.lit(""))))

@@ -90,6 +90,13 @@ def test_spec_errors(spark):
     assert got[2] == ["spec must be an object"] and got[3] == ["spec.sections must be a non-empty array"] and got[4] == []
 
 
+def test_a_spec_is_parsed_once_for_its_page(spark):
+    df = spark.createDataFrame([(1, '{"title":"t","sections":[{"title":"a"},{"title":"b"}]}'), (2, '{"title":"t","sections":[]}'), (3, "x"), (4, None)], "spec_id long, raw string")
+    pages = specs.render(df)
+    assert pages._jdf.queryExecution().optimizedPlan().toString().count("parseJson") + pages._jdf.queryExecution().optimizedPlan().toString().count("try_parse_json") == 1
+    assert [(r["spec_id"], r["title"], r["html"].count('class="section-kicker"')) for r in pages.collect()] == [(1, "t", 2)]
+
+
 def test_requirement_audit(spark):
     rows = spark.createDataFrame([(i, "gap" if i == 3 else "match") for i in range(14)], "req_id long, status string")
     r = review.status_rollup(rows).first()
