@@ -6,9 +6,7 @@ import hashlib
 import json
 from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Row, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -97,40 +95,14 @@ def settled_arrivals(events: DataFrame, delay: str = "10 minutes", settle_ms: in
     return rows.groupBy("call_id").transformWithState(FirstOfKey(settle_ms, forget_ms), _FIRST, "Append", "EventTime")
 
 
-#: Bits of a filter for each key, and places that a key marks in it.
-FILTER_BITS, FILTER_MARKS = 10, 7
-
-
-def _marks(h1: np.ndarray, h2: np.ndarray, size: int) -> np.ndarray:
-    """The places of keys in a filter of ``size`` bits (a power of two), one row per key."""
-    steps = np.arange(FILTER_MARKS, dtype=np.uint64)
-    return ((h1.view(np.uint64)[:, None] + steps * (h2.view(np.uint64)[:, None] | np.uint64(1))) & np.uint64(size - 1)).astype(np.int64)
-
-
-def _filters(t: pa.Table) -> pa.Table:
-    """One row ``part, bits`` for the keys of a part."""
-    n = t.num_rows
-    size = 1 << max(6, (FILTER_BITS * n - 1).bit_length())
-    bits = np.zeros(size, bool)
-    bits[_marks(t.column("h1").to_numpy(), t.column("h2").to_numpy(), size).ravel()] = True
-    return pa.table({"part": t.column("part").slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
-
-
-def _maybe(keys: pa.Table, filters: pa.Table) -> pa.Table:
-    """The hashes of those keys of a part that some filter of the part may hold."""
-    h1, h2 = keys.column("h1").to_numpy(), keys.column("h2").to_numpy()
-    found = np.zeros(len(h1), bool)
-    for raw in filters.column("bits").to_pylist():
-        bits = np.unpackbits(np.frombuffer(raw, np.uint8)).view(bool)
-        found |= bits[_marks(h1, h2, len(bits))].all(axis=1)
-    return keys.select(["part", "h1", "h2"]).filter(pa.array(found))
+#: Rows up to which the keys of a batch are broadcast to those that are there.
+FEW = 100_000
 
 
 class Arrivals:
     """A table that grows by micro-batches, each key once, whatever is run again.
 
-    Rows lie in ``rows/part=<p>/batch=<b>`` (parts by a hash of the key), filters of their keys in ``keys/batch=<b>``, and ``log`` has a marker for each batch that is complete. Readers see the rows of complete
-    batches alone. A batch that was complete is left out when it comes again; what one that died has left goes before it is written again.
+    Rows lie in ``rows/part=<p>/batch=<b>`` (parts by a hash of the key), and ``log`` has a marker for each batch that is complete. Readers see the rows of complete batches alone. A batch that was complete is left out when it comes again; what one that died has left goes before it is written again.
     """
 
     def __init__(self, spark: SparkSession, path: str, key: str, parts: int = 64):
@@ -157,34 +129,31 @@ class Arrivals:
         if self._there(f"log/{batch}"):
             return
         self._drop(batch)
-        old, schema = self._there("log"), rows.schema
-        one = Window.partitionBy(self.key).orderBy(*[c for c in rows.columns if c != self.key] or [F.lit(1)])
-        rows = rows.withColumn("__n", F.row_number().over(one)).filter("__n = 1").drop("__n")
-        rows = rows.withColumns({"part": F.pmod(F.xxhash64(self.key), F.lit(self.parts)).cast("int"), "h1": F.xxhash64(self.key), "h2": F.xxhash64(self.key, F.lit(1))}).persist()
-        try:
-            fresh = rows
-            if old:
-                filters = self._complete(self.spark.read.schema("part int, bits binary, batch string").parquet(f"{self.path}/keys"))
-                maybe = rows.select("part", "h1", "h2").groupBy("part").cogroup(filters.groupBy("part")).applyInArrow(_maybe, "part int, h1 long, h2 long").persist()
-                mine = [r["part"] for r in maybe.select("part").distinct().collect()]  # at most ``parts``
-                if mine:  # keys are read of those parts alone in which some key may be there
-                    done = self.rows(schema).filter(F.col("part").isin(mine)).select(F.col(self.key).alias("__key"))
-                    again = rows.join(maybe, ["part", "h1", "h2"], "left_semi").join(done, F.col(self.key).eqNullSafe(F.col("__key")), "left_semi").select(F.col(self.key).alias("__key"))
-                    fresh = rows.join(again, F.col(self.key).eqNullSafe(F.col("__key")), "left_anti")
-            named = fresh.withColumn("batch", F.lit(batch))
-            named.drop("h1", "h2").write.mode("append").partitionBy("part", "batch").parquet(f"{self.path}/rows")
-            named.select("part", "h1", "h2").groupBy("part").applyInArrow(_filters, "part int, bits binary").withColumn("batch", F.lit(batch)).write.mode("append").partitionBy("batch").parquet(f"{self.path}/keys")
-            self._commit(batch)
-        finally:
-            rows.unpersist()
-            if old:
-                maybe.unpersist()
+        # A task holds few parts and a part few tasks, so that the files of a batch follow its rows, not tasks times parts.
+        slices = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.parts)
+        dealt = {"__part": F.pmod(F.xxhash64(self.key), F.lit(self.parts)).cast("int"), "__slice": F.pmod(F.xxhash64(self.key, F.lit(1)), F.lit(slices))}
+        both = rows.withColumn("__old", F.lit(False))
+        if self._there("log"):
+            both = both.unionByName(self._done(rows, dealt["__part"]).withColumn("__old", F.lit(True)), allowMissingColumns=True)
+        one = Window.partitionBy(*dealt, self.key).orderBy(F.desc("__old"), *[c for c in rows.columns if c != self.key])
+        both = both.withColumns(dealt).repartition(*dealt).withColumn("__n", F.row_number().over(one))
+        fresh = both.filter("__n = 1 AND NOT __old").select(*rows.columns, F.col("__part").alias("part"), F.lit(batch).alias("batch"))
+        fresh.write.mode("append").partitionBy("part", "batch").parquet(f"{self.path}/rows")
+        self._commit(batch)
+
+    def _done(self, rows: DataFrame, part: Column) -> DataFrame:
+        """The keys that are there; for a few ``rows`` those of their parts alone that are among theirs."""
+        done = self.rows(rows.schema)
+        if rows.select(self.key).limit(FEW + 1).count() > FEW:
+            return done.select(self.key)
+        mine = [r[0] for r in rows.select(part).distinct().collect()]  # at most ``parts``
+        keys = F.broadcast(rows.select(F.col(self.key).alias("__key")).distinct())
+        return done.filter(F.col("part").isin(mine)).select(self.key).join(keys, F.col(self.key).eqNullSafe(F.col("__key")), "left_semi")
 
     def _drop(self, batch: str) -> None:
-        for pattern in (f"rows/part=*/batch={batch}", f"keys/batch={batch}"):
-            files, where = self._at(pattern)
-            for found in files.globStatus(where) or []:
-                files.delete(found.getPath(), True)
+        files, where = self._at(f"rows/part=*/batch={batch}")
+        for found in files.globStatus(where) or []:
+            files.delete(found.getPath(), True)
 
     def _commit(self, batch: str) -> None:
         """The marker is written aside and moved, so it is there whole or not at all."""

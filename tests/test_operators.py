@@ -476,6 +476,22 @@ def test_arrivals_once(spark, tmp_path):
         assert keys() == sorted([*every, *range(100, 106)])
 
 
+def test_arrivals_files(spark, tmp_path, monkeypatch):
+    """A batch has about as many files as shuffle partitions or parts, not one for each of both; keys that are there are found by large batches and by few rows."""
+    out = stream.Arrivals(spark, f"file://{tmp_path}/out", "key", 16)
+    rows = lambda a, b: spark.range(a, b).select(F.when(F.col("id") != 7, F.col("id")).alias("key"), F.lit(1).alias("one"))
+    monkeypatch.setattr(stream, "FEW", 100, raising=False)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for batch, (a, b) in enumerate([(0, 2000), (1000, 3000), (2990, 3010), (5, 9)]):
+            out.add(rows(a, b), str(batch))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list(tmp_path.glob("out/rows/part=*/batch=0/*.parquet"))) == 16
+    held = [(r["key"], r["batch"]) for r in out.rows(rows(0, 1).schema).collect()]
+    assert sorted(held, key=str) == sorted([(None if i == 7 else i, "0" if i < 2000 else "1" if i < 3000 else "2") for i in range(3010)], key=str)
+
+
 def test_round_states(spark, tmp_path):
     configured(spark)
     rows = [(1, 1, 1, "a", "[uncertain]", ["u", "v"]), (1, 2, 2, "a", "x", ["w", "u"]), (2, 1, 3, "a", "v=;", None), (2, 2, 4, "a", "w", ["z"]), (3, 2, 5, "a", "z", None), (1, 1, 0, "a", "old", ["v"]), (4, 1, 6, "b", None, None)]
