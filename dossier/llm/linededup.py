@@ -53,7 +53,7 @@ def _later_matches(docs: DataFrame) -> DataFrame:
     removed = written(gone(posted.filter("a IS NOT NULL").select("a", "b").distinct()), "line-removed", narrow=True)
     for most in (SOME, None):
         # Lists with a set that nothing removed and that has partners which it wasn't paired with.
-        left = kept.filter("more").join(small(removed), "sid", "left_anti").select("token").distinct()
+        left = written(kept.filter("more").join(small(removed), "sid", "left_anti").select("token").distinct(), "line-open", narrow=True)
         rows = kept.join(small(left), "token", "left_semi").join(small(removed.withColumn("gone", F.lit(True))), "sid", "left")
         rows = written(rows.withColumn("open", F.col("more") & F.col("gone").isNull()).drop("more", "gone"), "line-lists", narrow=True)
         if rows.isEmpty():

@@ -64,6 +64,21 @@ def _once(sid: np.ndarray) -> np.ndarray:
     return out
 
 
+def _repeated_runs(x: np.ndarray) -> np.ndarray:
+    """Marks the values that are beside an equal one."""
+    same = np.zeros(len(x) + 1, bool)
+    same[1:-1] = x[1:] == x[:-1]
+    return same[1:] | same[:-1]
+
+
+def _repeated(x: np.ndarray) -> np.ndarray:
+    """Marks the values that are there more than once."""
+    o = np.argsort(x)
+    out = np.empty(len(x), bool)
+    out[o] = _repeated_runs(x[o])
+    return out
+
+
 class _Heads:
     """Marks occurrences of sets that come after another one in the same task. Places are those of :func:`dossier.llm.linededup.place`."""
 
@@ -187,7 +202,7 @@ def signatures(tokens: np.ndarray, cuts: np.ndarray, levels: np.ndarray, lines:
     quarter = np.where(n > 2, n // 4, -1)
     level = levels[_cell(tokens)]
     whole = np.log2(max(lines, 1))
-    i = np.flatnonzero(place <= quarter[unit])
+    i = np.flatnonzero((place <= quarter[unit]) & (level > 0))  # a word that the sketch counted once is in no other set
     h, u, last, seen = tokens[i], unit[i], place[i], level[i] / 4
     out = []
     for size in range(1, TOGETHER + 1):
@@ -283,8 +298,8 @@ def postings(docs: DataFrame, levels: np.ndarray, lines: int, blocks: int) -> Da
                 block = np.concatenate([b for b, _ in held[k]]) if held[k] else np.zeros(0, np.int64)
                 x = np.concatenate([x for _, x in held[k]]) if held[k] else np.zeros(0, t)
                 held[k].clear()
-                order = np.argsort(block, kind="stable")
-                cuts = np.searchsorted(block[order], np.arange(blocks + 1))
+                order = np.argsort(block.astype(np.uint16) if blocks <= MOST else block, kind="stable")  # 16 bits are sorted by their digits
+                cuts = np.concatenate([[0], np.cumsum(np.bincount(block, minlength=blocks))])
                 x = x[order]
                 columns.append([x[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)])
             return pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), *[pa.array(c, pa.binary()) for c in columns]], names=["block", "p0", "p1", "p2"])
@@ -335,30 +350,38 @@ def postings(docs: DataFrame, levels: np.ndarray, lines: int, blocks: int) -> Da
             for k in range(3):
                 parts[k] += [np.frombuffer(x.as_py(), POSTING[k]) for x in batch.column(k + 1)]
         heads, maps, kinds = [], [], []
+        rows = [np.concatenate(parts[k]) if parts[k] else np.zeros(0, POSTING[k]) for k in range(3)]
+        parts.clear()
+        shared = np.split(_repeated(np.concatenate([x["list"] for x in rows])), np.cumsum([len(x) for x in rows[:2]]))
         for k in range(3):
-            if parts[k] and len(x := np.concatenate(parts[k])):
+            if len(x := rows[k][shared[k]]):
                 heads.append(np.stack([x["list"].astype(U) | U(block << 32), x["sid"], x["order"].astype(U), x["n"].astype(U), x["at"].astype(U)]))
                 wide = np.zeros((len(x), 4), U)
                 wide[:, : 1 << k] = x["map"]  # folds back to itself
                 maps.append(wide)
                 kinds.append(np.full(len(x), k))
-            parts[k] = []
+            rows[k] = rows[k][:0]
         if heads:
             yield from compared(*np.concatenate(heads, axis=1), np.concatenate(maps), np.concatenate(kinds))
 
     def compared(token, sid, order, n, at, maps, kind) -> Iterator[pa.RecordBatch]:
-        o = np.lexsort((order, sid, token))
+        # All tokens are of one block. A set that is there more than once takes its least order; where two hashes share a list, it has two places: the least one bounds the overlap least.
+        key = (token << U(32)) | (sid >> U(32))
+        o = np.argsort(key)
         same = np.zeros(len(o), bool)
-        same[1:] = (token[o[1:]] == token[o[:-1]]) & (sid[o[1:]] == sid[o[:-1]])
-        if len(o):  # where two hashes share a list, a set is there with two places: the least one bounds the overlap least
-            at = at.copy()
-            at[o[~same]] = np.minimum.reduceat(at[o], np.flatnonzero(~same))
-        o = o[~same]
-        o = o[np.lexsort((order[o], n[o], token[o]))]
-        start = np.flatnonzero(np.concatenate([[True], token[o[1:]] != token[o[:-1]]]))
+        same[1:] = key[o[1:]] == key[o[:-1]]
+        if (same[1:] & (sid[o[1:]] != sid[o[:-1]])).any():
+            o = np.lexsort((sid, token))
+            same[1:] = (token[o[1:]] == token[o[:-1]]) & (sid[o[1:]] == sid[o[:-1]])
+        first = np.flatnonzero(~same)
+        at, order, o = np.minimum.reduceat(at[o], first) if len(o) else at, np.minimum.reduceat(order[o], first) if len(o) else order, o[first]
+        use = np.flatnonzero(_repeated_runs(token[o]))
+        at, order, o = at[use], order[use], o[use]
+        by = np.lexsort((order, (token[o] << U(32)) | n[o]))
+        at, order, o = at[by], order[by], o[by]
+        token, sid, n, maps, kind = token[o], sid[o], n[o], maps[o], kind[o]
+        start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
         count = np.repeat(np.diff(np.append(start, len(o))), np.diff(np.append(start, len(o))))
-        o, count = o[count > 1], count[count > 1]
-        token, sid, order, n, at, maps, kind = token[o], sid[o], order[o], n[o], at[o], maps[o], kind[o]
         best, score, partners = np.full(len(o), -1), np.full(len(o), np.inf), np.zeros(len(o), np.int64)
         touched = np.zeros(len(o), bool)
 

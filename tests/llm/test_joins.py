@@ -162,6 +162,16 @@ def test_line_query(spark):
     assert got == {i: (len(gone[i]), ",".join(map(str, gone[i]))) for i, _ in rows}
 
 
+def test_words_of_one_set_are_not_posted():
+    """A word that the sketch counted once can meet no other set; its place in the order still counts."""
+    tokens, cuts = np.arange(1, 17, dtype=np.uint64) << np.uint64(60 - 16), np.array([0, 8, 16])
+    levels = np.zeros(linejoin.CELLS, np.uint8)
+    levels[linejoin._cell(tokens[[2, 9]])] = 4
+    h, unit, at = linejoin.signatures(tokens, cuts, levels, 100)
+    assert (h.tolist(), unit.tolist(), at.tolist()) == (tokens[[2, 9]].tolist(), [0, 1], [2, 1])
+    assert linejoin._repeated(np.array([5, 7, 5, 1], np.uint64)).tolist() == [True, False, True, False] and not len(linejoin._repeated(np.zeros(0, np.uint64)))
+
+
 def test_parity_maps_bound_the_difference():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 300, n).astype(U) * U(0x9E3779B97F4A7C15)) for n in rng.integers(1, 250, 60)]
