@@ -141,6 +141,7 @@ def item_rows(items: DataFrame, fields: DataFrame, columns: list[str], sidecars:
     first = F.min(F.when(sure, F.col("pos"))).over(Window.partitionBy("item_id", "category"))
     cites = F.array_sort(F.collect_list("cite").over(Window.partitionBy("item_id", "field")))
     cited = F.array_join(F.transform(cites, lambda x: F.concat(F.lit("["), x["idx"].cast("string"), F.lit("]"))), "")
+    rows = rows.repartition("item_id")  # the windows and the groups below all find their rows there
     rows = rows.withColumns({"cat": first, "cited": F.when(F.col("pos").isNotNull(), cited)})
     field = F.when(F.col("pos").isNotNull(), F.struct("pos", "category", "field", "value", sure.alias("sure"), "cat", "cited"))
     per = rows.groupBy("item_id").agg(

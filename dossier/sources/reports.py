@@ -6,9 +6,12 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Row
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql import DataFrame
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+
+from dossier.session import written
 
 _CHUNK = 8 << 20
 
@@ -19,7 +22,7 @@ class Part(WriterCommitMessage):
     path: str
 
 
-class TextWriter(DataSourceWriter):
+class TextWriter(DataSourceArrowWriter):
     """Each task writes its lines to a part of its own beside the target; a task that is run again writes another one, and only those that were committed count.
 
     The commit joins the parts in the order of their partitions, a chunk at a time, under a name of its own, and moves the whole to the target: readers see the old text or the new one.
@@ -33,13 +36,14 @@ class TextWriter(DataSourceWriter):
 
         return fs.FileSystem.from_uri(self.path)
 
-    def write(self, iterator: Iterator[Row]) -> Part:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Part:
         context = TaskContext.get()
         files, target = self._files()
         where = f"{target}.{self.own}.part-{context.partitionId()}-{context.taskAttemptId()}"
         with files.open_output_stream(where) as out:
-            for row in iterator:
-                out.write(f"{row[0] or ''}\n".encode())
+            for batch in iterator:
+                lines = batch.column(0).fill_null("").to_pylist()
+                out.write("".join(f"{x}\n" for x in lines).encode())
         return Part(context.partitionId(), where)
 
     def commit(self, messages: list[Part | None]) -> None:
@@ -75,7 +79,11 @@ class TextReport(DataSource):
 
 
 def write_report(lines: DataFrame, path: str) -> None:
-    """Lines as one text at ``path`` (a URI that all executors reach): sorted by all columns but ``line``, over ranges of them, so no task holds the report."""
+    """Lines as one text at ``path`` (a URI that all executors reach): sorted by all columns but ``line``, over ranges of them, so no task holds the report.
+
+    The lines are written once before, as the ranges come from a sample of all of them.
+    """
     lines.sparkSession.dataSource.register(TextReport)
     order = [c for c in lines.columns if c != "line"]
+    lines = written(lines, "report-lines")
     lines.repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.format("one_text").mode("overwrite").save(path)

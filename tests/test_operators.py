@@ -319,6 +319,16 @@ _No uncertainty flags; verification metadata absent._
 """
 
 
+def test_item_rows_shuffle_once(spark):
+    """All that a report says of an item meets in one shuffle."""
+    empty = lambda schema: spark.createDataFrame([], schema)
+    rows = report.item_rows(
+        empty("item_id long, no long, name string, failed boolean"), empty("item_id long, pos int, category string, field string, value string"), ["price"], empty("item_id long, confidence string, conflicts array<string>, notes array<string>"),
+        empty("item_id long, field string, ref_ord long, idx long"), empty("item_id long, n long, line string"), empty("item_id long, pos long, field string"),
+    )
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
 def test_paths_and_order(spark, tmp_path):
     for name in ("b.json", "a.json", "c.txt"):
         (tmp_path / name).write_text('{"v": 1}')
