@@ -11,15 +11,12 @@ a null doc_id comes before all others; an empty table gives an empty result; oth
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dossier.llm.linejoin import SOME, block_count, further_pairs, line_words, postings, rarity, survey
+from dossier.llm.linejoin import SOME, counted, further_pairs, line_words, postings, rarity, survey
 from dossier.llm.setjoin import verified
-from dossier.llm.shared import apart, scratch, small, written
+from dossier.llm.shared import scratch, small, written
 
 
 def place() -> Column:
@@ -39,16 +36,13 @@ def _later_matches(docs: DataFrame) -> DataFrame:
     heads = lines.filter("NOT later").drop("later").withColumn("first", F.min(place()).over(Window.partitionBy("sid")))
     heads = written(heads, "line-heads")
     firsts = heads.filter(place() == F.col("first"))
-    posted = postings(docs, rarity(found), firsts.count(), block_count(docs, firsts))
+    posted = postings(docs, rarity(found), *counted(docs, firsts))
     kept = posted.filter("token IS NOT NULL").select("token", "sid", "n", "at", "first", "map", "more")
 
     def gone(pairs: DataFrame) -> DataFrame:
         """Of each of the ``pairs`` that is alike, the set that occurs first later."""
-        links = verified(written(pairs, "line-pairs", narrow=True), docs, line_words, firsts)
-        first = lambda c: firsts.select(F.col("sid").alias(c), F.col("first").alias(f"first_{c}"))
-        both = first("a").join(small(links), "a")
-        both = first("b").join(small(written(both, "line-links", narrow=True)), "b")
-        return both.select(F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("sid")).distinct()  # sets of repeated rows are there more than once
+        links = verified(written(pairs, "line-pairs", narrow=True), docs, line_words, firsts, later=True)
+        return links.select(F.col("later").alias("sid")).distinct()
 
     removed = written(gone(posted.filter("a IS NOT NULL").select("a", "b").distinct()), "line-removed", narrow=True)
     for most in (SOME, None):
@@ -74,20 +68,10 @@ def without_later_matches(docs: DataFrame, numbers: str | None = None) -> DataFr
     with scratch(spark):
         per = found.groupBy(F.col("doc_id").alias("d"), F.col("version").alias("v")).agg(F.array_sort(F.collect_set(F.col("number").cast("int"))).alias("removed"))
         per = small(written(per, "lines-removed", keep=True))
-    joined = keyed.join(per, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v")), "left").select("row.*", F.col("removed").alias(numbers or apart(docs.columns)))
-    at = docs.columns.index("text")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, gone = batch.column(at), batch.column(batch.num_columns - 1)
-            if gone.null_count < len(gone):
-                out = texts.to_pylist()
-                for k in gone.is_valid().to_numpy(zero_copy_only=False).nonzero()[0].tolist():
-                    drop = set(gone[k].as_py())
-                    out[k] = "\n".join(x for i, x in enumerate(out[k].split("\n")) if i not in drop)
-                texts = pa.array(out, texts.type)
-            columns = [*batch.columns[:at], texts, *batch.columns[at + 1 :]][: len(schema)]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-
-    schema = joined.schema if numbers else docs.schema
-    return joined.mapInArrow(run, schema)
+    joined = keyed.join(per, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v")), "left")
+    # The lines as one value, so that a text is split once; the numbers that stay come from a hash of those that go, so a text of any number of lines takes time in proportion.
+    stay = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), "removed")
+    left = F.transform(F.array(F.split("text", "\n", -1)), lambda x: F.array_join(F.transform(stay(x), lambda i: F.get(x, i)), "\n"))[0]
+    edited = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(left)
+    out = [(edited if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
+    return joined.select(*out, *([F.col("removed").alias(numbers)] if numbers else []))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm.setjoin import MOST, REMEMBERED, Units, _signed, by_tile, each_of, each_slice, kinds, met_by, set_ids, whole_tiles, within
-from dossier.llm.shared import partitions, small, written
+from dossier.llm.shared import partitions, small, tidy, written
 from dossier.llm.textarrays import LOWER, U, mix, span_hashes, words
 
 #: Cells of the sketch that counts words, and the parts in which it is added up.
@@ -146,7 +146,7 @@ def survey(docs: DataFrame) -> DataFrame:
         blank = pa.nulls(len(use), pa.int64())
         yield pa.RecordBatch.from_arrays([*[blank] * 5, pa.nulls(len(use), pa.bool_()), pa.array(use, pa.int32()), pa.array([out[cuts[k] : cuts[k + 1]].tobytes() for k in use.tolist()], pa.binary())], names=names)
 
-    return written(docs.mapInArrow(run, "doc_id long, version long, number long, sid long, n long, later boolean, part int, cells binary"), "line-survey")
+    return written(docs.mapInArrow(tidy(run), "doc_id long, version long, number long, sid long, n long, later boolean, part int, cells binary"), "line-survey")
 
 
 def _cell(tokens: np.ndarray) -> np.ndarray:
@@ -165,7 +165,7 @@ def rarity(found: DataFrame) -> np.ndarray:
         levels = [np.minimum(np.ceil(4 * np.log2(np.maximum(x, 1))), 255).astype(np.uint8).tobytes() for x in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], names=["part", "levels"])
 
-    parts = found.filter("part IS NOT NULL").select("part", "cells").repartition(min(PARTS, partitions(found.sparkSession)), "part").mapInArrow(run, "part int, levels binary").collect()
+    parts = found.filter("part IS NOT NULL").select("part", "cells").repartition(min(PARTS, partitions(found.sparkSession)), "part").mapInArrow(tidy(run), "part int, levels binary").collect()
     out = np.zeros((PARTS, CELLS // PARTS), np.uint8)
     for r in parts:
         out[r["part"]] = np.frombuffer(r["levels"], np.uint8)
@@ -377,7 +377,8 @@ def postings(docs: DataFrame, levels: np.ndarray, lines: int, blocks: int) -> Da
         at, order, o = np.minimum.reduceat(at[o], first) if len(o) else at, np.minimum.reduceat(order[o], first) if len(o) else order, o[first]
         use = np.flatnonzero(_repeated_runs(token[o]))
         at, order, o = at[use], order[use], o[use]
-        by = np.lexsort((order, (token[o] << U(32)) | n[o]))
+        # By list, then size, 32 bits of each: all tokens differ in their low halves.
+        by = np.argsort((token[o] << U(32)) | n[o])
         at, order, o = at[by], order[by], o[by]
         token, sid, n, maps, kind = token[o], sid[o], n[o], maps[o], kind[o]
         start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
@@ -426,8 +427,8 @@ def postings(docs: DataFrame, levels: np.ndarray, lines: int, blocks: int) -> Da
                 names=names,
             )
 
-    posted = docs.mapInArrow(post, "block int, p0 binary, p1 binary, p2 binary").repartitionById(blocks, F.col("block"))
-    return written(posted.mapInArrow(meet, _KEPT), "line-postings")
+    posted = docs.mapInArrow(tidy(post), "block int, p0 binary, p1 binary, p2 binary").repartitionById(blocks, F.col("block"))
+    return written(posted.mapInArrow(tidy(meet), _KEPT), "line-postings")
 
 
 def _runs(token: np.ndarray, n: np.ndarray, i: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -504,10 +505,10 @@ def further_pairs(kept: DataFrame, most: int | None) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return whole_tiles(batches, compare)
 
-    return by_tile(_beside(kept)).mapInArrow(run, "a long, b long").distinct()
+    return by_tile(_beside(kept)).mapInArrow(tidy(run), "a long, b long").distinct()
 
 
-def block_count(docs: DataFrame, lines: DataFrame) -> int:
-    """Blocks of postings: as many as shuffle partitions, more if a block would hold over ``BLOCK_POSTINGS``."""
-    total = lines.agg(F.sum(F.expr("n div 4 + 1"))).first()[0] or 0
-    return max(partitions(docs.sparkSession), total // BLOCK_POSTINGS + 1)
+def counted(docs: DataFrame, lines: DataFrame) -> tuple[int, int]:
+    """The number of ``lines``, and of blocks of postings: as many as shuffle partitions, more if a block would hold over ``BLOCK_POSTINGS``."""
+    n, total = lines.agg(F.count(F.lit(1)), F.sum(F.expr("n div 4 + 1"))).first()
+    return n, max(partitions(docs.sparkSession), (total or 0) // BLOCK_POSTINGS + 1)

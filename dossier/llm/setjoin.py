@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.shared import partitions, small, written
+from dossier.llm.shared import partitions, small, tidy, written
 from dossier.llm.textarrays import LOWER, U, flat, mix, shingles, slices, span_hashes, words
 
 #: Words of a shingle.
@@ -121,7 +121,7 @@ def inventory(docs: DataFrame, units: Callable, every: bool) -> DataFrame:
         if held:
             yield repeated()
 
-    return written(docs.mapInArrow(run, "doc_id long, version long, number long, sid long, n long, bits binary, token long, seen long"), "set-units")
+    return written(docs.mapInArrow(tidy(run), "doc_id long, version long, number long, sid long, n long, bits binary, token long, seen long"), "set-units")
 
 
 def frequent(units: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -299,8 +299,8 @@ def shared_postings(docs: DataFrame, units: Callable, table: tuple[np.ndarray, n
             if more.any():
                 yield lists(rest[more])
 
-    posted = docs.mapInArrow(post, "block int, postings binary, led binary").repartitionById(blocks, F.col("block"))
-    return written(posted.mapInArrow(meet, "token long, sid long, n int, at int, leader long"), "set-postings")
+    posted = docs.mapInArrow(tidy(post), "block int, postings binary, led binary").repartitionById(blocks, F.col("block"))
+    return written(posted.mapInArrow(tidy(meet), "token long, sid long, n int, at int, leader long"), "set-postings")
 
 
 def bitmaps(tokens: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -350,13 +350,14 @@ def bounded(pairs: DataFrame, bits: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(fits)) for c in batch.columns[:2]], names=["a", "b"])
 
     joined = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
-    return written(joined.mapInArrow(run, "a long, b long"), "bounded-pairs", narrow=True)
+    return written(joined.mapInArrow(tidy(run), "a long, b long"), "bounded-pairs", narrow=True)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, units: Callable, nodes: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, units: Callable, nodes: DataFrame, later: bool = False) -> DataFrame:
     """Written table of the ``pairs`` (``a, b``, written) whose sets have a Jaccard likeness of at least 3/4.
 
-    The sorted shingles are taken anew from one row that holds each set (``nodes``: units of the inventory).
+    The sorted shingles are taken anew from one row that holds each set (``nodes``: units of the inventory). ``later``: with a column ``later``, the set of the two
+    whose first place in its row (by ``doc_id, version, number``, a null doc_id first) comes later.
     """
     asked = written(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct(), "sets-asked", narrow=True)
     holders = nodes.select("sid", "doc_id", "version").join(small(asked), "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("doc_id", "version")).alias("at"))
@@ -364,19 +365,23 @@ def verified(pairs: DataFrame, docs: DataFrame, units: Callable, nodes: DataFram
     rows = docs.join(small(written(wanted, "sets-wanted", narrow=True)), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("version") == F.col("__v"))).select("doc_id", "version", "text", "sids")
 
     def fetch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, i, (rows, _, tokens, upto) in each_slice(batches, units):
+        for batch, i, (rows, number, tokens, upto) in each_slice(batches, units):
             sid = set_ids(tokens, upto).view(np.int64)
-            out: dict[int, bytes] = {}
+            out: dict[int, tuple[bytes, int, int]] = {}
             lists = batch.column(3)
             for row in np.unique(rows).tolist():
                 ask = set(lists[i + row].as_py())
                 for k in range(*np.searchsorted(rows, [row, row + 1]).tolist()):
-                    if (x := int(sid[k])) in ask:
-                        out[x] = tokens[upto[k] : upto[k + 1]].tobytes()
+                    if (x := int(sid[k])) in ask and x not in out:
+                        out[x] = tokens[upto[k] : upto[k + 1]].tobytes(), i + row, int(number[k])
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=["sid", "elements"])
+                elements, at, numbers = zip(*out.values(), strict=True)
+                columns, take = [pa.array(list(out), pa.int64()), pa.array(elements, pa.binary())], pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([*columns, *([batch.column(0).take(take), batch.column(1).take(take), pa.array(numbers, pa.int64())] if later else [])], names=["sid", "elements", *place])
 
-    sets = written(rows.mapInArrow(fetch, "sid long, elements binary"), "set-elements").dropDuplicates(["sid"])
+    place = ["doc_id", "version", "number"] if later else []
+    sets = written(rows.mapInArrow(tidy(fetch), ", ".join(["sid long, elements binary", *[f"{c} long" for c in place]])), "set-elements").dropDuplicates(["sid"])
+    side = lambda c, elements: sets.select(F.col("sid").alias(c), F.col("elements").alias(elements), *([F.struct(F.col("doc_id").isNotNull().alias("known"), *place).alias(f"first_{c}")] if later else []))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -385,10 +390,11 @@ def verified(pairs: DataFrame, docs: DataFrame, units: Callable, nodes: DataFram
                 x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(4 * both >= 3 * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+            kept = [c.filter(pa.array(good, pa.bool_())) for c in (*batch.columns[:2], *batch.columns[4:])]
+            yield pa.RecordBatch.from_arrays(kept, names=["a", "b", *(["later"] if later else [])])
 
-    joined = pairs.join(sets.select(F.col("sid").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("elements").alias("y")), "b").select("a", "b", "x", "y")
-    return written(joined.mapInArrow(run, "a long, b long"), "set-links", narrow=True)
+    joined = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y", *([F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("later")] if later else []))
+    return written(joined.mapInArrow(tidy(run), "a long, b long" + (", later long" if later else "")), "set-links", narrow=True)
 
 
 def popular_pairs(members: DataFrame) -> DataFrame:
@@ -503,7 +509,8 @@ def whole_tiles(batches: Iterable[pa.RecordBatch], work: Callable) -> Iterator[p
 
 
 def by_tile(df: DataFrame) -> DataFrame:
-    return df.repartition(partitions(df.sparkSession), "tile").sortWithinPartitions("tile")
+    """Tiles whole and in order. No number of partitions is given, so that few rows make few tasks."""
+    return df.repartition("tile").sortWithinPartitions("tile")
 
 
 def tile_pairs(rows: DataFrame, bits: DataFrame) -> DataFrame:
@@ -542,8 +549,8 @@ def tile_pairs(rows: DataFrame, bits: DataFrame) -> DataFrame:
         return whole_tiles(batches, compare)
 
     first = by_tile(tiled(rows).select("tile", *columns))
-    kept = written(first.mapInArrow(run, first.schema), "tile-rows")
-    return by_tile(kept.join(bits.select("sid", "bits"), "sid").select("tile", *columns, "bits")).mapInArrow(run, "a long, b long")
+    kept = written(first.mapInArrow(tidy(run), first.schema), "tile-rows")
+    return by_tile(kept.join(bits.select("sid", "bits"), "sid").select("tile", *columns, "bits")).mapInArrow(tidy(run), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:

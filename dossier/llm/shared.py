@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,6 +57,30 @@ def until_exit(spark: SparkSession, path: str) -> str:
     return path
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of the session have at most ``BATCH_ROWS`` rows and, but for one row's, ``BATCH_BYTES`` bytes from now on: what a lazy result sends to Python is cut up when it runs, after its operator."""
+    rows, size = int(spark.conf.get(_BATCH)), spark.conf.get(_BYTES, None)
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    if not size or not size.isdigit() or not 0 < int(size) <= BATCH_BYTES:
+        spark.conf.set(_BYTES, str(BATCH_BYTES))
+
+
+def tidy(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which a worker gives freed memory back: Spark keeps it for other tasks, and allocators keep what a task freed, so an executor would hold the most that each worker ever took."""
+
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+            if trim is not None:
+                trim(0)
+
+    return whole
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables written inside go when it ends, but for those written with ``keep``, which belong to the scope around it (or stay).

@@ -305,3 +305,29 @@ def test_a_passage_that_unlike_documents_share_copies_nothing(spark):
     assert setjoin.tiled(late).count() == 0
     beside = linejoin._beside(late.select("token", "sid", "n", "at", F.col("group").alias("first"), F.lit(b"").alias("map"), F.lit(True).alias("open")))
     assert beside.count() == 0
+
+
+def test_few_rows_make_few_tiles_tasks(spark):
+    """Tiles are dealt out by their rows: a small table makes fewer tasks than the session has shuffle partitions."""
+    df = spark.range(300).select((F.col("id") % 9).alias("tile"), "id")
+    parts, partitions = spark.conf.get("spark.sql.shuffle.partitions"), "spark.sql.shuffle.partitions"
+    try:
+        spark.conf.set(partitions, "64")
+        dealt = setjoin.by_tile(df).rdd
+        tiles = [[r["tile"] for r in p] for p in dealt.glom().collect()]
+    finally:
+        spark.conf.set(partitions, parts)
+    assert len(tiles) < 64 and all(t == sorted(t) for t in tiles)
+    assert sum(len(set(t)) for t in tiles) == 9 and sum(map(len, tiles)) == 300
+
+
+def test_verified_says_which_set_is_later(spark):
+    """Places of both sets come with the verified pair: by document, null first, then by line."""
+    rows = [(None, "a b c d e"), (3, "a b c d\nz y x\na b c d e f"), (1, "q r s t\nq r s t u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("version", F.xxhash64("text")).select("doc_id", "version", "text")
+    lines = linejoin.survey(docs).filter("part IS NULL").collect()
+    sid = {(r["doc_id"], r["number"]): r["sid"] for r in lines}
+    nodes = spark.createDataFrame([(r["sid"], r["doc_id"], r["version"]) for r in lines], "sid long, doc_id long, version long")
+    pairs = spark.createDataFrame([(sid[None, 0], sid[3, 0]), (sid[3, 2], sid[None, 0]), (sid[1, 1], sid[1, 0]), (sid[3, 1], sid[1, 0])], "a long, b long")
+    got = {(r["a"], r["b"]): r["later"] for r in setjoin.verified(pairs, docs, linejoin.line_words, nodes, later=True).collect()}
+    assert got == {(sid[None, 0], sid[3, 0]): sid[3, 0], (sid[3, 2], sid[None, 0]): sid[3, 2], (sid[1, 1], sid[1, 0]): sid[1, 1]}
