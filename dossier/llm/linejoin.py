@@ -45,6 +45,25 @@ HEAD = [("list", "<u4"), ("sid", "<u8"), ("order", "<u4"), ("n", "<u4"), ("at",
 POSTING = [np.dtype([*HEAD, ("map", "<u8", (w,))]) for w in (1, 2, 4)]
 
 
+def packed(x: np.ndarray, cuts: list[int]) -> list[bytes]:
+    """The postings between the cuts, column by column and the numbers' like bytes together, which Spark's compression takes up (records of hashes have nothing to compress)."""
+    flat = lambda c: np.ascontiguousarray(x[c])
+    columns = [flat("list"), flat("sid"), *(p for c in ("order", "n", "at") for p in np.ascontiguousarray(flat(c).view(np.uint8).reshape(len(x), x.dtype[c].itemsize).T)), flat("map")]
+    return [b"".join([c[a:b].tobytes() for c in columns]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def unpacked(raw: bytes, t: np.dtype) -> np.ndarray:
+    n, at = len(raw) // t.itemsize, 0
+    out = np.empty(n, t)
+    for c in t.names if n else ():
+        size = t[c].itemsize
+        part = np.frombuffer(raw, np.uint8, n * size, at)
+        part = part.reshape(size, n).T if c in ("order", "n", "at") else part.reshape(n, size)
+        out[c] = np.ascontiguousarray(part).view(t[c].base).reshape(out[c].shape)
+        at += n * size
+    return out
+
+
 def line_words(part: np.ndarray, cuts: np.ndarray) -> Units:
     """Every line of the texts ``cuts[i]:cuts[i+1]`` (split at line ends) with its words' hashes."""
     data = LOWER[part]
@@ -301,7 +320,7 @@ def postings(docs: DataFrame, levels: np.ndarray, lines: int, blocks: int) -> Da
                 order = np.argsort(block.astype(np.uint16) if blocks <= MOST else block, kind="stable")  # 16 bits are sorted by their digits
                 cuts = np.concatenate([[0], np.cumsum(np.bincount(block, minlength=blocks))])
                 x = x[order]
-                columns.append([x[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)])
+                columns.append(packed(x, cuts.tolist()))
             return pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), *[pa.array(c, pa.binary()) for c in columns]], names=["block", "p0", "p1", "p2"])
 
         ordered_sets = lambda tokens, cuts: ordered(tokens, cuts, sent.value)
@@ -348,7 +367,7 @@ def postings(docs: DataFrame, levels: np.ndarray, lines: int, blocks: int) -> Da
         for batch in batches:
             block = batch.column(0)[0].as_py() if batch.num_rows else block
             for k in range(3):
-                parts[k] += [np.frombuffer(x.as_py(), POSTING[k]) for x in batch.column(k + 1)]
+                parts[k] += [unpacked(x.as_py(), POSTING[k]) for x in batch.column(k + 1)]
         heads, maps, kinds = [], [], []
         rows = [np.concatenate(parts[k]) if parts[k] else np.zeros(0, POSTING[k]) for k in range(3)]
         parts.clear()

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -331,3 +332,20 @@ def test_verified_says_which_set_is_later(spark):
     pairs = spark.createDataFrame([(sid[None, 0], sid[3, 0]), (sid[3, 2], sid[None, 0]), (sid[1, 1], sid[1, 0]), (sid[3, 1], sid[1, 0])], "a long, b long")
     got = {(r["a"], r["b"]): r["later"] for r in setjoin.verified(pairs, docs, linejoin.line_words, nodes, later=True).collect()}
     assert got == {(sid[None, 0], sid[3, 0]): sid[3, 0], (sid[3, 2], sid[None, 0]): sid[3, 2], (sid[1, 1], sid[1, 0]): sid[1, 1]}
+
+
+@pytest.mark.parametrize("kind", [0, 1, 2])
+def test_packed_postings(kind):
+    """Postings come back as they were, in any parts, and their bytes leave the numbers' room to compression."""
+    rng = np.random.default_rng(kind)
+    x = np.zeros(3000, linejoin.POSTING[kind])
+    for c in ("list", "sid", "map"):
+        x[c] = rng.integers(0, np.iinfo(x[c].dtype).max, x[c].shape, x[c].dtype, endpoint=True)
+    x["order"], x["n"], x["at"] = np.sort(rng.integers(7 << 20, 8 << 20, 3000)), rng.integers(3, 90, 3000), rng.integers(0, 20, 3000)
+    x["n"][5], x["at"][6], x["order"][7] = 2**32 - 1, 65535, 2**32 - 1
+    cuts = [0, 0, 1, 900, 900, 3000, 3000]
+    got = [linejoin.unpacked(b, x.dtype) for b in linejoin.packed(x, cuts)]
+    assert [len(g) for g in got] == np.diff(cuts).tolist() and np.concatenate(got).tobytes() == x.tobytes()
+    assert linejoin.packed(x[:0], [0, 0]) == [b""]
+    size = lambda b: len(pa.compress(b, "lz4_raw", asbytes=True))
+    assert size(linejoin.packed(x, [0, 3000])[0]) < size(x.tobytes()) - 4 * 3000
