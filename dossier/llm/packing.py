@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from dossier.llm.bytepair import Vocabulary, encoded
+from dossier.llm.shared import small_batches, tidy
 
 SIZE = 2048
 END_ID = 1
@@ -174,4 +175,5 @@ def pack(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             if out is not None:
                 yield out
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    small_batches(docs.sparkSession)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), SCHEMA)

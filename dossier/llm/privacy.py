@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.shared import apart, scratch, small, written
+from dossier.llm.shared import apart, scratch, small, small_batches, tidy, written
 from dossier.llm.textarrays import U, flat, slices, span_hashes, words
 
 KINDS = ("email", "ip", "card", "phone")
@@ -188,7 +188,7 @@ def survey(docs: DataFrame) -> DataFrame:
                 blank = pa.nulls(n, pa.int64())
                 yield pa.RecordBatch.from_arrays([blank, blank, blank, pa.nulls(n, span_type), pa.nulls(n, pa.list_(pa.string())), pa.nulls(n, context_type), pa.array(h[new].view(np.int64)), pa.array(count, pa.int64())], names=names)
 
-    return written(docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, _FOUND), "privacy-survey")
+    return written(docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(tidy(run), _FOUND), "privacy-survey")
 
 
 def disclosing(found: DataFrame) -> DataFrame:
@@ -243,7 +243,7 @@ def with_terms(docs: DataFrame, names: DataFrame) -> DataFrame:
             span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(keys, pa.int64()), pa.array(held, pa.string()), pa.array(places, span)], names=["doc_id", "version", "key", "term", "places"])
 
-    marked = written(docs.mapInArrow(run, "doc_id long, version long, key long, term string, places array<struct<start:int,end:int>>"), "privacy-marked")
+    marked = written(docs.mapInArrow(tidy(run), "doc_id long, version long, key long, term string, places array<struct<start:int,end:int>>"), "privacy-marked")
     held = marked.join(small(names), ["key", "term"]).groupBy("doc_id", "version").agg(F.collect_set(F.struct("term", "places")).alias("held"))  # repeated rows count once
     extra = F.transform(F.array_sort(F.flatten("held.places")), lambda x: F.struct(F.lit("term").alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     return held.select("doc_id", "version", F.array_sort("held.term").alias("terms"), extra.alias("extra"))
@@ -292,6 +292,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
         ask = written(with_terms(rows, disclosing(found)).drop("extra"), "privacy-ask", keep=True)
     ask = ask.select(F.col("doc_id").alias("d"), F.col("version").alias("v"), F.col("terms").alias("asked"))
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.xxhash64("text").alias("version"))
+    small_batches(docs.sparkSession)
     joined = own.join(small(ask), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v")), "left").select("row.*", F.col("asked").alias(apart(docs.columns)))
     at, docs_names = docs.columns.index("text"), docs.columns
 
@@ -302,4 +303,4 @@ def sanitised(docs: DataFrame) -> DataFrame:
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=docs_names)
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(tidy(run), docs.schema)

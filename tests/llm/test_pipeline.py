@@ -1,6 +1,7 @@
 """The pipeline: each stage on its predecessor's rows against brute force, and on odd tables."""
 
 import collections
+import os
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ from test_joins import components, removed_lines
 from test_tokens import disclosed
 from tokenizers import Tokenizer
 
-from dossier.llm import packing, packing_query, privacy, quality_query
+from dossier.llm import packing, packing_query, privacy, quality_query, shared
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 WHERE = "/root/testdata/sf0.001"
@@ -115,3 +116,42 @@ def test_odd_rows(spark, name):
         assert all(r["text"] is None for r in got if r["doc_id"] == 0)
         if name == "pii":
             assert {r["text"] for r in got if r["doc_id"] == 4} == {r["text"] for r in got if r["doc_id"] == 5} and not any("@" in (r["text"] or "") for r in got)
+
+
+@pytest.mark.parametrize("name", ["pii", "packing"])
+def test_lazy_stages_send_small_batches(spark, name):
+    """A stage's result runs after its operator; its batches of whole texts are small then too, but never larger than the session's own."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    df = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
+    try:
+        for before, after in (("10000", shared.BATCH_ROWS), ("0", shared.BATCH_ROWS), ("70", 70)):
+            spark.conf.set(rows, before)
+            stage(name)(spark, df, "unused")
+            assert int(spark.conf.get(rows)) == after and int(spark.conf.get(size)) <= shared.BATCH_BYTES
+    finally:
+        spark.conf.unset(rows)
+        spark.conf.unset(size)
+
+
+def test_workers_give_memory_back():
+    """After a task its worker doesn't hold on to what the task took and freed, though something small outlives it."""
+    held = []
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 1e6
+
+    def run(batches):
+        parts = []
+        for batch in batches:
+            for _ in range(6000):
+                parts.append(np.ones(40_000, np.uint8))
+            held.append(np.ones(40_000, np.uint8))
+            yield batch
+
+    def grown(f):
+        before = resident()
+        assert list(f(iter([1, 2]))) == [1, 2]
+        return resident() - before
+
+    assert grown(shared.tidy(run)) < 100  # of 480
